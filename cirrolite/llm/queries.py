@@ -7,7 +7,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .chat import format_conversations, read_conversations
-from .common import table
+from .common import shared_dir, table, written
+from .contamination import contamination
+from .packing import pack, token_pieces
+from .quality import fit_quality, quality_scores
+from .warc import read_archive, write_archive
 from .url_filters import url_verdicts
 
 #: Fixed values of the contract: (host, path, action).
@@ -35,4 +39,35 @@ def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op4_url_filters, op7_chat_formatting)}
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
+    held = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) == 2
+    model = fit_quality(labels.select("doc_id", "quality").filter(~held), docs)
+    scores = quality_scores(docs, model)
+    return scores.select("doc_id", F.coalesce(held, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"),
+    )
+
+
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    # pieces are read twice (counted, then dealt out): a small table, against tokenising twice
+    pieces = written(token_pieces(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")))
+    return pack(pieces).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "padded_tokens")
+
+
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared_dir(spark)
+    write_archive(table(spark, sf_dir, "pages"), path)
+    back = read_archive(spark, path, payloads=False)
+    return back.select(F.col("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+QUERIES = {f.__name__: f for f in (op2_quality_classifier, op3_benchmark_decontamination, op4_url_filters, op6_packing, op7_chat_formatting, op10_warc)}
