@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from .chat import format_conversations, read_conversations
 from .common import shared_dir, table, written
 from .contamination import contamination
+from .embedding_dedup import near_links
 from .packing import pack, token_pieces
 from .quality import fit_quality, quality_scores
 from .warc import read_archive, write_archive
@@ -63,6 +64,11 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(pieces).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "padded_tokens")
 
 
+def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_links(table(spark, sf_dir, "embeddings"))
+    return found.select("vec_id", "n_links", "component_id", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)).alias("kept"))
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_dir(spark)
     write_archive(table(spark, sf_dir, "pages"), path)
@@ -70,4 +76,4 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select(F.col("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-QUERIES = {f.__name__: f for f in (op2_quality_classifier, op3_benchmark_decontamination, op4_url_filters, op6_packing, op7_chat_formatting, op10_warc)}
+QUERIES = {f.__name__: f for f in (op2_quality_classifier, op3_benchmark_decontamination, op4_url_filters, op6_packing, op7_chat_formatting, op9_embedding_dedup, op10_warc)}
