@@ -12,6 +12,7 @@ rows that repeat are packed each; an empty table gives no rows.
 from __future__ import annotations
 
 import os
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -22,7 +23,10 @@ from pyspark.sql import functions as F
 
 from .common import buffers
 
-CACHE_WORDS = 400_000
+CACHE_WORDS = 1_000_000
+TEXT_CHARS = 1 << 20
+#: White space to Python alone; marks of special tokens; letters whose lower case depends on their place or is two characters.
+ODD = ("\x1c", "\x1d", "\x1e", "\x1f", "<|", "\u03a3", "\u0130")
 
 
 class WordTokens:
@@ -42,42 +46,69 @@ class WordTokens:
         self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
         for token, i in self.tokenizer.get_vocab().items():
             self.ends[i] = token.endswith("</w>")
-        self.odd = regex.compile("[\x1c-\x1f]|<\\|")
         self.cache: dict[str, bytes] = {}
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def learn(self, words: list[str]) -> None:
+    def encode(self, words: list[str]) -> dict[str, bytes]:
+        made = {}
         for k in range(0, len(words), 500):
             some = words[k : k + 500]
-            count = [len(self.parts.findall(w.lower())) for w in some]
+            count = [1 if w.isascii() and w.isalpha() else len(self.parts.findall(w.lower())) for w in some]
             ids = np.frombuffer(self.whole([" ".join(some)])[0], "<u4")
             cuts = np.flatnonzero(self.ends[ids]) + 1
             if len(cuts) == sum(count) and min(count) > 0:
-                at = np.concatenate(([0], cuts))[np.concatenate(([0], np.cumsum(count)))] * 4
+                at = (np.concatenate(([0], cuts))[np.concatenate(([0], np.cumsum(count)))] * 4).tolist()
                 raw = ids.tobytes()
-                self.cache.update(zip(some, (raw[a:b] for a, b in zip(at[:-1], at[1:]))))
+                made.update(zip(some, [raw[a:b] for a, b in zip(at, at[1:])]))
             else:
-                self.cache.update(zip(some, self.whole(some)))
-
-    def __call__(self, text: str) -> bytes:
-        if self.odd.search(text):
-            return self.whole([text])[0]
-        words = text.split()
+                made.update(zip(some, self.whole(some)))
+        return made
+
+    def learn(self, words: set[str]) -> None:
+        """Words that differ by a closing comma or stop share the ids of their stem."""
+        stems = {}
+        for w in words:
+            stem, tail = (w[:-1], w[-1]) if w[-1] in ",." and w[:-1].isalpha() else (w, "")
+            stems[w] = (stem, tail)
+        cache = self.cache
+        cache.update(self.encode(sorted({part for pair in stems.values() for part in pair if part} - cache.keys())))
+        for w, (stem, tail) in stems.items():
+            cache[w] = cache[stem] + cache[tail] if tail else cache[stem]
+
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        out, words = [None] * len(texts), {}
+        for i, t in enumerate(texts):
+            if any(x in t for x in ODD):
+                out[i] = self.whole([t])[0]
+            else:
+                words[i] = (t.lower() if t.isascii() or unicodedata.is_normalized("NFC", t) else t).split()
+        if len(self.cache) > CACHE_WORDS:
+            self.cache.clear()
+        if new := set().union(*words.values()) - self.cache.keys():
+            self.learn(new)
         cache = self.cache
-        try:
-            return b"".join([cache[w] for w in words])
-        except KeyError:
-            if len(cache) > CACHE_WORDS:
-                cache.clear()
-            self.learn(list({w for w in words if w not in cache}))
-            return b"".join([cache[w] for w in words])
+        for i, ws in words.items():
+            out[i] = b"".join([cache[w] for w in ws])
+        return out
 
 
 _tokens: dict[str, WordTokens] = {}
 
 
+def tokenised(tokens: WordTokens, b: pa.RecordBatch) -> Iterator[tuple[int | None, bytes]]:
+    """Each row's id and token ids; about TEXT_CHARS of text are taken together."""
+    some, chars = [], 0
+    for i, t in zip(b.column("id").to_pylist(), b.column("text")):
+        some.append((i, t.as_py() or ""))
+        chars += len(some[-1][1])
+        if chars > TEXT_CHARS:
+            yield from zip((i for i, _ in some), tokens([t for _, t in some]))
+            some, chars = [], 0
+    yield from zip((i for i, _ in some), tokens([t for _, t in some]))
+
+
 def token_pieces(docs: DataFrame, tokenizer: str, id: str = "doc_id", text: str = "text", end_id: int = 1, capacity: int = 2048, with_ids: bool = False) -> DataFrame:
     """Pieces of each row's ids (those of the text, then end_id): the id, start, length, ids_crc32, doc_tokens, and ids if asked for."""
     schema = pa.schema([("id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64())] + ([("ids", pa.list_(pa.int32()))] if with_ids else []))
@@ -88,8 +119,8 @@ def token_pieces(docs: DataFrame, tokenizer: str, id: str = "doc_id", text: str
         tokens, last = _tokens[tokenizer], np.array([end_id], "<u4").tobytes()
         for b in batches:
             rows, held = [], 0
-            for i, t in zip(b.column("id").to_pylist(), b.column("text")):
-                ids = tokens(t.as_py() or "") + last
+            for i, ids in tokenised(tokens, b):
+                ids += last
                 n = len(ids) // 4
                 for s in range(0, n, capacity):
                     piece = ids[4 * s : 4 * (s + capacity)]
