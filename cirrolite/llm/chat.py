@@ -48,10 +48,11 @@ def reply_paths(messages: DataFrame, tree: str = "tree", node: str = "node", par
     leaves = jump.filter("anc is null").join(answered, ["t", "node"], "left_anti")
     order = Window.partitionBy("t").orderBy(F.desc("s"), "node")
     leaves = leaves.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= keep)
-    paths = leaves.select("t", F.col("node").alias("leaf"), "rank", F.col("s").alias("path_score"), "node", F.lit(0).cast("bigint").alias("depth"))
-    for k, jump in enumerate(jumps[:-1]):
+    paths = written(leaves.select("t", F.col("node").alias("leaf"), "rank", F.col("s").alias("path_score"), "node", F.lit(0).cast("bigint").alias("depth")))
+    for k, jump in enumerate(jumps[:-1]):  # each round is written: the plan of the next one stays small
         step = jump.filter("anc is not null").select("t", "node", "anc")
-        paths = paths.unionByName(paths.join(step, ["t", "node"]).select("t", "leaf", "rank", "path_score", F.col("anc").alias("node"), (F.col("depth") + 2**k).alias("depth")))
+        new = paths.join(step, ["t", "node"]).select("t", "leaf", "rank", "path_score", F.col("anc").alias("node"), (F.col("depth") + 2**k).alias("depth"))
+        paths = paths.unionByName(written(new))
     return paths
 
 
@@ -61,7 +62,7 @@ def format_conversations(messages: DataFrame, tree: str = "tree", node: str = "n
     formatted: for each turn from the root `<turn ROLE>TEXT</turn>` and a newline, role and text escaped. loss_spans: (start, length) in
     code points of formatted, from 0, of the texts whose role is in `learn`.
     """
-    paths = written(reply_paths(messages, tree, node, parent, score, keep))
+    paths = reply_paths(messages, tree, node, parent, score, keep)
     said = messages.select(F.coalesce(F.concat(F.lit("v"), F.col(tree).cast("string")), F.lit("n")).alias("t"), F.col(tree).alias("tree_id"), F.col(node).alias("node"), F.coalesce(F.col(role), F.lit("")).alias("role"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     said = said.groupBy("t", "tree_id", "node").agg(F.min(F.struct("role", "text")).alias("m"))
     turn = paths.join(said, ["t", "node"]).select(
