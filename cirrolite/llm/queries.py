@@ -10,6 +10,7 @@ from .chat import format_conversations, read_conversations
 from .common import shared_dir, table, written
 from .contamination import contamination
 from .embedding_dedup import near_links
+from .ngram_join import ngram_components
 from .packing import pack, token_pieces
 from .quality import fit_quality, quality_scores
 from .warc import read_archive, write_archive
@@ -56,6 +57,10 @@ def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     )
 
 
+def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_components(table(spark, sf_dir, "documents"))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -76,4 +81,4 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select(F.col("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-QUERIES = {f.__name__: f for f in (op2_quality_classifier, op3_benchmark_decontamination, op4_url_filters, op6_packing, op7_chat_formatting, op9_embedding_dedup, op10_warc)}
+QUERIES = {f.__name__: f for f in (op2_quality_classifier, op3_benchmark_decontamination, op4_url_filters, op5_ngram_join, op6_packing, op7_chat_formatting, op9_embedding_dedup, op10_warc)}
