@@ -39,18 +39,21 @@ def reply_paths(messages: DataFrame, tree: str = "tree", node: str = "node", par
     known = nodes.select("t", F.col("node").alias("anc"))
     jump = nodes.filter("parent <> node").withColumnRenamed("parent", "anc").join(known, ["t", "anc"], "left_semi")
     jump = written(nodes.select("t", "node", "s").join(jump.select("t", "node", "anc"), ["t", "node"], "left"))
-    jumps = [jump]
-    while (n := jump.agg(F.count("anc"), F.count("*")).first())[0] and 2 ** (len(jumps) - 1) <= n[1]:
-        far = jump.select("t", F.col("node").alias("anc"), F.col("anc").alias("next"), F.col("s").alias("more"))
-        jump = written(jump.join(far, ["t", "anc"], "left").select("t", "node", (F.col("s") + F.coalesce("more", F.lit(0.0))).alias("s"), F.col("next").alias("anc")))
-        jumps.append(jump)
-    answered = jumps[0].filter("anc is not null").select("t", F.col("anc").alias("node")).distinct()
-    leaves = jump.filter("anc is null").join(answered, ["t", "node"], "left_anti")
+    count = jump.count()
+    done, jumps = jump.filter("anc is null"), [jump.filter("anc is not null")]
+    while 2 ** (len(jumps) - 1) <= count and not jumps[-1].isEmpty():
+        # only messages that have not reached their root go on
+        far = done.unionByName(jumps[-1]).select("t", F.col("node").alias("anc"), F.col("anc").alias("next"), F.col("s").alias("more"))
+        moved = written(jumps[-1].join(far, ["t", "anc"]).select("t", "node", (F.col("s") + F.col("more")).alias("s"), F.col("next").alias("anc")))
+        done = done.unionByName(moved.filter("anc is null"))
+        jumps.append(moved.filter("anc is not null"))
+    answered = jumps[0].select("t", F.col("anc").alias("node")).distinct()
+    leaves = done.join(answered, ["t", "node"], "left_anti")
     order = Window.partitionBy("t").orderBy(F.desc("s"), "node")
     leaves = leaves.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= keep)
     paths = written(leaves.select("t", F.col("node").alias("leaf"), "rank", F.col("s").alias("path_score"), "node", F.lit(0).cast("bigint").alias("depth")))
     for k, jump in enumerate(jumps[:-1]):  # each round is written: the plan of the next one stays small
-        step = jump.filter("anc is not null").select("t", "node", "anc")
+        step = jump.select("t", "node", "anc")
         new = paths.join(step, ["t", "node"]).select("t", "leaf", "rank", "path_score", F.col("anc").alias("node"), (F.col("depth") + 2**k).alias("depth"))
         paths = paths.unionByName(written(new))
     return paths
