@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import PACKED, buffers, components, mix, pack, partitions, unpack, written
+from .common import PACKED, buffers, components, dealt, mix, pack, partitions, unpack, written
 from .embedding_dedup import roots
 from .shingles import shingle_hashes, word_hashes
 
@@ -105,13 +105,8 @@ def _sets(threshold: float, shards: int | None):
 
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of this task's keys: pairs of sets with the number of keys they share, or (many texts) the sets of each key."""
-    by_shard: dict[int, list[np.ndarray]] = {}
-    for b in batches:
-        for s, e in zip(b.column("shard").to_pylist(), buffers(b.column("entries"))):
-            by_shard.setdefault(s, []).append(np.frombuffer(e, ENTRY))
     left, right, need, hot_key, hot_set, hot_need = [], [], [], [], [], []
-    for s in sorted(by_shard):
-        e = np.concatenate(by_shard.pop(s))
+    for s, e in unpack(batches, ENTRY).items():
         e = e[np.lexsort((e["set"], e["key"]))]
         e = e[np.concatenate(([True], (np.diff(e["key"].astype(np.int64)) != 0) | (np.diff(e["set"]) != 0)))]
         at = np.concatenate(([0], np.flatnonzero(np.diff(e["key"].astype(np.int64))) + 1))
@@ -227,9 +222,9 @@ def ngram_components(docs: DataFrame, id: str = "doc_id", text: str = "text", th
     rows = docs.select(F.col(id).cast("bigint").alias("id"), F.col(text).cast("string").alias("text"))
     sets = written(rows.mapInArrow(_sets(threshold, None), "id bigint, n bigint, set bigint"))
     first = sets.filter("n > 0").groupBy("set").agg(F.min("id").alias("node"), F.first("n").alias("n")).filter("node is not null")
-    shards = partitions(spark) * 4
+    shards = partitions(spark)
     packed = rows.mapInArrow(_sets(threshold, shards), PACKED)
-    met = written(packed.repartition(shards // 2, "shard").mapInArrow(_meet, "a bigint, b bigint, shared bigint, need bigint, hot bigint"))
+    met = written(dealt(packed, shards).mapInArrow(_meet, "a bigint, b bigint, shared bigint, need bigint, hot bigint"))
     # keys with many texts: how many of them a set has
     hot = met.filter("hot is not null").select(F.col("a").alias("set"), "hot", "need")
     hots = written(hot.groupBy("set").agg(F.count("*").alias("hots"), F.max("need").alias("need")))

@@ -14,6 +14,7 @@ from .ngram_join import ngram_components
 from .packing import pack, token_pieces
 from .quality import fit_quality, quality_scores
 from .warc import read_archive, write_archive
+from .suffix_dedup import remove_repeats
 from .url_filters import url_verdicts
 
 #: Fixed values of the contract: (host, path, action).
@@ -41,6 +42,10 @@ def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
     held = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) == 2
@@ -81,4 +86,4 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select(F.col("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-QUERIES = {f.__name__: f for f in (op2_quality_classifier, op3_benchmark_decontamination, op4_url_filters, op5_ngram_join, op6_packing, op7_chat_formatting, op9_embedding_dedup, op10_warc)}
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_quality_classifier, op3_benchmark_decontamination, op4_url_filters, op5_ngram_join, op6_packing, op7_chat_formatting, op9_embedding_dedup, op10_warc)}
