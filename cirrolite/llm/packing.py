@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from .common import buffers
 
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 1_500_000
 TEXT_CHARS = 1 << 20
 #: White space to Python alone; marks of special tokens; letters whose lower case depends on their place or is two characters.
 ODD = ("\x1c", "\x1d", "\x1e", "\x1f", "<|", "\u03a3", "\u0130")
@@ -66,31 +66,41 @@ class WordTokens:
                 made.update(zip(some, self.whole(some)))
         return made
 
-    def learn(self, words: set[str]) -> None:
-        """Words that differ by a closing comma or stop share the ids of their stem."""
-        stems = {}
-        for w in words:
-            stem, tail = (w[:-1], w[-1]) if w[-1] in ",." and w[:-1].isalpha() else (w, "")
-            stems[w] = (stem, tail)
-        cache = self.cache
-        cache.update(self.encode(sorted({part for pair in stems.values() for part in pair if part} - cache.keys())))
-        for w, (stem, tail) in stems.items():
-            cache[w] = cache[stem] + cache[tail] if tail else cache[stem]
+    def parts_of(self, word: str) -> tuple[str, str]:
+        """A word that ends in a comma or stop shares the ids of its stem, which alone is kept."""
+        return (word[:-1], word[-1]) if word[-1] in ",." and word[:-1].isalpha() else (word, "")
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        out, words = [None] * len(texts), {}
+        out, open_, new = [None] * len(texts), [], set()
+        if len(self.cache) > CACHE_WORDS:
+            self.cache.clear()
+        cache, get = self.cache, self.cache.get
         for i, t in enumerate(texts):
             if any(x in t for x in ODD):
                 out[i] = self.whole([t])[0]
-            else:
-                words[i] = (t.lower() if t.isascii() or unicodedata.is_normalized("NFC", t) else t).split()
-        if len(self.cache) > CACHE_WORDS:
-            self.cache.clear()
-        if new := set().union(*words.values()) - self.cache.keys():
-            self.learn(new)
-        cache = self.cache
-        for i, ws in words.items():
-            out[i] = b"".join([cache[w] for w in ws])
+                continue
+            words = (t.lower() if t.isascii() or unicodedata.is_normalized("NFC", t) else t).split()
+            ids = [get(w) for w in words]
+            if None not in ids:
+                out[i] = b"".join(ids)
+                continue
+            holes = []
+            for k in [k for k, x in enumerate(ids) if x is None]:
+                stem, tail = self.parts_of(words[k])
+                if tail and (x := get(stem)) is not None and (y := get(tail)) is not None:
+                    ids[k] = x + y
+                else:
+                    holes.append((k, stem, tail))
+                    new.add(stem)
+                    if tail:
+                        new.add(tail)
+            open_.append((i, ids, holes))
+        if new := new - cache.keys():
+            cache.update(self.encode(sorted(new)))
+        for i, ids, holes in open_:
+            for k, stem, tail in holes:
+                ids[k] = cache[stem] + cache[tail] if tail else cache[stem]
+            out[i] = b"".join(ids)
         return out
 
 
@@ -142,27 +152,33 @@ def fill(sizes: np.ndarray, limits: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     kinds, kind, count = np.unique(sizes, axis=0, return_inverse=True, return_counts=True)
     kind = kind.reshape(-1)
     rows = np.argsort(kind, kind="stable")  # the rows of each kind, in order
-    first = np.concatenate(([0], np.cumsum(count)))[:-1]
+    nxt = np.concatenate(([0], np.cumsum(count)))
+    stop, nxt = nxt[1:].copy(), nxt[:-1].copy()
     share = kinds / limits
     weight = (share * count[:, None]).sum(0)
-    gain = share * (weight / max(weight.sum(), 1e-12))
-    left, used = count.copy(), np.zeros(len(kinds), np.int64)
+    gain = (share * (weight / max(weight.sum(), 1e-12)) / limits).T.copy()
+    size = kinds.T.astype(np.float64).copy()
     bins, place = np.empty(len(sizes), np.int64), np.empty(len(sizes), np.int64)
     live, b = np.arange(len(kinds)), 0
     while len(live):
-        room, n = limits.astype(np.int64).copy(), 0
-        some = live
-        while len(some := some[(kinds[some] <= room).all(1) & (left[some] > 0)]):
-            k = some[np.argmax(gain[some] @ (room / limits))]
-            r = rows[first[k] + used[k]]
+        room, n = limits.astype(np.float64), 0
+        c, g = size, gain
+        while True:
+            score = np.where((c[0] <= room[0]) & (c[1] <= room[1]) & (c[2] <= room[2]), g[0] * room[0] + g[1] * room[1] + g[2] * room[2], -1.0)
+            p = int(score.argmax()) if len(score) else 0
+            if not len(score) or score[p] < 0:
+                break
+            k = live[p]
+            r = rows[nxt[k]]
             bins[r], place[r] = b, n
-            used[k] += 1
-            left[k] -= 1
-            room -= kinds[k]
+            nxt[k] += 1
             n += 1
+            room -= c[:, p]
+            if nxt[k] == stop[k]:
+                live = np.delete(live, p)
+                size, gain = np.delete(size, p, 1), np.delete(gain, p, 1)
+                c, g = size, gain
         b += 1
-        if b % 64 == 0 or not left[live].any():
-            live = live[left[live] > 0]
     return bins, place
 
 
