@@ -12,6 +12,7 @@ from .contamination import contamination
 from .embedding_dedup import near_links
 from .ngram_join import ngram_components
 from .packing import pack, token_pieces
+from .passages import cut_passages
 from .quality import fit_quality, quality_scores
 from .warc import read_archive, write_archive
 from .suffix_dedup import remove_repeats
@@ -74,6 +75,11 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(pieces).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "padded_tokens")
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = cut_passages(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return cut.select("doc_id", "n_words", "n_removed", F.size("removed_spans").cast("bigint").alias("n_spans"), "removed_spans", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_links(table(spark, sf_dir, "embeddings"))
     return found.select("vec_id", "n_links", "component_id", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)).alias("kept"))
@@ -86,4 +92,4 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select(F.col("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_quality_classifier, op3_benchmark_decontamination, op4_url_filters, op5_ngram_join, op6_packing, op7_chat_formatting, op9_embedding_dedup, op10_warc)}
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_quality_classifier, op3_benchmark_decontamination, op4_url_filters, op5_ngram_join, op6_packing, op7_chat_formatting, op8_substring_dedup, op9_embedding_dedup, op10_warc)}
