@@ -35,6 +35,12 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def without(rows: DataFrame, ids: DataFrame, id: str, broadcast_rows: int = 500_000) -> DataFrame:
+    """rows whose id is not in ids; ids reach the tasks by broadcast while they are few, else by a shuffle."""
+    ids = written(ids.select(id).distinct())
+    return rows.join(F.broadcast(ids) if ids.count() <= broadcast_rows else ids, id, "left_anti")
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

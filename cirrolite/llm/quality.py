@@ -113,6 +113,10 @@ def fit_quality(labelled: DataFrame, docs: DataFrame, id: str = "doc_id", text:
     return model
 
 
+def _score(m: Model, f: list[float]) -> float:
+    return float(1 / (1 + np.exp(-np.clip(np.dot(m.weights[:-1], f) + m.weights[-1], -30, 30))))
+
+
 def quality_scores(docs: DataFrame, model: Model, id: str = "doc_id", text: str = "text") -> DataFrame:
     """The id and score (0 to 1, higher: better) of every row of docs."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -126,10 +130,23 @@ def quality_scores(docs: DataFrame, model: Model, id: str = "doc_id", text: str
                 if made is None:
                     scores.append(m.prior)
                     continue
-                f = features(t, *made) or m.means
-                scores.append(float(1 / (1 + np.exp(-np.clip(np.dot(m.weights[:-1], f) + m.weights[-1], -30, 30)))))
+                scores.append(_score(m, features(t, *made) or m.means))
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(scores, pa.float64())], ["id", "score"])
 
     rows = docs.select(F.col(id).alias("id"), F.col(text).cast("string").alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
     return rows.mapInArrow(run, f"id {kind}, score double").withColumnRenamed("id", id)
+
+
+def keep_good(docs: DataFrame, model: Model, text: str = "text", least: float = 0.7) -> DataFrame:
+    """The rows of docs, with all their columns, whose score is at least `least`. Texts are scored and rows dropped in one pass."""
+    shared, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shared.value
+        made = _compressors(m) if m.weights else None
+        for b in batches:
+            score = [m.prior if made is None else _score(m, features(t, *made) or m.means) for t in buffers(b.column(at))]
+            yield b.filter(pa.array([s >= least for s in score], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
