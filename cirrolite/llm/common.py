@@ -41,6 +41,14 @@ def without(rows: DataFrame, ids: DataFrame, id: str, broadcast_rows: int = 500_
     return rows.join(F.broadcast(ids) if ids.count() <= broadcast_rows else ids, id, "left_anti")
 
 
+def small_batches(spark: SparkSession, size: int = 8 << 20) -> None:
+    """Arrow batches of texts of at most `size` bytes: a task holds a few of them at a time. A smaller setting is left as it is."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = int(spark.conf.get(key).rstrip("bB"))
+    if not 0 < now <= size:
+        spark.conf.set(key, str(size))
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

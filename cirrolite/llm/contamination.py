@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import buffers
+from .common import buffers, small_batches
 
 WINDOW = 13
 #: Each byte to itself, A-Z to a-z, the separators to a space; bytes over 127 belong to non-ASCII characters and are kept.
@@ -93,6 +93,7 @@ _built: dict[str, object] = {}
 def contamination(docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", window: int = WINDOW, automaton_bytes: int = 32 << 20) -> DataFrame:
     """Per row of docs: the id, n_words, n_hit, items (sorted strings), spans (start, end in characters of the original text)."""
     spark = docs.sparkSession
+    small_batches(spark)
     b = benchmark.select(F.col(item).cast("string").alias("item"), F.coalesce(F.col(item_text).cast("string"), F.lit("")).alias("t"))
     total = b.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).first()[0]
     slices = max(1, -(-total // automaton_bytes))

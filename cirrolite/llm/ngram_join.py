@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import PACKED, buffers, components, dealt, mix, pack, partitions, unpack, written
+from .common import PACKED, buffers, components, dealt, mix, pack, partitions, small_batches, unpack, written
 from .embedding_dedup import roots
 from .shingles import shingle_hashes, word_hashes
 
@@ -219,6 +219,7 @@ def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def ngram_components(docs: DataFrame, id: str = "doc_id", text: str = "text", threshold: float = 0.75, tile: int = 512, broadcast_rows: int = 500_000) -> DataFrame:
     """One row per row of docs: the id, n_shingles, component_id (the smallest id reachable by links, itself included)."""
     spark = docs.sparkSession
+    small_batches(spark)
     rows = docs.select(F.col(id).cast("bigint").alias("id"), F.col(text).cast("string").alias("text"))
     sets = written(rows.mapInArrow(_sets(threshold, None), "id bigint, n bigint, set bigint"))
     first = sets.filter("n > 0").groupBy("set").agg(F.min("id").alias("node"), F.first("n").alias("n")).filter("node is not null")

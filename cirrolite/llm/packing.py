@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import buffers
+from .common import buffers, small_batches
 
 CACHE_WORDS = 1_500_000
 TEXT_CHARS = 1 << 20
@@ -142,6 +142,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, id: str = "doc_id", text: str
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id).cast("bigint").alias("id"), F.col(text).cast("string").alias("text"))
     kinds = "id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint" + (", ids array<int>" if with_ids else "")
     return rows.mapInArrow(run, kinds).withColumnRenamed("id", id)

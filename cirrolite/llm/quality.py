@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import buffers
+from .common import buffers, small_batches
 
 PIECE = 1024
 LEVEL = 3
@@ -133,6 +133,7 @@ def quality_scores(docs: DataFrame, model: Model, id: str = "doc_id", text: str
                 scores.append(_score(m, features(t, *made) or m.means))
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(scores, pa.float64())], ["id", "score"])
 
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id).alias("id"), F.col(text).cast("string").alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
     return rows.mapInArrow(run, f"id {kind}, score double").withColumnRenamed("id", id)
@@ -140,6 +141,7 @@ def quality_scores(docs: DataFrame, model: Model, id: str = "doc_id", text: str
 
 def keep_good(docs: DataFrame, model: Model, text: str = "text", least: float = 0.7) -> DataFrame:
     """The rows of docs, with all their columns, whose score is at least `least`. Texts are scored and rows dropped in one pass."""
+    small_batches(docs.sparkSession)
     shared, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

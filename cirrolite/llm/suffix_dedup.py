@@ -16,7 +16,8 @@ Goal: remove each byte that lies in a `length`-byte string which also starts in
 
 Only hashes, positions and the snippets at the ends of matches are shuffled, not texts. 64-bit hashes stand for equality of contexts.
 
-Defined results: a null text is empty; equal ids count as one document (rows that repeat an id never remove bytes from each other);
+Defined results: a null text is empty; equal ids count as one document (its rows never remove bytes from each other, and
+intervals found in one of them go from all);
 rows with a null id neither lose nor remove bytes.
 """
 
@@ -30,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import PACKED, buffers, dealt, mix, pack, partitions, unpack, written
+from .common import PACKED, buffers, dealt, mix, pack, partitions, small_batches, unpack, written
 
 GRAM = 16
 ENTRY = np.dtype([("key", "<u4"), ("context", "<u4"), ("left", "<u2"), ("right", "<u2"), ("doc", "<i8"), ("at", "<u4"), ("before", "u1"), ("after", "u1")])
@@ -300,6 +301,7 @@ CUT = pa.schema([("id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.i
 def remove_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", length: int = 50, broadcast_rows: int = 500_000, keep_bytes: bool = True) -> DataFrame:
     """One row per row of docs: the id, n_bytes, n_removed, n_spans, kept_sha256, kept (the remaining bytes) and spans (start, end in bytes)."""
     spark = docs.sparkSession
+    small_batches(spark)
     rows = docs.select(F.col(id).cast("bigint").alias("id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     named = rows.select("id", F.sha2("text", 256).alias("sha"), F.octet_length("text").alias("n"))
     long = named.filter(f"id is not null and n >= {length}")
