@@ -130,9 +130,9 @@ def _scanner(items, key: str, window: int, last: bool):
                     hit[b.column("hit")[i].as_py()] = True
                     ids = ids | set(b.column("items")[i].as_py())
                 counts.append(n)
-                hits.append(np.flatnonzero(hit).tolist() if ids else [])
+                hits.append(np.flatnonzero(hit).tolist() if ids or hit.any() else [])
                 names.append(sorted(x for x in ids if x is not None))
-                spans.append(spans_of(t, hit) if ids and last else [])
+                spans.append(spans_of(t, hit) if last and hit.any() else [])
             made = {"id": b.column("id"), "text": b.column("text"), "n_words": counts, "hit": hits, "items": names, "spans": spans}
             yield pa.RecordBatch.from_arrays([made[f.name] if isinstance(made[f.name], pa.Array) else pa.array(made[f.name], f.type) for f in out], schema=out)
 
