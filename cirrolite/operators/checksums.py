@@ -142,3 +142,29 @@ def detailed(events: DataFrame) -> DataFrame:
     return payload_offsets(events).select(
         "*", (F.col("batch_seq") * 0 + 90).alias("volume_ticks"), zero.alias("record"), seq.cast("bigint").alias("message"), seq.cast("bigint").alias("radial_seq"), moment.cast("bigint").alias("moment_id"),
         zero.alias("gate_start"), F.lit(0x3F800000).cast("bigint").alias("scale_bits"), zero.alias("offset_bits"), F.lit(8).alias("word_size"), F.lit(1).alias("status_model"))
+
+
+def dictionary_checksum(catalogs: DataFrame, version: int, order: tuple[str, ...] = ("radar", "moment")) -> DataFrame:
+    """One row: entries and the fold over a dictionary's catalogs. catalogs: catalog, id, text - distinct names only, so one group is small.
+
+    Folded are the version, then for each catalog its name, its version (1 + entries) and entries, and of each entry id and text; a text as its length
+    and its UTF-16 units.
+    """
+
+    def text(h: np.ndarray, s: str) -> np.ndarray:
+        units = np.frombuffer(s.encode("utf-16-le"), "<u2").astype(np.int64)
+        h = fold(h, np.array([len(units)]), 4)
+        for u in units:
+            h = fold(h, np.array([u]), 2)
+        return h
+
+    def one(frame: pd.DataFrame) -> pd.DataFrame:
+        h = fold(np.array([BASIS], np.uint64), np.array([version]), 8)
+        for name in order:
+            rows = frame[frame["catalog"] == name].sort_values("id")
+            h = fold(fold(text(h, name), np.array([len(rows) + 1]), 8), np.array([len(rows)]), 4)
+            for i, t in zip(rows["id"], rows["text"]):
+                h = text(fold(h, np.array([i]), 4), t)
+        return pd.DataFrame({"entries": [len(frame)], "checksum": [hexed(h[0])]})
+
+    return catalogs.groupBy().applyInPandas(one, "entries bigint, checksum string")

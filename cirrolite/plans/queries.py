@@ -307,6 +307,13 @@ def di8_normalise(spark, d):
     return dictionary.normalise(v, "radar_code", "moment_name", UNIVERSE).select("event_seq", "error", "source_id")
 
 
+@query()
+def di9_dictionary_checksum(spark, d):
+    v = stream_events(spark, d)
+    both = [dictionary.assign_ids(v, c, "event_seq").select(F.lit(k).alias("catalog"), "id", "text") for c, k in (("radar_code", "radar"), ("moment_name", "moment"))]
+    return checksums.dictionary_checksum(both[0].unionByName(both[1]), 14)
+
+
 # ---- rollups ----
 
 

@@ -77,3 +77,15 @@ def test_sampled(spark):
             i = min(len(p) - 1, k * step)
             h = fnv(bytes([p[i], p[len(p) - 1 - i]]), h)
         assert got[r["event_seq"]] == h & 0xFFFFF
+
+
+def test_dictionary(spark):
+    rows = [("radar", 0, "KTLX"), ("radar", 1, "KINX"), ("moment", 0, "RÉF")]
+    want = fnv(struct.pack("<q", 4))
+    for name, texts in (("radar", ["KTLX", "KINX"]), ("moment", ["RÉF"])):
+        say = lambda t: struct.pack("<i", len(t)) + t.encode("utf-16-le")
+        want = fnv(say(name) + struct.pack("<qi", len(texts) + 1, len(texts)), want)
+        for i, t in enumerate(texts):
+            want = fnv(struct.pack("<i", i) + say(t), want)
+    got = C.dictionary_checksum(spark.createDataFrame(rows, "catalog string, id bigint, text string"), 4).first()
+    assert (got["entries"], got["checksum"]) == (3, f"{want:016x}")
