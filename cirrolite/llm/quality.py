@@ -56,8 +56,9 @@ def features(text: bytes | None, good, bad) -> list[float] | None:
         d.append(len(bad.compress(piece)) - len(good.compress(piece)))
         size.append(len(piece))
     d, size = np.array(d, float), np.array(size, float)
-    each = d / (size + 32)
-    return [float(d.sum() / size.sum()), float(each.min()), float(each.max())]
+    n, each = size.sum(), d / (size + 300)
+    # differences of short texts say little: they shrink, and the text's length has a weight of its own
+    return [float(x) for x in (d.sum() / (n + 100), d.sum() / (n + 600), each.min(), each.max(), 100 / (n + 100), 300 / (n + 300))]
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> np.ndarray:
