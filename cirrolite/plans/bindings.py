@@ -40,6 +40,7 @@ def gate_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per gate, with its radial's and volume's data. The orders join on their key; nothing is broadcast by hint."""
     lines, orders = spark.read.parquet(f"{sf_dir}/lineitem.parquet"), spark.read.parquet(f"{sf_dir}/orders.parquet")
     gate = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate")) - 1
+    gate = gate.cast("bigint")
     rows = lines.select("l_orderkey", "l_linenumber", "l_quantity", "l_returnflag", gate.alias("gate_index"))
     moment = F.col("l_returnflag")
     scale = F.when(F.col("l_linenumber") == 7, 0.0).when(moment == "R", 1.0).otherwise(2.0).cast("float")

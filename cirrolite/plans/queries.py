@@ -191,12 +191,12 @@ def j3_range_join(spark, d):
 
 @query(f"WITH {V_STREAM} SELECT event_seq, gate_count AS n, raw_sum FROM v")
 def pr18_payload_sums(spark, d):
-    return stream_events(spark, d).select("event_seq", F.size("gates").alias("n"), "raw_sum")
+    return stream_events(spark, d).select("event_seq", F.size("gates").cast("bigint").alias("n"), "raw_sum")
 
 
 @query(f"WITH {V_STREAM}, b AS (SELECT event_seq, gate_count AS n, unnest(range(0, 4)) AS band FROM v) SELECT event_seq, band, (band * n) // 4 AS start, ((band + 1) * n) // 4 - (band * n) // 4 AS n FROM b WHERE ((band + 1) * n) // 4 > (band * n) // 4")
 def pr6_band_split(spark, d):
-    return stream_events(spark, d).select("event_seq", F.explode(P.band_slices("gates", 4)).alias("x")).select("event_seq", "x.band", "x.start", F.size("x.gates").alias("n"))
+    return stream_events(spark, d).select("event_seq", F.explode(P.band_slices("gates", 4)).alias("x")).select("event_seq", F.col("x.band").cast("bigint").alias("band"), F.col("x.start").cast("bigint").alias("start"), F.size("x.gates").cast("bigint").alias("n"))
 
 
 @query(f"WITH {V_STREAM} SELECT event_seq, list_sum([((event_seq * 7 + i) % 256) for i in range(0, gate_count)])::BIGINT AS total FROM v")
@@ -210,12 +210,12 @@ def pr19_payload_slices(spark, d):
     """Gates as big-endian 16-bit words in a binary payload, and back."""
     rows = stream_events(spark, d).select("event_seq", "gate_count", F.unhex(F.array_join(F.transform("gates", lambda g: F.lpad(F.hex(g), 4, "0")), "")).alias("payload"))
     back = rows.withColumn("g", P.gates_of(F.col("payload"), F.lit(0), F.col("gate_count"), F.lit(16)))
-    return back.select("event_seq", P.expected_length(F.col("gate_count"), F.lit(16)).alias("bytes"), F.size("g").alias("n"), P.raw_sum(F.col("g")).alias("raw_sum"))
+    return back.select("event_seq", P.expected_length(F.col("gate_count"), F.lit(16)).cast("bigint").alias("bytes"), F.size("g").cast("bigint").alias("n"), P.raw_sum(F.col("g")).alias("raw_sum"))
 
 
 @query("SELECT event_id, hour(ts) * 60 + minute(ts) AS minute_of_day FROM events")
 def pr16_minute_of_day(spark, d):
-    return spark.read.parquet(f"{d}/events.parquet").select("event_id", P.minute_of_day(F.col("ts")).alias("minute_of_day"))
+    return spark.read.parquet(f"{d}/events.parquet").select("event_id", P.minute_of_day(F.col("ts")).cast("bigint").alias("minute_of_day"))
 
 
 @query("SELECT event_id, epoch_ms(CAST((event_id % 20000) * 86400000 + (event_id * 7919) % 86400000 AS BIGINT)) AS ts FROM events")
@@ -240,7 +240,7 @@ def pr14_normal_radar(spark, d):
     return s.select("s_suppkey", P.normal_radar(F.substring("s_name", F.lit(1), (1 + F.col("s_suppkey") % 7).cast("int"))).alias("radar_id"))
 
 
-@query(f"WITH {V_STREAM}, s AS (SELECT source_id, count(*) * 900.0 + sum(gate_count) * 0.001 AS x FROM v GROUP BY 1) SELECT source_id, round(x, 3) AS score, CASE WHEN x >= 100000 THEN 'SuperHot' WHEN x >= 50000 THEN 'Hot' WHEN x >= 10000 THEN 'Warm' WHEN x <= 0 THEN 'Cold' ELSE 'Normal' END AS band FROM s")
+@query(f"WITH {V_STREAM}, s AS (SELECT source_id, CAST(count(*) * 900 AS DOUBLE) + sum(gate_count) * CAST(0.001 AS DOUBLE) AS x FROM v GROUP BY 1) SELECT source_id, round(x, 3) AS score, CASE WHEN x >= 100000 THEN 'SuperHot' WHEN x >= 50000 THEN 'Hot' WHEN x >= 10000 THEN 'Warm' WHEN x <= 0 THEN 'Cold' ELSE 'Normal' END AS band FROM s")
 def pr20_pressure_score(spark, d):
     s = rollups.source_rollup(stream_events(spark, d))
     x = P.pressure(F.col("event_count") * 900, F.col("value_count"), F.col("raw_checksum"))
@@ -250,7 +250,7 @@ def pr20_pressure_score(spark, d):
 @query(f"WITH {V_STREAM} SELECT event_seq, greatest(elevation_slot - 1, 0) AS slot, (event_seq + 7) % 10 AS bucket FROM v")
 def pr7_slots(spark, d):
     v = stream_events(spark, d)
-    return v.select("event_seq", F.greatest(F.col("elevation_slot") - 1, F.lit(0)).alias("slot"), ((F.col("event_seq") + 8 - 1) % 10).alias("bucket"))
+    return v.select("event_seq", F.greatest(F.col("elevation_slot") - 1, F.lit(0)).cast("bigint").alias("slot"), ((F.col("event_seq") + 8 - 1) % 10).alias("bucket"))
 
 
 # ---- dictionaries ----
