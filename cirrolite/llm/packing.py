@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from .common import buffers, small_batches
 
-CACHE_WORDS = 1_500_000
+CACHE_WORDS = 1_200_000
 TEXT_CHARS = 1 << 20
 #: White space to Python alone; marks of special tokens; letters whose lower case depends on their place or is two characters.
 ODD = ("\x1c", "\x1d", "\x1e", "\x1f", "<|", "\u03a3", "\u0130")

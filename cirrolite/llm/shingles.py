@@ -6,7 +6,7 @@ import numpy as np
 
 from .common import mix
 
-WORDS = 500_000
+WORDS = 300_000
 P = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63)]
 
 
