@@ -6,7 +6,10 @@ compact window is a node whose range holds at least `least_words` words; there a
 packed by shard, under their hash.
 
 Where windows of several documents meet, each is paired with earlier documents: with all of up to FEW, else with the first one and the first ones
-with the same near and wide surroundings of c (a passage goes if one earlier document has it). Document pairs that meet under at least `agree` windows are
+with the same near and wide surroundings of c (a passage goes if one earlier document has it). For hashes with more than FEW windows (hot ones) that is not all:
+their windows travel once more with the shingles around c, as far as the shortest passages with c reach. Windows with the same shared shingles at the same places
+form a class, whose first document stands for the others, and each class meets the earlier ones whose common shingles no other earlier one has all of.
+These pairs and those that meet under at least `agree` windows are
 verified on their whole texts: windows of both are joined by hash, an interval join gathers those that overlap on both sides and keeps
 places with windows of at least `agree` hash functions, and in each place the densest stretches of common shingles are accepted if both sides hold
 `least_words` words and the Jaccard similarity of their shingle sets reaches `threshold`.
@@ -37,6 +40,7 @@ FUNCTIONS = 6
 FEW = 4
 CHUNK = 200_000
 ENTRY = np.dtype([("key", "<u4"), ("around", "<u2"), ("wide", "<u2"), ("doc", "<i8")])
+BASE = np.uint64(0x9E3779B97F4A7C15)
 SEEDS = mix(np.arange(1, FUNCTIONS + 1) * 7919)
 
 
@@ -92,6 +96,19 @@ def surroundings(texts: list[np.ndarray], w: dict[str, np.ndarray], by: int) ->
     return mix(side[0] * np.uint64(3) + side[1]) >> np.uint64(48)
 
 
+def contents(texts: list[np.ndarray], w: dict[str, np.ndarray], width: int) -> np.ndarray:
+    """A hash of each window's shingles up to width - 1 places before and after c, and of c's place among them."""
+    n = np.array([len(x) for x in texts])
+    first = (np.cumsum(n) - n)[w["text"]]
+    l, r = first + np.maximum(w["l"], w["c"] - width + 1), first + np.minimum(w["r"], w["c"] + width - 1)
+    flat = np.concatenate(texts)
+    power = np.full(len(flat) + 1, BASE)
+    power[0] = 1
+    power = np.cumprod(power)
+    total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(flat * power[: len(flat)])))
+    return mix((total[r + 1] - total[l]) * power[len(flat) - l] + (first + w["c"] - l).astype(np.uint64))
+
+
 def _windows(width: int, shards: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -121,9 +138,9 @@ def _least_of_run(doc: np.ndarray, same: np.ndarray) -> np.ndarray:
 
 
 def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(a, b, n): document a met the earlier document b under n windows of this task."""
-    later, earlier = [], []
-    for e in unpack(batches, ENTRY).values():
+    """(a, b, n): document a met the earlier document b under n windows of this task; (a, null, 0, keys): the hot keys of a that other documents share."""
+    later, earlier, hot = [], [], [(np.empty(0, np.int64), np.empty(0, np.uint64))]
+    for shard, e in unpack(batches, ENTRY).items():
         e = e[np.lexsort((e["doc"], e["wide"], e["around"], e["key"]))]
         new = np.ones(len(e), bool)
         new[1:] = (e[1:] != e[:-1])
@@ -139,6 +156,8 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         size = np.diff(np.append(head, len(e)))
         doc, large = e["doc"], size[group] > FEW
         least = np.minimum.reduceat(doc, head)[group]
+        take = large & (least < np.maximum.reduceat(doc, head)[group])
+        hot.append((doc[take], e["key"][take] | np.uint64(shard << 32)))
         same = (group[1:] == group[:-1]) & (e["around"][1:] == e["around"][:-1])
         near, wide = (_least_of_run(doc, x) for x in (same, same & (e["wide"][1:] == e["wide"][:-1])))
         for other, take in ((least, large), (near, large & (near != least)), (wide, large & (wide != near) & (wide != least))):
@@ -160,7 +179,141 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = np.diff(np.append(at, len(a)))
         for i in range(0, len(at), 1 << 20):
             s = at[i : i + (1 << 20)]
-            yield pa.RecordBatch.from_arrays([pa.array(a[s]), pa.array(b[s]), pa.array(n[i : i + (1 << 20)])], ["a", "b", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(a[s]), pa.array(b[s]), pa.array(n[i : i + (1 << 20)]), pa.nulls(len(s), pa.binary())], ["a", "b", "n", "keys"])
+    doc, key = (np.concatenate(x) for x in zip(*hot))
+    order = np.argsort(doc, kind="stable")
+    doc, key = doc[order], key[order]
+    at = np.append(np.flatnonzero(np.concatenate(([True], doc[1:] != doc[:-1]))), len(doc)) if len(doc) else np.empty(0, np.int64)
+    for i in range(0, len(at) - 1, 1 << 14):
+        cuts = at[i : i + (1 << 14) + 1]
+        keys = [np.unique(key[x:y]).tobytes() for x, y in zip(cuts, cuts[1:])]
+        yield pa.RecordBatch.from_arrays([pa.array(doc[cuts[:-1]]), pa.nulls(len(keys), pa.int64()), pa.array(np.zeros(len(keys), np.int64)), pa.array(keys, pa.binary())], ["a", "b", "n", "keys"])
+
+
+def hot_entry(width: int) -> np.dtype:
+    """`near`: the low 32 bits of the shingles from width - 1 before to width - 1 after c, zero outside the window."""
+    return np.dtype([("key", "<u4"), ("doc", "<i8"), ("near", f"V{4 * (2 * width - 1)}")])
+
+
+def _hot_windows(width: int, shards: int, functions: int):
+    """The windows under hot keys of the first `functions` functions."""
+    kind, off = hot_entry(width), np.arange(1 - width, width)
+
+    def hot(texts: list[np.ndarray], docs: list[int], keys: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        w = windows(texts, width)
+        v = mix(w["v"] + w["f"].astype(np.uint64))
+        shard = (v >> np.uint64(32)) % np.uint64(shards)
+        key = (v & np.uint64(0xFFFFFFFF)) | (shard << np.uint64(32))
+        own = mix(np.arange(len(texts)) + 1)  # each text has its own hot keys
+        take = np.flatnonzero(among(mix(key ^ own[w["text"]]), np.concatenate([mix(k ^ own[i]) for i, k in enumerate(keys)])) & (w["f"] < functions))
+        n, flat = np.array([len(t) for t in texts]), np.concatenate(texts)
+        first = np.cumsum(n) - n
+        for k in range(0, len(take), 1 << 14):
+            i = take[k : k + (1 << 14)]
+            at = w["c"][i, None] + off
+            inside = (at >= w["l"][i, None]) & (at <= w["r"][i, None])
+            at = first[w["text"][i], None] + np.where(inside, at, 0)
+            near = np.where(inside, flat[at].astype("<u4") | np.uint32(1), np.uint32(0))
+            e = np.empty(len(i), kind)
+            e["key"], e["doc"], e["near"] = key[i] & np.uint64(0xFFFFFFFF), np.array(docs)[w["text"][i]], np.ascontiguousarray(near).view(kind["near"])[:, 0]
+            yield pack(e, shard[i].astype(np.int32))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts, docs, keys, held = [], [], [], 0
+            for k, (doc, t, found) in enumerate(zip(b.column("id").to_pylist(), buffers(b.column("text")), b.column("keys").to_pylist())):
+                t = shingle_hashes(word_hashes(t))
+                if len(t) >= width:
+                    texts.append(t)
+                    docs.append(doc)
+                    keys.append(np.frombuffer(b"".join(found), "<u8"))
+                    held += len(t)
+                if texts and (held > CHUNK or k == b.num_rows - 1):
+                    yield from hot(texts, docs, keys)
+                    texts, docs, keys, held = [], [], [], 0
+
+    return run
+
+
+def _first_equal(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first of each kind of equal rows, in order, and the kind of each row."""
+    rows = np.ascontiguousarray(rows)
+    _, first, kind = np.unique(rows.view(f"V{rows.itemsize * rows.shape[1]}")[:, 0], return_index=True, return_inverse=True)
+    order = np.argsort(first)
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    return first[order], rank[kind]
+
+
+def partners(doc: np.ndarray, near: np.ndarray, least: int, block: int = 256) -> list[tuple[int, int]]:
+    """Of one key's windows, by rising doc: the pairs (a, b) that stand for all with at least `least` common shingles."""
+    values, at, count = np.unique(near, return_inverse=True, return_counts=True)
+    near = np.where((count[at] > 1).reshape(near.shape), near, np.uint32(0))
+    held = (near > 0).sum(1)
+    doc, near, held = doc[held >= least], near[held >= least], held[held >= least]
+    if not len(doc):
+        return []
+    first, kind = _first_equal(near)
+    out = list(zip(doc.tolist(), doc[first][kind].tolist()))
+    doc, near, held = doc[first], near[first], held[first]
+    for i in range(0, len(doc), block):
+        x = near[i : i + block]
+        common = np.zeros((len(x), i + len(x)), np.int16)
+        for j in range(0, i + len(x), block):
+            y = near[j : min(j + block, i + len(x))]
+            words = np.intersect1d(x, y)
+            words = words[words > 0]
+            if not len(words):
+                continue
+            sides = []
+            for z in (x, y):
+                k = np.minimum(np.searchsorted(words, z), len(words) - 1)
+                row, col = np.nonzero(words[k] == z)
+                m = np.zeros((len(z), len(words)), np.float32)
+                np.add.at(m, (row, k[row, col]), 1)
+                sides.append(m)
+            common[:, j : j + len(y)] = sides[0] @ (sides[1] > 0).T.astype(np.float32)
+        for k in range(len(x)):
+            a = i + k
+            found = np.flatnonzero((common[k, :a] >= least) & (doc[:a] < doc[a]))
+            if not len(found):
+                continue
+            whole = found[common[k, found] == held[a]]
+            if len(whole):
+                out.append((int(doc[a]), int(doc[whole[0]])))
+                continue
+            # those whose common shingles are not all among another one's
+            own = np.unique(x[k][x[k] > 0])
+            at = np.minimum(np.searchsorted(own, near[found]), len(own) - 1)
+            row, col = np.nonzero(own[at] == near[found])
+            mask = np.zeros((len(found), len(own)), np.uint8)
+            mask[row, at[row, col]] = 1
+            one, _ = _first_equal(mask)
+            kept: list[int] = []
+            for q in one[np.argsort(-mask[one].sum(1, dtype=np.int64), kind="stable")]:
+                bits = int.from_bytes(np.packbits(mask[q]).tobytes(), "big")
+                if all(bits & ~y for y in kept):
+                    kept.append(bits)
+                    out.append((int(doc[a]), int(doc[found[q]])))
+    return [(a, b) for a, b in out if b < a]
+
+
+def _hot_pairs(width: int):
+    kind = hot_entry(width)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: set[tuple[int, int]] = set()
+        for e in unpack(batches, kind).values():
+            e = e[np.lexsort((e["doc"], e["key"]))]
+            at = np.append(np.flatnonzero(np.concatenate(([True], e["key"][1:] != e["key"][:-1]))), len(e))
+            for i, j in zip(at, at[1:]):
+                found.update(partners(e["doc"][i:j], np.ascontiguousarray(e["near"][i:j]).view("<u4").reshape(j - i, -1), width // 2))
+        rows = sorted(found)
+        for i in range(0, len(rows), 1 << 20):
+            a, b = zip(*rows[i : i + (1 << 20)])
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    return run
 
 
 def densest(common: np.ndarray, loss: float) -> tuple[int, int]:
@@ -204,7 +357,7 @@ def accepted(a: np.ndarray, b: np.ndarray, width: int, threshold: float) -> Iter
 
 def places(first: dict[str, np.ndarray], second: dict[str, np.ndarray], width: int, agree: int) -> list[tuple[int, int, int, int]]:
     """Interval join of two texts' windows: joined by hash, then gathered where they overlap by `width` on both sides, if `agree` functions do."""
-    # a text may say a thing many times: of places with equal hash and surroundings the earlier document's first stands for all
+    # a text may say a thing many times: of places with equal hash and contents the earlier document's first stands for all
     order = np.lexsort((second["c"], second["around"], second["key"]))
     order = order[np.concatenate(([True], (np.diff(second["key"][order]) != 0) | (np.diff(second["around"][order]) != 0)))] if len(order) else order
     lo, hi = np.searchsorted(second["key"][order], first["key"], "left"), np.searchsorted(second["key"][order], first["key"], "right")
@@ -229,7 +382,7 @@ def places(first: dict[str, np.ndarray], second: dict[str, np.ndarray], width: i
 def passages(texts: list[np.ndarray], pairs: list[tuple[int, int]], width: int, agree: int, threshold: float) -> list[np.ndarray]:
     """For each pair (a, b) of texts the near-duplicate stretches [i, j) of a."""
     w = windows(texts, width)
-    w["key"], w["around"] = mix(w["v"] + w["f"].astype(np.uint64)), surroundings(texts, w, 12)
+    w["key"], w["around"] = mix(w["v"] + w["f"].astype(np.uint64)), contents(texts, w, width)
     order = np.argsort(w["text"], kind="stable")
     w = {k: v[order] for k, v in w.items()}
     at = np.searchsorted(w["text"], np.arange(len(texts) + 1))
@@ -311,8 +464,13 @@ def cut_passages(docs: DataFrame, id: str = "doc_id", text: str = "text", least_
     copies = F.broadcast(copies) if copies.count() <= broadcast_rows else copies
     told = rows.filter("id is not null").join(copies, "id", "left_anti")
     shards = partitions(spark)
-    pairs = dealt(told.mapInArrow(_windows(width, shards), PACKED), shards).mapInArrow(_pairs, "a bigint, b bigint, n bigint")
-    pairs = written(pairs.groupBy("a", "b").agg(F.sum("n").alias("n")).filter(F.col("n") >= agree).select("a", "b"))
+    pairs = dealt(told.mapInArrow(_windows(width, shards), PACKED), shards).mapInArrow(_pairs, "a bigint, b bigint, n bigint, keys binary")
+    met = written(pairs)
+    # at least `agree` of all functions agree on a passage, so one of these does
+    hot = told.join(met.filter("b is null").groupBy(F.col("a").alias("id")).agg(F.collect_list("keys").alias("keys")), "id")
+    hot = dealt(hot.mapInArrow(_hot_windows(width, shards, FUNCTIONS - agree + 1), PACKED), shards).mapInArrow(_hot_pairs(width), "a bigint, b bigint")
+    pairs = met.filter("b is not null").groupBy("a", "b").agg(F.sum("n").alias("n")).filter(F.col("n") >= agree).select("a", "b")
+    pairs = written(pairs.union(hot).distinct())
     wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
     near = told.join(F.broadcast(wanted), "id", "left_semi") if wanted.count() <= broadcast_rows else told
     # the texts are small next to the work on them: more tasks than their size asks for
