@@ -331,11 +331,12 @@ def among(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 def accepted(a: np.ndarray, b: np.ndarray, width: int, threshold: float) -> Iterator[tuple[int, int]]:
-    """The stretches [i, j) of a that are near-duplicates of stretches of b: the densest one, then those before and after it."""
+    """The stretches [i, j) of a that are near-duplicates of stretches of b: the densest one, then those before and after it; of a failed one also its halves."""
     share = 2 * threshold / (1 + threshold)  # of common shingles at the threshold, for sides of equal size
     # dense stretches; if they don't make it, denser ones; at last those without a gap
     losses = (*(x / (1 - x) for x in (threshold, share) if x < 1), 1e9)
     shared, open_ = among(a, b), [(0, len(a))]
+    seen = set(open_)
     while open_:
         i, j = open_.pop()
         x = a[i:j]
@@ -353,6 +354,14 @@ def accepted(a: np.ndarray, b: np.ndarray, width: int, threshold: float) -> Iter
                 yield i + p, i + q
                 open_ += [(i, i + p), (i + q, j)]
                 break
+        else:  # none is accepted: what lies around the densest stretches, and those without their ends, may be
+            if j - i >= width and shared[i:j].sum() >= width / 2:
+                for p, q in dict.fromkeys(densest(shared[i:j], loss) for loss in losses):
+                    parts = [(i, i + p), (i + q, j)] if (p, q) != (0, j - i) else []
+                    half = (i + j) // 2
+                    parts += [(i + p, i + q)] if (p, q) != (0, j - i) else [(i, half + width // 2), (half - width // 2, j)] if j - i > 2 * width else []
+                    open_ += [x for x in parts if x[1] - x[0] >= width and x not in seen]
+                    seen.update(parts)
 
 
 def places(first: dict[str, np.ndarray], second: dict[str, np.ndarray], width: int, agree: int) -> list[tuple[int, int, int, int]]:

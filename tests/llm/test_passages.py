@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import numpy as np
 
-from cirrolite.llm.passages import cut_passages, partners
+from cirrolite.llm.passages import accepted, cut_passages, partners
+from cirrolite.llm.shingles import shingle_hashes, word_hashes
 
 from . import cases
 
@@ -46,3 +47,12 @@ def test_partners():
             common = same[a] & same[b]
             assert common.sum() < 23 or any((common <= m).all() for m in mine), (a, b)
     assert sum(map(len, got.values())) < 600 * 40
+
+
+def test_passage_beside_a_denser_stretch_that_fails():
+    line, passage = cases.prose(10, 1), cases.prose(60, 2)
+    later = " ".join([*[line] * 8, cases.prose(30, 3), passage])
+    earlier = " ".join([*[line] * 3, cases.prose(30, 4), passage])
+    a, b = (shingle_hashes(word_hashes(t.encode())) for t in (later, earlier))
+    found = list(accepted(a, b, 46, 0.75))
+    assert any(i <= 110 and j >= 166 for i, j in found) and all(j - i >= 46 for i, j in found)
