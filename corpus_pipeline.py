@@ -19,10 +19,11 @@ from cirrolite.llm.quality import fit_quality, keep_good
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier rejects go. It learns from the labels that are not held out."""
+    """Documents that the classifier rejects go. It learns from the labels that are not held out; if they are too few to fit a model, all documents stay."""
     held = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) == 2
     labels = table(spark, sf_dir, "labels").select("doc_id", "quality").filter(~held)
-    return keep_good(docs, fit_quality(labels, docs))
+    model = fit_quality(labels, docs)
+    return keep_good(docs, model) if model.weights else docs
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
