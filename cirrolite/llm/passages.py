@@ -316,12 +316,14 @@ def _hot_pairs(width: int):
     return run
 
 
-def densest(common: np.ndarray, loss: float) -> tuple[int, int]:
-    """The stretch [i, j) with the largest sum, where a common shingle counts 1 and another one -loss."""
+def densest(common: np.ndarray, loss: float, least: int = 1) -> tuple[int, int]:
+    """The stretch [i, j) of at least `least` shingles with the largest sum, where a common shingle counts 1 and another one -loss."""
+    if len(common) < least:
+        return 0, 0
     s = np.concatenate(([0.0], np.cumsum(np.where(common, 1.0, -loss))))
-    low = np.minimum.accumulate(s)
-    j = int(np.argmax(s - low))
-    return (int(np.argmin(s[: j + 1])), j) if j else (0, 0)
+    low = np.minimum.accumulate(s[: len(s) - least])
+    j = int(np.argmax(s[least:] - low))
+    return int(np.argmin(s[: j + 1])), j + least
 
 
 def among(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -331,22 +333,22 @@ def among(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 def accepted(a: np.ndarray, b: np.ndarray, width: int, threshold: float) -> Iterator[tuple[int, int]]:
-    """The stretches [i, j) of a that are near-duplicates of stretches of b: the densest one, then those before and after it; of a failed one also its halves."""
+    """The stretches [i, j) of a that are near-duplicates of stretches of b: the densest one, then those before and after it; around a failed one too."""
     share = 2 * threshold / (1 + threshold)  # of common shingles at the threshold, for sides of equal size
-    # dense stretches; if they don't make it, denser ones; at last those without a gap
-    losses = (*(x / (1 - x) for x in (threshold, share) if x < 1), 1e9)
+    # stretches that are dense on this side; if they don't make it, denser ones; at last those with the fewest gaps
+    losses = (*(x / (1 - x) for x in (threshold, share) if x < 1), 1e3)
     shared, open_ = among(a, b), [(0, len(a))]
     seen = set(open_)
     while open_:
         i, j = open_.pop()
-        x = a[i:j]
-        for loss in losses if j - i >= width and shared[i:j].sum() >= width / 2 else ():
-            p, q = densest(shared[i:j], loss)
-            if q - p < width:
-                continue
-            u, v = densest(among(b, x[p:q]), loss)
-            p, q = densest(among(x, b[u:v]), loss)
-            if min(q - p, v - u) < width:
+        if j - i < width or shared[i:j].sum() < threshold * width:
+            continue
+        x, tried = a[i:j], []
+        for loss in losses:
+            p, q = densest(shared[i:j], loss, width)
+            tried.append((p, q))
+            u, v = densest(among(b, x[p:q]), loss, width)
+            if v - u < width:
                 continue
             one, two = np.unique(x[p:q]), np.unique(b[u:v])
             common = int(among(one, two).sum())
@@ -354,14 +356,13 @@ def accepted(a: np.ndarray, b: np.ndarray, width: int, threshold: float) -> Iter
                 yield i + p, i + q
                 open_ += [(i, i + p), (i + q, j)]
                 break
-        else:  # none is accepted: what lies around the densest stretches, and those without their ends, may be
-            if j - i >= width and shared[i:j].sum() >= width / 2:
-                for p, q in dict.fromkeys(densest(shared[i:j], loss) for loss in losses):
-                    parts = [(i, i + p), (i + q, j)] if (p, q) != (0, j - i) else []
-                    half = (i + j) // 2
-                    parts += [(i + p, i + q)] if (p, q) != (0, j - i) else [(i, half + width // 2), (half - width // 2, j)] if j - i > 2 * width else []
-                    open_ += [x for x in parts if x[1] - x[0] >= width and x not in seen]
-                    seen.update(parts)
+        else:  # none is accepted: what lies around the densest stretches, and the halves of what is left, may be
+            half = (i + j) // 2
+            parts = [(i, half + width // 2), (half - width // 2, j)] if j - i > 2 * width else []
+            for p, q in dict.fromkeys(tried):
+                parts += [(i, i + p), (i + q, j)]
+            open_ += [x for x in dict.fromkeys(parts) if x[1] - x[0] >= width and x not in seen]
+            seen.update(parts)
 
 
 def places(first: dict[str, np.ndarray], second: dict[str, np.ndarray], width: int, agree: int) -> list[tuple[int, int, int, int]]:
