@@ -326,6 +326,14 @@ def densest(common: np.ndarray, loss: float, least: int = 1) -> tuple[int, int]:
     return int(np.argmin(s[: j + 1])), j + least
 
 
+def dense(common: np.ndarray, loss: float, least: int) -> bool:
+    """Whether the sum of some stretch of at least `least` shingles is not negative."""
+    if len(common) < least:
+        return False
+    s = np.concatenate(([0.0], np.cumsum(np.where(common, 1.0, -loss))))
+    return bool((s[least:] >= np.minimum.accumulate(s[: len(s) - least]) - 1e-9).any())
+
+
 def among(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Which of x occur in y."""
     y = np.sort(y)
@@ -341,9 +349,11 @@ def accepted(a: np.ndarray, b: np.ndarray, width: int, threshold: float) -> Iter
     seen = set(open_)
     while open_:
         i, j = open_.pop()
-        if j - i < width or shared[i:j].sum() < threshold * width:
-            continue
         x, tried = a[i:j], []
+        # a result needs a stretch on either side with the threshold's share of common shingles, and on one side with that of equal sides
+        sides = shared[i:j], among(b, x)
+        if not (all(dense(z, losses[0], width) for z in sides) and any(dense(z, losses[-2], width) for z in sides)):
+            continue
         for loss in losses:
             p, q = densest(shared[i:j], loss, width)
             tried.append((p, q))
