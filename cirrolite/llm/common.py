@@ -78,7 +78,7 @@ PACKED = "shard int, entries binary"
 def pack(entries: np.ndarray, shard: np.ndarray) -> pa.RecordBatch:
     """One row per shard that has entries, which lie column by column in it: that compresses better on its way."""
     order = np.argsort(shard, kind="stable")
-    entries, shard = entries[order], shard[order]
+    entries, shard = entries[order], shard[order].astype(np.int32)
     at = np.concatenate(([0], np.flatnonzero(np.diff(shard)) + 1, [len(shard)])) if len(shard) else [0]
     blobs = [b"".join([entries[n][a:b].tobytes() for n in entries.dtype.names]) for a, b in zip(at, at[1:])]
     return pa.RecordBatch.from_arrays([pa.array(shard[at[:-1]], pa.int32()), pa.array(blobs, pa.binary())], ["shard", "entries"])

@@ -32,20 +32,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import PACKED, buffers, dealt, mix, pack, partitions, small_batches, unpack, written
-from .shingles import shingle_hashes, word_hashes
+from .shingles import P, shingle_hashes, word_hashes
 from .suffix_dedup import sliding, united
 
 GRAM = 5
 FUNCTIONS = 6
-FEW = 4
+FEW = 16
+TILE = 2048
 CHUNK = 200_000
 ENTRY = np.dtype([("key", "<u4"), ("around", "<u2"), ("wide", "<u2"), ("doc", "<i8")])
 BASE = np.uint64(0x9E3779B97F4A7C15)
+LOW = np.uint64((1 << 48) - 1)
 SEEDS = mix(np.arange(1, FUNCTIONS + 1) * 7919)
 
 
-def windows(texts: list[np.ndarray], width: int) -> dict[str, np.ndarray]:
-    """Compact windows of at least `width` shingles: text, function, value, l, c, r (positions within the text), for all functions."""
+def windows(texts: list[np.ndarray], width: int, functions: int = FUNCTIONS) -> dict[str, np.ndarray]:
+    """Compact windows of at least `width` shingles: text, function, value, l, c, r (positions within the text), for the first `functions` functions."""
     found = []
     n = np.array([len(t) for t in texts], np.int64)
     start = np.cumsum(n + 1) - n  # a zero before each text, smaller than all hashes, ends every range
@@ -54,7 +56,7 @@ def windows(texts: list[np.ndarray], width: int) -> dict[str, np.ndarray]:
     place = start[own] + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
     flat = np.concatenate(texts) if texts else np.empty(0, np.uint64)
     depth = max(1, int(n.max(initial=1)).bit_length())
-    for f in range(FUNCTIONS):
+    for f in range(functions):
         whole[place] = mix(flat ^ SEEDS[f]) | np.uint64(1)
         if len(whole) < width:
             break
@@ -157,7 +159,8 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         doc, large = e["doc"], size[group] > FEW
         least = np.minimum.reduceat(doc, head)[group]
         take = large & (least < np.maximum.reduceat(doc, head)[group])
-        hot.append((doc[take], e["key"][take] | np.uint64(shard << 32)))
+        tiles = np.minimum(-(-size[group] // TILE), 0xFFFF).astype(np.uint64)
+        hot.append((doc[take], e["key"][take] | np.uint64(shard << 32) | tiles[take] << np.uint64(48)))
         same = (group[1:] == group[:-1]) & (e["around"][1:] == e["around"][:-1])
         near, wide = (_least_of_run(doc, x) for x in (same, same & (e["wide"][1:] == e["wide"][:-1])))
         for other, take in ((least, large), (near, large & (near != least)), (wide, large & (wide != near) & (wide != least))):
@@ -192,7 +195,7 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def hot_entry(width: int) -> np.dtype:
     """`near`: the low 32 bits of the shingles from width - 1 before to width - 1 after c, zero outside the window."""
-    return np.dtype([("key", "<u4"), ("doc", "<i8"), ("near", f"V{4 * (2 * width - 1)}")])
+    return np.dtype([("key", "<u8"), ("doc", "<i8"), ("near", f"V{4 * (2 * width - 1)}")])
 
 
 def _hot_windows(width: int, shards: int, functions: int):
@@ -200,23 +203,39 @@ def _hot_windows(width: int, shards: int, functions: int):
     kind, off = hot_entry(width), np.arange(1 - width, width)
 
     def hot(texts: list[np.ndarray], docs: list[int], keys: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        w = windows(texts, width)
+        w = windows(texts, width, functions)
         v = mix(w["v"] + w["f"].astype(np.uint64))
-        shard = (v >> np.uint64(32)) % np.uint64(shards)
-        key = (v & np.uint64(0xFFFFFFFF)) | (shard << np.uint64(32))
+        key = (v & np.uint64(0xFFFFFFFF)) | ((v >> np.uint64(32)) % np.uint64(shards)) << np.uint64(32)
         own = mix(np.arange(len(texts)) + 1)  # each text has its own hot keys
-        take = np.flatnonzero(among(mix(key ^ own[w["text"]]), np.concatenate([mix(k ^ own[i]) for i, k in enumerate(keys)])) & (w["f"] < functions))
+        wanted, tiles = np.concatenate([mix(k & LOW ^ own[i]) for i, k in enumerate(keys)]), np.concatenate([k >> np.uint64(48) for k in keys])
+        order = np.argsort(wanted)
+        wanted, tiles = wanted[order], tiles[order]
+        name = mix(key ^ own[w["text"]])
+        at = np.minimum(np.searchsorted(wanted, name), max(len(wanted) - 1, 0))
+        take = np.flatnonzero(wanted[at] == name) if len(wanted) else np.empty(0, np.int64)
+        take = take[np.argsort(name[take], kind="stable")]  # equal windows of one text come together
+        tiles = tiles[at[take]]
         n, flat = np.array([len(t) for t in texts]), np.concatenate(texts)
         first = np.cumsum(n) - n
         for k in range(0, len(take), 1 << 14):
-            i = take[k : k + (1 << 14)]
+            i, t = take[k : k + (1 << 14)], tiles[k : k + (1 << 14)]
             at = w["c"][i, None] + off
             inside = (at >= w["l"][i, None]) & (at <= w["r"][i, None])
             at = first[w["text"][i], None] + np.where(inside, at, 0)
             near = np.where(inside, flat[at].astype("<u4") | np.uint32(1), np.uint32(0))
-            e = np.empty(len(i), kind)
-            e["key"], e["doc"], e["near"] = key[i] & np.uint64(0xFFFFFFFF), np.array(docs)[w["text"][i]], np.ascontiguousarray(near).view(kind["near"])[:, 0]
-            yield pack(e, shard[i].astype(np.int32))
+            # what a text says again in the same surroundings counts once
+            _, one = np.unique(name[i] + (near * mix(off)).sum(1, dtype=np.uint64), return_index=True)
+            e, t = np.empty(len(one), kind), t[one]
+            e["doc"], e["near"] = np.array(docs)[w["text"][i[one]]], np.ascontiguousarray(near[one]).view(kind["near"])[:, 0]
+            # a key with many windows: its documents are dealt to tiles, and each pair of tiles meets on its own
+            part, base = (mix(e["doc"]) >> np.uint64(32)) % np.maximum(t, 1), key[i[one]]
+            for other in range(int(t.max(initial=1))):
+                some = np.flatnonzero(t > other)
+                low, high = np.minimum(part[some], other), np.maximum(part[some], other)
+                tile = (low * np.uint64(0x10001) + high).astype(np.uint64)
+                x = e[some]
+                x["key"] = base[some] & np.uint64(0xFFFFFFFF) | mix(tile) >> np.uint64(32) << np.uint64(32)
+                yield pack(x, ((base[some] >> np.uint64(32)) + tile).astype(np.uint64) % np.uint64(shards))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -245,69 +264,67 @@ def _first_equal(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return first[order], rank[kind]
 
 
-def partners(doc: np.ndarray, near: np.ndarray, least: int, block: int = 256) -> list[tuple[int, int]]:
+def partners(doc: np.ndarray, near: np.ndarray, least: int) -> list[tuple[int, int]]:
     """Of one key's windows, by rising doc: the pairs (a, b) that stand for all with at least `least` common shingles."""
-    values, at, count = np.unique(near, return_inverse=True, return_counts=True)
-    near = np.where((count[at] > 1).reshape(near.shape), near, np.uint32(0))
-    held = (near > 0).sum(1)
-    doc, near, held = doc[held >= least], near[held >= least], held[held >= least]
-    if not len(doc):
-        return []
     first, kind = _first_equal(near)
     out = list(zip(doc.tolist(), doc[first][kind].tolist()))
-    doc, near, held = doc[first], near[first], held[first]
-    for i in range(0, len(doc), block):
-        x = near[i : i + block]
-        common = np.zeros((len(x), i + len(x)), np.int16)
-        for j in range(0, i + len(x), block):
-            y = near[j : min(j + block, i + len(x))]
-            words = np.intersect1d(x, y)
-            words = words[words > 0]
-            if not len(words):
-                continue
-            sides = []
-            for z in (x, y):
-                k = np.minimum(np.searchsorted(words, z), len(words) - 1)
-                row, col = np.nonzero(words[k] == z)
-                m = np.zeros((len(z), len(words)), np.float32)
-                np.add.at(m, (row, k[row, col]), 1)
-                sides.append(m)
-            common[:, j : j + len(y)] = sides[0] @ (sides[1] > 0).T.astype(np.float32)
-        for k in range(len(x)):
-            a = i + k
-            found = np.flatnonzero((common[k, :a] >= least) & (doc[:a] < doc[a]))
-            if not len(found):
-                continue
-            whole = found[common[k, found] == held[a]]
-            if len(whole):
-                out.append((int(doc[a]), int(doc[whole[0]])))
-                continue
-            # those whose common shingles are not all among another one's
-            own = np.unique(x[k][x[k] > 0])
-            at = np.minimum(np.searchsorted(own, near[found]), len(own) - 1)
-            row, col = np.nonzero(own[at] == near[found])
-            mask = np.zeros((len(found), len(own)), np.uint8)
-            mask[row, at[row, col]] = 1
-            one, _ = _first_equal(mask)
-            kept: list[int] = []
-            for q in one[np.argsort(-mask[one].sum(1, dtype=np.int64), kind="stable")]:
-                bits = int.from_bytes(np.packbits(mask[q]).tobytes(), "big")
-                if all(bits & ~y for y in kept):
-                    kept.append(bits)
-                    out.append((int(doc[a]), int(doc[found[q]])))
+    doc, near = doc[first], near[first]
+    # postings: which windows hold a shingle, and how often
+    row, value = np.repeat(np.arange(len(doc)), near.shape[1]), near.reshape(-1).astype(np.uint64)
+    post, times = np.unique((value << np.uint64(32) | row.astype(np.uint64))[value > 0], return_counts=True)
+    value, row = post >> np.uint64(32), (post & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    head = np.flatnonzero(np.concatenate(([True], value[1:] != value[:-1]))) if len(value) else np.empty(0, np.int64)
+    before = np.arange(len(value)) - np.repeat(head, np.diff(np.append(head, len(value))))  # earlier windows with this shingle
+    held = np.bincount(row, weights=times, minlength=len(doc))
+    order = np.argsort(row, kind="stable")
+    at = np.searchsorted(row[order], np.arange(len(doc) + 1))
+    # windows whose shingles occur often enough in earlier ones
+    able = np.bincount(row, weights=times * (before > 0), minlength=len(doc)) >= least
+    for a in np.flatnonzero(able):
+        p = order[at[a] : at[a + 1]]
+        n = before[p]
+        i = np.repeat(p - n, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        other, slot = row[i], np.repeat(np.arange(len(p)), n)
+        common = np.bincount(other, weights=np.repeat(times[p], n), minlength=a)
+        found = np.flatnonzero((common >= least) & (doc[:a] < doc[a]))
+        if not len(found):
+            continue
+        whole = found[common[found] == held[a]]
+        if len(whole):
+            out.append((int(doc[a]), int(doc[whole[0]])))
+            continue
+        # those whose common shingles are not all among another one's
+        half = 48
+        bits = np.stack([np.bincount(other, weights=np.where(slot // half == k, 2.0 ** (slot % half), 0.0), minlength=a)[found] for k in range(-(-len(p) // half))], 1).astype(np.int64)
+        rest = np.argsort(-common[found], kind="stable")
+        while len(rest):
+            out.append((int(doc[a]), int(doc[found[rest[0]]])))
+            rest = rest[((bits[rest] & ~bits[rest[0]]) != 0).any(1)]
     return [(a, b) for a, b in out if b < a]
 
 
-def _hot_pairs(width: int):
-    kind = hot_entry(width)
+def _hot_pairs(width: int, threshold: float):
+    kind, least = hot_entry(width), int(np.ceil(threshold * width))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: set[tuple[int, int]] = set()
         for e in unpack(batches, kind).values():
             e = e[np.lexsort((e["doc"], e["key"]))]
-            at = np.append(np.flatnonzero(np.concatenate(([True], e["key"][1:] != e["key"][:-1]))), len(e))
+            near = np.ascontiguousarray(e["near"]).view("<u4").reshape(len(e), -1)
+            # shingles that no other window under the key has say nothing; windows left with too few go
+            for _ in range(2):
+                step = max(1, (4 << 20) // near.shape[1])
+                for at in _key_runs(e["key"], step):
+                    x = near[at]
+                    value = mix(e["key"][at])[:, None] + x * np.uint64(P[0])
+                    _, inverse, count = np.unique(value, return_inverse=True, return_counts=True)
+                    near[at] = np.where(count[inverse].reshape(x.shape) > 1, x, np.uint32(0))
+                keep = (near > 0).sum(1) >= least
+                e, near = e[keep], near[keep]
+            at = np.append(np.flatnonzero(np.concatenate(([True], e["key"][1:] != e["key"][:-1]))), len(e)) if len(e) else []
             for i, j in zip(at, at[1:]):
-                found.update(partners(e["doc"][i:j], np.ascontiguousarray(e["near"][i:j]).view("<u4").reshape(j - i, -1), width // 2))
+                if e["doc"][i] < e["doc"][j - 1]:
+                    found.update(partners(e["doc"][i:j], near[i:j], least))
         rows = sorted(found)
         for i in range(0, len(rows), 1 << 20):
             a, b = zip(*rows[i : i + (1 << 20)])
@@ -316,6 +333,16 @@ def _hot_pairs(width: int):
     return run
 
 
+def _key_runs(key: np.ndarray, step: int) -> Iterator[slice]:
+    """Slices of whole keys, of about `step` rows or one key."""
+    head = np.append(np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))), len(key)) if len(key) else np.zeros(1, np.int64)
+    i = 0
+    while head[i] < len(key):
+        j = max(i + 1, int(np.searchsorted(head, head[i] + step, "right")) - 1)
+        yield slice(head[i], head[j])
+        i = j
+
+
 def densest(common: np.ndarray, loss: float, least: int = 1) -> tuple[int, int]:
     """The stretch [i, j) of at least `least` shingles with the largest sum, where a common shingle counts 1 and another one -loss."""
     if len(common) < least:
@@ -488,7 +515,7 @@ def cut_passages(docs: DataFrame, id: str = "doc_id", text: str = "text", least_
     met = written(pairs)
     # at least `agree` of all functions agree on a passage, so one of these does
     hot = told.join(met.filter("b is null").groupBy(F.col("a").alias("id")).agg(F.collect_list("keys").alias("keys")), "id")
-    hot = dealt(hot.mapInArrow(_hot_windows(width, shards, FUNCTIONS - agree + 1), PACKED), shards).mapInArrow(_hot_pairs(width), "a bigint, b bigint")
+    hot = dealt(hot.mapInArrow(_hot_windows(width, shards, FUNCTIONS - agree + 1), PACKED), shards).mapInArrow(_hot_pairs(width, threshold), "a bigint, b bigint")
     pairs = met.filter("b is not null").groupBy("a", "b").agg(F.sum("n").alias("n")).filter(F.col("n") >= agree).select("a", "b")
     pairs = written(pairs.union(hot).distinct())
     wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
