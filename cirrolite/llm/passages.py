@@ -5,14 +5,13 @@ the nodes of the Cartesian tree over the hashes group the stretches: node c with
 compact window is a node whose range holds at least `least_words` words; there are about two per such length and function. They travel,
 packed by shard, under their hash.
 
-Where windows of several documents meet, each is paired with earlier documents: with all of up to FEW, else with the first one and the first ones
-with the same near and wide surroundings of c (a passage goes if one earlier document has it). For hashes with more than FEW windows (hot ones) that is not all:
-their windows travel once more with the shingles around c, as far as the shortest passages with c reach. Windows with the same shared shingles at the same places
-form a class, whose first document stands for the others, and each class meets the earlier ones whose common shingles no other earlier one has all of.
-These pairs and those that meet under at least `agree` windows are
+Windows under keys that several documents have travel once more with the shingles around c, as far as the shortest passages with c reach. Windows with the
+same shingles form a class, whose first document stands for the others, and each class meets the earlier ones that share the threshold's part of a
+shortest passage with it, less those whose common shingles are all among another one's (a passage goes if one earlier document has it). A key of many documents is cut into tiles,
+and each pair of tiles meets on its own, so no partner is dropped and no task holds more than two tiles. These pairs are
 verified on their whole texts: windows of both are joined by hash, an interval join gathers those that overlap on both sides and keeps
 places with windows of at least `agree` hash functions, and in each place the densest stretches of common shingles are accepted if both sides hold
-`least_words` words and the Jaccard similarity of their shingle sets reaches `threshold`.
+`least_words` words, begin and end with common words, and the Jaccard similarity of their shingle sets reaches `threshold`.
 
 The later document (by id) loses the words of the passage, the earlier one keeps them; all is judged on the input. A whole text whose words repeat an earlier document's goes entirely,
 if it has `least_words` words, without taking part in the search.
@@ -37,12 +36,11 @@ from .suffix_dedup import sliding, united
 
 GRAM = 5
 FUNCTIONS = 6
-FEW = 16
 TILE = 2048
 CHUNK = 200_000
-ENTRY = np.dtype([("key", "<u4"), ("around", "<u2"), ("wide", "<u2"), ("doc", "<i8")])
+ENTRY = np.dtype([("key", "<u4"), ("doc", "<i8"), ("c", "<u4"), ("left", "<u2"), ("right", "<u2")])
+KEY = np.dtype([("key", "<u8"), ("c", "<u4"), ("left", "<u2"), ("right", "<u2")])
 BASE = np.uint64(0x9E3779B97F4A7C15)
-LOW = np.uint64((1 << 48) - 1)
 SEEDS = mix(np.arange(1, FUNCTIONS + 1) * 7919)
 
 
@@ -55,7 +53,9 @@ def windows(texts: list[np.ndarray], width: int, functions: int = FUNCTIONS) ->
     own = np.repeat(np.arange(len(texts)), n)
     place = start[own] + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
     flat = np.concatenate(texts) if texts else np.empty(0, np.uint64)
-    depth = max(1, int(n.max(initial=1)).bit_length())
+    ends = np.append(start + n, len(whole) - 1) if len(texts) else np.empty(0, np.int64)
+    ends = np.unique(np.concatenate((start - 1, ends)))
+    ends = ends[ends >= 0]
     for f in range(functions):
         whole[place] = mix(flat ^ SEEDS[f]) | np.uint64(1)
         if len(whole) < width:
@@ -64,23 +64,25 @@ def windows(texts: list[np.ndarray], width: int, functions: int = FUNCTIONS) ->
         edge = np.zeros(width - 1, np.uint64)
         c = np.flatnonzero((sliding(np.concatenate((edge, low, edge)), width, np.maximum) == whole) & (whole > 0))
         v = whole[c]
-        table = [whole]
-        for j in range(depth):
-            t = table[-1]
-            table.append(np.minimum(t[: -(1 << j)], t[1 << j :]) if len(t) > 1 << j else t[:0])
-        l, r = c.copy(), c.copy()
-        for j in range(depth, -1, -1):  # widen by powers of two while all values there are larger
+        # the nearest smaller values to either side are nodes themselves, or the zero between texts
+        pos = np.sort(np.concatenate((c, ends)))
+        value, k = whole[pos], np.searchsorted(pos, c)
+        l, r = k.copy(), k.copy()
+        table = [value]
+        while len(table[-1]) > 1 << len(table) - 1:
+            step = 1 << len(table) - 1
+            table.append(np.minimum(table[-1][:-step], table[-1][step:]))
+        for j in range(len(table) - 1, -1, -1):  # widen by powers of two while all values there are larger
             t = table[j]
-            if not len(t):
-                continue
             at = l - (1 << j)
             ok = at >= 0
             ok[ok] = t[at[ok]] > v[ok]
             l = np.where(ok, at, l)
             at = r + 1
-            ok = at + (1 << j) <= len(whole)
+            ok = at < len(t)
             ok[ok] = t[at[ok]] >= v[ok]
             r = np.where(ok, r + (1 << j), r)
+        l, r = pos[l - 1] + 1, pos[r + 1] - 1
         wide = r - l + 1 >= width
         text = np.searchsorted(start, c, "right") - 1
         base = start[text]
@@ -90,14 +92,6 @@ def windows(texts: list[np.ndarray], width: int, functions: int = FUNCTIONS) ->
     return dict(zip(("text", "f", "v", "l", "c", "r"), (np.concatenate(x) for x in zip(*found))))
 
 
-def surroundings(texts: list[np.ndarray], w: dict[str, np.ndarray], by: int) -> np.ndarray:
-    """16 bits of the shingles `by` places before and after each window's c."""
-    flat, n = np.concatenate(texts), np.array([len(x) for x in texts])
-    first, last = (np.cumsum(n) - n)[w["text"]], n[w["text"]] - 1
-    side = [flat[first + np.clip(w["c"] + k, 0, last)] for k in (-by, by)]
-    return mix(side[0] * np.uint64(3) + side[1]) >> np.uint64(48)
-
-
 def contents(texts: list[np.ndarray], w: dict[str, np.ndarray], width: int) -> np.ndarray:
     """A hash of each window's shingles up to width - 1 places before and after c, and of c's place among them."""
     n = np.array([len(x) for x in texts])
@@ -111,7 +105,7 @@ def contents(texts: list[np.ndarray], w: dict[str, np.ndarray], width: int) -> n
     return mix((total[r + 1] - total[l]) * power[len(flat) - l] + (first + w["c"] - l).astype(np.uint64))
 
 
-def _windows(width: int, shards: int):
+def _windows(width: int, shards: int, functions: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts, docs, held = [], [], 0
@@ -122,134 +116,91 @@ def _windows(width: int, shards: int):
                     docs.append(doc)
                     held += len(w)
                 if texts and (held > CHUNK or k == b.num_rows - 1):
-                    found = windows(texts, width)
+                    found = windows(texts, width, functions)
                     e = np.empty(len(found["v"]), ENTRY)
                     v = mix(found["v"] + found["f"].astype(np.uint64))
                     e["key"], e["doc"] = v & np.uint64(0xFFFFFFFF), np.array(docs)[found["text"]]
-                    e["around"], e["wide"] = surroundings(texts, found, 3), surroundings(texts, found, 12)
+                    e["c"], e["left"], e["right"] = found["c"], np.minimum(found["c"] - found["l"], width - 1), np.minimum(found["r"] - found["c"], width - 1)
                     yield pack(e, ((v >> np.uint64(32)) % np.uint64(shards)).astype(np.int32))
                     texts, docs, held = [], [], 0
 
     return run
 
 
-def _least_of_run(doc: np.ndarray, same: np.ndarray) -> np.ndarray:
-    """For each row the smallest doc of its run; same: whether a row belongs to the run of the row before it."""
-    head = np.flatnonzero(np.concatenate(([True], ~same)))
-    return np.repeat(np.minimum.reduceat(doc, head), np.diff(np.append(head, len(doc))))
-
-
-def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(a, b, n): document a met the earlier document b under n windows of this task; (a, null, 0, keys): the hot keys of a that other documents share."""
-    later, earlier, hot = [], [], [(np.empty(0, np.int64), np.empty(0, np.uint64))]
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(a, keys): the windows of document a under keys that other documents have too. A key holds its shard and the number of tiles that its windows are cut into."""
+    docs, keys = [np.empty(0, np.int64)], [np.empty(0, KEY)]
     for shard, e in unpack(batches, ENTRY).items():
-        e = e[np.lexsort((e["doc"], e["wide"], e["around"], e["key"]))]
-        new = np.ones(len(e), bool)
-        new[1:] = (e[1:] != e[:-1])
-        e = e[new]
-        change = e["key"][1:] != e["key"][:-1]
-        group = np.concatenate(([0], np.cumsum(change)))
-        head = np.flatnonzero(np.concatenate(([True], change)))
-        size = np.diff(np.append(head, len(e)))
-        e, group = e[size[group] > 1], np.repeat(np.arange((size > 1).sum()), size[size > 1])
-        if not len(e):
-            continue
-        head = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))
-        size = np.diff(np.append(head, len(e)))
-        doc, large = e["doc"], size[group] > FEW
-        least = np.minimum.reduceat(doc, head)[group]
-        take = large & (least < np.maximum.reduceat(doc, head)[group])
-        tiles = np.minimum(-(-size[group] // TILE), 0xFFFF).astype(np.uint64)
-        hot.append((doc[take], e["key"][take] | np.uint64(shard << 32) | tiles[take] << np.uint64(48)))
-        same = (group[1:] == group[:-1]) & (e["around"][1:] == e["around"][:-1])
-        near, wide = (_least_of_run(doc, x) for x in (same, same & (e["wide"][1:] == e["wide"][:-1])))
-        for other, take in ((least, large), (near, large & (near != least)), (wide, large & (wide != near) & (wide != least))):
-            take = take & (other < doc)
-            later.append(doc[take])
-            earlier.append(other[take])
-        for k in range(2, FEW + 1):
-            at = head[size == k]
-            for i in range(k):
-                for j in range(k):
-                    take = at[doc[at + j] < doc[at + i]]
-                    later.append(doc[take + i])
-                    earlier.append(doc[take + j])
-    if later:
-        a, b = np.concatenate(later), np.concatenate(earlier)
-        order = np.lexsort((b, a))
-        a, b = a[order], b[order]
-        at = np.flatnonzero(np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])))) if len(a) else np.empty(0, np.int64)
-        n = np.diff(np.append(at, len(a)))
-        for i in range(0, len(at), 1 << 20):
-            s = at[i : i + (1 << 20)]
-            yield pa.RecordBatch.from_arrays([pa.array(a[s]), pa.array(b[s]), pa.array(n[i : i + (1 << 20)]), pa.nulls(len(s), pa.binary())], ["a", "b", "n", "keys"])
-    doc, key = (np.concatenate(x) for x in zip(*hot))
+        e = e[np.lexsort((e["doc"], e["key"]))]
+        head = np.flatnonzero(np.concatenate(([True], e["key"][1:] != e["key"][:-1])))
+        last = np.append(head[1:], len(e)) - 1
+        size = last - head + 1
+        many = np.repeat(e["doc"][head] != e["doc"][last], size)
+        new = np.concatenate(([True], (e["key"][1:] != e["key"][:-1]) | (e["doc"][1:] != e["doc"][:-1])))
+        size = np.repeat(np.add.reduceat(new, head, dtype=np.int64), size)[many]  # documents
+        e = e[many]
+        k = np.empty(len(e), KEY)
+        k["key"] = e["key"] | np.uint64(shard << 32) | np.minimum(-(-size // TILE), 0xFFFF).astype(np.uint64) << np.uint64(48)
+        for name in ("c", "left", "right"):
+            k[name] = e[name]
+        docs.append(e["doc"].copy())
+        keys.append(k)
+    doc, key = np.concatenate(docs), np.concatenate(keys)
     order = np.argsort(doc, kind="stable")
     doc, key = doc[order], key[order]
     at = np.append(np.flatnonzero(np.concatenate(([True], doc[1:] != doc[:-1]))), len(doc)) if len(doc) else np.empty(0, np.int64)
     for i in range(0, len(at) - 1, 1 << 14):
         cuts = at[i : i + (1 << 14) + 1]
-        keys = [np.unique(key[x:y]).tobytes() for x, y in zip(cuts, cuts[1:])]
-        yield pa.RecordBatch.from_arrays([pa.array(doc[cuts[:-1]]), pa.nulls(len(keys), pa.int64()), pa.array(np.zeros(len(keys), np.int64)), pa.array(keys, pa.binary())], ["a", "b", "n", "keys"])
+        yield pa.RecordBatch.from_arrays([pa.array(doc[cuts[:-1]]), pa.array([key[x:y].tobytes() for x, y in zip(cuts, cuts[1:])], pa.binary())], ["a", "keys"])
 
 
-def hot_entry(width: int) -> np.dtype:
+def near_entry(width: int) -> np.dtype:
     """`near`: the low 32 bits of the shingles from width - 1 before to width - 1 after c, zero outside the window."""
     return np.dtype([("key", "<u8"), ("doc", "<i8"), ("near", f"V{4 * (2 * width - 1)}")])
 
 
-def _hot_windows(width: int, shards: int, functions: int):
-    """The windows under hot keys of the first `functions` functions."""
-    kind, off = hot_entry(width), np.arange(1 - width, width)
-
-    def hot(texts: list[np.ndarray], docs: list[int], keys: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        w = windows(texts, width, functions)
-        v = mix(w["v"] + w["f"].astype(np.uint64))
-        key = (v & np.uint64(0xFFFFFFFF)) | ((v >> np.uint64(32)) % np.uint64(shards)) << np.uint64(32)
-        own = mix(np.arange(len(texts)) + 1)  # each text has its own hot keys
-        wanted, tiles = np.concatenate([mix(k & LOW ^ own[i]) for i, k in enumerate(keys)]), np.concatenate([k >> np.uint64(48) for k in keys])
-        order = np.argsort(wanted)
-        wanted, tiles = wanted[order], tiles[order]
-        name = mix(key ^ own[w["text"]])
-        at = np.minimum(np.searchsorted(wanted, name), max(len(wanted) - 1, 0))
-        take = np.flatnonzero(wanted[at] == name) if len(wanted) else np.empty(0, np.int64)
-        take = take[np.argsort(name[take], kind="stable")]  # equal windows of one text come together
-        tiles = tiles[at[take]]
-        n, flat = np.array([len(t) for t in texts]), np.concatenate(texts)
-        first = np.cumsum(n) - n
-        for k in range(0, len(take), 1 << 14):
-            i, t = take[k : k + (1 << 14)], tiles[k : k + (1 << 14)]
-            at = w["c"][i, None] + off
-            inside = (at >= w["l"][i, None]) & (at <= w["r"][i, None])
-            at = first[w["text"][i], None] + np.where(inside, at, 0)
-            near = np.where(inside, flat[at].astype("<u4") | np.uint32(1), np.uint32(0))
-            # what a text says again in the same surroundings counts once
-            _, one = np.unique(name[i] + (near * mix(off)).sum(1, dtype=np.uint64), return_index=True)
-            e, t = np.empty(len(one), kind), t[one]
-            e["doc"], e["near"] = np.array(docs)[w["text"][i[one]]], np.ascontiguousarray(near[one]).view(kind["near"])[:, 0]
-            # a key with many windows: its documents are dealt to tiles, and each pair of tiles meets on its own
-            part, base = (mix(e["doc"]) >> np.uint64(32)) % np.maximum(t, 1), key[i[one]]
-            for other in range(int(t.max(initial=1))):
-                some = np.flatnonzero(t > other)
-                low, high = np.minimum(part[some], other), np.maximum(part[some], other)
-                tile = (low * np.uint64(0x10001) + high).astype(np.uint64)
-                x = e[some]
-                x["key"] = base[some] & np.uint64(0xFFFFFFFF) | mix(tile) >> np.uint64(32) << np.uint64(32)
-                yield pack(x, ((base[some] >> np.uint64(32)) + tile).astype(np.uint64) % np.uint64(shards))
+def _near_windows(width: int, shards: int):
+    """The windows under shared keys with the shingles around c, packed by shard."""
+    kind, off = near_entry(width), np.arange(1 - width, width)
+    low = np.uint64((1 << 32) - 1)
+
+    def near_of(flat: np.ndarray, doc: np.ndarray, k: np.ndarray, first: np.ndarray) -> Iterator[pa.RecordBatch]:
+        at = k["c"].astype(np.int64)[:, None] + off
+        inside = (off >= -k["left"].astype(np.int64)[:, None]) & (off <= k["right"].astype(np.int64)[:, None])
+        near = np.where(inside, flat[np.where(inside, at + first[:, None], 0)].astype("<u4") | np.uint32(1), np.uint32(0))
+        # what a text says again in the same surroundings counts once
+        _, one = np.unique(mix(k["key"] ^ mix(doc)) + (near * mix(off)).sum(1, dtype=np.uint64), return_index=True)
+        e, key = np.empty(len(one), kind), k["key"][one]
+        e["doc"], e["near"] = doc[one], np.ascontiguousarray(near[one]).view(kind["near"])[:, 0]
+        # a key with many windows: its documents are dealt to tiles, and each pair of tiles meets on its own
+        shard, tiles = key >> np.uint64(32) & np.uint64(0xFFFF), key >> np.uint64(48)
+        part = (mix(e["doc"]) >> np.uint64(32)) % np.maximum(tiles, 1)
+        for other in range(int(tiles.max(initial=1))):
+            some = np.flatnonzero(tiles > other)
+            tile = np.minimum(part[some], other).astype(np.uint64) * np.uint64(0x10001) + np.maximum(part[some], other).astype(np.uint64)
+            x = e[some]
+            x["key"] = key[some] & low | mix(tile) >> np.uint64(32) << np.uint64(32)
+            yield pack(x, (shard[some] + tile) % np.uint64(shards))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts, docs, keys, held = [], [], [], 0
+            flat, docs, keys, first, held, n = [], [], [], [], 0, 0
             for k, (doc, t, found) in enumerate(zip(b.column("id").to_pylist(), buffers(b.column("text")), b.column("keys").to_pylist())):
-                t = shingle_hashes(word_hashes(t))
-                if len(t) >= width:
-                    texts.append(t)
-                    docs.append(doc)
-                    keys.append(np.frombuffer(b"".join(found), "<u8"))
+                t, found = shingle_hashes(word_hashes(t)), np.frombuffer(b"".join(found), KEY)
+                found = found[found["c"] + found["right"] < len(t)]  # rows that share an id may have other texts
+                if len(found):
+                    found = found[np.argsort(found["key"], kind="stable")]
+                    docs.append(np.full(len(found), doc))
+                    first.append(np.full(len(found), held))
+                    keys.append(found)
+                    flat.append(t)
                     held += len(t)
-                if texts and (held > CHUNK or k == b.num_rows - 1):
-                    yield from hot(texts, docs, keys)
-                    texts, docs, keys, held = [], [], [], 0
+                    n += len(found)
+                if n and (n > 1 << 13 or held > CHUNK or k == b.num_rows - 1):
+                    whole, d, ks, fs = np.concatenate(flat), np.concatenate(docs), np.concatenate(keys), np.concatenate(first)
+                    for i in range(0, n, 1 << 14):
+                        yield from near_of(whole, d[i : i + (1 << 14)], ks[i : i + (1 << 14)], fs[i : i + (1 << 14)])
+                    flat, docs, keys, first, held, n = [], [], [], [], 0, 0
 
     return run
 
@@ -303,8 +254,8 @@ def partners(doc: np.ndarray, near: np.ndarray, least: int) -> list[tuple[int, i
     return [(a, b) for a, b in out if b < a]
 
 
-def _hot_pairs(width: int, threshold: float):
-    kind, least = hot_entry(width), int(np.ceil(threshold * width))
+def _pairs(width: int, threshold: float):
+    kind, least = near_entry(width), int(np.ceil(threshold * width))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: set[tuple[int, int]] = set()
@@ -361,44 +312,51 @@ def dense(common: np.ndarray, loss: float, least: int) -> bool:
     return bool((s[least:] >= np.minimum.accumulate(s[: len(s) - least]) - 1e-9).any())
 
 
-def among(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Which of x occur in y."""
-    y = np.sort(y)
-    return y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x if len(y) else np.zeros(len(x), bool)
-
-
 def accepted(a: np.ndarray, b: np.ndarray, width: int, threshold: float) -> Iterator[tuple[int, int]]:
     """The stretches [i, j) of a that are near-duplicates of stretches of b: the densest one, then those before and after it; around a failed one too."""
     share = 2 * threshold / (1 + threshold)  # of common shingles at the threshold, for sides of equal size
     # stretches that are dense on this side; if they don't make it, denser ones; at last those with the fewest gaps
     losses = (*(x / (1 - x) for x in (threshold, share) if x < 1), 1e3)
-    shared, open_ = among(a, b), [(0, len(a))]
+    kinds, at = np.unique(np.concatenate((a, b)), return_inverse=True)
+    a, b = at[: len(a)], at[len(a) :]
+
+    def there(x: np.ndarray) -> np.ndarray:
+        flags = np.zeros(len(kinds), bool)
+        flags[x] = True
+        return flags
+
+    shared, open_ = there(b)[a], [(0, len(a))]
     seen = set(open_)
     while open_:
         i, j = open_.pop()
         x, tried = a[i:j], []
         # a result needs a stretch on either side with the threshold's share of common shingles, and on one side with that of equal sides
-        sides = shared[i:j], among(b, x)
-        if not (all(dense(z, losses[0], width) for z in sides) and any(dense(z, losses[-2], width) for z in sides)):
+        if not dense(shared[i:j], losses[0], width):
+            continue
+        sides = shared[i:j], there(x)[b]
+        if not (dense(sides[1], losses[0], width) and any(dense(z, losses[-2], width) for z in sides)):
             continue
         for loss in losses:
             p, q = densest(shared[i:j], loss, width)
             tried.append((p, q))
-            u, v = densest(among(b, x[p:q]), loss, width)
-            if v - u < width:
+            one = there(x[p:q])
+            u, v = densest(one[b], loss, width)
+            two = there(b[u:v])
+            core = np.flatnonzero(two[x[p:q]])  # a passage begins and ends with words that both have
+            if v - u < width or not len(core) or core[-1] - core[0] < width - 1:
                 continue
-            one, two = np.unique(x[p:q]), np.unique(b[u:v])
-            common = int(among(one, two).sum())
-            if common >= threshold * (len(one) + len(two) - common) - 1e-9:
+            p, q = p + int(core[0]), p + int(core[-1]) + 1
+            one = there(x[p:q])
+            if np.count_nonzero(one & two) >= threshold * np.count_nonzero(one | two) - 1e-9:
                 yield i + p, i + q
-                open_ += [(i, i + p), (i + q, j)]
+                open_ += [z for z in ((i, i + p), (i + q, j)) if z[1] - z[0] >= width]
                 break
         else:  # none is accepted: what lies around the densest stretches, and the halves of what is left, may be
             half = (i + j) // 2
             parts = [(i, half + width // 2), (half - width // 2, j)] if j - i > 2 * width else []
             for p, q in dict.fromkeys(tried):
                 parts += [(i, i + p), (i + q, j)]
-            open_ += [x for x in dict.fromkeys(parts) if x[1] - x[0] >= width and x not in seen]
+            open_ += [z for z in dict.fromkeys(parts) if z[1] - z[0] >= width and z not in seen]
             seen.update(parts)
 
 
@@ -503,6 +461,7 @@ def _names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def cut_passages(docs: DataFrame, id: str = "doc_id", text: str = "text", least_words: int = 50, agree: int = 3, threshold: float = 0.75, broadcast_rows: int = 500_000, broadcast_bytes: int = 32 << 20) -> DataFrame:
     """All columns of docs (the text cut) and n_words, n_removed (words) and removed_spans (start, end in characters of the whole text)."""
     spark, width = docs.sparkSession, least_words - GRAM + 1
+    functions = FUNCTIONS - agree + 1  # at least `agree` of all functions agree on a passage, so one of these does
     small_batches(spark)
     rows = docs.select(F.col(id).cast("bigint").alias("id"), F.col(text).cast("string").alias("text"))
     names = written(rows.filter("id is not null").mapInArrow(_names, "id bigint, name string, n bigint")).filter(F.col("n") >= least_words)
@@ -511,13 +470,10 @@ def cut_passages(docs: DataFrame, id: str = "doc_id", text: str = "text", least_
     copies = F.broadcast(copies) if copies.count() <= broadcast_rows else copies
     told = rows.filter("id is not null").join(copies, "id", "left_anti")
     shards = partitions(spark)
-    pairs = dealt(told.mapInArrow(_windows(width, shards), PACKED), shards).mapInArrow(_pairs, "a bigint, b bigint, n bigint, keys binary")
-    met = written(pairs)
-    # at least `agree` of all functions agree on a passage, so one of these does
-    hot = told.join(met.filter("b is null").groupBy(F.col("a").alias("id")).agg(F.collect_list("keys").alias("keys")), "id")
-    hot = dealt(hot.mapInArrow(_hot_windows(width, shards, FUNCTIONS - agree + 1), PACKED), shards).mapInArrow(_hot_pairs(width, threshold), "a bigint, b bigint")
-    pairs = met.filter("b is not null").groupBy("a", "b").agg(F.sum("n").alias("n")).filter(F.col("n") >= agree).select("a", "b")
-    pairs = written(pairs.union(hot).distinct())
+    met = written(dealt(told.mapInArrow(_windows(width, shards, functions), PACKED), shards).mapInArrow(_shared, "a bigint, keys binary"))
+    keys = met.groupBy(F.col("a").alias("id")).agg(F.collect_list("keys").alias("keys"))
+    near = told.join(keys, "id").mapInArrow(_near_windows(width, shards), PACKED)
+    pairs = written(dealt(near, shards).mapInArrow(_pairs(width, threshold), "a bigint, b bigint").distinct())
     wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
     near = told.join(F.broadcast(wanted), "id", "left_semi") if wanted.count() <= broadcast_rows else told
     # the texts are small next to the work on them: more tasks than their size asks for
