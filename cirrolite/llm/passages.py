@@ -205,81 +205,81 @@ def _near_windows(width: int, shards: int):
     return run
 
 
-def _first_equal(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The first of each kind of equal rows, in order, and the kind of each row."""
-    rows = np.ascontiguousarray(rows)
-    _, first, kind = np.unique(rows.view(f"V{rows.itemsize * rows.shape[1]}")[:, 0], return_index=True, return_inverse=True)
-    order = np.argsort(first)
-    rank = np.empty(len(order), np.int64)
-    rank[order] = np.arange(len(order))
-    return first[order], rank[kind]
-
-
-def partners(doc: np.ndarray, near: np.ndarray, least: int) -> list[tuple[int, int]]:
-    """Of one key's windows, by rising doc: the pairs (a, b) that stand for all with at least `least` common shingles."""
-    first, kind = _first_equal(near)
-    out = list(zip(doc.tolist(), doc[first][kind].tolist()))
-    doc, near = doc[first], near[first]
+def partners(key: np.ndarray, doc: np.ndarray, near: np.ndarray, least: int, room: int = 1 << 22) -> np.ndarray:
+    """Of windows sorted by key and doc: the pairs (a, b) that stand for all pairs under one key with at least `least` common shingles."""
+    weight = mix(np.arange(near.shape[1]) + 1)
+    _, first, kind = np.unique(mix(key) + (near * weight).sum(1, dtype=np.uint64), return_index=True, return_inverse=True)
+    out = [np.stack([doc, doc[first][kind]], 1)]
+    first.sort()
+    key, doc, near = key[first], doc[first], near[first]
     # postings: which windows hold a shingle, and how often
-    row, value = np.repeat(np.arange(len(doc)), near.shape[1]), near.reshape(-1).astype(np.uint64)
-    post, times = np.unique((value << np.uint64(32) | row.astype(np.uint64))[value > 0], return_counts=True)
-    value, row = post >> np.uint64(32), (post & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    row, col = np.nonzero(near)
+    value = mix(key)[row] + near[row, col] * P[0]
+    order = np.argsort(value, kind="stable")
+    row, value = row[order], value[order]
+    new = np.concatenate(([True], (value[1:] != value[:-1]) | (row[1:] != row[:-1]))) if len(row) else np.empty(0, bool)
+    at = np.flatnonzero(new)
+    times, row, value = np.diff(np.append(at, len(row))), row[at], value[at]
     head = np.flatnonzero(np.concatenate(([True], value[1:] != value[:-1]))) if len(value) else np.empty(0, np.int64)
-    before = np.arange(len(value)) - np.repeat(head, np.diff(np.append(head, len(value))))  # earlier windows with this shingle
-    held = np.bincount(row, weights=times, minlength=len(doc))
-    order = np.argsort(row, kind="stable")
-    at = np.searchsorted(row[order], np.arange(len(doc) + 1))
-    # windows whose shingles occur often enough in earlier ones
+    size = np.diff(np.append(head, len(value)))
+    before = np.arange(len(value)) - np.repeat(head, size)  # earlier windows with this shingle
+    some = np.repeat(size, size) > 1  # shingles that no other window under the key has say nothing
+    held = np.bincount(row, weights=times * some, minlength=len(doc))
     able = np.bincount(row, weights=times * (before > 0), minlength=len(doc)) >= least
-    for a in np.flatnonzero(able):
-        p = order[at[a] : at[a + 1]]
-        n = before[p]
-        i = np.repeat(p - n, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        other, slot = row[i], np.repeat(np.arange(len(p)), n)
-        common = np.bincount(other, weights=np.repeat(times[p], n), minlength=a)
-        found = np.flatnonzero((common >= least) & (doc[:a] < doc[a]))
-        if not len(found):
-            continue
-        whole = found[common[found] == held[a]]
-        if len(whole):
-            out.append((int(doc[a]), int(doc[whole[0]])))
-            continue
-        # those whose common shingles are not all among another one's
-        half = 48
-        bits = np.stack([np.bincount(other, weights=np.where(slot // half == k, 2.0 ** (slot % half), 0.0), minlength=a)[found] for k in range(-(-len(p) // half))], 1).astype(np.int64)
-        rest = np.argsort(-common[found], kind="stable")
-        while len(rest):
-            out.append((int(doc[a]), int(doc[found[rest[0]]])))
-            rest = rest[((bits[rest] & ~bits[rest[0]]) != 0).any(1)]
-    return [(a, b) for a, b in out if b < a]
+    post = np.flatnonzero(some & able[row])
+    post = post[np.argsort(row[post], kind="stable")]
+    at = np.searchsorted(row[post], np.arange(len(doc) + 1))
+    start = np.searchsorted(key, key, "left")  # where the windows of a key begin
+    rows = np.flatnonzero(able)
+    rows = rows[np.argsort((rows - start[rows]), kind="stable")]  # those with few windows before them come together
+
+    def met(some: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Postings of the given windows with those of earlier ones: which window, posting, other window."""
+        n = at[some + 1] - at[some]
+        p = post[np.repeat(at[some], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
+        own, k = np.repeat(np.arange(len(some)), n), before[p]
+        i = np.repeat(p - k, k) + np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k)
+        return np.repeat(own, k), np.repeat(p, k), row[i]
+
+    cost = np.maximum(rows - start[rows], 1) * 64 if len(rows) else rows
+    part = np.cumsum(cost) // room if len(rows) else rows
+    for chunk in np.split(rows, np.flatnonzero(np.diff(part)) + 1) if len(rows) else []:
+        wide = int((chunk - start[chunk]).max())
+        own, p, other = met(chunk)
+        common = np.bincount(own * wide + other - start[other], weights=times[p], minlength=len(chunk) * wide).reshape(len(chunk), wide)
+        left = start[chunk][:, None] + np.arange(wide)
+        common[(common < least) | (doc[np.minimum(left, len(doc) - 1)] >= doc[chunk][:, None])] = 0
+        best = common.argmax(1)
+        most = common[np.arange(len(chunk)), best]
+        out.append(np.stack([doc[chunk], doc[start[chunk] + best]], 1)[most > 0])
+        for k in np.flatnonzero((most > 0) & (most < held[chunk]) & ((common > 0).sum(1) > 1)):
+            # others whose common shingles are not all among another one's
+            a, found = chunk[k], np.flatnonzero(common[k])
+            _, p, other = met(chunk[k : k + 1])
+            slot, half = np.searchsorted(np.unique(p), p), 48
+            bits = np.stack([np.bincount(other - start[a], weights=np.where(slot // half == h, 2.0 ** (slot % half), 0.0), minlength=wide)[found] for h in range(int(slot.max()) // half + 1)], 1).astype(np.int64)
+            rest = np.argsort(-common[k, found], kind="stable")
+            while len(rest):
+                q = rest[0]
+                out.append(np.array([[doc[a], doc[start[a] + found[q]]]]))
+                rest = rest[((bits[rest] & ~bits[q]) != 0).any(1)]
+    pairs = np.concatenate(out)
+    return pairs[pairs[:, 1] < pairs[:, 0]]
 
 
 def _pairs(width: int, threshold: float):
     kind, least = near_entry(width), int(np.ceil(threshold * width))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: set[tuple[int, int]] = set()
         for e in unpack(batches, kind).values():
             e = e[np.lexsort((e["doc"], e["key"]))]
-            near = np.ascontiguousarray(e["near"]).view("<u4").reshape(len(e), -1)
-            # shingles that no other window under the key has say nothing; windows left with too few go
-            for _ in range(2):
-                step = max(1, (4 << 20) // near.shape[1])
-                for at in _key_runs(e["key"], step):
-                    x = near[at]
-                    value = mix(e["key"][at])[:, None] + x * np.uint64(P[0])
-                    _, inverse, count = np.unique(value, return_inverse=True, return_counts=True)
-                    near[at] = np.where(count[inverse].reshape(x.shape) > 1, x, np.uint32(0))
-                keep = (near > 0).sum(1) >= least
-                e, near = e[keep], near[keep]
-            at = np.append(np.flatnonzero(np.concatenate(([True], e["key"][1:] != e["key"][:-1]))), len(e)) if len(e) else []
-            for i, j in zip(at, at[1:]):
-                if e["doc"][i] < e["doc"][j - 1]:
-                    found.update(partners(e["doc"][i:j], near[i:j], least))
-        rows = sorted(found)
-        for i in range(0, len(rows), 1 << 20):
-            a, b = zip(*rows[i : i + (1 << 20)])
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+            found = [np.empty((0, 2), np.int64)]
+            for some in _key_runs(e["key"], 1 << 13):
+                near = np.ascontiguousarray(e["near"][some]).view("<u4").reshape(some.stop - some.start, -1)
+                found.append(np.unique(partners(e["key"][some], e["doc"][some], near, least), axis=0))
+            rows = np.unique(np.concatenate(found), axis=0)
+            for i in range(0, len(rows), 1 << 20):
+                yield pa.RecordBatch.from_arrays([pa.array(rows[i : i + (1 << 20), 0]), pa.array(rows[i : i + (1 << 20), 1])], ["a", "b"])
 
     return run
 
