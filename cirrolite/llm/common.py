@@ -19,9 +19,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a temporary one where the session names none (local runs only)."""
+    """A new folder under the one named by spark.checkpoint.dir. Only a local session may do without that setting: it takes a temporary folder."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = getattr(spark, "_cirrolite_shared", None)
         if base is None:
             base = spark._cirrolite_shared = tempfile.mkdtemp(prefix="cirrolite-")
@@ -35,10 +37,14 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def without(rows: DataFrame, ids: DataFrame, id: str, broadcast_rows: int = 500_000) -> DataFrame:
+def small(rows: DataFrame, row_bytes: int = 16, most_bytes: int = 8 << 20) -> DataFrame:
+    """rows (a written table), to be broadcast if all of them take at most most_bytes; else a join with them shuffles."""
+    return F.broadcast(rows) if rows.count() * row_bytes <= most_bytes else rows
+
+
+def without(rows: DataFrame, ids: DataFrame, id: str) -> DataFrame:
     """rows whose id is not in ids; ids reach the tasks by broadcast while they are few, else by a shuffle."""
-    ids = written(ids.select(id).distinct())
-    return rows.join(F.broadcast(ids) if ids.count() <= broadcast_rows else ids, id, "left_anti")
+    return rows.join(small(written(ids.select(id).distinct())), id, "left_anti")
 
 
 def small_batches(spark: SparkSession, size: int = 8 << 20) -> None:

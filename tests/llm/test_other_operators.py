@@ -96,26 +96,67 @@ def brute_links(rows, cosine=0.93):
     return sorted(((rows[k][0], n[k], least[top[k]] if rows[k][0] is not None else None) for k in range(len(rows))), key=str)
 
 
-@pytest.mark.parametrize("options", [{}, {"leaf": 12, "fanout": 3}])
-def test_embeddings(spark, options):
+def points():
+    """Random points, clusters of several widths, and one of near copies that holds a third of all."""
     rng = np.random.default_rng(3)
     base = rng.normal(size=(12, 8))
     v = base[rng.integers(0, 12, 160)] + rng.normal(size=(160, 8)) * rng.choice([0.0, 0.05, 0.25], (160, 1))
     rows = [(int(i), [float(np.float32(y)) for y in x], int(i) % 3) for i, x in enumerate(v)]
+    near = base[0] + rng.normal(size=(90, 8)) * 0.03
+    return rows + [(1000 + i, [float(np.float32(y)) for y in x], 1) for i, x in enumerate(near)]
+
+
+@pytest.mark.parametrize("options", [{}, {"leaf": 12, "fanout": 3}, {"leaf": 5, "fanout": 8}])
+def test_embeddings(spark, options):
+    rows = points()
     rows += [(500, None, 0), (501, [0.0] * 8, 0), (502, [float("nan")] * 8, 0), (503, rows[0][1], None), (504, [1.0, None], 0), (505, [1.0, 2.0], 0), (506, [2.0, 4.0], 0), (507, [], 0), (None, rows[0][1], 0), (0, rows[0][1], 0), (508, [float("inf")] + [0.0] * 7, 0)]
     df = spark.createDataFrame([(*r, 1, "x", 2) for r in rows], "vec_id bigint, embedding array<float>, label int, id int, node string, n int")
     assert sorted((tuple(r) for r in emb.near_links(df, **options).collect()), key=str) == brute_links(rows)
     assert emb.near_links(df.limit(0)).collect() == []
 
 
+@pytest.mark.parametrize("leaf", [2048, 9])
+def test_embeddings_on_the_table(spark, monkeypatch, leaf):
+    monkeypatch.setattr(emb.near_links, "__defaults__", (*emb.near_links.__defaults__[:-2], leaf, 4))
+    rows = [tuple(r) for r in spark.read.parquet(f"{DATA}/embeddings.parquet").select("vec_id", "embedding", "label").collect()]
+    got = QUERIES["op9_embedding_dedup"](spark, DATA).collect()
+    assert sorted(((r["vec_id"], r["n_links"], r["component_id"]) for r in got), key=str) == brute_links(rows)
+    assert all(r["kept"] == (r["vec_id"] == r["component_id"]) for r in got)
+
+
+def test_node_pairs_are_pruned(spark):
+    """Clusters far from each other: most pairs of nodes go by their radii, and the wide cluster of near copies is one tight node."""
+    rng = np.random.default_rng(8)
+    base = rng.normal(size=(30, 16))
+    v = np.repeat(base, 40, 0) + rng.normal(size=(1200, 16)) * 0.02
+    p = spark.createDataFrame([(i, i, 1, [float(y) for y in x], "a:16") for i, x in enumerate(v)], "key bigint, id bigint, n bigint, embedding array<double>, node string")
+    leaves, levels = emb._levels(p, 50, 8, float(np.sqrt(2 - 2 * 0.93)))
+    pairs = emb.node_pairs(p.select("node").distinct(), levels, 0.93).groupBy("kind").count().collect()
+    n = {r["kind"]: r["count"] for r in pairs}
+    assert leaves.count() == 1200 and leaves.select("node").distinct().count() >= 25
+    assert n[0] > 3 * (n.get(1, 0) + n.get(2, 0)), n
+
+
 def test_cover_tree_finds_all_pairs():
     rng = np.random.default_rng(5)
     x = emb.unit(rng.normal(size=(8, 6))[rng.integers(0, 8, 700)] + rng.normal(size=(700, 6)) * 0.15)
-    want = {(i, j) for i, j in zip(*np.nonzero(np.triu(x @ x.T >= 0.93, 1)))}
-    i, j = emb.links(x, None, 0.93)
-    assert set(zip(i.tolist(), j.tolist())) == want and len(i) == len(want)
-    a, b = emb.links(x[:300], x[300:], 0.93)
-    assert {(p, q + 300) for p, q in zip(a.tolist(), b.tolist())} == {(p, q) for p, q in want if p < 300 <= q} and len(a) == len(set(zip(a, b)))
+    n = rng.integers(1, 4, 700)
+    hit = x @ x.T >= 0.93
+    np.fill_diagonal(hit, False)
+    order, tree = emb.grow(x)
+    assert sorted(order.tolist()) == list(range(700)) and len(tree) > 8
+    for t in tree:  # each node covers its points
+        assert emb.apart(x[order[t["lo"] : t["hi"]]], x[order[t["lo"]]][None]).max() <= t["radius"] + 1e-6
+    links = emb.Links(x[order], n[order], None, None, 0.93)
+    links.traverse(tree, tree)
+    assert (links.count == (hit[np.ix_(order, order)] * n[order]).sum(1)).all()
+    want = cases.roots(700, [(int(i), int(j)) for i, j in zip(*np.nonzero(hit[np.ix_(order, order)]))])
+    assert links.roots().tolist() == want
+    (o1, t1), (o2, t2) = emb.grow(x[:300]), emb.grow(x[300:])
+    links = emb.Links(x[:300][o1], n[:300][o1], x[300:][o2], n[300:][o2], 0.93)
+    links.traverse(t1, t2)
+    cross = hit[:300, 300:][np.ix_(o1, o2)]
+    assert links.count.tolist() == [*(cross * n[300:][o2]).sum(1).tolist(), *(cross.T * n[:300][o1]).sum(1).tolist()]
 
 
 def test_components(spark):
