@@ -5,7 +5,8 @@ Goal: remove each byte that lies in a `length`-byte string which also starts in
 1. Copies. Whole texts that repeat are found by their hash; only the first of each goes on.
 2. Anchors. The GRAM-byte string with the smallest hash in every `length`-byte window is an anchor, so equal windows have equal anchors at
    equal places. An anchor travels, packed by shard, as its hash with hashes of the bytes around it that windows
-   through it can reach: its whole context, and the half contexts to the left and right.
+   through it can reach: its whole context, and the half contexts to the left and right. Occurrences of one context that overlap in a document
+   travel as one (a run of blanks is one entry), and of those that documents of one batch share only the first document's travels: the others lose the context at once.
 3. Occurrences with equal contexts share all windows: those of later documents lose the whole context at once. Only the first
    occurrence of each context is looked at further, and only if a half context is shared with another one (two equal
    windows through an anchor share at least one half).
@@ -14,7 +15,8 @@ Goal: remove each byte that lies in a `length`-byte string which also starts in
    earlier document, and the longer of the two common prefixes is the longest earlier match; where it reaches `length`, the window goes.
 5. The removed intervals of each document are united.
 
-Only hashes, positions and the snippets at the ends of matches are shuffled, not texts. 64-bit hashes stand for equality of contexts.
+Only hashes, positions and the snippets at the ends of matches are shuffled, not texts. Hashes of 64 bits stand for equality of contexts under one anchor;
+matches inside a context are decided by the longest-previous-factor arrays, on bytes.
 
 Defined results: a null text is empty; equal ids count as one document (its rows never remove bytes from each other, and
 intervals found in one of them go from all);
@@ -28,14 +30,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import PACKED, buffers, dealt, mix, pack, partitions, small_batches, unpack, written
+from .common import buffers, dealt, mix, pack, partitions, small, small_batches, unpack, written
 
 GRAM = 16
-ENTRY = np.dtype([("key", "<u4"), ("context", "<u4"), ("left", "<u2"), ("right", "<u2"), ("doc", "<i8"), ("at", "<u4"), ("before", "u1"), ("after", "u1")])
-SNIPPET = np.dtype([("key", "<u8"), ("doc", "<i8"), ("at", "<u4"), ("before", "u1"), ("after", "u1")])
+ENTRY = np.dtype([("key", "<u4"), ("context", "<u8"), ("left", "<u2"), ("right", "<u2"), ("doc", "<i8"), ("at", "<u4"), ("extent", "<u4"), ("before", "u1"), ("after", "u1")])
+SNIPPET = np.dtype([("key", "<u8"), ("doc", "<i8"), ("at", "<u4"), ("extent", "<u4"), ("before", "u1"), ("after", "u1")])
 BLOCK = 1 << 20
 B = np.uint64(0x9E3779B97F4A7C15)
 
@@ -95,50 +98,88 @@ def anchors(text: bytes, length: int) -> dict[str, np.ndarray] | None:
     return {n: v[keep] for n, v in (("at", at), ("hash", h), ("context", context), ("left", lh), ("right", rh), ("before", before), ("after", after))}
 
 
+def _heads(*columns: np.ndarray) -> np.ndarray:
+    """Where a sorted run of equal rows begins."""
+    new = np.zeros(len(columns[0]), bool)
+    new[:1] = True
+    for c in columns:
+        new[1:] |= c[1:] != c[:-1]
+    return np.flatnonzero(new)
+
+
+def _folded(e: np.ndarray, shard: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, tuple[np.ndarray, ...]]:
+    """(entries, shards, decided spans) of a batch: overlapping occurrences of a context become one, and those of documents after the first are decided."""
+    name = e["context"] ^ mix(e["key"].astype(np.uint64) | shard.astype(np.uint64) << np.uint64(32))
+    order = np.argsort(name, kind="stable")
+    same = name[order][1:] == name[order][:-1]
+    often = np.concatenate((same, [False])) | np.concatenate(([False], same)) if len(e) else np.zeros(0, bool)
+    alone, x, name = order[~often], order[often], name[order[often]]
+    again = np.lexsort((e["at"][x], e["doc"][x], name))
+    x, name = x[again], name[again]
+    r = e[x]
+    step = np.diff(r["at"].astype(np.int64))
+    head = _heads(name, r["doc"], r["before"], r["after"], np.concatenate(([0], np.cumsum((step < 0) | (step > length)))) if len(r) else name)
+    if len(r):
+        r["extent"][head] = r["at"][np.append(head[1:], len(r)) - 1] - r["at"][head]
+    r, x, name = r[head], x[head], name[head]
+    first = _heads(name)
+    least = np.repeat(r["doc"][first], np.diff(np.append(first, len(r))))
+    later = r["doc"] > least
+    d = r[later]
+    spans = d["doc"], d["at"] - d["before"], d["at"] + d["extent"] + GRAM + d["after"]
+    return np.concatenate([e[alone], r[~later]]), np.concatenate([shard[alone], shard[x[~later]]]), spans
+
+
+ANCHORS = "shard int, entries binary, doc bigint, spans binary"
+
+
 def _anchors(length: int, shards: int):
+    def done(parts: list) -> Iterator[pa.RecordBatch]:
+        e, shard, (doc, a, b) = _folded(np.concatenate([e for e, _ in parts]), np.concatenate([s for _, s in parts]), length)
+        for batch in _by_document(doc, np.stack([a, b], 1).astype("<u4"), "spans", "looks"):
+            place = mix(batch.column("doc").to_numpy()) % np.uint64(shards)
+            yield pa.RecordBatch.from_arrays([pa.array(place.astype(np.int32)), pa.nulls(len(place), pa.binary()), batch.column("doc"), batch.column("spans")], ["shard", "entries", "doc", "spans"])
+        packed = pack(e, shard)
+        yield pa.RecordBatch.from_arrays([*packed.columns, pa.nulls(packed.num_rows, pa.int64()), pa.nulls(packed.num_rows, pa.binary())], ["shard", "entries", "doc", "spans"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, held = [], 0
         for b in batches:
-            parts, held = [], 0
             for doc, t in zip(b.column("id").to_pylist(), buffers(b.column("text"))):
                 if (f := anchors(t or b"", length)) is None:
                     continue
-                e = np.empty(len(f["at"]), ENTRY)
-                e["key"], e["doc"] = f["hash"] & np.uint64(0xFFFFFFFF), doc
-                e["context"] = f["context"] >> np.uint64(32)
+                e = np.zeros(len(f["at"]), ENTRY)
+                e["key"], e["doc"], e["context"] = f["hash"] & np.uint64(0xFFFFFFFF), doc, f["context"]
                 for name in ("left", "right"):
                     e[name] = f[name] >> np.uint64(48)
                 for name in ("at", "before", "after"):
                     e[name] = f[name]
                 parts.append((e, (f["hash"] >> np.uint64(32)) % np.uint64(shards)))
                 held += len(e)
-                if held > 300_000:
-                    yield pack(np.concatenate([e for e, _ in parts]), np.concatenate([s for _, s in parts]).astype(np.int32))
+                if held > 600_000:
+                    yield from done(parts)
                     parts, held = [], 0
-            if parts:
-                yield pack(np.concatenate([e for e, _ in parts]), np.concatenate([s for _, s in parts]).astype(np.int32))
+        if parts:
+            yield from done(parts)
 
     return run
 
 
-def _heads(*columns: np.ndarray) -> np.ndarray:
-    """Where a sorted run of equal rows begins."""
-    new = np.zeros(len(columns[0]), bool)
-    new[:1] = True
-    for c in columns:
-        new[1:] |= c[1:] != c[:-1]
-    return np.flatnonzero(new)
-
-
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (doc, spans, looks): removed intervals, and places to look at further with their anchor's key."""
-    gone, look = [], []
-    for s, e in unpack(batches, ENTRY).items():
+    gone, look, packed = [], [], []
+    for b in batches:
+        told = pa.compute.is_valid(b.column("doc"))
+        some = b.filter(told)
+        yield pa.RecordBatch.from_arrays([some.column("doc"), some.column("spans"), pa.nulls(some.num_rows, pa.binary())], ["doc", "spans", "looks"])
+        packed.append(b.filter(pa.compute.invert(told)))
+    for s, e in unpack(iter(packed), ENTRY).items():
         e = e[np.lexsort((e["doc"], e["context"], e["key"]))]
         head = _heads(e["key"], e["context"])
         of = np.repeat(np.arange(len(head)), np.diff(np.append(head, len(e))))
         later = e["doc"] > e["doc"][head][of]
         d = e[later]
-        gone.append((d["doc"], d["at"] - d["before"], d["at"] + GRAM + d["after"]))
+        gone.append((d["doc"], d["at"] - d["before"], d["at"] + d["extent"] + GRAM + d["after"]))
         # contexts, each with its first document: of keys with several contexts in several documents, those that share a half
         r = e[head]
         group = _heads(r["key"])
@@ -155,7 +196,7 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         r = e[~later & shared[of]]
         p = np.empty(len(r), SNIPPET)
         p["key"] = r["key"].astype(np.uint64) | np.uint64(s) << np.uint64(32)
-        for name in ("doc", "at", "before", "after"):
+        for name in ("doc", "at", "extent", "before", "after"):
             p[name] = r[name]
         look.append(p)
     doc, a, b = (np.concatenate(c) for c in zip(*gone)) if gone else (np.empty(0, np.int64),) * 3
@@ -174,22 +215,22 @@ def _by_document(doc: np.ndarray, rows: np.ndarray, name: str, other: str) -> It
         yield pa.RecordBatch.from_pydict({"doc": pa.array(doc[some[:-1]]), name: values, other: pa.nulls(len(values), pa.binary())}).select(["doc", "spans", "looks"])
 
 
-SNIPPETS = "key bigint, doc bigint, at bigint, snippet binary"
+SNIPPETS = "key bigint, doc bigint, at bigint, extent bigint, snippet binary"
 
 
 def _snippets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        out = {n: [] for n in ("key", "doc", "at", "snippet")}
+        out = {n: [] for n in ("key", "doc", "at", "extent", "snippet")}
         for doc, t, looks in zip(b.column("id").to_pylist(), buffers(b.column("text")), b.column("looks").to_pylist()):
             done = set()
             for raw in looks:
                 p = np.frombuffer(raw, SNIPPET)
-                for key, at, before, after in zip(p["key"].tolist(), p["at"].tolist(), p["before"].tolist(), p["after"].tolist()):
+                for key, at, extent, before, after in zip(*(p[c].tolist() for c in ("key", "at", "extent", "before", "after"))):
                     if (key, at) not in done:
                         done.add((key, at))
-                        for n, v in (("key", key), ("doc", doc), ("at", at - before), ("snippet", t[at - before : at + GRAM + after])):
+                        for n, v in (("key", key), ("doc", doc), ("at", at - before), ("extent", extent), ("snippet", t[at - before : at + GRAM + after])):
                             out[n].append(v)
-        yield pa.RecordBatch.from_arrays([pa.array(out["key"], pa.int64()), pa.array(out["doc"], pa.int64()), pa.array(out["at"], pa.int64()), pa.array(out["snippet"], pa.binary())], list(out))
+        yield pa.RecordBatch.from_arrays([pa.array(out["key"], pa.int64()), pa.array(out["doc"], pa.int64()), pa.array(out["at"], pa.int64()), pa.array(out["extent"], pa.int64()), pa.array(out["snippet"], pa.binary())], list(out))
 
 
 def previous_factors(suffixes: np.ndarray, doc: np.ndarray, depth: int) -> np.ndarray:
@@ -222,11 +263,12 @@ def previous_factors(suffixes: np.ndarray, doc: np.ndarray, depth: int) -> np.nd
 
 def _factors(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, doc, at, text = [], [], [], []
+        key, doc, at, extent, text = [], [], [], [], []
         for b in batches:
             key += b.column("key").to_pylist()
             doc += b.column("doc").to_pylist()
             at += b.column("at").to_pylist()
+            extent += b.column("extent").to_pylist()
             text += list(buffers(b.column("snippet")))
         d, a, b2 = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)]
         step = 20_000  # snippets whose suffixes are sorted together; a key's snippets stay together while it has fewer
@@ -244,7 +286,7 @@ def _factors(length: int):
             hit = previous_factors(rows, docs, length) >= length
             d.append(docs[hit])
             a.append((np.array([at[i] for i in some])[own] + offset)[hit])
-            b2.append(a[-1] + length)
+            b2.append(a[-1] + length + np.array([extent[i] for i in some])[own][hit])
         doc_, a_, b_ = np.concatenate(d), np.concatenate(a), np.concatenate(b2)
         for batch in _by_document(doc_, np.stack([a_, b_], 1).astype("<u4"), "spans", "looks"):
             yield batch.select(["doc", "spans"])
@@ -298,8 +340,10 @@ def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 CUT = pa.schema([("id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.binary()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))])
 
 
-def remove_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", length: int = 50, broadcast_rows: int = 500_000, keep_bytes: bool = True) -> DataFrame:
+def remove_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", length: int = 50) -> DataFrame:
     """One row per row of docs: the id, n_bytes, n_removed, n_spans, kept_sha256, kept (the remaining bytes) and spans (start, end in bytes)."""
+    if not 2 * GRAM <= length <= GRAM + 255:
+        raise ValueError(f"length is {length}; matches of {2 * GRAM} to {GRAM + 255} bytes can be found")
     spark = docs.sparkSession
     small_batches(spark)
     rows = docs.select(F.col(id).cast("bigint").alias("id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
@@ -308,19 +352,18 @@ def remove_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", leng
     # a copy is a row whose text an earlier document has; every other document that repeats its own id stays
     first = long.groupBy("sha").agg(F.min("id").alias("first"), F.count("*").alias("rows")).filter("rows > 1").drop("rows")
     copies = written(long.join(first, "sha").filter("id > first").select("id", "sha").distinct())
-    few = copies.count() <= broadcast_rows
+    copies = small(copies, 100)
     marked = rows.withColumn("sha", F.sha2("text", 256))
-    told = marked.join(F.broadcast(copies) if few else copies, ["id", "sha"], "left_anti")
+    told = marked.join(copies, ["id", "sha"], "left_anti")
     shards = partitions(spark)
-    entries = told.filter("id is not null").select("id", "text").mapInArrow(_anchors(length, shards), PACKED)
+    entries = told.filter("id is not null").select("id", "text").mapInArrow(_anchors(length, shards), ANCHORS)
     met = written(dealt(entries, shards).mapInArrow(_contexts, "doc bigint, spans binary, looks binary"))
     looks = met.filter("looks is not null").groupBy(F.col("doc").alias("id")).agg(F.collect_list("looks").alias("looks"))
-    wanted = met.filter("looks is not null").select(F.col("doc").alias("id")).distinct()
-    near = rows.join(F.broadcast(wanted), "id", "left_semi") if wanted.count() <= broadcast_rows else rows
+    near = rows.join(small(written(looks.select("id"))), "id", "left_semi")
     snippets = near.join(looks, "id").mapInArrow(_snippets, SNIPPETS)
     more = snippets.repartition(shards, "key").mapInArrow(_factors(length), "doc bigint, spans binary")
     spans = met.filter("spans is not null").select("doc", "spans").unionByName(more)
     spans = spans.groupBy(F.col("doc").alias("id")).agg(F.collect_list("spans").alias("spans"))
-    marked = marked.join(F.broadcast(copies.withColumn("copy", F.lit(True))) if few else copies.withColumn("copy", F.lit(True)), ["id", "sha"], "left").drop("sha")
+    marked = marked.join(copies.withColumn("copy", F.lit(True)), ["id", "sha"], "left").drop("sha")
     out = marked.join(spans, "id", "left").select("id", "text", "copy", "spans").mapInArrow(_apply, "id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary, spans array<struct<start:bigint,end:bigint>>")
     return out.withColumnRenamed("id", id)

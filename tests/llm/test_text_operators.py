@@ -48,12 +48,43 @@ def kept_bytes(rows, length=50):
     return sorted(out)
 
 
-@pytest.mark.parametrize("broadcast_rows", [500_000, 0])
-def test_suffix_dedup(spark, broadcast_rows):
-    got = remove_repeats(cases.docs(spark), broadcast_rows=broadcast_rows).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()
-    want = kept_bytes([r for r in cases.texts() if r[0] is not None])
+def runs():
+    """Runs of one byte, lines that repeat with every period, and copies that begin anywhere in them."""
+    line = cases.prose(12, 77)
+    rows = [(300, " " * 3000 + "x" + "-" * 900), (301, "y" + " " * 5000), (302, "ab" * 400 + "!" + "ab" * 30), (303, "b" + "ab" * 200), (304, (line + "\n") * 60), (305, "q" + (line + "\n") * 9 + cases.prose(30, 3)), (306, line[5:] + line + line), (307, "-" * 50), (308, "-" * 49)]
+    return rows + [(310 + k, ("0123456789abcdefghijklmnopqrstuvwxyz!?"[:k] * 80) + str(k)) for k in range(1, 38, 4)] + [(360 + k, "z" + ("0123456789abcdefghijklmnopqrstuvwxyz!?"[:k] * 9)) for k in range(1, 38, 4)]
+
+
+@pytest.mark.parametrize("most_bytes", [8 << 20, 0])
+def test_suffix_dedup(spark, monkeypatch, most_bytes):
+    from cirrolite.llm import common
+
+    monkeypatch.setattr(common.small, "__defaults__", (16, most_bytes))
+    rows = cases.texts() + runs()
+    got = remove_repeats(cases.docs(spark, rows)).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()
+    want = kept_bytes([r for r in rows if r[0] is not None])
     assert sorted(tuple(r) for r in got if r["doc_id"] is not None) == want
     assert sorted((r["n_bytes"], r["n_removed"]) for r in got if r["doc_id"] is None) == sorted([(0, 0), (len(cases.texts()[19][1].encode()), 0)])
+    for length in (31, 272):
+        with pytest.raises(ValueError):
+            remove_repeats(cases.docs(spark), length=length)
+
+
+@pytest.mark.parametrize("length", [32, 120])
+def test_suffix_dedup_lengths(spark, length):
+    rows = [r for r in cases.texts() if r[0] is not None] + runs()
+    got = remove_repeats(cases.docs(spark, rows), length=length).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()
+    assert sorted(map(tuple, got)) == kept_bytes(rows, length)
+
+
+def test_suffix_dedup_of_long_texts(spark):
+    """Texts of several blocks: a shared passage across a block's edge, a long run."""
+    a, b = cases.prose(190_000, 41), cases.prose(30_000, 42)
+    edge = 1 << 20
+    rows = [(1, a), (2, b[:70_000] + a[edge - 3000 : edge + 3000] + " " * 100_000), (3, " " * 100_000 + a[5:900])]
+    assert len(a.encode()) > edge + 4000
+    got = remove_repeats(spark.createDataFrame(rows, "doc_id bigint, text string")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()
+    assert sorted(map(tuple, got)) == kept_bytes(rows)
 
 
 def test_suffix_dedup_on_the_table(spark):
