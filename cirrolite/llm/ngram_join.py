@@ -23,10 +23,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import PACKED, buffers, components, dealt, mix, pack, partitions, small_batches, unpack, written
+from .common import buffers, components, dealt, mix, pack, partitions, small, small_batches, unpack, written
 from .embedding_dedup import roots
 from .shingles import shingle_hashes, word_hashes
 
@@ -73,8 +74,15 @@ def keys_of(h: np.ndarray, threshold: float) -> list[tuple[np.ndarray, int]]:
     return bands
 
 
-def _sets(threshold: float, shards: int | None):
-    """Without shards: (id, n, set) per text. With: the packed keys of each distinct set."""
+KEYS = "shard int, entries binary, id bigint, n bigint, set bigint"
+
+
+def _keys(threshold: float, shards: int):
+    """One pass over the texts: a row (id, n, set) for each, and the packed keys of each distinct set."""
+
+    def packed(parts: list) -> pa.RecordBatch:
+        b = pack(np.concatenate([e for e, _ in parts]), np.concatenate([s for _, s in parts]))
+        return pa.RecordBatch.from_arrays([*b.columns, *[pa.nulls(b.num_rows, pa.int64())] * 3], ["shard", "entries", "id", "n", "set"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -85,7 +93,7 @@ def _sets(threshold: float, shards: int | None):
                 name = set_name(h)
                 n.append(len(h))
                 names.append(name)
-                if shards and len(h) and name not in seen:
+                if len(h) and name not in seen:
                     seen.add(name)
                     for keys, need in keys_of(h, threshold):
                         e = np.empty(len(keys), ENTRY)
@@ -93,16 +101,31 @@ def _sets(threshold: float, shards: int | None):
                         parts.append((e, (keys >> np.uint64(32)) % np.uint64(shards)))
                         held += len(keys)
                     if held > 400_000:
-                        yield pack(np.concatenate([e for e, _ in parts]), np.concatenate([s for _, s in parts]).astype(np.int32))
+                        yield packed(parts)
                         parts, held = [], 0
             if parts:
-                yield pack(np.concatenate([e for e, _ in parts]), np.concatenate([s for _, s in parts]).astype(np.int32))
-            if not shards:
-                yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(n, pa.int64()), pa.array(names, pa.int64())], ["id", "n", "set"])
+                yield packed(parts)
+            place = (mix(np.array(names, np.int64).view(np.uint64)) + np.arange(len(names), dtype=np.uint64)) % np.uint64(shards)
+            yield pa.RecordBatch.from_arrays([pa.array(place.astype(np.int32)), pa.nulls(len(n), pa.binary()), b.column("id"), pa.array(n, pa.int64()), pa.array(names, pa.int64())], ["shard", "entries", "id", "n", "set"])
 
     return run
 
 
+MET = ("a", "b", "shared", "need", "hot", "id", "n", "set")
+
+
+def _meet_and_names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What _meet makes of the keys, and the rows (id, n, set) as they came."""
+    rest = []
+    for b in batches:
+        named = pa.compute.is_valid(b.column("n"))
+        some = b.filter(named)
+        yield pa.RecordBatch.from_arrays([*[pa.nulls(some.num_rows, pa.int64())] * 5, *[some.column(c) for c in ("id", "n", "set")]], list(MET))
+        rest.append(b.filter(pa.compute.invert(named)))
+    for b in _meet(iter(rest)):
+        yield pa.RecordBatch.from_arrays([*b.columns, *[pa.nulls(b.num_rows, pa.int64())] * 3], list(MET))
+
+
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of this task's keys: pairs of sets with the number of keys they share, or (many texts) the sets of each key."""
     left, right, need, hot_key, hot_set, hot_need = [], [], [], [], [], []
@@ -216,16 +239,16 @@ def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(out, pa.binary())], ["set", "grams"])
 
 
-def ngram_components(docs: DataFrame, id: str = "doc_id", text: str = "text", threshold: float = 0.75, tile: int = 512, broadcast_rows: int = 500_000) -> DataFrame:
+def ngram_components(docs: DataFrame, id: str = "doc_id", text: str = "text", threshold: float = 0.75, tile: int = 512) -> DataFrame:
     """One row per row of docs: the id, n_shingles, component_id (the smallest id reachable by links, itself included)."""
     spark = docs.sparkSession
     small_batches(spark)
     rows = docs.select(F.col(id).cast("bigint").alias("id"), F.col(text).cast("string").alias("text"))
-    sets = written(rows.mapInArrow(_sets(threshold, None), "id bigint, n bigint, set bigint"))
-    first = sets.filter("n > 0").groupBy("set").agg(F.min("id").alias("node"), F.first("n").alias("n")).filter("node is not null")
     shards = partitions(spark)
-    packed = rows.mapInArrow(_sets(threshold, shards), PACKED)
-    met = written(dealt(packed, shards).mapInArrow(_meet, "a bigint, b bigint, shared bigint, need bigint, hot bigint"))
+    met = written(dealt(rows.mapInArrow(_keys(threshold, shards), KEYS), shards).mapInArrow(_meet_and_names, ", ".join(f"{c} bigint" for c in MET)))
+    sets = met.filter("n is not null").select("id", "n", "set")
+    met = met.filter("n is null").select("a", "b", "shared", "need", "hot")
+    first = sets.filter("n > 0").groupBy("set").agg(F.min("id").alias("node"), F.first("n").alias("n")).filter("node is not null")
     # keys with many texts: how many of them a set has
     hot = met.filter("hot is not null").select(F.col("a").alias("set"), "hot", "need")
     hots = written(hot.groupBy("set").agg(F.count("*").alias("hots"), F.max("need").alias("need")))
@@ -237,7 +260,7 @@ def ngram_components(docs: DataFrame, id: str = "doc_id", text: str = "text", th
     families = written(components(pairs.select("a", "b").union(tied)).select(F.col("node").alias("set"), F.col("component").alias("family")).join(first, "set"))
     # tiles: the members of a family in order of size
     sizes = families.groupBy("family").agg(F.count("*").alias("f"), F.min("n").alias("least"), F.max("n").alias("most"))
-    small = families.join(sizes.filter(F.col("f") <= tile).select("family"), "family").select("set", F.concat(F.lit("f"), "family").alias("g"), F.lit(0).alias("side"))
+    dealt_out = families.join(sizes.filter(F.col("f") <= tile).select("family"), "family").select("set", F.concat(F.lit("f"), "family").alias("g"), F.lit(0).alias("side"))
     large = families.join(sizes.filter(F.col("f") > tile).select("family"), "family")
     if not large.isEmpty():
         # a family's sizes in classes of 8 %, each class cut by a hash into tiles of about half the limit
@@ -251,12 +274,11 @@ def ngram_components(docs: DataFrame, id: str = "doc_id", text: str = "text", th
         near = near.withColumn("g", F.concat_ws(":", F.lit("t"), "family", "c1", "t1", "c2", "t2"))
         one = near.select("family", F.col("c1").alias("c"), F.col("t1").alias("cut"), "g", F.lit(0).alias("side"))
         two = near.filter("c1 < c2 or t1 < t2").select("family", F.col("c2").alias("c"), F.col("t2").alias("cut"), "g", F.lit(1).alias("side"))
-        small = small.unionByName(large.join(one.unionByName(two), ["family", "c", "cut"]).select("set", "g", "side"))
+        dealt_out = dealt_out.unionByName(large.join(one.unionByName(two), ["family", "c", "cut"]).select("set", "g", "side"))
     # one text of each set in question; ids reach the tasks by broadcast only while they are few
-    wanted = families.select(F.col("node").alias("id")).distinct()
-    few = wanted.count() <= broadcast_rows
-    grams = rows.join(F.broadcast(wanted) if few else wanted, "id").mapInArrow(_grams, "set bigint, grams binary")
-    grouped = grams.join(small, "set").repartition(partitions(spark), "g").sortWithinPartitions("g")
+    wanted = small(written(families.select(F.col("node").alias("id")).distinct()))
+    grams = rows.join(wanted, "id").mapInArrow(_grams, "set bigint, grams binary")
+    grouped = grams.join(dealt_out, "set").repartition(partitions(spark), "g").sortWithinPartitions("g")
     joined = components(grouped.mapInArrow(_compare(threshold), "a bigint, b bigint")).withColumnRenamed("node", "set")
     least = written(first.join(joined, "set", "left").withColumn("component", F.coalesce("component", "set")).select("set", "component", "node"))
     least = least.join(least.groupBy("component").agg(F.min("node").alias("component_id")), "component").select("set", "component_id")
