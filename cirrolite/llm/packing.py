@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import buffers, small_batches
+from .common import buffers, small_batches, written
 
 CACHE_WORDS = 1_200_000
 TEXT_CHARS = 1 << 20
@@ -192,8 +192,10 @@ def pack(pieces: DataFrame, tokens: str = "length", loss: str | None = None, cap
     limits = np.array([capacity, segments, loss_limit or capacity], np.int64)
     names = [c for c in pieces.columns if c not in ("sequence_id", "offset", "sequence_tokens", "padded_tokens")]
     loss_of = F.col(loss) if loss else F.col(tokens)
+    # the table is read twice (counted, then dealt out); a row's place in it keeps equal rows from falling into one group
+    pieces = written(pieces)
     groups = max(1, -(-pieces.count() // group_rows))
-    sized = pieces.select(F.struct(*names).alias("row"), F.col(tokens).cast("bigint").alias("t"), F.coalesce(loss_of.cast("bigint"), F.lit(0)).alias("l"), F.pmod(F.xxhash64(*names), F.lit(groups)).alias("g"))
+    sized = pieces.select(F.struct(*names).alias("row"), F.col(tokens).cast("bigint").alias("t"), F.coalesce(loss_of.cast("bigint"), F.lit(0)).alias("l"), F.pmod(F.xxhash64(*names, F.monotonically_increasing_id()), F.lit(groups)).alias("g"))
 
     def one(table: pa.Table) -> pa.Table:
         t, ls, g = (table.column(c).to_numpy() for c in ("t", "l", "g"))

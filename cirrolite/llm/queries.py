@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .chat import format_conversations, read_conversations
-from .common import shared_dir, table, written
+from .common import shared_dir, table
 from .contamination import contamination
 from .embedding_dedup import near_links
 from .ngram_join import ngram_components
@@ -70,8 +70,7 @@ def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    # pieces are read twice (counted, then dealt out): a small table, against tokenising twice
-    pieces = written(token_pieces(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")))
+    pieces = token_pieces(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
     return pack(pieces).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "padded_tokens")
 
 
