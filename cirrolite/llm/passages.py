@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import PACKED, buffers, dealt, mix, pack, partitions, small_batches, unpack, written
+from .common import PACKED, buffers, dealt, mix, pack, partitions, small, small_batches, unpack, written
 from .shingles import P, shingle_hashes, word_hashes
 from .suffix_dedup import sliding, united
 
@@ -458,7 +458,7 @@ def _names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([xxhash.xxh3_128_hexdigest(b" ".join(w)) for w in words]), pa.array([len(w) for w in words], pa.int64())], ["id", "name", "n"])
 
 
-def cut_passages(docs: DataFrame, id: str = "doc_id", text: str = "text", least_words: int = 50, agree: int = 3, threshold: float = 0.75, broadcast_rows: int = 500_000, broadcast_bytes: int = 32 << 20) -> DataFrame:
+def cut_passages(docs: DataFrame, id: str = "doc_id", text: str = "text", least_words: int = 50, agree: int = 3, threshold: float = 0.75, broadcast_bytes: int = 32 << 20) -> DataFrame:
     """All columns of docs (the text cut) and n_words, n_removed (words) and removed_spans (start, end in characters of the whole text)."""
     spark, width = docs.sparkSession, least_words - GRAM + 1
     functions = FUNCTIONS - agree + 1  # at least `agree` of all functions agree on a passage, so one of these does
@@ -467,15 +467,15 @@ def cut_passages(docs: DataFrame, id: str = "doc_id", text: str = "text", least_
     names = written(rows.filter("id is not null").mapInArrow(_names, "id bigint, name string, n bigint")).filter(F.col("n") >= least_words)
     first = names.groupBy("name").agg(F.min("id").alias("first"), F.count("*").alias("c")).filter("c > 1").drop("c")
     copies = written(names.join(first, "name").filter("id > first").select("id").distinct())
-    copies = F.broadcast(copies) if copies.count() <= broadcast_rows else copies
+    copies = small(copies)
     told = rows.filter("id is not null").join(copies, "id", "left_anti")
     shards = partitions(spark)
     met = written(dealt(told.mapInArrow(_windows(width, shards, functions), PACKED), shards).mapInArrow(_shared, "a bigint, keys binary"))
     keys = met.groupBy(F.col("a").alias("id")).agg(F.collect_list("keys").alias("keys"))
     near = told.join(keys, "id").mapInArrow(_near_windows(width, shards), PACKED)
     pairs = written(dealt(near, shards).mapInArrow(_pairs(width, threshold), "a bigint, b bigint").distinct())
-    wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    near = told.join(F.broadcast(wanted), "id", "left_semi") if wanted.count() <= broadcast_rows else told
+    wanted = written(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct())
+    near = told.join(small(wanted), "id", "left_semi")
     # the texts are small next to the work on them: more tasks than their size asks for
     # rows of one id with several texts give a pair each
     both = pairs.join(near.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b").repartition(4 * shards, "a")

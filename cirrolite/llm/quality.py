@@ -4,11 +4,13 @@ Two dictionaries are trained, one on good and one on bad labelled texts. A text
 compressed with both; the difference of the compressed sizes over the piece's size says which kind of text it resembles. The mean and the extremes over
 all pieces go through a logistic calibration, fitted on labelled rows that the dictionaries did not see.
 
-The fit takes at most `per_class` rows of each label (those whose id hashes lowest) and `sample_bytes` of each: the bound of what reaches the driver,
-2 * per_class * sample_bytes. Scoring reads whole texts.
+The fit takes at most `per_class` rows of each label (those whose id hashes lowest): the bound of what reaches the driver is 2 * per_class whole
+texts. Scoring reads all texts.
 
-Defined results: a null or empty text has no pieces and gets the calibrated score of the labelled rows' mean difference; labels that are null
-are left out of the fit; if one label has fewer than 8 rows, no dictionaries can be trained and every score is the share of good labels (0.5 without any).
+Defined results: a null or empty text has no pieces and gets the calibrated score of the labelled rows' mean difference; so do all texts of equal
+score stay equal (ties are not broken). Labels that are null or neither 0 nor 1 are left out of the fit, as are ids labelled both ways; of rows that repeat a labelled id
+the one with the smallest text counts. With fewer than `least_rows` rows of either label there is nothing to train on: fitting raises. An empty table
+has no scores.
 """
 
 from __future__ import annotations
@@ -33,7 +35,6 @@ class Model:
     bad: bytes
     weights: list[float]
     means: list[float]
-    prior: float
 
 
 def _compressors(model: Model):
@@ -76,23 +77,22 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> np.ndarray:
     return w
 
 
-def fit_quality(labelled: DataFrame, docs: DataFrame, id: str = "doc_id", text: str = "text", label: str = "quality", per_class: int = 1500, sample_bytes: int = 6144, dictionary_bytes: int = 65536) -> Model:
+def fit_quality(labelled: DataFrame, docs: DataFrame, id: str = "doc_id", text: str = "text", label: str = "quality", per_class: int = 1500, least_rows: int = 8, dictionary_bytes: int = 65536) -> Model:
     """labelled: id and label (0 or 1). Only the sampled ids meet docs, as a broadcast of at most 2 * per_class rows."""
     import zstandard
 
-    known = labelled.select(F.col(id).alias("id"), F.col(label).cast("int").alias("label")).filter("id is not null and label in (0, 1)").distinct()
+    known = labelled.select(F.col(id).alias("id"), F.col(label).cast("int").alias("label")).filter("id is not null and label in (0, 1)")
+    known = known.groupBy("id").agg(F.min("label").alias("label"), F.max("label").alias("other")).filter("label = other").drop("other")
     known = known.withColumn("at", F.xxhash64("id"))
     picked = [known.filter(F.col("label") == k).orderBy("at", "id").limit(per_class) for k in (0, 1)]
     picked = picked[0].unionByName(picked[1])
     pairs = docs.select(F.col(id).alias("id"), F.encode(F.coalesce(F.col(text), F.lit("")), "UTF-8").alias("t")).join(F.broadcast(picked), "id")
-    # a long text is represented by sample_bytes from its middle
-    middle = F.greatest(F.lit(1), (F.octet_length("t") / 2 - sample_bytes / 2).cast("int"))
-    rows = sorted((r["at"], r["id"], r["label"], bytes(r["t"])) for r in pairs.select("at", "id", "label", F.substring("t", middle, F.lit(sample_bytes)).alias("t")).filter(F.octet_length("t") > 0).dropDuplicates(["id"]).collect())
+    pairs = pairs.filter(F.octet_length("t") > 0).groupBy("at", "id", "label").agg(F.min("t").alias("t"))
+    rows = sorted((r["at"], r["id"], r["label"], bytes(r["t"])) for r in pairs.collect())
     y = np.array([r[2] for r in rows], float)
-    prior = float(y.mean()) if len(y) else 0.5
     texts = {k: [r[3] for r in rows if r[2] == k] for k in (0, 1)}
-    if min(map(len, texts.values())) < 8:
-        return Model(b"", b"", [], [], prior)
+    if min(map(len, texts.values())) < least_rows:
+        raise ValueError(f"{len(texts[1])} good and {len(texts[0])} bad labelled texts; at least {least_rows} of each are needed")
 
     def dictionary(samples: list[bytes]) -> bytes:
         pieces = [t[i : i + PIECE] for t in samples for i in range(0, len(t), PIECE)]
@@ -102,7 +102,7 @@ def fit_quality(labelled: DataFrame, docs: DataFrame, id: str = "doc_id", text:
             return b"".join(pieces)[-dictionary_bytes:]
 
     # even ranks build the dictionaries, odd ranks calibrate
-    model = Model(dictionary(texts[1][::2]), dictionary(texts[0][::2]), [], [], prior)
+    model = Model(dictionary(texts[1][::2]), dictionary(texts[0][::2]), [], [])
     good, bad = _compressors(model)
     held = [(features(t, good, bad), k) for k in (0, 1) for t in texts[k][1::2]]
     x, y = np.array([f for f, _ in held]), np.array([k for _, k in held], float)
@@ -124,14 +124,9 @@ def quality_scores(docs: DataFrame, model: Model, id: str = "doc_id", text: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        made = _compressors(m) if m.weights else None
+        made = _compressors(m)
         for b in batches:
-            scores = []
-            for t in buffers(b.column("text")):
-                if made is None:
-                    scores.append(m.prior)
-                    continue
-                scores.append(_score(m, features(t, *made) or m.means))
+            scores = [_score(m, features(t, *made) or m.means) for t in buffers(b.column("text"))]
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(scores, pa.float64())], ["id", "score"])
 
     small_batches(docs.sparkSession)
@@ -147,9 +142,9 @@ def keep_good(docs: DataFrame, model: Model, text: str = "text", least: float =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        made = _compressors(m) if m.weights else None
+        made = _compressors(m)
         for b in batches:
-            score = [m.prior if made is None else _score(m, features(t, *made) or m.means) for t in buffers(b.column(at))]
+            score = [_score(m, features(t, *made) or m.means) for t in buffers(b.column(at))]
             yield b.filter(pa.array([s >= least for s in score], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

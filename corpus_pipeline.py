@@ -19,11 +19,10 @@ from cirrolite.llm.quality import fit_quality, keep_good
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier rejects go. It learns from the labels that are not held out; if they are too few to fit a model, all documents stay."""
+    """Documents that the classifier rejects go. It learns from the labels that are not held out; too few of them are an error."""
     held = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) == 2
     labels = table(spark, sf_dir, "labels").select("doc_id", "quality").filter(~held)
-    model = fit_quality(labels, docs)
-    return keep_good(docs, model) if model.weights else docs
+    return keep_good(docs, fit_quality(labels, docs))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,7 +52,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents with their sequences."""
-    pieces = written(token_pieces(docs, public_tokenizers.path("word_bpe_49k.json")))
+    pieces = token_pieces(docs, public_tokenizers.path("word_bpe_49k.json"))
     return pack(pieces).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 

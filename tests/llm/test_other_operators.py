@@ -166,15 +166,15 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
 
 
-@pytest.mark.parametrize("split", [700, 1 << 24])
-def test_warc(spark, tmp_path, split):
+@pytest.mark.parametrize("split, ranges", [(700, True), (1 << 24, None), (700, False)])
+def test_warc(spark, tmp_path, split, ranges):
     big, other = "<p>é</p>" * 300, "WARC/1.1\r\n\r\n\x1f" * 200
-    rows = [(1, "http://a/", big), (2, "http://b/ \r\nX: y", big), (3, None, "small"), (4, "u", "small"), (5, "u", None), (6, "u", ""), (None, "u", big), (7, "u", other), (7, "u", other), (8, "u", "x" * 200_000)]
+    rows = [(1, "http://a/", big), (2, "http://b/ \r\nX: y", big), (3, None, "small"), (4, "u", "small"), (5, "u", None), (6, "u", ""), (None, "u", big), (7, "u", other), (7, "u", other), (8, "u", "x" * 200_000), (9, "u", "".join(map(str, range(500_000))))]
     write_archive(spark.createDataFrame([(*r, 1, "s") for r in rows], "page_id bigint, url string, html string, size int, digest string").repartition(3), str(tmp_path / "w"))
     for f in (tmp_path / "w").glob("part-*"):
         whole = f.read_bytes()
         assert not whole or gzip.decompress(whole).count(b"WARC/1.1\r\nWARC-Type: ") >= 1  # each file is one valid gzip stream
-    got = read_archive(spark, str(tmp_path / "w"), split_bytes=split).collect()
+    got = read_archive(spark, str(tmp_path / "w"), split_bytes=split, ranges=ranges).collect()
     first = {big: 2, other: 7}
     want = []
     for i, _, h in rows:
@@ -217,7 +217,15 @@ def test_pipeline_stages(spark):
 
 def test_pipeline_edges(spark):
     d = cases.docs(spark).withColumn("n_chars", F.length("text"))
-    for name, stage in corpus_pipeline.STAGES[1:-1]:
+    for name, stage in corpus_pipeline.STAGES:
+        if name == corpus_pipeline.STAGES[0][0]:  # it learns from labelled documents: these too
+            mine = spark.read.parquet(f"{DATA}/documents.parquet")
+            mine = mine.withColumns({c: F.lit(None).cast(k) for c, k in d.dtypes if c not in ("doc_id", "text", "n_chars")}).select(*d.columns).unionByName(d.withColumn("doc_id", F.col("doc_id") + 100_000))
+            assert stage(spark, mine, DATA).columns == d.columns
+            continue
         out = stage(spark, d, DATA)
+        if name == corpus_pipeline.STAGES[-1][0]:
+            assert out.count() >= d.count() and stage(spark, d.limit(0), DATA).count() == 0
+            continue
         assert out.columns == d.columns and out.count() > 0, name
         assert stage(spark, d.limit(0), DATA).count() == 0, name

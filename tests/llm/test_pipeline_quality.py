@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import pytest
+
 import corpus_pipeline
 
 from . import cases
 
 
-def test_documents_stay_without_a_model(spark, tmp_path):
+def test_too_few_labels_are_an_error(spark, tmp_path):
     spark.createDataFrame([(1, 0), (2, 1), (3, 0)], "doc_id bigint, quality int").write.parquet(f"{tmp_path}/labels.parquet")
-    docs = cases.docs(spark)
-    assert corpus_pipeline.quality(spark, docs, str(tmp_path)).count() == docs.count()
+    with pytest.raises(ValueError):
+        corpus_pipeline.quality(spark, cases.docs(spark), str(tmp_path))

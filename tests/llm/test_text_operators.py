@@ -124,7 +124,7 @@ def jaccard_components(rows):
     return sorted((i, len(sets[k]), least[top[k]]) for k, (i, _) in enumerate(rows) if i is not None)
 
 
-@pytest.mark.parametrize("options", [{}, {"tile": 2, "broadcast_rows": 0}])
+@pytest.mark.parametrize("options", [{}, {"tile": 2}])
 def test_ngram_join(spark, options):
     rows = cases.texts() + [(100 + i, " ".join([cases.prose(60, 1), cases.prose(3, i)])) for i in range(40)] + [(200 + i, cases.prose(60, 2) + " " + cases.prose(90, 50 + i)) for i in range(30)]
     rows = [r for r in rows if r != (None, None)]
@@ -223,14 +223,42 @@ def test_quality(spark):
     assert (rank[good].sum() - good.sum() * (good.sum() + 1) / 2) / (good.sum() * (~good).sum()) >= 0.97
 
 
+def labelled(spark):
+    rows = [(k, cases.prose(40 + k, k) if k % 2 else "Buy cheap now!! " * (5 + k)) for k in range(40)]
+    labels = [(k, k % 2) for k in range(40)] + [(3, 1), (5, 0), (12, None), (None, 1), (7, 9)]
+    return cases.docs(spark, [*rows, (9, "zz"), (9, rows[9][1]), (100, None), (101, ""), (None, "x"), (102, cases.prose(9000, 4))]), spark.createDataFrame(labels, "doc_id bigint, quality int"), rows
+
+
 def test_quality_edges(spark):
-    labels = spark.createDataFrame([(1, 1), (4, 0), (12, None), (None, 1)], "doc_id bigint, quality int")
-    d = cases.docs(spark)
+    d, labels, rows = labelled(spark)
+    m = quality.fit_quality(labels, d)
+    got = quality.quality_scores(d, m).collect()
+    by = {r["doc_id"]: r["score"] for r in got}
+    assert len(got) == d.count() and all(0 <= r["score"] <= 1 for r in got) and by[100] == by[101]
+    assert by[1] > 0.5 > by[0] and quality.fit_quality(labels, d.orderBy("text")) == m  # the same model whatever the order of rows
+    assert quality.quality_scores(d.limit(0), m).collect() == [] and quality.keep_good(d, m, least=0.0).columns == d.columns
+    with pytest.raises(ValueError):
+        quality.fit_quality(labels.limit(5), d)
+    with pytest.raises(ValueError):
+        quality.fit_quality(labels.limit(0), d)
+
+
+def test_quality_scores_by_plain_python(spark):
+    """Compressed sizes from zstandard's plain interface, and the logistic formula by hand."""
+    import zstandard
+
+    d, labels, _ = labelled(spark)
     m = quality.fit_quality(labels, d)
-    s = quality.quality_scores(d, m).collect()
-    assert len(s) == d.count() and {r["score"] for r in s} == {0.5}
-    assert quality.keep_good(d, m).count() == 0 and quality.keep_good(d, m, least=0.5).columns == d.columns
-    assert quality.quality_scores(cases.docs(spark, []), quality.fit_quality(labels.limit(0), d)).collect() == []
+    packs = [zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(x), write_checksum=False, write_content_size=False, write_dict_id=False) for x in (m.good, m.bad)]
+    for r in d.join(quality.quality_scores(d, m).withColumnRenamed("score", "got"), "doc_id").filter("length(text) > 0").collect():
+        t = r["text"].encode()
+        parts = [t[i : i + 1024] for i in range(0, len(t), 1024)]
+        diff = [len(packs[1].compress(p)) - len(packs[0].compress(p)) for p in parts]
+        rel = [x / (len(p) + 300) for x, p in zip(diff, parts)]
+        f = [sum(diff) / (len(t) + 100), sum(diff) / (len(t) + 600), min(rel), max(rel), 100 / (len(t) + 100), 300 / (len(t) + 300)]
+        z = sum(w * x for w, x in zip(m.weights, f)) + m.weights[-1]
+        if r["doc_id"] != 9:
+            assert abs(1 / (1 + np.exp(-max(-30, min(30, z)))) - r["got"]) < 1e-9
 
 
 TOKENS = None
