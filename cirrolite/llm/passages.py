@@ -294,14 +294,16 @@ def _key_runs(key: np.ndarray, step: int) -> Iterator[slice]:
         i = j
 
 
-def densest(common: np.ndarray, loss: float, least: int = 1) -> tuple[int, int]:
-    """The stretch [i, j) of at least `least` shingles with the largest sum, where a common shingle counts 1 and another one -loss."""
+def densest(common: np.ndarray, loss: float, least: int) -> tuple[int, int]:
+    """Of the stretches [i, j) of at least `least` shingles that begin and end with a common one that with the largest sum, where a common shingle counts 1 and
+    another one -loss; (0, 0) if there is none."""
     if len(common) < least:
         return 0, 0
     s = np.concatenate(([0.0], np.cumsum(np.where(common, 1.0, -loss))))
-    low = np.minimum.accumulate(s[: len(s) - least])
-    j = int(np.argmax(s[least:] - low))
-    return int(np.argmin(s[: j + 1])), j + least
+    start = np.where(common[: len(common) - least + 1], s[: len(s) - least], np.inf)
+    gain = np.where(common[least - 1 :], s[least:] - np.minimum.accumulate(start), -np.inf)
+    j = int(np.argmax(gain))
+    return (int(np.argmin(start[: j + 1])), j + least) if np.isfinite(gain[j]) else (0, 0)
 
 
 def dense(common: np.ndarray, loss: float, least: int) -> bool:
@@ -313,51 +315,67 @@ def dense(common: np.ndarray, loss: float, least: int) -> bool:
 
 
 def accepted(a: np.ndarray, b: np.ndarray, width: int, threshold: float) -> Iterator[tuple[int, int]]:
-    """The stretches [i, j) of a that are near-duplicates of stretches of b: the densest one, then those before and after it; around a failed one too."""
+    """The stretches [i, j) of a that are near-duplicates of stretches of b: the densest one, then those before and after it; if it fails, those of either half.
+
+    Each part of a is held against the part of b that has most of its shingles, so the work goes down with the parts.
+    """
     share = 2 * threshold / (1 + threshold)  # of common shingles at the threshold, for sides of equal size
     # stretches that are dense on this side; if they don't make it, denser ones; at last those with the fewest gaps
     losses = (*(x / (1 - x) for x in (threshold, share) if x < 1), 1e3)
     kinds, at = np.unique(np.concatenate((a, b)), return_inverse=True)
     a, b = at[: len(a)], at[len(a) :]
+    order = np.argsort(b, kind="stable")
+    first = np.searchsorted(b[order], np.arange(len(kinds) + 1))
 
     def there(x: np.ndarray) -> np.ndarray:
         flags = np.zeros(len(kinds), bool)
         flags[x] = True
         return flags
 
-    shared, open_ = there(b)[a], [(0, len(a))]
-    seen = set(open_)
+    def beside(x: np.ndarray) -> np.ndarray:
+        """The part of b that has most of x's shingles in twice its length."""
+        k = np.flatnonzero(there(x))
+        n = first[k + 1] - first[k]
+        pos = np.sort(order[np.repeat(first[k], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)])
+        if not len(pos):
+            return b[:0]
+        room = 2 * max(len(x), width)
+        best = int((np.searchsorted(pos, pos + room) - np.arange(len(pos))).argmax())
+        return b[max(0, pos[best] - width) : pos[best] + room + width]
+
+    # where nothing is common for longer than a passage's gaps can be, no passage goes on
+    common = np.flatnonzero(first[a + 1] > first[a])
+    cuts = np.flatnonzero(np.diff(common) > width) + 1
+    open_ = [(int(c[0]), int(c[-1]) + 1) for c in np.split(common, cuts) if len(c) >= threshold * width]
+    shared = first[a + 1] > first[a]
     while open_:
         i, j = open_.pop()
-        x, tried = a[i:j], []
-        # a result needs a stretch on either side with the threshold's share of common shingles, and on one side with that of equal sides
-        if not dense(shared[i:j], losses[0], width):
+        if j - i < width or not dense(shared[i:j], losses[0], width):
             continue
-        sides = shared[i:j], there(x)[b]
-        if not (dense(sides[1], losses[0], width) and any(dense(z, losses[-2], width) for z in sides)):
+        x = a[i:j]
+        y = beside(x)
+        # a result needs a stretch on either side with the threshold's share of common shingles, and on one side with that of equal sides
+        sides = there(y)[x], there(x)[y]
+        if not (all(dense(z, losses[0], width) for z in sides) and any(dense(z, losses[-2], width) for z in sides)):
+            if j - i > 4 * width:
+                open_ += [(i, (i + j + width) // 2), ((i + j - width) // 2, j)]
             continue
+        done = False
         for loss in losses:
-            p, q = densest(shared[i:j], loss, width)
-            tried.append((p, q))
-            one = there(x[p:q])
-            u, v = densest(one[b], loss, width)
-            two = there(b[u:v])
+            p, q = densest(sides[0], loss, width)
+            u, v = densest(there(x[p:q])[y], loss, width)
+            two = there(y[u:v])
             core = np.flatnonzero(two[x[p:q]])  # a passage begins and ends with words that both have
-            if v - u < width or not len(core) or core[-1] - core[0] < width - 1:
+            if not len(core) or core[-1] - core[0] < width - 1:
                 continue
             p, q = p + int(core[0]), p + int(core[-1]) + 1
             one = there(x[p:q])
-            if np.count_nonzero(one & two) >= threshold * np.count_nonzero(one | two) - 1e-9:
+            if done := bool(np.count_nonzero(one & two) >= threshold * np.count_nonzero(one | two) - 1e-9):
                 yield i + p, i + q
-                open_ += [z for z in ((i, i + p), (i + q, j)) if z[1] - z[0] >= width]
+                open_ += [(i, i + p), (i + q, j)]
                 break
-        else:  # none is accepted: what lies around the densest stretches, and the halves of what is left, may be
-            half = (i + j) // 2
-            parts = [(i, half + width // 2), (half - width // 2, j)] if j - i > 2 * width else []
-            for p, q in dict.fromkeys(tried):
-                parts += [(i, i + p), (i + q, j)]
-            open_ += [z for z in dict.fromkeys(parts) if z[1] - z[0] >= width and z not in seen]
-            seen.update(parts)
+        if not done and j - i > 2 * width:
+            open_ += [(i, (i + j + width) // 2), ((i + j - width) // 2, j)]
 
 
 def places(first: dict[str, np.ndarray], second: dict[str, np.ndarray], width: int, agree: int) -> list[tuple[int, int, int, int]]:

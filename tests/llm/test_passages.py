@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import random
+
 import numpy as np
+import pytest
 
+from cirrolite.llm import passages as passages_module
 from cirrolite.llm.passages import accepted, cut_passages, partners
 from cirrolite.llm.shingles import shingle_hashes, word_hashes
 
@@ -56,3 +60,50 @@ def test_passage_beside_a_denser_stretch_that_fails():
     a, b = (shingle_hashes(word_hashes(t.encode())) for t in (later, earlier))
     found = list(accepted(a, b, 46, 0.75))
     assert any(i <= 110 and j >= 166 for i, j in found) and all(j - i >= 46 for i, j in found)
+
+
+def families(count: int, size: int, edits: int, words: int) -> list[tuple[int, str]]:
+    """Families of documents that share a passage, each copy with edits of its own."""
+    r, rows = random.Random(0), []
+    for f in range(count):
+        base = cases.prose(words, 100_000 + f).split()
+        for k in range(size):
+            w = list(base)
+            for e in range(edits):
+                w[r.randrange(words)] = f"edit{f}x{k}x{e}"
+            i = f * size + k
+            rows.append((i, f"{cases.prose(60, 10_000_000 + i)} {' '.join(w)} {cases.prose(60, 20_000_000 + i)}"))
+    return rows
+
+
+def near_by_brute_force(rows: list[tuple[int, str]], size: int, words: int, width: int = 46) -> set[int]:
+    """Documents of which a stretch of at least 50 words lies at a similarity of 0.75 or more to the stretch at the same place of an earlier member."""
+    grams = {i: [tuple(t.split()[60 + j : 65 + j]) for j in range(words - 4)] for i, t in rows}
+    found = set()
+    for i, _ in rows:
+        for b in range(i // size * size, i):
+            s = np.concatenate(([0], np.cumsum([x == y for x, y in zip(grams[i], grams[b])])))
+            if any((m := (s[w:] - s[:-w]).max()) >= 0.75 * (2 * w - m) for w in range(width, len(s))):
+                found.add(i)
+                break
+    return found
+
+
+@pytest.mark.parametrize("count, size, edits, words, least", [(10, 30, 3, 100, 0.95), (10, 30, 1, 60, 0.95), (100, 2, 2, 80, 0.9)])
+def test_recall_of_near_passages(spark, count, size, edits, words, least):
+    rows = families(count, size, edits, words)
+    want = near_by_brute_force(rows, size, words)
+    got = {r["doc_id"]: r["n_removed"] for r in cut_passages(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert len(want) > 50 and sum(got[i] >= 40 for i in want) >= least * len(want)
+    assert not {i for i, n in got.items() if n} - want
+
+
+def test_tiles_of_a_hot_key(monkeypatch):
+    """A key that many documents share is marked with its number of tiles."""
+    rows = families(1, 60, 2, 90)
+    monkeypatch.setattr(passages_module, "TILE", 7)
+    windows = [shingle_hashes(word_hashes(t.encode())) for _, t in rows]
+    e = np.concatenate([np.array([(1, i, len(w) // 2, 45, 45)], passages_module.ENTRY) for (i, _), w in zip(rows, windows)])
+    keys = [b for b in passages_module._shared(iter([passages_module.pack(e, np.zeros(len(e), np.int64))]))]
+    tiles = np.frombuffer(keys[0].column("keys")[0].as_py(), passages_module.KEY)["key"][0] >> np.uint64(48)
+    assert tiles == 9
