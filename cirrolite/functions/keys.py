@@ -41,8 +41,9 @@ class Universe:
         return ordinal * size, (ordinal + 1) * size
 
     def compatible(self, other: Universe) -> bool:
-        """The same version must mean the same layout."""
-        return self == other if self.version == other.version else False
+        """The same version must mean the same layout; other versions may have any."""
+        layout = lambda u: (u.radars, u.elevations, u.azimuths, u.bands)
+        return self.version != other.version or layout(self) == layout(other)
 
 
 def bucket_of(source: Column, sources: int, buckets: int) -> Column:

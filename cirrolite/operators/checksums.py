@@ -110,8 +110,8 @@ def chronology(events: DataFrame, order: list[str], slices: int = 64) -> DataFra
     return parts.groupBy().applyInPandas(whole, "events bigint, checksum string")
 
 
-def sampled_checksum(events: DataFrame, samples: int = 16) -> DataFrame:
-    """Adds work: the low 20 bits of a fold over an event's numbers and up to `samples` bytes from both ends of its payload."""
+def sampled_checksum(events: DataFrame, samples: int = 16, keep: str = "event_seq") -> DataFrame:
+    """(keep, work): the low 20 bits of a fold over an event's numbers and up to `samples` bytes from both ends of its payload, big-endian words of word_size bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -120,16 +120,18 @@ def sampled_checksum(events: DataFrame, samples: int = 16) -> DataFrame:
                 h = fold(h, b.column(c).to_numpy(zero_copy_only=False), n)
             gates = b.column("gates")
             flat, at = gates.flatten().to_numpy(zero_copy_only=False), gates.offsets.to_numpy() - gates.offsets[0].as_py()
-            size = np.diff(at)
+            word = b.column("word_size").to_numpy(zero_copy_only=False).astype(np.int64) // 8
+            size = np.diff(at) * word
             step = np.maximum(1, size // samples)
             for k in range(samples):
                 i = np.minimum(size - 1, k * step)
                 some = size > 0
                 for j in (i, size - 1 - i):
-                    h[some] = fold(h[some], flat[(at[:-1] + j)[some]], 1)
-            yield pa.RecordBatch.from_arrays([b.column("event_seq"), pa.array((h & np.uint64(0xFFFFF)).astype(np.int64))], ["event_seq", "work"])
+                    value = flat[(at[:-1] + j // word)[some]] >> (8 * (word - 1 - j % word))[some]
+                    h[some] = fold(h[some], value & 255, 1)
+            yield pa.RecordBatch.from_arrays([b.column(keep), pa.array((h & np.uint64(0xFFFFF)).astype(np.int64))], [keep, "work"])
 
-    return events.select("event_seq", "message_ticks", "volume_ticks", "radial_seq", "gate_count", "raw_sum", "gates").mapInArrow(run, "event_seq bigint, work bigint")
+    return events.select(keep, "message_ticks", "volume_ticks", "radial_seq", "gate_count", "raw_sum", "gates", "word_size").mapInArrow(run, f"{keep} bigint, work bigint")
 
 
 def detailed(events: DataFrame) -> DataFrame:

@@ -101,11 +101,13 @@ def _folded(events: DataFrame, h: Handler) -> DataFrame:
 
 
 def deltas(events: DataFrame, handlers: list[Handler]) -> DataFrame:
-    """Partial aggregates of each batch: (sequence, source_id, handler, field, value)."""
+    """Partial aggregates of each batch: (sequence, source_id, handler, field, value). The value is a double if a field of the set is one, else a bigint."""
     if posture(handlers) != "Merge":
         raise ValueError("only mergeable handlers have deltas")
-    wide = events.groupBy(F.col("batch_seq").alias("sequence"), "source_id").agg(*[make().cast("bigint").alias(f) for h in handlers for f, (_, make) in h.fields.items()])
-    cells = [F.struct(F.lit(h.name).alias("handler"), F.lit(f).alias("field"), F.col(f).alias("value")) for h in handlers for f in h.fields]
+    kinds = {f: kind for h in handlers for f, (kind, _) in h.fields.items()}
+    both = "double" if "double" in kinds.values() else "bigint"
+    wide = events.groupBy(F.col("batch_seq").alias("sequence"), "source_id").agg(*[make().cast(kinds[f]).alias(f) for h in handlers for f, (_, make) in h.fields.items()])
+    cells = [F.struct(F.lit(h.name).alias("handler"), F.lit(f).alias("field"), F.col(f).cast(both).alias("value")) for h in handlers for f in h.fields]
     return wide.select("sequence", "source_id", F.explode(F.array(*cells)).alias("x")).select("sequence", "source_id", "x.*")
 
 
@@ -116,7 +118,7 @@ def merged(delta_rows: DataFrame) -> DataFrame:
 def applied(state: DataFrame, values: DataFrame, contract_rows: DataFrame) -> DataFrame:
     """state (handler, source_id, field, value) with merged values put in; fields outside the contract raise when the rows are computed."""
     known = contract_rows.select("handler", "field", F.lit(True).alias("known"))
-    new = values.join(known, ["handler", "field"], "left").withColumn("value", F.when(F.col("known"), F.col("value")).otherwise(F.raise_error(F.concat(F.lit("unknown field "), F.col("field"))).cast("bigint"))).drop("known")
+    new = values.join(known, ["handler", "field"], "left").withColumn("value", F.when(F.col("known"), F.col("value")).otherwise(F.raise_error(F.concat(F.lit("unknown field "), F.col("field"))).cast(dict(values.dtypes)["value"]))).drop("known")
     both = state.withColumnRenamed("value", "old").join(new, ["handler", "source_id", "field"], "full")
     return both.select("handler", "source_id", "field", F.coalesce("value", "old").alias("value"))
 

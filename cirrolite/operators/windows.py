@@ -37,7 +37,8 @@ def rolling_pressure(samples: DataFrame, key: str, seq: str, score: str, size: i
 
 
 def capped_prefix(files: DataFrame, order: list[str], most_files: int, most_bytes: int) -> DataFrame:
-    """Files in order until a limit would be passed; nothing after that file. The order needs one sorted run, so select columns first."""
+    """Files in order until a limit would be passed; nothing after that file. No more than the first most_files files can be among them, so only those meet in the window."""
+    files = files.orderBy(*order).limit(most_files)
     by = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     rows = files.withColumn("n", F.count("*").over(by)).withColumn("total_bytes", F.sum("size_bytes").over(by))
     return rows.filter((F.col("n") <= most_files) & (F.col("total_bytes") <= most_bytes))

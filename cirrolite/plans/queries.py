@@ -577,10 +577,11 @@ def va2_processing_check(spark, d):
     return good.withColumn("error", F.lit(None).cast("string")).unionByName(bad)
 
 
-@query(f"""WITH {SHAKEN_SQL}, st AS (SELECT source_id, max(t) AS m FROM z WHERE batch_seq < 20 GROUP BY 1), dl AS (SELECT batch_seq, source_id, min(t) AS first_ticks FROM z WHERE batch_seq >= 20 GROUP BY 1, 2) SELECT batch_seq, source_id, first_ticks, m AS stored_ticks FROM dl JOIN st USING (source_id) WHERE first_ticks < m""")
+@query(f"""WITH {SHAKEN_SQL}, lz AS (SELECT batch_seq, source_id, CASE WHEN event_seq % 5 = 0 THEN t - 50000000000000 ELSE t END AS t FROM z), st AS (SELECT source_id, max(t) AS m FROM z WHERE batch_seq < 2 GROUP BY 1), dl AS (SELECT batch_seq, source_id, min(t) AS first_ticks FROM lz WHERE batch_seq >= 2 GROUP BY 1, 2) SELECT batch_seq, source_id, first_ticks, m AS stored_ticks FROM dl JOIN st USING (source_id) WHERE first_ticks < m""")
 def va3_commit_check(spark, d):
     z = shaken(spark, d)
-    found = validation.commit_errors(rollups.batch_deltas(z.filter("batch_seq >= 20")), rollups.source_rollup(z.filter("batch_seq < 20")))
+    late = z.filter("batch_seq >= 2").withColumn("message_ticks", F.when(F.col("event_seq") % 5 == 0, F.col("message_ticks") - 50_000_000_000_000).otherwise(F.col("message_ticks")))
+    found = validation.commit_errors(rollups.batch_deltas(late), rollups.source_rollup(z.filter("batch_seq < 2")))
     return found.select("batch_seq", "source_id", "first_ticks", "stored_ticks")
 
 
@@ -609,6 +610,11 @@ def ud3_handler_snapshots(spark, d):
     return handlers.snapshots(stream_events(spark, d), handlers.handler_set("CounterChecksum"))
 
 
+@query(f"WITH {VALUES_SQL} SELECT source_id, field, x AS int64_value FROM u ORDER BY source_id, field")
+def so3_value_order(spark, d):
+    return handlers.snapshots(stream_events(spark, d), [handlers.COUNTER]).select("source_id", "field", "int64_value").orderBy("source_id", "field")
+
+
 @query(f"WITH {VALUES_SQL} SELECT 'CounterChecksum' AS handler, source_id, field, x AS value FROM u")
 def ud5_delta_merge(spark, d):
     return handlers.merged(handlers.deltas(stream_events(spark, d), handlers.handler_set("CounterChecksum")))
@@ -622,9 +628,8 @@ def ud6_counter_handler(spark, d):
 
 @query()
 def ud7_heavy_handler(spark, d):
-    v = checksums.detailed(stream_events(spark, d))
-    work = checksums.sampled_checksum(v)
-    return handlers.snapshots(v.join(work, "event_seq"), [handlers.HEAVY])
+    work = checksums.sampled_checksum(checksums.detailed(stream_events(spark, d)), keep="source_id")
+    return handlers.snapshots(work, [handlers.HEAVY])
 
 
 @query(f"WITH {V_STREAM} SELECT source_id, count(*) AS n FROM v GROUP BY 1")

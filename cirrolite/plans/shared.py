@@ -11,6 +11,8 @@ from pyspark.sql import SparkSession
 def work_folder(spark: SparkSession) -> str:
     """A new folder under spark.checkpoint.dir; under a temporary one where the session names none (local runs only)."""
     base = spark.conf.get("spark.checkpoint.dir", None) or getattr(spark, "_cirrolite_work", None)
+    if not base and not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if not base:
         base = spark._cirrolite_work = tempfile.mkdtemp(prefix="cirrolite-")
     return f"{base.rstrip('/')}/cirrolite-run-{uuid.uuid4().hex}"

@@ -115,6 +115,19 @@ def messages(files: DataFrame) -> DataFrame:
 BLOCKS_DDL = "path string, record_seq bigint, message_seq bigint, message_ms bigint, radial_status int, elevation_number int, moment_name string, gate_count int, first_km float, spacing_km float, word_size int, scale float, offset float, gates array<int>"
 
 
+def pointed(m: bytes) -> Iterator[tuple[int, bytes]]:
+    """Place and four-letter name of each block that a radial message points to."""
+    if len(m) < RADIAL_HEADER:
+        return
+    n = struct.unpack_from(">H", m, 18)[0]
+    end = min(len(m), n) if n else len(m)
+    count = struct.unpack_from(">H", m, 30)[0]
+    for i in range(min(count, MOST_POINTERS, (end - POINTERS) // 4)):
+        (p,) = struct.unpack_from(">i", m, POINTERS + 4 * i)
+        if 0 < p <= end - 4:
+            yield p, m[p : p + 4]
+
+
 def blocks_of(m: bytes) -> Iterator[tuple]:
     """The moment blocks of a radial message."""
     if len(m) < RADIAL_HEADER:
@@ -166,8 +179,15 @@ def message_histogram(message_rows: DataFrame) -> DataFrame:
 
 def constant_blocks(message_rows: DataFrame) -> DataFrame:
     """How many radial messages carry the constant blocks RVOL, RELV and RRAD."""
-    has = lambda n: F.count_if(F.instr(F.hex("body"), n) > 0)
-    return message_rows.filter("message_type = 31").agg(has("52564F4C").alias("volume"), has("52454C56").alias("elevation"), has("52524144").alias("radial"))
+
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            names = [{name for _, name in pointed(m)} for m in b.column("body").to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array([n in found for found in names], pa.bool_()) for n in (b"RVOL", b"RELV", b"RRAD")], ["volume", "elevation", "radial"])
+
+    has = message_rows.filter("message_type = 31").select("body").mapInArrow(run, "volume boolean, elevation boolean, radial boolean")
+    return has.agg(*[F.count_if(F.col(c)).alias(c) for c in ("volume", "elevation", "radial")])
 
 
 def inventory(files: DataFrame) -> DataFrame:

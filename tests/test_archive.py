@@ -93,3 +93,15 @@ def test_keys_and_manifest(spark, folder, tmp_path):
     archive.write_manifest(files, str(tmp_path / "m"))
     assert archive.read_manifest(spark, str(tmp_path / "m")).drop("lastModified", "volumeTimestamp").collect() == files.drop("lastModified", "volumeTimestamp").collect()
     assert archive.of_radars(spark.createDataFrame([("KTLX",), ("KINX",)], "radar_id string"), spark.createDataFrame([], "radar_id string")).count() == 2
+
+
+def test_constant_blocks_by_pointers(spark):
+    """Names count where a pointer leads, not in gate data or across half bytes."""
+    whole = radial(1, [b"RVOL" + bytes(40), b"RRAD" + bytes(24), block_of_gates()], 5)
+    other = radial(1, [b"RELV" + bytes(8), block_of_gates()], 6)
+    m = spark.createDataFrame([(31, bytearray(whole)), (31, bytearray(other)), (31, bytearray(radial(1, [block_of_gates()], 7))), (2, bytearray(whole))], "message_type int, body binary")
+    assert archive.constant_blocks(m).first() == (1, 1, 1)
+
+
+def block_of_gates() -> bytes:
+    return block(b"REF", list(b"RVOLRELVRRAD"), 8, 2.0, 66.0)

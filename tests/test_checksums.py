@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import struct
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from cirrolite.operators import checksums as C
@@ -66,12 +68,14 @@ def test_chronology_does_not_depend_on_slices(spark):
         assert (got["events"], got["checksum"]) == (len(rows), f"{h:016x}")
 
 
-def test_sampled(spark):
+@pytest.mark.parametrize("word", [8, 16])
+def test_sampled(spark, word):
     v = C.detailed(stream_events(spark, DATA).filter("event_seq < 300"))
+    v = v.withColumn("word_size", F.lit(word)).withColumn("gates", F.transform("gates", lambda g: g * (257 if word == 16 else 1) % (1 << word)))
     got = {r["event_seq"]: r["work"] for r in C.sampled_checksum(v).collect()}
     for r in v.collect():
         h = fnv(struct.pack("<qqiqq", r["message_ticks"], r["volume_ticks"], r["radial_seq"], r["gate_count"], r["raw_sum"]))
-        p = r["gates"]
+        p = struct.pack(f">{len(r['gates'])}{'H' if word == 16 else 'B'}", *r["gates"])
         step = max(1, len(p) // 16)
         for k in range(16):
             i = min(len(p) - 1, k * step)

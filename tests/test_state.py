@@ -27,6 +27,7 @@ def test_universe():
     u = K.Universe(1, 32, 720, 1)
     assert u.sources == 23040 and u.radar_block(0) == (0, 23040)
     assert u.compatible(K.Universe(1, 32, 720, 1)) and not u.compatible(K.Universe(1, 32, 720, 2))
+    assert u.compatible(K.Universe(1, 32, 720, 1, version=2)) and u.compatible(K.Universe(1, 32, 720, 2, version=2))
 
 
 def test_big_endian_gates(spark):
@@ -138,3 +139,10 @@ def test_deltas_arrive_in_any_order(spark, tmp_path):
     assert sorted(r["sequence"] for r in got.collect()) == [0, 1, 2]
     assert [r["value"] for r in spark.read.parquet(str(tmp_path / "rejected")).collect()] == [9]
     assert windows.blocking(got).first()["blocking_sequence"] == 3
+
+
+def test_deltas_keep_doubles(spark):
+    h = handlers.Handler("Mean", {"half": ("double", lambda: F.sum(F.col("gate_count") * 0.5)), "rows": ("bigint", lambda: F.count("*"))}, handlers.MERGEABLE)
+    rows = spark.createDataFrame([(0, 1, 1), (0, 1, 2), (1, 1, 4)], "batch_seq bigint, source_id bigint, gate_count int")
+    got = {r["field"]: r["value"] for r in handlers.merged(handlers.deltas(rows, [h])).collect()}
+    assert got == {"half": 3.5, "rows": 3.0}
