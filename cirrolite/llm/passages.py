@@ -276,14 +276,19 @@ def _pairs(width: int, threshold: float):
             found = [np.empty((0, 2), np.int64)]
             for some in _key_runs(e["key"], 1 << 13):
                 near = np.ascontiguousarray(e["near"][some]).view("<u4").reshape(some.stop - some.start, -1)
-                found.append(np.unique(partners(e["key"][some], e["doc"][some], near, least), axis=0))
-            rows = np.unique(np.concatenate(found), axis=0)
+                found.append(_distinct(partners(e["key"][some], e["doc"][some], near, least)))
+            rows = _distinct(np.concatenate(found))
             for i in range(0, len(rows), 1 << 20):
                 yield pa.RecordBatch.from_arrays([pa.array(rows[i : i + (1 << 20), 0]), pa.array(rows[i : i + (1 << 20), 1])], ["a", "b"])
 
     return run
 
 
+def _distinct(pairs: np.ndarray) -> np.ndarray:
+    pairs = pairs[np.lexsort((pairs[:, 1], pairs[:, 0]))]
+    return pairs[np.concatenate(([True], (pairs[1:] != pairs[:-1]).any(1)))] if len(pairs) else pairs
+
+
 def _key_runs(key: np.ndarray, step: int) -> Iterator[slice]:
     """Slices of whole keys, of about `step` rows or one key."""
     head = np.append(np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))), len(key)) if len(key) else np.zeros(1, np.int64)
@@ -310,6 +315,8 @@ def dense(common: np.ndarray, loss: float, least: int) -> bool:
     """Whether the sum of some stretch of at least `least` shingles is not negative."""
     if len(common) < least:
         return False
+    if common.all():
+        return True
     s = np.concatenate(([0.0], np.cumsum(np.where(common, 1.0, -loss))))
     return bool((s[least:] >= np.minimum.accumulate(s[: len(s) - least]) - 1e-9).any())
 
@@ -353,6 +360,10 @@ def accepted(a: np.ndarray, b: np.ndarray, width: int, threshold: float) -> Iter
         if j - i < width or not dense(shared[i:j], losses[0], width):
             continue
         x = a[i:j]
+        p = order[first[x[0]]] if shared[i] else 0
+        if np.array_equal(b[p : p + len(x)], x):  # word for word
+            yield i, j
+            continue
         y = beside(x)
         # a result needs a stretch on either side with the threshold's share of common shingles, and on one side with that of equal sides
         sides = there(y)[x], there(x)[y]
