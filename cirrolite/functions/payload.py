@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: Ticks of 100 ns from the first day of year 1 to 1970.
+EPOCH_TICKS = 621355968000000000
 STATUS = ["Valid", "BelowThreshold", "RangeFolded", "ClutterFilterNotApplied", "PointClutterFilterApplied", "DualPolarizationFiltered", "Reserved", "Unsupported"]
 
 
@@ -51,6 +53,30 @@ def band_slices(gates: str = "gates", bands: int = 4) -> Column:
     return F.filter(F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), cell), lambda s: F.size(s.gates) > 0)
 
 
+def elevation_slot(elevation: Column) -> Column:
+    return F.greatest(elevation - 1, F.lit(0))
+
+
+def azimuth_bucket(radial_seq: Column, buckets: int) -> Column:
+    """Radials in order (from 1) fill the buckets in turn."""
+    return (radial_seq - 1) % buckets
+
+
+def slice_error(payload: Column, offset: Column, length: Column, gates: Column, word_size: Column) -> Column:
+    """Why an event's payload can't be taken from its batch's, else null."""
+    whole = F.length(payload)
+    return (
+        F.when(~word_size.isin(8, 16), "word size").when(length != expected_length(gates, word_size), "length").when(length <= 0, "empty")
+        .when((offset < 0) | (offset > whole) | (length > whole - offset), "outside")
+    )
+
+
+def payload_slice(payload: Column, offset: Column, length: Column, gates: Column, word_size: Column) -> Column:
+    """An event's bytes; a slice that can't be taken is an error when the row is computed."""
+    error = slice_error(payload, offset, length, gates, word_size)
+    return F.when(error.isNull(), F.substring(payload, offset + 1, length)).otherwise(F.raise_error(F.concat(F.lit("payload slice: "), error)).cast("binary"))
+
+
 def pressure(events: Column, values: Column, checksum: Column, weights: tuple[float, float, float] = (1.0, 0.001, 0.0)) -> Column:
     return events * F.lit(weights[0]) + values * F.lit(weights[1]) + checksum * F.lit(weights[2])
 

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
-def assign_ids(rows: DataFrame, text: str, order: str) -> DataFrame:
+def assign_ids(rows: DataFrame, text: str, order: str | Column) -> DataFrame:
     """(text, id): ids from 0 in order of the smallest `order` of each text. Only distinct texts reach the ranking window."""
     seen = rows.groupBy(F.col(text).alias("text")).agg(F.min(order).alias("first_seen"))
     return seen.select("text", (F.row_number().over(Window.orderBy("first_seen", "text")) - 1).cast("bigint").alias("id"), "first_seen")
@@ -32,9 +34,11 @@ def delta(catalog: DataFrame, since: int, until: int) -> DataFrame:
 
 
 def apply_delta(base: DataFrame, change: DataFrame, since: int) -> DataFrame:
-    """base must be the snapshot that the delta starts from."""
+    """base must be the snapshot that the delta starts from; where both name their catalog (column catalog), the names must be the same."""
     if base.count() != since - 1:
         raise ValueError(f"the delta starts at version {since}, the snapshot is another one")
+    if "catalog" in base.columns and "catalog" in change.columns and base.select("catalog").union(change.select("catalog")).distinct().limit(2).count() > 1:
+        raise ValueError("the delta is of another catalog")
     return base.unionByName(change)
 
 
@@ -54,17 +58,39 @@ def combined_versions(rows: DataFrame, kinds: dict[str, str], order: str) -> Dat
     return first.select((F.row_number().over(by) + 1).cast("bigint").alias("version"), "kind", "text", *[F.count_if(F.col("kind") == k).over(upto).alias(f"{k}_count") for k in kinds.values()])
 
 
-def normalise(rows: DataFrame, radar: str, moment: str, universe) -> DataFrame:
-    """Adds error (the first of the ordered rules that fails, else null) and source_id."""
+#: Fixed value: ids and dimensions of an event are unsigned 16-bit numbers.
+MOST_ID = 65_535
+
+
+def normalise(rows: DataFrame, radar: str, moment: str, universe, order: str | Column = "event_seq", most: int = MOST_ID) -> DataFrame:
+    """Adds error (the first of the ordered rules that fails, else null), radar_ordinal, moment_id and source_id.
+
+    Texts and dimensions are checked first. Radars of the rows that pass register in order of their first row, as far as the universe has room; moments
+    register from rows whose radar did. Only distinct texts are ranked, so the catalogs stay small.
+    """
     from ..functions.payload import identity_error
 
-    outside = lambda c, n: ~F.coalesce(F.col(c).between(0, n - 1), F.lit(False))
-    error = (
-        F.when(identity_error(F.col(radar), 4, 4, "A-Z0-9").isNotNull(), "InvalidRadar").when(identity_error(F.col(moment), 1, 8, "A-Z0-9_").isNotNull(), "InvalidMoment")
-        .when(outside("elevation_slot", universe.elevations), "ElevationOutside").when(outside("azimuth_bucket", universe.azimuths), "AzimuthOutside")
-        .when(outside("range_band", universe.bands), "RangeBandOutside").when(outside("radar_ordinal", universe.radars), "RadarCapacity")
+    dims = {"elevation_slot": universe.elevations, "azimuth_bucket": universe.azimuths, "range_band": universe.bands}
+    outside = ~F.coalesce(_all(F.col(c).between(0, n - 1) for c, n in dims.items()), F.lit(False))
+    text = (
+        F.when(identity_error(F.col(radar), 4, 4, "A-Z0-9").isNotNull(), "InvalidRadarCode").when(identity_error(F.col(moment), 1, 8, "A-Z0-9_").isNotNull(), "InvalidMomentName")
+        .when(outside, "SourceOutOfRange").when(~_all(F.col(c) <= most for c in dims), "SourceDimensionOutsideStreamEventRange")
     )
-    return rows.withColumn("error", error).withColumn("source_id", F.when(F.col("error").isNull(), universe.encode()))
+    ok = F.when(F.col("error").isNull(), F.col(radar))
+    rows = rows.drop("radar_ordinal", "moment_id", "source_id").withColumn("error", text)
+    radars = assign_ids(rows.filter("error is null"), radar, order).select(F.col("text").alias("_radar"), F.col("id").alias("radar_ordinal"))
+    rows = rows.join(radars, ok == F.col("_radar"), "left").drop("_radar")
+    room = F.when(F.col("radar_ordinal") >= universe.radars, "RadarOrdinalOutsideSourceUniverse").when(F.col("radar_ordinal") > most, "RadarOrdinalOutsideStreamEventRange")
+    rows = rows.withColumn("error", F.coalesce("error", room))
+    moments = assign_ids(rows.filter("error is null"), moment, order).select(F.col("text").alias("_moment"), F.col("id").alias("moment_id"))
+    rows = rows.join(moments, F.when(F.col("error").isNull(), F.col(moment)) == F.col("_moment"), "left").drop("_moment")
+    rows = rows.withColumn("error", F.coalesce("error", F.when(F.col("moment_id") > most, "MomentIdOutsideStreamEventRange")))
+    good = lambda c: F.when(F.col("error").isNull(), c)
+    return rows.withColumn("radar_ordinal", good(F.col("radar_ordinal"))).withColumn("moment_id", good(F.col("moment_id"))).withColumn("source_id", good(universe.encode()))
+
+
+def _all(conditions) -> Column:
+    return reduce(lambda a, b: a & b, conditions)
 
 
 def normal_ids(rows: DataFrame, column: str) -> Column:

@@ -1,9 +1,9 @@
-"""Load bands with hysteresis and the health of keys. Each depends on its own previous result, so keys fold in order of their samples."""
+"""Load bands with hysteresis and the health of keys. Each depends on the samples of its key before it."""
 
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -20,32 +20,16 @@ def next_band(score: float, previous: str, scale: float = 1.0, cold: float = 0.0
     return "Cold" if score <= cold else "Normal"
 
 
-def bands_of(scores: Column, scale: float = 1.0, cold: float = 0.0) -> Column:
-    """The bands of an array of scores in order, in the JVM: a fold that carries the band."""
+def hysteresis(samples: DataFrame, key: str, seq: str, score: str, scale: float = 1.0, cold: float = 0.0) -> DataFrame:
+    """Adds band to each sample.
 
-    def step(acc, x):
-        last = F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(1))
-        up = F.lit(None).cast("int")
-        for band in ("Warm", "Hot", "SuperHot"):
-            r = RANK[band]
-            up = F.when((x >= ENTER[band] * scale) | ((last >= r) & (x >= EXIT[band] * scale)), r).otherwise(up)
-        return F.concat(acc, F.array(F.coalesce(up, F.when(x <= cold, 0).otherwise(1))))
-
-    names = F.array(*[F.lit(b) for b in RANK])
-    return F.transform(F.aggregate(scores, F.array().cast("array<int>"), step), lambda r: F.element_at(names, r + 1))
-
-
-def hysteresis(samples: DataFrame, key: str, seq: str, score: str, scale: float = 1.0) -> DataFrame:
-    """Adds band to each sample."""
-
-    def one(frame: pd.DataFrame) -> pd.DataFrame:
-        frame, band, out = frame.sort_values(seq), "Normal", []
-        for x in frame[score]:
-            band = next_band(x, band, scale)
-            out.append(band)
-        return frame.assign(band=out)
-
-    return samples.groupBy(key).applyInPandas(one, ", ".join(f"`{n}` {t}" for n, t in samples.dtypes) + ", band string")
+    Whether a key is at a level or above it depends on that level's thresholds alone: the last sample that reached the enter threshold or fell below the
+    exit threshold decides. So the bands are three window functions, and no state runs through Python.
+    """
+    by = Window.partitionBy(key).orderBy(seq).rowsBetween(Window.unboundedPreceding, 0)
+    x = F.col(score)
+    at = {b: F.last(F.when(x >= ENTER[b] * scale, True).when(x < EXIT[b] * scale, False), ignorenulls=True).over(by) for b in ENTER}
+    return samples.withColumn("band", F.when(at["SuperHot"], "SuperHot").when(at["Hot"], "Hot").when(at["Warm"], "Warm").when(x <= cold, "Cold").otherwise("Normal"))
 
 
 def evaluate(state: dict, seq: int, observed: str, band: str, pressure: float, cooling: int = 3, ttl: int = 64, change: float = 0.25) -> str | None:

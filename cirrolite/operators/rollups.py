@@ -33,11 +33,11 @@ def assignments(spark: SparkSession, sources: int, buckets: int, shards: int) ->
 
 
 def bucket_load(events: DataFrame, sources: int, buckets: int, shards: int) -> DataFrame:
-    """Counts per key bucket; buckets without events are there with zeros."""
-    spark = events.sparkSession
-    got = events.groupBy(bucket_of(F.col("source_id"), sources, buckets).alias("bucket_id")).agg(F.count("*").alias("n"), F.sum("gate_count").alias("v"), F.sum("raw_sum").alias("c"), F.countDistinct("source_id").alias("s"))
+    """Counts per key bucket; buckets without events are there with zeros. Sources are summed first, so their number needs no distinct count."""
+    each = source_rollup(events).groupBy(bucket_of(F.col("source_id"), sources, buckets).alias("bucket_id"))
+    got = each.agg(F.sum("event_count").alias("n"), F.sum("value_count").alias("v"), F.sum("raw_checksum").alias("c"), F.count("source_id").alias("s"))
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("bigint")
-    return assignments(spark, sources, buckets, shards).join(got, "bucket_id", "left").select("bucket_id", "shard_id", zero("n").alias("event_count"), zero("v").alias("value_count"), zero("c").alias("raw_checksum"), zero("s").alias("active_sources"))
+    return assignments(events.sparkSession, sources, buckets, shards).join(got, "bucket_id", "left").select("bucket_id", "shard_id", zero("n").alias("event_count"), zero("v").alias("value_count"), zero("c").alias("raw_checksum"), zero("s").alias("active_sources"))
 
 
 def shard_load(events: DataFrame, sources: int, buckets: int, shards: int) -> DataFrame:
@@ -84,25 +84,33 @@ def unevenness(gates: DataFrame, kinds: dict[str, str]) -> DataFrame:
         F.max_by("bucket", F.struct(F.col("share"), -F.col("bucket"))).alias("most_bucket"), F.max("share").alias("most_share"), F.min("valid").alias("least_valid"), F.max("valid").alias("most_valid"))
 
 
-def moment_summary(gates: DataFrame) -> DataFrame:
-    return gates.groupBy("moment_name").agg(F.countDistinct("radial_key").alias("radials"), F.count("*").alias("gates"), *[f(c).alias(f"{n}_{c}") for c in ("raw_value", "scale", "offset") for n, f in (("min", F.min), ("max", F.max))])
+def moment_summary(blocks: DataFrame) -> DataFrame:
+    """Per moment: radials, gates and the bounds of the six fields of the headers. blocks: one row per moment block of a radial."""
+    fields = ("gate_count", "word_size", "first_km", "spacing_km", "scale", "offset")
+    return blocks.groupBy("moment_name").agg(F.count("*").alias("radials"), F.sum("gate_count").alias("gates"), *[f(c).alias(f"{n}_{c}") for c in fields for n, f in (("min", F.min), ("max", F.max))])
 
 
 def sweep_summary(radials: DataFrame) -> DataFrame:
-    """radials: volume_id, sweep, radial_key, elevation_number, radial_status."""
+    """radials: volume_id, sweep, radial_key, radial_status, elevation_number, elevation_angle, cut_sector, moments (array of names) and the counts of constant blocks."""
+    bounds = [f(c).alias(f"{n}_{c}") for c in ("elevation_angle", "cut_sector") for n, f in (("min", F.min), ("max", F.max))]
     return radials.groupBy("volume_id", "sweep").agg(
-        F.count("*").alias("radials"), F.avg("elevation_number").alias("avg_elevation"), F.min("elevation_number").alias("min_elevation"), F.max("elevation_number").alias("max_elevation"),
-        F.min("radial_key").alias("first_radial"), F.max("radial_key").alias("last_radial"), F.min_by("radial_status", "radial_key").alias("start_status"), F.max_by("radial_status", "radial_key").alias("end_status"))
+        F.count("*").alias("radials"), F.min("elevation_number").alias("elevation_number"), F.avg(F.col("elevation_angle").cast("double")).alias("avg_elevation_angle"), *bounds,
+        F.min("radial_key").alias("first_radial"), F.max("radial_key").alias("last_radial"), F.min_by("radial_status", "radial_key").alias("start_status"), F.max_by("radial_status", "radial_key").alias("end_status"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_set("moments")))).alias("moments"), *[F.sum(c).alias(c) for c in ("volume_blocks", "elevation_blocks", "radial_blocks")])
 
 
 def manifest_summary(files: DataFrame) -> DataFrame:
     return files.groupBy(F.upper("radar_id").alias("radar_id")).agg(F.count("*").alias("files"), F.sum("size_bytes").alias("bytes"))
 
 
+#: The states of a ledger's entries.
+STATES = ("Pending", "Claimed", "Completed", "Committed", "Failed", "Poison", "Abandoned", "Canceled", "Released")
+
+
 def ledger_summary(ledger: DataFrame) -> DataFrame:
     """ledger: sequence, state, attempt. Counts by state, retries, the oldest entry not committed and the first one that blocks."""
     done = F.col("state").isin("Committed", "Released")
-    blocks = F.col("state").isin("Failed", "Poisoned")
+    blocks = F.col("state").isin("Failed", "Poison")
     return ledger.agg(
-        F.count("*").alias("entries"), F.count_if(done).alias("done"), F.count_if(blocks).alias("blocked"), F.sum(F.greatest(F.lit(0), F.col("attempt") - 1)).alias("retries"),
+        F.count("*").alias("entries"), *[F.count_if(F.col("state") == s).alias(s.lower()) for s in STATES], F.coalesce(F.sum(F.greatest(F.lit(0), F.col("attempt") - 1)), F.lit(0)).alias("retries"),
         F.min(F.when(~done, F.col("sequence"))).alias("oldest_open"), F.min(F.when(blocks, F.col("sequence"))).alias("first_blocking"), F.min_by(F.when(blocks, F.col("state")), F.when(blocks, F.col("sequence"))).alias("blocking_reason"))

@@ -75,5 +75,8 @@ def of_run(spark: SparkSession, folder: str, table: str, run_id: str, **where) -
     return rows
 
 
-def capacity(outcomes: DataFrame) -> DataFrame:
-    return outcomes.agg(F.count_if(F.col("accepted_events") > 0).alias("accepted_batches"), F.count_if(F.col("status") != "").alias("processed_batches"), F.count_if(F.col("status") == "Succeeded").alias("committed_batches"), F.sum("accepted_events").alias("accepted_events"))
+def capacity(outcomes: DataFrame, jobs: DataFrame) -> DataFrame:
+    """Counts of the batches at each step, and the ticks from the first start to the last end. jobs: batch_seq, started_ticks, ended_ticks of processed batches."""
+    both = outcomes.join(jobs.select("batch_seq", "started_ticks", "ended_ticks"), "batch_seq", "left")
+    counts = [F.count_if(c).alias(n) for n, c in (("accepted_batches", F.col("accepted_events") > 0), ("processed_batches", F.col("status") != ""), ("committed_batches", F.col("status") == "Succeeded"))]
+    return both.agg(*counts, F.sum("accepted_events").alias("accepted_events"), (F.max("ended_ticks") - F.min("started_ticks")).alias("elapsed_ticks"))

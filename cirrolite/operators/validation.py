@@ -2,19 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.keys import Universe
 
 
-def batch_errors(events: DataFrame, universe: Universe, catalog_size: tuple[int, int] | None = None, schema_version: int = 1, dictionary_version: int = 1) -> DataFrame:
+def batch_errors(events: DataFrame, universe: Universe, catalog_size: tuple[int, int] | None = None, schema_version: int = 1, dictionary_version: int = 1, expected: DataFrame | None = None) -> DataFrame:
     """One row per batch: error (null if valid), event_index (-1 for rules on the whole batch).
 
-    Header rules come first, then the first event that fails and its first rule, then the payload's tail. events: batch_seq, event_seq, message_ticks,
-    gate_count, payload_length, payload_offset, batch_bytes, source_id, the key's dimensions, schema_version, universe_version, dictionary_version and, with
-    catalog_size (radars, moments), radar_ordinal and moment_id.
+    Header rules come first, then the first event that fails and its first rule, then the payload's tail, then the expected metrics. events: batch_seq,
+    event_seq, message_ticks, gate_count, payload_length, payload_offset, batch_bytes, raw_sum, source_id, the key's dimensions, schema_version,
+    universe_version, dictionary_version and, with catalog_size (radars, moments), moment_id. expected: batch_seq, event_count, value_count, raw_checksum.
     """
     by = Window.partitionBy("batch_seq").orderBy("event_seq")
     before = F.coalesce(F.sum("payload_length").over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -23,26 +23,43 @@ def batch_errors(events: DataFrame, universe: Universe, catalog_size: tuple[int,
         .when(F.col("payload_length") != F.col("gate_count") * F.col("word_size") / 8, "PayloadLengthMismatch")
         .when(F.col("payload_offset") > F.col("batch_bytes") - F.col("payload_length"), "PayloadReferenceOutsidePayload")
         .when(F.col("payload_offset") != before, "PayloadReferenceNotContiguous")
-        .when(~F.col("source_id").between(0, universe.sources - 1), "SourceIdOutsideUniverse")
-        .when(~F.coalesce(universe.encode() == F.col("source_id"), F.lit(False)), "SourceKeyMismatch")
+        .when(~_inside(universe), "SourceIdOutsideUniverse")
+        .when(~F.coalesce(universe.contains(), F.lit(False)), "SourceKeyOutsideUniverse")
+        .when(universe.encode() != F.col("source_id"), "SourceKeyMismatch")
     )
     if catalog_size:
-        rules = rules.when(F.col("radar_ordinal") >= catalog_size[0], "RadarNotVisible").when(F.col("moment_id") >= catalog_size[1], "MomentNotVisible")
+        rules = rules.when(F.col("radar_ordinal") >= catalog_size[0], "RadarOrdinalOutsideDictionary").when(F.col("moment_id") >= catalog_size[1], "MomentIdOutsideDictionary")
     rows = events.withColumn("index", F.row_number().over(by) - 1).withColumn("rule", rules)
     bad = F.col("rule").isNotNull()
     each = rows.groupBy("batch_seq").agg(
         F.max("schema_version").alias("sv"), F.max("universe_version").alias("uv"), F.max("dictionary_version").alias("dv"), F.max("batch_bytes").alias("bytes"), F.sum("payload_length").alias("used"),
-        F.min(F.when(bad, F.struct("index", "rule"))).alias("first"))
+        F.count("*").alias("n"), F.sum("gate_count").alias("v"), F.sum("raw_sum").alias("c"), F.min(F.when(bad, F.struct("index", "rule"))).alias("first"))
     header = F.when(F.col("sv") != schema_version, "UnsupportedStreamSchemaVersion").when(F.col("uv") != universe.version, "SourceUniverseVersionMismatch").when(F.col("dv") != dictionary_version, "DictionarySnapshotVersionMismatch")
-    error = F.coalesce(header, F.col("first.rule"), F.when(F.col("used") != F.col("bytes"), "PayloadTailNotReferenced"))
+    metrics = F.lit(None).cast("string")
+    if expected is not None:
+        each = each.join(expected.select("batch_seq", F.struct("event_count", "value_count", "raw_checksum").alias("want")), "batch_seq", "left")
+        same = (F.col("want.event_count") == F.col("n")) & (F.col("want.value_count") == F.col("v")) & (F.col("want.raw_checksum") == F.col("c"))
+        metrics = F.when(F.col("want").isNotNull() & ~same, "MetricsMismatch")
+    error = F.coalesce(header, F.col("first.rule"), F.when(F.col("used") != F.col("bytes"), "PayloadTailNotReferenced"), metrics)
     return each.select("batch_seq", error.alias("error"), F.when(header.isNull() & F.col("first").isNotNull(), F.col("first.index")).otherwise(-1).cast("bigint").alias("event_index"))
 
 
-def accepted_batches(events: DataFrame, universe: Universe) -> tuple[DataFrame, DataFrame]:
-    """(accepted, rejected) batches for processing: one bad source id or one step back of a source's ticks rejects the whole batch."""
+def _inside(universe: Universe) -> Column:
+    return F.coalesce(F.col("source_id").between(0, universe.sources - 1), F.lit(False))
+
+
+def accepted_batches(events: DataFrame, universe: Universe, schema_version: int = 1) -> tuple[DataFrame, DataFrame]:
+    """(accepted, rejected) batches for processing; the first rule that fails rejects the whole batch.
+
+    Rules on the versions (where the events carry schema_version and universe_version), then on the source ids and their dimensions in order of the events,
+    then on each source's ticks, which must not step back.
+    """
     back = F.col("message_ticks") < F.lag("message_ticks").over(Window.partitionBy("batch_seq", "source_id").orderBy("event_seq"))
-    bad = F.when(F.col("source_id").isNull() | ~F.col("source_id").between(0, universe.sources - 1), "SourceIdOutsideUniverse").when(back, "SourceOrderViolation")
-    each = events.withColumn("error", bad).groupBy("batch_seq").agg(F.count("*").alias("events"), F.min_by("error", F.when(F.col("error").isNotNull(), F.col("event_seq"))).alias("error"))
+    owner = F.when(~_inside(universe), "SourceIdOutsideUniverse").when(~F.coalesce(universe.encode() == F.col("source_id"), F.lit(False)), "SourceOwnershipMismatch")
+    heads = [F.when(F.max(c) != wanted, name) for c, wanted, name in (("schema_version", schema_version, "UnsupportedStreamSchemaVersion"), ("universe_version", universe.version, "SourceUniverseVersionMismatch")) if c in events.columns]
+    rows = events.withColumn("owner", owner).withColumn("back", back)
+    first = F.min_by("owner", F.when(F.col("owner").isNotNull(), F.col("event_seq")))
+    each = rows.groupBy("batch_seq").agg(F.count("*").alias("events"), F.coalesce(*heads, first, F.when(F.bool_or("back"), "SourceOrderViolation")).alias("error"))
     return each.filter("error is null").drop("error"), each.filter("error is not null")
 
 

@@ -7,11 +7,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.keys import Universe
-from ..functions.payload import raw_sum
+from ..functions.payload import EPOCH_TICKS, raw_sum
 
 UNIVERSE = Universe(radars=8, elevations=4, azimuths=10, bands=2)
-#: Ticks of 100 ns from the first day of year 1 to 1970.
-EPOCH_TICKS = 621355968000000000
 
 
 def ticks(ts: Column) -> Column:

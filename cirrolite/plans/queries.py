@@ -122,9 +122,21 @@ def ag16_unevenness(spark, d):
     return rollups.unevenness(gates(spark, d), {"volume": "volume_id", "radial": "radial_key", "elevation": "elevation_number"})
 
 
-@query(f"WITH {V_GATES} SELECT moment_name, count(DISTINCT radial_key) AS radials, count(*) AS gates, min(raw_value) AS min_raw_value, max(raw_value) AS max_raw_value, min(scale) AS min_scale, max(scale) AS max_scale, min(\"offset\") AS min_offset, max(\"offset\") AS max_offset FROM g GROUP BY 1")
+HEAD_FIELDS = ("gate_count", "word_size", "first_km", "spacing_km", "scale", "offset")
+HEAD_SQL = f"""{V_GATES}, h AS (SELECT radial_key, moment_name, CAST(count(*) AS INT) AS gate_count, CAST(CASE WHEN radial_key % 3 = 0 THEN 16 ELSE 8 END AS INT) AS word_size, CAST(radial_key % 5 AS FLOAT) AS first_km,
+CAST(CASE WHEN radial_key % 2 = 0 THEN 0.25 ELSE 1 END AS FLOAT) AS spacing_km, max(scale) AS scale, max("offset") AS "offset" FROM g GROUP BY radial_key, moment_name)"""
+
+
+def headers(spark, d):
+    """The headers of moment blocks: the gates of a moment in a radial are one block."""
+    k = F.col("radial_key")
+    rows = gate_events(spark, d).groupBy("radial_key", "moment_name").agg(F.count("*").alias("gate_count"), F.max("scale").alias("scale"), F.max("offset").alias("offset"))
+    return rows.withColumns({"word_size": F.when(k % 3 == 0, 16).otherwise(8), "first_km": (k % 5).cast("float"), "spacing_km": F.when(k % 2 == 0, 0.25).otherwise(1.0).cast("float")})
+
+
+@query(f"WITH {HEAD_SQL} SELECT moment_name, count(*) AS radials, CAST(sum(gate_count) AS BIGINT) AS gates, " + ", ".join(f'{f}("{c}") AS {f}_{c}' for c in HEAD_FIELDS for f in ("min", "max")) + " FROM h GROUP BY 1")
 def ag9_moment_summary(spark, d):
-    return rollups.moment_summary(gate_events(spark, d))
+    return rollups.moment_summary(headers(spark, d))
 
 
 @query(f"WITH {V_GATES} SELECT count(*) AS gates, count(*) FILTER (WHERE status = 0) AS valid, count(DISTINCT volume_id) AS volumes, count(*) FILTER (WHERE status = 0) / count(*)::DOUBLE AS valid_share FROM c")
@@ -146,9 +158,23 @@ def wn2_sweeps(spark, d):
     return windows.sweeps(radials(spark, d)).select("volume_id", "radial_key", "sweep")
 
 
-@query(f"WITH {SW} SELECT volume_id, sweep, count(*) AS radials, avg(elevation_number) AS avg_elevation, min(elevation_number) AS min_elevation, max(elevation_number) AS max_elevation, min(radial_key) AS first_radial, max(radial_key) AS last_radial, min_by(radial_status, radial_key) AS start_status, max_by(radial_status, radial_key) AS end_status FROM x GROUP BY 1, 2")
+@query(f"WITH {SW} SELECT volume_id, radial_key, greatest(elevation_number - 1, 0) AS slot, (radial_seq - 1) % 10 AS bucket FROM x")
+def pr7_slots(spark, d):
+    return windows.sweeps(radials(spark, d)).select("volume_id", "radial_key", P.elevation_slot(F.col("elevation_number")).alias("slot"), P.azimuth_bucket(F.col("radial_seq"), 10).alias("bucket"))
+
+
+@query(f"""WITH {SW}, m AS (SELECT DISTINCT l_orderkey, l_returnflag AS moment FROM lineitem), n AS (SELECT volume_id, sweep, string_agg(DISTINCT moment, ',' ORDER BY moment) AS moments FROM x JOIN m ON radial_key = l_orderkey GROUP BY 1, 2),
+y AS (SELECT volume_id, sweep, count(*) AS radials, min(elevation_number) AS elevation_number, avg(elevation_number * 0.5 + radial_key % 4 * 0.125) AS avg_elevation_angle, min(elevation_number * 0.5 + radial_key % 4 * 0.125)::FLOAT AS min_elevation_angle, max(elevation_number * 0.5 + radial_key % 4 * 0.125)::FLOAT AS max_elevation_angle,
+min(radial_key % 3)::INT AS min_cut_sector, max(radial_key % 3)::INT AS max_cut_sector, min(radial_key) AS first_radial, max(radial_key) AS last_radial, min_by(radial_status, radial_key) AS start_status, max_by(radial_status, radial_key) AS end_status,
+count(*) AS volume_blocks, count(*) FILTER (WHERE radial_key % 2 = 0) AS elevation_blocks, CAST(sum(radial_key % 3) AS BIGINT) AS radial_blocks FROM x GROUP BY 1, 2)
+SELECT y.*, coalesce(moments, '') AS moments FROM y LEFT JOIN n USING (volume_id, sweep)""")
 def ag10_sweep_summary(spark, d):
-    return rollups.sweep_summary(windows.sweeps(radials(spark, d)))
+    k = F.col("radial_key")
+    moments = spark.read.parquet(f"{d}/lineitem.parquet").groupBy(F.col("l_orderkey").alias("radial_key")).agg(F.collect_set("l_returnflag").alias("moments"))
+    rows = windows.sweeps(radials(spark, d)).join(moments, "radial_key", "left").withColumns({
+        "moments": F.coalesce("moments", F.array().cast("array<string>")), "elevation_angle": (F.col("elevation_number") * 0.5 + k % 4 * 0.125).cast("float"), "cut_sector": (k % 3).cast("int"),
+        "volume_blocks": F.lit(1), "elevation_blocks": F.when(k % 2 == 0, 1).otherwise(0), "radial_blocks": k % 3})
+    return rollups.sweep_summary(rows).withColumn("moments", F.array_join("moments", ","))
 
 
 @query()
@@ -194,23 +220,32 @@ def pr18_payload_sums(spark, d):
     return stream_events(spark, d).select("event_seq", F.size("gates").cast("bigint").alias("n"), "raw_sum")
 
 
-@query(f"WITH {V_STREAM}, b AS (SELECT event_seq, gate_count AS n, unnest(range(0, 4)) AS band FROM v) SELECT event_seq, band, (band * n) // 4 AS start, ((band + 1) * n) // 4 - (band * n) // 4 AS n FROM b WHERE ((band + 1) * n) // 4 > (band * n) // 4")
+#: The gates of an event in DuckDB.
+GATE_SQL = "e AS (SELECT event_id AS event_seq, [CAST((CAST(floor(value) AS BIGINT) * (i + 1) + k) % 256 AS INT) for i in range(0, 1 + k % 8)] AS gates FROM (SELECT *, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events))"
+
+
+@query(f"WITH {GATE_SQL}, b AS (SELECT event_seq, gates, len(gates) AS n, unnest(range(0, 4)) AS band FROM e) SELECT event_seq, band, (band * n) // 4 AS start, ((band + 1) * n) // 4 - (band * n) // 4 AS n, array_to_string(gates[(band * n) // 4 + 1:((band + 1) * n) // 4], ' ') AS gates FROM b WHERE ((band + 1) * n) // 4 > (band * n) // 4")
 def pr6_band_split(spark, d):
-    return stream_events(spark, d).select("event_seq", F.explode(P.band_slices("gates", 4)).alias("x")).select("event_seq", F.col("x.band").cast("bigint").alias("band"), F.col("x.start").cast("bigint").alias("start"), F.size("x.gates").cast("bigint").alias("n"))
+    rows = stream_events(spark, d).select("event_seq", F.explode(P.band_slices("gates", 4)).alias("x"))
+    return rows.select("event_seq", F.col("x.band").cast("bigint").alias("band"), F.col("x.start").cast("bigint").alias("start"), F.size("x.gates").cast("bigint").alias("n"), F.array_join(F.col("x.gates").cast("array<string>"), " ").alias("gates"))
 
 
-@query(f"WITH {V_STREAM} SELECT event_seq, list_sum([((event_seq * 7 + i) % 256) for i in range(0, gate_count)])::BIGINT AS total FROM v")
+@query(f"WITH {GATE_SQL} SELECT event_seq, i - 1 AS gate_index, gates[i] AS raw FROM (SELECT event_seq, gates, unnest(range(1, len(gates) + 1)) AS i FROM e)")
 def pr1_gate_explode(spark, d):
-    rows = stream_events(spark, d).select("event_seq", F.posexplode("gates").alias("gate_index", "raw"))
-    return rows.groupBy("event_seq").agg(F.sum((F.col("event_seq") * 7 + F.col("gate_index")) % 256).alias("total"))
+    return stream_events(spark, d).select("event_seq", F.posexplode("gates").alias("gate_index", "raw")).withColumn("gate_index", F.col("gate_index").cast("bigint"))
 
 
-@query(f"WITH {V_STREAM} SELECT event_seq, gate_count * 2 AS bytes, gate_count AS n, raw_sum FROM v")
+@query(f"WITH {V_STREAM} SELECT event_seq, CASE event_seq % 7 WHEN 1 THEN 'word size' WHEN 2 THEN 'length' WHEN 3 THEN 'outside' WHEN 4 THEN 'empty' END AS error, CASE WHEN event_seq % 7 IN (0, 5, 6) THEN gate_count END AS n, CASE WHEN event_seq % 7 IN (0, 5, 6) THEN raw_sum END AS raw_sum FROM v")
 def pr19_payload_slices(spark, d):
-    """Gates as big-endian 16-bit words in a binary payload, and back."""
-    rows = stream_events(spark, d).select("event_seq", "gate_count", F.unhex(F.array_join(F.transform("gates", lambda g: F.lpad(F.hex(g), 4, "0")), "")).alias("payload"))
-    back = rows.withColumn("g", P.gates_of(F.col("payload"), F.lit(0), F.col("gate_count"), F.lit(16)))
-    return back.select("event_seq", P.expected_length(F.col("gate_count"), F.lit(16)).cast("bigint").alias("bytes"), F.size("g").cast("bigint").alias("n"), P.raw_sum(F.col("g")).alias("raw_sum"))
+    """Gates as big-endian 16-bit words in a binary payload behind two other bytes, and back; some references are wrong."""
+    k = F.col("event_seq") % 7
+    rows = stream_events(spark, d).select("event_seq", "gate_count", F.unhex(F.concat(F.lit("FFFF"), F.array_join(F.transform("gates", lambda g: F.lpad(F.hex(g), 4, "0")), ""))).alias("payload"))
+    rows = rows.withColumns({"gate_count": F.when(k == 4, 0).otherwise(F.col("gate_count")), "word_size": F.when(k == 1, 12).otherwise(16), "at": F.when(k == 3, 1000).otherwise(2)})
+    rows = rows.withColumn("size", P.expected_length(F.col("gate_count"), F.col("word_size")) + F.when(k == 2, 1).otherwise(0))
+    place = [F.col(c) for c in ("payload", "at", "size", "gate_count", "word_size")]
+    good = lambda c: F.when(F.col("error").isNull(), c)
+    back = rows.withColumn("error", P.slice_error(*place)).withColumn("g", good(P.gates_of(P.payload_slice(*place), F.lit(0), F.col("gate_count"), F.lit(16))))
+    return back.select("event_seq", "error", good(F.size("g").cast("bigint")).alias("n"), P.raw_sum(F.col("g")).alias("raw_sum"))
 
 
 @query("SELECT event_id, hour(ts) * 60 + minute(ts) AS minute_of_day FROM events")
@@ -247,12 +282,6 @@ def pr20_pressure_score(spark, d):
     return s.select("source_id", F.round(x, 3).alias("score"), P.static_band(x).alias("band"))
 
 
-@query(f"WITH {V_STREAM} SELECT event_seq, greatest(elevation_slot - 1, 0) AS slot, (event_seq + 7) % 10 AS bucket FROM v")
-def pr7_slots(spark, d):
-    v = stream_events(spark, d)
-    return v.select("event_seq", F.greatest(F.col("elevation_slot") - 1, F.lit(0)).cast("bigint").alias("slot"), ((F.col("event_seq") + 8 - 1) % 10).alias("bucket"))
-
-
 # ---- dictionaries ----
 
 CAT = f"{V_STREAM}, cat AS (SELECT text, row_number() OVER (ORDER BY f, text) - 1 AS id FROM (SELECT moment_name AS text, min(event_seq) AS f FROM v GROUP BY 1))"
@@ -299,12 +328,18 @@ def di7_combined_versions(spark, d):
     return dictionary.combined_versions(stream_events(spark, d), {"radar_code": "radar", "moment_name": "moment"}, "event_seq")
 
 
-@query(f"""WITH {V_STREAM}, x AS (SELECT event_seq, CASE WHEN event_seq % 11 = 0 THEN radar_code || 'X' ELSE radar_code END AS rc, CASE WHEN event_seq % 13 = 0 THEN lower(moment_name) ELSE moment_name END AS m, CASE WHEN event_seq % 17 = 0 THEN 9 ELSE elevation_slot END AS e, source_id FROM v),
-r AS (SELECT event_seq, CASE WHEN event_seq % 11 = 0 THEN 'InvalidRadar' WHEN event_seq % 13 = 0 THEN 'InvalidMoment' WHEN event_seq % 17 = 0 THEN 'ElevationOutside' END AS error, source_id FROM x) SELECT event_seq, error, CASE WHEN error IS NULL THEN source_id END AS source_id FROM r""")
+@query(f"""WITH {V_STREAM}, x AS (SELECT event_seq, CASE WHEN event_seq % 11 = 0 THEN radar_code || 'X' ELSE radar_code END AS rc, CASE WHEN event_seq % 13 = 0 THEN lower(moment_name) ELSE moment_name END AS m, elevation_slot AS e, azimuth_bucket AS a, range_band AS b,
+CASE WHEN event_seq % 11 = 0 THEN 'InvalidRadarCode' WHEN event_seq % 13 = 0 THEN 'InvalidMomentName' WHEN event_seq % 17 = 0 THEN 'SourceOutOfRange' WHEN azimuth_bucket > 3 THEN 'SourceDimensionOutsideStreamEventRange' END AS t FROM v),
+ra AS (SELECT rc, row_number() OVER (ORDER BY min(event_seq), rc) - 1 AS rid FROM x WHERE t IS NULL GROUP BY rc),
+y AS (SELECT x.*, rid, CASE WHEN rid >= 6 THEN 'RadarOrdinalOutsideSourceUniverse' WHEN rid > 3 THEN 'RadarOrdinalOutsideStreamEventRange' END AS r FROM x LEFT JOIN ra ON x.rc = ra.rc AND t IS NULL),
+mo AS (SELECT m, row_number() OVER (ORDER BY min(event_seq), m) - 1 AS mid FROM y WHERE t IS NULL AND r IS NULL GROUP BY m),
+z AS (SELECT y.*, mid, coalesce(t, r, CASE WHEN mid > 3 THEN 'MomentIdOutsideStreamEventRange' END) AS error FROM y LEFT JOIN mo ON y.m = mo.m AND t IS NULL AND r IS NULL)
+SELECT event_seq, error, CASE WHEN error IS NULL THEN rid END AS radar_ordinal, CASE WHEN error IS NULL THEN mid END AS moment_id, CASE WHEN error IS NULL THEN ((rid * 4 + e) * 10 + a) * 2 + b END AS source_id FROM z""")
 def di8_normalise(spark, d):
+    """With room for six radars and ids of at most 3, so that each of the seven rules fails somewhere."""
     s = F.col("event_seq")
     v = stream_events(spark, d).withColumn("radar_code", F.when(s % 11 == 0, F.concat("radar_code", F.lit("X"))).otherwise(F.col("radar_code"))).withColumn("moment_name", F.when(s % 13 == 0, F.lower("moment_name")).otherwise(F.col("moment_name"))).withColumn("elevation_slot", F.when(s % 17 == 0, 9).otherwise(F.col("elevation_slot")))
-    return dictionary.normalise(v, "radar_code", "moment_name", UNIVERSE).select("event_seq", "error", "source_id")
+    return dictionary.normalise(v, "radar_code", "moment_name", K.Universe(6, 4, 10, 2), most=3).select("event_seq", "error", "radar_ordinal", "moment_id", "source_id")
 
 
 @query()
@@ -375,14 +410,15 @@ def ag12_merge_partials(spark, d):
     return rollups.batch_deltas(stream_events(spark, d)).groupBy("source_id").agg(F.sum("event_count").alias("event_count"), F.sum("raw_checksum").alias("raw_checksum"), F.max("last_ticks").alias("last_ticks"))
 
 
-LEDGER = "SELECT o_orderkey AS sequence, CASE o_orderstatus WHEN 'F' THEN CASE o_orderkey % 9 WHEN 0 THEN 'Failed' ELSE 'Committed' END WHEN 'O' THEN 'Pending' ELSE 'Released' END AS state, CAST(o_orderkey % 4 AS INT) AS attempt FROM orders"
+LEDGER = "SELECT o_orderkey AS sequence, CASE o_orderkey % 9 WHEN 0 THEN 'Pending' WHEN 1 THEN 'Claimed' WHEN 2 THEN 'Completed' WHEN 3 THEN 'Committed' WHEN 4 THEN 'Failed' WHEN 5 THEN 'Poison' WHEN 6 THEN 'Abandoned' WHEN 7 THEN 'Canceled' ELSE 'Released' END AS state, CAST(length(o_orderpriority) % 5 AS INT) AS attempt FROM orders"
+STATE_SQL = ", ".join(f"count(*) FILTER (WHERE state = '{x}') AS {x.lower()}" for x in rollups.STATES)
 
 
-@query(f"WITH l AS ({LEDGER}) SELECT count(*) AS entries, count(*) FILTER (WHERE state IN ('Committed', 'Released')) AS done, count(*) FILTER (WHERE state = 'Failed') AS blocked, CAST(sum(greatest(0, attempt - 1)) AS BIGINT) AS retries, min(sequence) FILTER (WHERE state NOT IN ('Committed', 'Released')) AS oldest_open, min(sequence) FILTER (WHERE state = 'Failed') AS first_blocking, 'Failed' AS blocking_reason FROM l")
+@query(f"WITH l AS ({LEDGER}) SELECT count(*) AS entries, {STATE_SQL}, CAST(sum(greatest(0, attempt - 1)) AS BIGINT) AS retries, min(sequence) FILTER (WHERE state NOT IN ('Committed', 'Released')) AS oldest_open, min(sequence) FILTER (WHERE state IN ('Failed', 'Poison')) AS first_blocking, min_by(state, sequence) FILTER (WHERE state IN ('Failed', 'Poison')) AS blocking_reason FROM l")
 def ag20_ledger_summary(spark, d):
-    o = spark.read.parquet(f"{d}/orders.parquet")
-    failed = F.when(F.col("o_orderkey") % 9 == 0, "Failed").otherwise("Committed")
-    return rollups.ledger_summary(o.select(F.col("o_orderkey").alias("sequence"), F.when(F.col("o_orderstatus") == "F", failed).when(F.col("o_orderstatus") == "O", "Pending").otherwise("Released").alias("state"), (F.col("o_orderkey") % 4).alias("attempt")))
+    names = F.array(*[F.lit(x) for x in rollups.STATES])
+    o = spark.read.parquet(f"{d}/orders.parquet").select(F.col("o_orderkey").alias("sequence"), F.element_at(names, (F.col("o_orderkey") % 9 + 1).cast("int")).alias("state"), (F.length("o_orderpriority") % 5).alias("attempt"))
+    return rollups.ledger_summary(o)
 
 
 @query(f"WITH {V_STREAM} SELECT count(DISTINCT batch_seq) AS batches, count(*) AS events, CAST(sum(gate_count) AS BIGINT) AS bytes, CAST(sum(gate_count) AS BIGINT) AS \"values\", CAST(sum(raw_sum) AS BIGINT) AS checksum FROM v")
@@ -419,9 +455,10 @@ def ag21_diagnostics(spark, d):
     return runs.diagnostics(outcomes(spark, d))
 
 
-@query(f"WITH {OUT_SQL} SELECT count(*) FILTER (WHERE accepted_events > 0) AS accepted_batches, count(*) FILTER (WHERE status <> '') AS processed_batches, count(*) FILTER (WHERE status = 'Succeeded') AS committed_batches, CAST(sum(accepted_events) AS BIGINT) AS accepted_events FROM o")
+@query(f"WITH {OUT_SQL}, j AS (SELECT batch_seq, min(message_ticks) AS s, max(message_ticks) AS f FROM v WHERE batch_seq % 7 <> 3 GROUP BY 1) SELECT count(*) FILTER (WHERE accepted_events > 0) AS accepted_batches, count(*) FILTER (WHERE status <> '') AS processed_batches, count(*) FILTER (WHERE status = 'Succeeded') AS committed_batches, CAST(sum(accepted_events) AS BIGINT) AS accepted_events, max(f) - min(s) AS elapsed_ticks FROM o LEFT JOIN j ON o.batch_seq = j.batch_seq")
 def qa7_capacity(spark, d):
-    return runs.capacity(outcomes(spark, d))
+    jobs = stream_events(spark, d).filter("batch_seq % 7 <> 3").groupBy("batch_seq").agg(F.min("message_ticks").alias("started_ticks"), F.max("message_ticks").alias("ended_ticks"))
+    return runs.capacity(outcomes(spark, d), jobs)
 
 
 @query(f"WITH {V_STREAM}, a AS (SELECT DISTINCT batch_seq FROM v WHERE batch_seq % 3 <> 1), p AS (SELECT DISTINCT batch_seq FROM v WHERE batch_seq % 7 <> 3) SELECT batch_seq FROM (SELECT * FROM a UNION SELECT * FROM p) ORDER BY 1")
@@ -455,10 +492,14 @@ def j8_first_difference(spark, d):
     return validation.first_difference(m, m.withColumn("value_count", F.col("value_count") + 1), ["batches", "event_count", "value_count", "raw_checksum"])
 
 
-@query("SELECT CAST(NULL AS VARCHAR) AS difference FROM (SELECT count(*) FROM events)")
+@query(f"""WITH {LOAD_SQL}, a AS (SELECT sum(event_count) AS n, sum(value_count) AS g, sum(raw_checksum) AS c FROM l), tot AS (SELECT 'all' AS events, count(*) AS n, sum(gate_count) AS g, sum(raw_sum) AS c FROM v UNION ALL SELECT 'less one batch', count(*), sum(gate_count), sum(raw_sum) FROM v WHERE batch_seq > 0)
+SELECT events, CASE WHEN a.n <> tot.n THEN 'event_count: ' || CAST(a.n AS BIGINT) || ' and ' || tot.n WHEN a.g <> tot.g THEN 'value_count: ' || CAST(a.g AS BIGINT) || ' and ' || CAST(tot.g AS BIGINT) WHEN a.c <> tot.c THEN 'raw_checksum: ' || CAST(a.c AS BIGINT) || ' and ' || CAST(tot.c AS BIGINT) END AS difference FROM a, tot""")
 def va4_totals_agree(spark, d):
+    """The load by bucket against all events, and against those of all but the first batch."""
     v = stream_events(spark, d)
-    return validation.totals_agree(rollups.bucket_load(v, N, BUCKETS, SHARDS), v)
+    load = rollups.bucket_load(v, N, BUCKETS, SHARDS)
+    of = lambda name, rows: validation.totals_agree(load, rows).select(F.lit(name).alias("events"), "difference")
+    return of("all", v).unionByName(of("less one batch", v.filter("batch_seq > 0")))
 
 
 # ---- windows ----
@@ -501,10 +542,12 @@ def wn6_rolling_pressure(spark, d):
     return windows.rolling_pressure(samples(spark, d), "key", "seq", "score").select("key", "seq", "samples", F.round("mean_score", 6).alias("mean_score"), "eligible")
 
 
-BAND_SQL = f"""WITH RECURSIVE {SAMPLE_SQL}, q AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY seq) AS i FROM s), w AS (
-SELECT key, seq, i, CASE WHEN score >= 50000 THEN 4 WHEN score >= 25000 THEN 3 WHEN score >= 5000 THEN 2 WHEN score <= 0 THEN 0 ELSE 1 END AS r FROM q WHERE i = 1
-UNION ALL SELECT q.key, q.seq, q.i, CASE WHEN score >= 50000 OR r >= 4 AND score >= 40000 THEN 4 WHEN score >= 25000 OR r >= 3 AND score >= 20000 THEN 3 WHEN score >= 5000 OR r >= 2 AND score >= 4000 THEN 2 WHEN score <= 0 THEN 0 ELSE 1 END FROM w JOIN q ON q.key = w.key AND q.i = w.i + 1)
-SELECT key, seq, CASE r WHEN 4 THEN 'SuperHot' WHEN 3 THEN 'Hot' WHEN 2 THEN 'Warm' WHEN 1 THEN 'Normal' ELSE 'Cold' END AS band FROM w"""
+#: Levels 0 to 4 of q (key, seq, samples, score, i), each from the one before.
+BAND_STEPS = """w AS (
+SELECT key, seq, samples, score, i, CASE WHEN score >= 50000 THEN 4 WHEN score >= 25000 THEN 3 WHEN score >= 5000 THEN 2 WHEN score <= 0 THEN 0 ELSE 1 END AS r FROM q WHERE i = 1
+UNION ALL SELECT q.key, q.seq, q.samples, q.score, q.i, CASE WHEN q.score >= 50000 OR r >= 4 AND q.score >= 40000 THEN 4 WHEN q.score >= 25000 OR r >= 3 AND q.score >= 20000 THEN 3 WHEN q.score >= 5000 OR r >= 2 AND q.score >= 4000 THEN 2 WHEN q.score <= 0 THEN 0 ELSE 1 END FROM w JOIN q ON q.key = w.key AND q.i = w.i + 1)"""
+BAND_NAME = "CASE r WHEN 4 THEN 'SuperHot' WHEN 3 THEN 'Hot' WHEN 2 THEN 'Warm' WHEN 1 THEN 'Normal' ELSE 'Cold' END"
+BAND_SQL = f"WITH RECURSIVE {SAMPLE_SQL}, q AS (SELECT *, 1 AS samples, row_number() OVER (PARTITION BY key ORDER BY seq) AS i FROM s), {BAND_STEPS} SELECT key, seq, {BAND_NAME} AS band FROM w"
 
 
 @query(BAND_SQL)
@@ -548,32 +591,43 @@ def so1_replay_order(spark, d):
 # ---- validation ----
 
 
+CHECKED = K.Universe(9, 4, 10, 2)
+
+
 def rows_to_check(spark, d):
-    """Stream events as a batch validator sees them, with defects in some batches."""
-    s, b = F.col("event_seq"), F.col("batch_seq")
+    """Stream events as a batch validator sees them, with each kind of defect somewhere in 40 batches. The universe has a radar that the dictionary lacks."""
+    s, b, some = F.col("event_seq"), F.col("batch_seq"), lambda c, x: F.when(c, x)
     rows = windows.payload_offsets(shaken(spark, d))
-    rows = rows.withColumn("payload_length", F.when(s % 1009 == 5, F.col("gate_count") + 1).otherwise(F.col("gate_count"))).withColumn("source_id", F.when(s % 1201 == 7, F.lit(N)).when(s % 1301 == 9, (F.col("source_id") + 1) % N).otherwise(F.col("source_id")))
     size = F.sum("gate_count").over(Window.partitionBy("batch_seq"))
-    rows = rows.withColumn("batch_bytes", size + F.when(b % 31 == 30, 3).otherwise(0))
-    return rows.withColumn("word_size", F.lit(8)).withColumn("schema_version", F.when(b % 37 == 36, 2).otherwise(1)).withColumn("universe_version", F.when(b % 41 == 40, 2).otherwise(1)).withColumn("dictionary_version", F.lit(1))
-
-
-@query(f"""WITH {V_STREAM}, z AS (SELECT *, CASE WHEN event_seq % 997 = 0 THEN message_ticks - 500000000000 ELSE message_ticks END AS t, CASE WHEN event_seq % 1009 = 5 THEN gate_count + 1 ELSE gate_count END AS pl,
-CASE WHEN event_seq % 1201 = 7 THEN 640 WHEN event_seq % 1301 = 9 THEN (source_id + 1) % 640 ELSE source_id END AS sid FROM v),
-w AS (SELECT *, row_number() OVER o - 1 AS i, lag(t) OVER o AS pt, coalesce(sum(gate_count) OVER o - gate_count, 0) AS po, coalesce(sum(pl) OVER o - pl, 0) AS eo, sum(gate_count) OVER (PARTITION BY batch_seq) + CASE WHEN batch_seq % 31 = 30 THEN 3 ELSE 0 END AS bytes FROM z WINDOW o AS (PARTITION BY batch_seq ORDER BY event_seq ROWS UNBOUNDED PRECEDING)),
-r AS (SELECT *, CASE WHEN t < pt THEN 'ChronologyOrderViolation' WHEN pl <> gate_count THEN 'PayloadLengthMismatch' WHEN po > bytes - pl THEN 'PayloadReferenceOutsidePayload' WHEN po <> eo THEN 'PayloadReferenceNotContiguous' WHEN sid > 639 THEN 'SourceIdOutsideUniverse' WHEN sid <> source_id THEN 'SourceKeyMismatch' END AS rule FROM w),
-e AS (SELECT batch_seq, CASE WHEN batch_seq % 37 = 36 THEN 'UnsupportedStreamSchemaVersion' WHEN batch_seq % 41 = 40 THEN 'SourceUniverseVersionMismatch' END AS header, min(i) FILTER (WHERE rule IS NOT NULL) AS fi, min_by(rule, i) FILTER (WHERE rule IS NOT NULL) AS fr, sum(pl) <> max(bytes) AS tail FROM r GROUP BY 1)
-SELECT batch_seq, coalesce(header, fr, CASE WHEN tail THEN 'PayloadTailNotReferenced' END) AS error, CASE WHEN header IS NULL AND fi IS NOT NULL THEN fi ELSE -1 END AS event_index FROM e""")
+    return rows.withColumns({
+        "payload_length": some(s % 1009 == 5, F.col("gate_count") + 1).otherwise(F.col("gate_count")),
+        "payload_offset": some(s % 1709 == 19, F.col("payload_offset") + 100_000).when(s % 1801 == 23, F.col("payload_offset") + 1).otherwise(F.col("payload_offset")),
+        "source_id": some(s % 1201 == 7, CHECKED.sources).when(s % 1301 == 9, (F.col("source_id") + 1) % N).when(s % 1409 == 11, F.col("source_id") + (8 - F.col("radar_ordinal")) * 80).otherwise(F.col("source_id")),
+        "radar_ordinal": some(s % 1409 == 11, 8).otherwise(F.col("radar_ordinal")), "range_band": some(s % 1601 == 17, 2).otherwise(F.col("range_band")), "moment_id": some(s % 1511 == 13, 5).otherwise(0),
+        "batch_bytes": size + some(b % 17 == 0, 3).otherwise(0), "word_size": F.lit(8), "schema_version": some(b % 23 == 22, 2).otherwise(1), "universe_version": some(b % 29 == 1, 2).otherwise(1), "dictionary_version": some(b % 31 == 2, 2).otherwise(1)})
+
+
+CHECK_SQL = f"""{V_STREAM}, z AS (SELECT *, CASE WHEN event_seq % 997 = 0 THEN message_ticks - 500000000000 ELSE message_ticks END AS t, CASE WHEN event_seq % 1009 = 5 THEN gate_count + 1 ELSE gate_count END AS pl,
+CASE WHEN event_seq % 1201 = 7 THEN 720 WHEN event_seq % 1301 = 9 THEN (source_id + 1) % 640 WHEN event_seq % 1409 = 11 THEN source_id + (8 - radar_ordinal) * 80 ELSE source_id END AS sid, CASE WHEN event_seq % 1709 = 19 THEN 100000 WHEN event_seq % 1801 = 23 THEN 1 ELSE 0 END AS shift,
+CASE WHEN event_seq % 1601 = 17 THEN NULL WHEN event_seq % 1409 = 11 THEN source_id + (8 - radar_ordinal) * 80 ELSE source_id END AS key,
+CASE WHEN batch_seq % 23 = 22 THEN 'UnsupportedStreamSchemaVersion' WHEN batch_seq % 29 = 1 THEN 'SourceUniverseVersionMismatch' END AS header FROM v)"""
+
+
+@query(f"""WITH {CHECK_SQL},
+w AS (SELECT *, row_number() OVER o - 1 AS i, lag(t) OVER o AS pt, coalesce(sum(gate_count) OVER o - gate_count, 0) + shift AS po, coalesce(sum(pl) OVER o - pl, 0) AS eo, sum(gate_count) OVER (PARTITION BY batch_seq) + CASE WHEN batch_seq % 17 = 0 THEN 3 ELSE 0 END AS bytes FROM z WINDOW o AS (PARTITION BY batch_seq ORDER BY event_seq ROWS UNBOUNDED PRECEDING)),
+r AS (SELECT *, CASE WHEN t < pt THEN 'ChronologyOrderViolation' WHEN pl <> gate_count THEN 'PayloadLengthMismatch' WHEN po > bytes - pl THEN 'PayloadReferenceOutsidePayload' WHEN po <> eo THEN 'PayloadReferenceNotContiguous' WHEN sid > 719 THEN 'SourceIdOutsideUniverse' WHEN key IS NULL THEN 'SourceKeyOutsideUniverse' WHEN sid <> key THEN 'SourceKeyMismatch'
+WHEN event_seq % 1409 = 11 THEN 'RadarOrdinalOutsideDictionary' WHEN event_seq % 1511 = 13 THEN 'MomentIdOutsideDictionary' END AS rule FROM w),
+e AS (SELECT batch_seq, coalesce(max(header), CASE WHEN batch_seq % 31 = 2 THEN 'DictionarySnapshotVersionMismatch' END) AS header, min(i) FILTER (WHERE rule IS NOT NULL) AS fi, min_by(rule, i) FILTER (WHERE rule IS NOT NULL) AS fr, sum(pl) <> max(bytes) AS tail FROM r GROUP BY 1)
+SELECT batch_seq, coalesce(header, fr, CASE WHEN tail THEN 'PayloadTailNotReferenced' WHEN batch_seq % 37 = 0 THEN 'MetricsMismatch' END) AS error, CASE WHEN header IS NULL AND fi IS NOT NULL THEN fi ELSE -1 END AS event_index FROM e""")
 def va1_batch_errors(spark, d):
-    return validation.batch_errors(rows_to_check(spark, d), UNIVERSE)
-
+    expected = rollups.batch_metrics(stream_events(spark, d)).withColumn("value_count", F.when(F.col("batch_seq") % 37 == 0, F.col("value_count") + 1).otherwise(F.col("value_count")))
+    return validation.batch_errors(rows_to_check(spark, d), CHECKED, (8, 5), expected=expected)
 
-VA2_SQL = f"""{SHAKEN_SQL}, y AS (SELECT *, CASE WHEN t < lag(t) OVER (PARTITION BY batch_seq, source_id ORDER BY event_seq) THEN 'SourceOrderViolation' END AS e FROM z), b AS (SELECT batch_seq, count(*) AS events, min_by(e, event_seq) FILTER (WHERE e IS NOT NULL) AS error FROM y GROUP BY 1)"""
 
-
-@query(f"WITH {VA2_SQL} SELECT batch_seq, events, error FROM b")
+@query(f"""WITH {CHECK_SQL}, y AS (SELECT *, CASE WHEN sid > 719 THEN 'SourceIdOutsideUniverse' WHEN key IS NULL OR sid <> key THEN 'SourceOwnershipMismatch' END AS own, t < lag(t) OVER (PARTITION BY batch_seq, sid ORDER BY event_seq) AS back FROM z),
+b AS (SELECT batch_seq, count(*) AS events, coalesce(max(header), min_by(own, event_seq) FILTER (WHERE own IS NOT NULL), CASE WHEN bool_or(back) THEN 'SourceOrderViolation' END) AS error FROM y GROUP BY 1) SELECT batch_seq, events, error FROM b""")
 def va2_processing_check(spark, d):
-    good, bad = validation.accepted_batches(shaken(spark, d), UNIVERSE)
+    good, bad = validation.accepted_batches(rows_to_check(spark, d), CHECKED)
     return good.withColumn("error", F.lit(None).cast("string")).unionByName(bad)
 
 
@@ -757,9 +811,10 @@ def st2_keyed_state(spark, d):
     return windows.latest(spark.read.parquet(f"{folder}/out"), "source_id", "epoch").drop("epoch")
 
 
-@query(ROLL_SQL)
+@query(f"""WITH RECURSIVE {SAMPLE_SQL}, q AS (SELECT key, seq, avg(score) OVER w AS score, count(*) OVER w AS samples, row_number() OVER (PARTITION BY key ORDER BY seq) AS i FROM s WINDOW w AS (PARTITION BY key ORDER BY seq ROWS 7 PRECEDING)), {BAND_STEPS}
+SELECT key, seq, samples, round(score, 6) AS mean_score, samples >= 3 AS eligible, {BAND_NAME} AS band FROM w""")
 def st7_pressure_stream(spark, d):
     folder = work_folder(spark)
     samples(spark, d).repartitionByRange(2, "seq").write.parquet(f"{folder}/in")
-    pipeline.run_once(pipeline.pressure_stream(pipeline.replay(spark, f"{folder}/in", 2)), appended(folder), f"{folder}/check")
-    return spark.read.parquet(f"{folder}/out").select("key", "seq", "samples", F.round("mean_score", 6).alias("mean_score"), "eligible")
+    pipeline.run_once(pipeline.pressure_stream(pipeline.replay(spark, f"{folder}/in", 2), scale=0.5), appended(folder), f"{folder}/check")
+    return spark.read.parquet(f"{folder}/out").select("key", "seq", "samples", F.round("mean_score", 6).alias("mean_score"), "eligible", "band")

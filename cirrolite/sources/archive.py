@@ -9,6 +9,7 @@ import bz2
 import struct
 from collections.abc import Iterator
 from datetime import date
+from itertools import batched
 
 import numpy as np
 import pyarrow as pa
@@ -17,7 +18,8 @@ from pyspark.sql import functions as F
 
 #: Fixed values of the format.
 VOLUME_HEADER, MESSAGE_HEADER, RADIAL_HEADER, POINTERS, MOST_POINTERS, BLOCK_HEADER = 24, 16, 72, 32, 10, 28
-CHANNELS, MOST_MESSAGE = (0, 1, 2, 8), 1 << 20
+CHANNELS, MOST_MESSAGE, RADIAL = (0, 1, 2, 8), 1 << 20, 31
+CONSTANT_BLOCKS = (b"RVOL", b"RELV", b"RRAD")
 
 
 def scan_files(spark: SparkSession, folder: str, day: date | None = None, radar: str | None = None, most: int | None = None) -> DataFrame:
@@ -38,8 +40,8 @@ def file_kind(content: Column, path: Column) -> Column:
     return F.when(F.substring(hexed, 1, 8) == "41523256", "BaseData").when(F.element_at(F.split(path, "/"), -1).contains("_MDM") | ((at > 0) & (at % 2 == 1)), "CompressedStream").otherwise("Unknown")
 
 
-MESSAGES = pa.schema([("path", pa.string()), ("radar_id", pa.string()), ("volume_ms", pa.int64()), ("record_seq", pa.int64()), ("message_seq", pa.int64()), ("message_type", pa.int32()), ("message_ms", pa.int64()), ("body", pa.binary()), ("diagnostic", pa.string())])
-MESSAGES_DDL = "path string, radar_id string, volume_ms bigint, record_seq bigint, message_seq bigint, message_type int, message_ms bigint, body binary, diagnostic string"
+MESSAGES = pa.schema([("path", pa.string()), ("radar_id", pa.string()), ("volume_ms", pa.int64()), ("record_seq", pa.int64()), ("message_seq", pa.int64()), ("message_type", pa.int32()), ("message_ms", pa.int64()), ("radial_seq", pa.int64()), ("body", pa.binary()), ("diagnostic", pa.string())])
+MESSAGES_DDL = "path string, radar_id string, volume_ms bigint, record_seq bigint, message_seq bigint, message_type int, message_ms bigint, radial_seq bigint, body binary, diagnostic string"
 
 
 def message_length(data: bytes, at: int) -> int | None:
@@ -76,7 +78,7 @@ def messages_of(data: bytes) -> Iterator[bytes]:
 
 
 def _volume(path: str, content: bytes) -> Iterator[tuple]:
-    radar, start, record = None, None, -1
+    radar, start, record, radials = None, None, -1, 0
     try:
         if len(content) < VOLUME_HEADER or content[:4] != b"AR2V":
             raise ValueError("no volume header")
@@ -92,76 +94,113 @@ def _volume(path: str, content: bytes) -> Iterator[tuple]:
             if len(packed) < abs(word):
                 raise ValueError(f"record {record} is cut short")
             at += 4 + abs(word)
+            seq = 0
             for seq, m in enumerate(messages_of(bz2.decompress(packed)), 1):
                 d, t = struct.unpack_from(">HI", m, 6)
-                yield path, radar, start, record, seq, m[3], (d - 1) * 86_400_000 + t, m, None
+                radial = m[3] == RADIAL and radial_of(m) is not None
+                radials += radial
+                yield path, radar, start, record, seq, m[3], (d - 1) * 86_400_000 + t, radials if radial else None, m, None
+            if not seq:
+                yield path, radar, start, record, None, None, None, None, None, None
     except (ValueError, OSError, EOFError, struct.error, UnicodeDecodeError) as e:
-        yield path, radar, start, record if record >= 0 else None, None, None, None, None, str(e)
+        yield path, radar, start, record if record >= 0 else None, None, None, None, None, None, str(e)
 
 
 def messages(files: DataFrame) -> DataFrame:
-    """One row per message of each file, and one with a diagnostic where decoding ended early."""
+    """One row per message of each file, one without message for a record that has none, and one with a diagnostic where decoding ended early.
+
+    radial_seq numbers a file's radials from 1, in the order of the file.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for path, content in zip(b.column("path").to_pylist(), b.column("content")):
-                rows = list(_volume(path, content.as_py()))
-                for i in range(0, len(rows), 2000):
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(map(list, zip(*rows[i : i + 2000])), MESSAGES)], schema=MESSAGES)
+                for rows in batched(_volume(path, content.as_py()), 2000):
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(map(list, zip(*rows)), MESSAGES)], schema=MESSAGES)
 
     return files.select("path", "content").mapInArrow(run, MESSAGES_DDL)
 
 
-BLOCKS_DDL = "path string, record_seq bigint, message_seq bigint, message_ms bigint, radial_status int, elevation_number int, moment_name string, gate_count int, first_km float, spacing_km float, word_size int, scale float, offset float, gates array<int>"
-
-
-def pointed(m: bytes) -> Iterator[tuple[int, bytes]]:
-    """Place and four-letter name of each block that a radial message points to."""
-    if len(m) < RADIAL_HEADER:
-        return
-    n = struct.unpack_from(">H", m, 18)[0]
-    end = min(len(m), n) if n else len(m)
-    count = struct.unpack_from(">H", m, 30)[0]
-    for i in range(min(count, MOST_POINTERS, (end - POINTERS) // 4)):
-        (p,) = struct.unpack_from(">i", m, POINTERS + 4 * i)
-        if 0 < p <= end - 4:
-            yield p, m[p : p + 4]
-
-
-def blocks_of(m: bytes) -> Iterator[tuple]:
-    """The moment blocks of a radial message."""
-    if len(m) < RADIAL_HEADER:
-        return
-    n = struct.unpack_from(">H", m, 18)[0]
-    m = m[: min(len(m), n)] if n else m
-    if len(m) < POINTERS:
-        return
-    status, elevation, count = m[21], m[22], struct.unpack_from(">H", m, 30)[0]
-    for i in range(min(count, MOST_POINTERS, (len(m) - POINTERS) // 4)):
-        (p,) = struct.unpack_from(">i", m, POINTERS + 4 * i)
-        if not 0 < p < len(m) or len(m) - p < BLOCK_HEADER or m[p : p + 1] != b"D":
-            continue
-        name = m[p + 1 : p + 4].decode("ascii", "replace").rstrip("\0 ")
-        gates, first, spacing = struct.unpack_from(">HHH", m, p + 8)
-        word, scale, offset = m[p + 19], *struct.unpack_from(">ff", m, p + 20)
-        data = m[p + BLOCK_HEADER :]
-        if not name or word not in (8, 16) or len(data) < gates * word // 8:
-            continue
-        values = np.frombuffer(data, ">u2" if word == 16 else "u1", gates).astype(np.int32)
-        yield status, elevation, name, gates, float(np.float32(first) / np.float32(1000)), float(np.float32(spacing) / np.float32(1000)), word, scale, offset, values
+def radial_of(m: bytes) -> bytes | None:
+    """The radial behind the message header, cut to the length that it states; None if it is too short."""
+    data = m[MESSAGE_HEADER:]
+    if len(data) < RADIAL_HEADER:
+        return None
+    n = struct.unpack_from(">H", data, 18)[0]
+    data = data[:n] if n else data
+    return data if len(data) >= POINTERS else None
 
 
-def moment_blocks(message_rows: DataFrame) -> DataFrame:
-    """One row per moment block of the radial messages (type 31), with its gates."""
+def pointed(radial: bytes) -> Iterator[bytes]:
+    """The radial from each place on that it points to."""
+    count = struct.unpack_from(">H", radial, 30)[0]
+    for i in range(min(count, MOST_POINTERS, (len(radial) - POINTERS) // 4)):
+        (p,) = struct.unpack_from(">i", radial, POINTERS + 4 * i)
+        if 0 < p <= len(radial) - 4:
+            yield radial[p:]
+
+
+def moment_header(block: bytes) -> tuple | None:
+    """(name, gates, first km, spacing km, word size, scale, offset) of a moment block, else None."""
+    name = block[1:4].decode("ascii", "replace").rstrip("\0 ")
+    if block[:1] != b"D" or len(block) < BLOCK_HEADER or not name:
+        return None
+    gates, first, spacing = struct.unpack_from(">HHH", block, 8)
+    return name, gates, float(np.float32(first) / np.float32(1000)), float(np.float32(spacing) / np.float32(1000)), block[19], *struct.unpack_from(">ff", block, 20)
+
+
+MOMENT = [("moment_name", pa.string()), ("gate_count", pa.int32()), ("first_km", pa.float32()), ("spacing_km", pa.float32()), ("word_size", pa.int32()), ("scale", pa.float32()), ("offset", pa.float32())]
+MOMENT_DDL = "moment_name string, gate_count int, first_km float, spacing_km float, word_size int, scale float, offset float"
+PLACE = ("path", "radar_id", "volume_ms", "record_seq", "message_seq", "message_ms", "radial_seq")
+PLACE_DDL = "path string, radar_id string, volume_ms bigint, record_seq bigint, message_seq bigint, message_ms bigint, radial_seq bigint"
+
+
+def _of_radials(message_rows: DataFrame, rows_of, fields: list, ddl: str) -> DataFrame:
+    """rows_of(radial) under the place of each radial."""
+    kinds = [(f.name, f.type) for f in MESSAGES if f.name in PLACE]
+    schema = pa.schema([*kinds, *fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("path", pa.string()), ("record_seq", pa.int64()), ("message_seq", pa.int64()), ("message_ms", pa.int64()), ("radial_status", pa.int32()), ("elevation_number", pa.int32()), ("moment_name", pa.string()), ("gate_count", pa.int32()), ("first_km", pa.float32()), ("spacing_km", pa.float32()), ("word_size", pa.int32()), ("scale", pa.float32()), ("offset", pa.float32()), ("gates", pa.list_(pa.int32()))])
         for b in batches:
-            rows = [(*key, *block) for *key, body in zip(*(b.column(c).to_pylist() for c in ("path", "record_seq", "message_seq", "message_ms", "body"))) for block in blocks_of(body)]
-            if rows:
+            places = zip(*(b.column(c).to_pylist() for c in PLACE))
+            found = ((*place, *row) for place, body in zip(places, b.column("body")) for row in rows_of(radial_of(body.as_py())))
+            for rows in batched(found, 2000):
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
-    return message_rows.filter("message_type = 31").select("path", "record_seq", "message_seq", "message_ms", "body").mapInArrow(run, BLOCKS_DDL)
+    return message_rows.filter("radial_seq is not null").select(*PLACE, "body").mapInArrow(run, f"{PLACE_DDL}, {ddl}")
+
+
+def radials(message_rows: DataFrame) -> DataFrame:
+    """One row per radial: state, elevation, cut sector, the headers of its moment blocks and how many constant blocks it points to."""
+
+    def one(r: bytes) -> Iterator[tuple]:
+        blocks = list(pointed(r))
+        names = [b[:4] for b in blocks]
+        heads = [dict(zip((n for n, _ in MOMENT), h)) for h in map(moment_header, blocks) if h]
+        yield r[21], r[22], r[23], struct.unpack_from(">f", r, 24)[0], heads, *(names.count(n) for n in CONSTANT_BLOCKS)
+
+    counts = ("volume_blocks", "elevation_blocks", "radial_blocks")
+    fields = [("radial_status", pa.int32()), ("elevation_number", pa.int32()), ("cut_sector", pa.int32()), ("elevation_angle", pa.float32()), ("headers", pa.list_(pa.struct(MOMENT))), *[(c, pa.int64()) for c in counts]]
+    return _of_radials(message_rows, one, fields, "radial_status int, elevation_number int, cut_sector int, elevation_angle float, headers array<struct<" + MOMENT_DDL.replace(" ", ":").replace(",:", ",") + ">>, " + ", ".join(f"{c} bigint" for c in counts))
+
+
+def moment_headers(radial_rows: DataFrame) -> DataFrame:
+    """One row per moment block, as AG9's summary takes them."""
+    return radial_rows.select(*PLACE, F.posexplode("headers").alias("block_seq", "h")).select(*PLACE, F.col("block_seq").cast("bigint").alias("block_seq"), "h.*")
+
+
+def moment_blocks(message_rows: DataFrame) -> DataFrame:
+    """One row per moment block whose gates are whole 8-bit or 16-bit words, with its gates; block_seq counts a radial's blocks from 0."""
+
+    def some(r: bytes) -> Iterator[tuple]:
+        for i, block in enumerate(pointed(r)):
+            head = moment_header(block)
+            if head is None or head[4] not in (8, 16) or len(block) - BLOCK_HEADER < head[1] * head[4] // 8:
+                continue
+            yield r[21], r[22], i, *head, np.frombuffer(block, ">u2" if head[4] == 16 else "u1", head[1], BLOCK_HEADER).astype(np.int32)
+
+    fields = [("radial_status", pa.int32()), ("elevation_number", pa.int32()), ("block_seq", pa.int64()), *MOMENT, ("gates", pa.list_(pa.int32()))]
+    return _of_radials(message_rows, some, fields, f"radial_status int, elevation_number int, block_seq bigint, {MOMENT_DDL}, gates array<int>")
 
 
 def gates_from(blocks: DataFrame) -> DataFrame:
@@ -177,22 +216,25 @@ def message_histogram(message_rows: DataFrame) -> DataFrame:
     return message_rows.filter("message_type is not null").groupBy("message_type").agg(F.count("*").alias("messages"))
 
 
-def constant_blocks(message_rows: DataFrame) -> DataFrame:
-    """How many radial messages carry the constant blocks RVOL, RELV and RRAD."""
-
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            names = [{name for _, name in pointed(m)} for m in b.column("body").to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array([n in found for found in names], pa.bool_()) for n in (b"RVOL", b"RELV", b"RRAD")], ["volume", "elevation", "radial"])
+def constant_blocks(radial_rows: DataFrame) -> DataFrame:
+    """How many constant blocks of the volume, the elevation and the radial there are."""
+    return radial_rows.agg(*[F.coalesce(F.sum(f"{c}_blocks"), F.lit(0)).alias(c) for c in ("volume", "elevation", "radial")])
 
-    has = message_rows.filter("message_type = 31").select("body").mapInArrow(run, "volume boolean, elevation boolean, radial boolean")
-    return has.agg(*[F.count_if(F.col(c)).alias(c) for c in ("volume", "elevation", "radial")])
 
+def inventory(files: DataFrame, message_rows: DataFrame | None = None) -> DataFrame:
+    """One row: files by kind and bytes; with the messages also files with a diagnostic, records, messages, radials and estimated gate events.
 
-def inventory(files: DataFrame) -> DataFrame:
+    Estimated are the gates that moment headers announce, whether or not they can be decoded.
+    """
     kinds = files.select("length", file_kind(F.col("content"), F.col("path")).alias("kind"))
-    return kinds.agg(F.count("*").alias("files"), F.sum("length").alias("bytes"), *[F.count_if(F.col("kind") == k).alias(k.lower()) for k in ("BaseData", "CompressedStream", "Unknown")])
+    totals = kinds.agg(F.count("*").alias("files"), F.sum("length").alias("bytes"), *[F.count_if(F.col("kind") == k).alias(k.lower()) for k in ("BaseData", "CompressedStream", "Unknown")])
+    if message_rows is None:
+        return totals
+    each = message_rows.groupBy("path").agg(F.max(F.col("record_seq") + 1).alias("records"), F.count("message_type").alias("messages"), F.count("diagnostic").alias("bad"))
+    seen = each.agg(F.count_if(F.col("bad") > 0).alias("with_diagnostic"), *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("records", "messages")])
+    gates = F.aggregate("headers", F.lit(0).cast("bigint"), lambda a, h: a + h.gate_count)
+    found = radials(message_rows).agg(F.count("*").alias("radials"), F.coalesce(F.sum(gates), F.lit(0)).alias("estimated_events"))
+    return totals.withColumn("one", F.lit(1)).join(seen.withColumn("one", F.lit(1)), "one").join(found.withColumn("one", F.lit(1)), "one").drop("one")
 
 
 def parsed_key(path: Column) -> dict[str, Column]:

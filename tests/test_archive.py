@@ -9,6 +9,10 @@ from datetime import date
 import pytest
 from pyspark.sql import functions as F
 
+from cirrolite.functions.keys import Universe
+from cirrolite.operators import rollups, runs, validation, windows
+from cirrolite.operators.handlers import COUNTER
+from cirrolite.operators.projection import stream_events_from
 from cirrolite.sources import archive
 
 
@@ -21,21 +25,21 @@ def block(name: bytes, values: list[int], word: int, scale: float, offset: float
     return b"D" + name + bytes(4) + struct.pack(">HHH", len(values), 2125, 250) + bytes(5) + bytes([word]) + struct.pack(">ff", scale, offset) + data
 
 
-def radial(elevation: int, blocks: list[bytes], ms: int) -> bytes:
+def radial(elevation: int, blocks: list[bytes], ms: int, status: int = 3) -> bytes:
+    """A message header, then the radial; lengths and pointers count from the radial's first byte."""
     start, pointers = 72, []
     body = b""
     for b in blocks:
         pointers.append(start + len(body))
         body += b + bytes(len(b) % 2)
-    whole = bytearray(start) + body
-    whole += bytes(len(whole) % 2)
-    whole[:16] = header(len(whole) - 16, 31, ms)
-    struct.pack_into(">H", whole, 18, len(whole))
-    whole[21], whole[22] = 3, elevation
-    struct.pack_into(">H", whole, 30, len(pointers))
+    data = bytearray(start) + body
+    struct.pack_into(">H", data, 18, len(data))
+    data[21], data[22], data[23] = status, elevation, elevation % 3
+    struct.pack_into(">f", data, 24, elevation / 2)
+    struct.pack_into(">H", data, 30, len(pointers))
     for i, p in enumerate(pointers):
-        struct.pack_into(">i", whole, 32 + 4 * i, p)
-    return bytes(whole)
+        struct.pack_into(">i", data, 32 + 4 * i, p)
+    return header(len(data), 31, ms) + bytes(data)
 
 
 def volume(records: list[bytes]) -> bytes:
@@ -81,7 +85,10 @@ def test_messages_and_gates(spark, folder):
         ("VEL", 0): (129, 0, 0.0, 2.125), ("VEL", 1): (300, 0, 85.5, 2.375),
         ("CFP", 0): (0, 3, None, 2.125), ("CFP", 1): (1, 4, None, 2.375), ("CFP", 2): (2, 5, None, 2.625), ("CFP", 3): (5, 6, None, 2.875), ("CFP", 4): (9, 0, 1.0, 3.125),
     }
-    assert archive.constant_blocks(m).first() == (0, 0, 0)
+    assert archive.constant_blocks(archive.radials(m)).first() == (0, 0, 0)
+    assert [(r["path"][-3:], r["radial_seq"]) for r in m.filter("message_type = 31").orderBy("path", "radial_seq").collect()] == [("V06", 1), ("V06", 2)]
+    total = archive.inventory(archive.scan_files(spark, folder), m).select("files", "with_diagnostic", "records", "messages", "radials", "estimated_events").first()
+    assert total == (4, 2, 3, 3, 2, 11)
 
 
 def test_keys_and_manifest(spark, folder, tmp_path):
@@ -95,13 +102,52 @@ def test_keys_and_manifest(spark, folder, tmp_path):
     assert archive.of_radars(spark.createDataFrame([("KTLX",), ("KINX",)], "radar_id string"), spark.createDataFrame([], "radar_id string")).count() == 2
 
 
-def test_constant_blocks_by_pointers(spark):
-    """Names count where a pointer leads, not in gate data or across half bytes."""
-    whole = radial(1, [b"RVOL" + bytes(40), b"RRAD" + bytes(24), block_of_gates()], 5)
-    other = radial(1, [b"RELV" + bytes(8), block_of_gates()], 6)
-    m = spark.createDataFrame([(31, bytearray(whole)), (31, bytearray(other)), (31, bytearray(radial(1, [block_of_gates()], 7))), (2, bytearray(whole))], "message_type int, body binary")
-    assert archive.constant_blocks(m).first() == (1, 1, 1)
-
-
 def block_of_gates() -> bytes:
     return block(b"REF", list(b"RVOLRELVRRAD"), 8, 2.0, 66.0)
+
+
+def archived(spark, files: dict[str, list[bytes]]):
+    """Messages of volumes that hold the records."""
+    rows = [(path, bytearray(volume(records))) for path, records in files.items()]
+    return archive.messages(spark.createDataFrame(rows, "path string, content binary")).cache()
+
+
+def test_summaries_of_radials(spark):
+    """Constant blocks count where a pointer leads, not in gate data; sweeps end with the elevation."""
+    a = radial(1, [b"RVOL" + bytes(40), b"RRAD" + bytes(24), block_of_gates()], 5)
+    b = radial(1, [b"RELV" + bytes(8), block(b"VEL", [1], 8, 1.0, 3.0)], 6, status=1)
+    c = radial(2, [block(b"REF", [1, 2], 16, 4.0, 60.0)], 7, status=1)
+    m = archived(spark, {"x": [a + b, c]})
+    r = archive.radials(m)
+    assert archive.constant_blocks(r).first() == (1, 1, 1)
+    got = {x["moment_name"]: x for x in rollups.moment_summary(archive.moment_headers(r)).collect()}
+    assert (got["REF"]["radials"], got["REF"]["gates"], got["REF"]["min_gate_count"], got["REF"]["max_word_size"], got["REF"]["min_scale"], got["REF"]["max_offset"]) == (2, 14, 2, 16, 2.0, 66.0)
+    names = F.transform("headers", lambda h: h.moment_name)
+    sweeps = rollups.sweep_summary(windows.sweeps(r.withColumns({"volume_id": F.col("path"), "radial_key": F.col("radial_seq"), "moments": names}))).orderBy("sweep").collect()
+    assert [(x["radials"], x["avg_elevation_angle"], x["min_cut_sector"], x["start_status"], x["end_status"], x["moments"], x["volume_blocks"], x["elevation_blocks"]) for x in sweeps] == [
+        (2, 0.5, 1, 3, 1, ["REF", "VEL"], 1, 1), (1, 1.0, 2, 1, 1, ["REF"], 0, 0)]
+
+
+def test_archive_to_run(spark, tmp_path):
+    """Blocks become events of range bands with ids, payload places and batches, and a run's five tables."""
+    ref, vel = block(b"REF", [1, 2, 3, 4, 5], 8, 2.0, 66.0), block(b"VEL", [300, 301], 16, 2.0, 129.0)
+    m = archived(spark, {"b": [radial(1, [vel], 30)], "a": [radial(1, [ref, vel], 10) + radial(2, [ref], 20)], "c": [radial(9, [ref], 40)]})
+    universe = Universe(2, 4, 2, 2)
+    events, rejected = stream_events_from(archive.moment_blocks(m), universe)
+    got = [tuple(r) for r in events.orderBy("event_seq").select("path", "batch_seq", "radial_seq", "moment_name", "moment_id", "elevation_slot", "azimuth_bucket", "range_band", "gate_start", "gates", "payload_offset", "payload_length", "source_id").collect()]
+    assert got == [
+        ("a", 0, 1, "REF", 0, 0, 0, 0, 0, [1, 2], 0, 2, 0), ("a", 0, 1, "REF", 0, 0, 0, 1, 2, [3, 4, 5], 2, 3, 1), ("a", 0, 1, "VEL", 1, 0, 0, 0, 0, [300], 5, 2, 0), ("a", 0, 1, "VEL", 1, 0, 0, 1, 1, [301], 7, 2, 1),
+        ("a", 0, 2, "REF", 0, 1, 1, 0, 0, [1, 2], 9, 2, 6), ("a", 0, 2, "REF", 0, 1, 1, 1, 2, [3, 4, 5], 11, 3, 7), ("b", 1, 1, "VEL", 1, 0, 0, 0, 0, [300], 0, 2, 0), ("b", 1, 1, "VEL", 1, 0, 0, 1, 1, [301], 2, 2, 1)]
+    events.write.parquet(str(tmp_path / "events"))
+    events = spark.read.parquet(str(tmp_path / "events"))
+    assert [r["error"] for r in rejected.collect()] == ["SourceOutOfRange"] * 2
+    checked = events.withColumns({"batch_bytes": F.when(F.col("batch_seq") == 0, 14).otherwise(4), **{c: F.lit(1) for c in ("schema_version", "universe_version", "dictionary_version")}})
+    assert [r["error"] for r in validation.batch_errors(checked, universe, (1, 2)).collect()] == [None, None]
+    good, bad = validation.accepted_batches(checked, universe)
+    assert (good.count(), bad.count()) == (2, 0)
+    done = rollups.batch_metrics(events).withColumn("status", F.lit("Succeeded"))
+    runs.store(spark, runs.run_tables("r", 1, events, done, universe.sources, [COUNTER]), str(tmp_path))
+    assert runs.of_run(spark, str(tmp_path), "sources", "r", active=True).count() == 4
+    assert runs.latest_run(spark, str(tmp_path)).select("batch_count", "event_count", "value_count").first() == (2, 8, 14)
+    assert runs.of_run(spark, str(tmp_path), "handler_values", "r", field="raw_checksum", source_id=1).first()["int64_value"] == 3 + 4 + 5 + 301 + 301
+    assert runs.of_run(spark, str(tmp_path), "diagnostics", "r").first()["complete"]

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from cirrolite.functions import keys as K
-from cirrolite.functions.payload import gates_of
+from cirrolite.functions.payload import gates_of, payload_slice
 from cirrolite.operators import dictionary, handlers, pressure, runs, validation, windows
 from cirrolite.plans import queries as Q
 from cirrolite.plans.bindings import UNIVERSE, stream_events
@@ -79,14 +81,39 @@ def test_run_store(spark, tmp_path):
     assert runs.of_run(spark, folder, "sources", "a", source_id=3).count() == 1
 
 
-def test_bands_in_the_jvm_are_those_of_the_fold(spark):
-    scores = [0.0, 9000.0, 10000.0, 8500.0, 7000.0, 120000.0, 81000.0, 79000.0, 45000.0, 39000.0, 8000.0, 0.0]
+def test_window_bands_are_those_of_the_rule(spark):
+    rnd = random.Random(3)
+    scores = [0.0, 9000.0, 10000.0, 8500.0, 7000.0, 120000.0, 81000.0, 79000.0, 45000.0, 39000.0, 8000.0, 0.0] + [rnd.choice([0.0, 7999.0, 8000.0, 10000.0, 39999.0, 40000.0, 50000.0, 79999.0, 80000.0, 100000.0]) for _ in range(400)]
     band, want = "Normal", []
     for s in scores:
         band = pressure.next_band(s, band)
         want.append(band)
     assert want[:5] == ["Cold", "Normal", "Warm", "Warm", "Normal"]
-    assert spark.createDataFrame([(scores,)], "s array<double>").select(pressure.bands_of(F.col("s"))).first()[0] == want
+    rows = spark.createDataFrame([(1, i, s) for i, s in enumerate(scores)], "key bigint, seq bigint, score double")
+    assert [r["band"] for r in pressure.hysteresis(rows, "key", "seq", "score").orderBy("seq").collect()] == want
+
+
+def test_every_batch_error_occurs(spark):
+    got = {r["error"] for r in Q.va1_batch_errors(spark, DATA.replace("sf0.001", "sf0.01")).select("error").distinct().collect()}
+    assert got == {None, "UnsupportedStreamSchemaVersion", "SourceUniverseVersionMismatch", "DictionarySnapshotVersionMismatch", "ChronologyOrderViolation", "PayloadLengthMismatch", "PayloadReferenceOutsidePayload", "PayloadReferenceNotContiguous",
+                   "SourceIdOutsideUniverse", "SourceKeyOutsideUniverse", "SourceKeyMismatch", "RadarOrdinalOutsideDictionary", "MomentIdOutsideDictionary", "PayloadTailNotReferenced", "MetricsMismatch"}
+
+
+def test_payload_slices(spark):
+    df = spark.createDataFrame([(bytearray(b"abcdef"),)], "p binary")
+    take = lambda at, n, gates, word: df.select(payload_slice(F.col("p"), F.lit(at), F.lit(n), F.lit(gates), F.lit(word)).alias("x")).first()["x"]
+    assert bytes(take(2, 4, 2, 16)) == b"cdef"
+    for bad in ((3, 4, 2, 16), (-1, 2, 2, 8), (0, 3, 2, 8), (0, 0, 0, 8), (0, 2, 1, 12)):
+        with pytest.raises(Exception, match="payload slice"):
+            take(*bad)
+
+
+def test_delta_of_another_catalog(spark):
+    c = spark.createDataFrame([("radar", "a", 0), ("radar", "b", 1)], "catalog string, text string, id bigint")
+    other = dictionary.delta(c, 2, 3).withColumn("catalog", F.lit("moment"))
+    assert dictionary.apply_delta(dictionary.snapshot(c, 2), dictionary.delta(c, 2, 3), 2).count() == 2
+    with pytest.raises(ValueError, match="another catalog"):
+        dictionary.apply_delta(dictionary.snapshot(c, 2), other, 2)
 
 
 def test_health_lifecycle(spark):
