@@ -1,7 +1,7 @@
 """Order-sensitive checksums: 64-bit FNV-1a folds, as hex.
 
-A fold is sequential within its key (batch or source), so keys are the parallelism; the chronology checksum is associative and folds
-per slice of the order, to be combined in a second, small step. Folds run over many keys at once: one numpy step per position.
+A fold is sequential within its key (batch or source), so keys are the parallelism: many keys at once, one numpy step per position. The chronology
+checksum is associative and folds per slice of the order, to be combined in a second, small step.
 """
 
 from __future__ import annotations
@@ -31,52 +31,73 @@ def fold(hash_: np.ndarray, values: np.ndarray, size: int) -> np.ndarray:
     return hash_
 
 
-def fold_rows(frame: pd.DataFrame, fields: list[tuple[str, int]], start: np.ndarray | np.uint64 = BASIS) -> np.uint64:
-    """The rows of one key in order."""
-    h = np.array([start], np.uint64)
-    columns = [(frame[c].to_numpy(), n) for c, n in fields]
-    for i in range(len(frame)):
-        for c, n in columns:
-            h = fold(h, c[i : i + 1], n)
-    return h[0]
-
-
 def hexed(h: np.uint64) -> str:
     return f"{int(h):016x}"
 
 
-def source_checksums(events: DataFrame) -> DataFrame:
-    """Per source: the fold over its events in order of event_seq."""
+def fold_keys(rows: DataFrame, key: str, order: str, fields: list[tuple[str, int]], header: list[tuple[str, int]] | None = None) -> DataFrame:
+    """(key, rows, checksum): the fold over each key's rows in order, after the header's fields of its first row. Rows without key have no fold.
 
-    def one(frame: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"source_id": [frame["source_id"].iloc[0]], "checksum": [hexed(fold_rows(frame.sort_values("event_seq"), EVENT))]})
+    Spark deals and sorts the rows; a task folds the keys of a batch side by side, position by position, and carries the last key's hash into the next batch,
+    so a key of any size takes no more memory than a batch.
+    """
+    header = header or []
+    names = list(dict.fromkeys(c for c, _ in [*header, *fields]))
 
-    return events.select("event_seq", *dict.fromkeys(c for c, _ in EVENT)).groupBy("source_id").applyInPandas(one, "source_id bigint, checksum string")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out(keys, n, h) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(n, pa.int64()), pa.array([hexed(x) for x in h], pa.string())], [key, "rows", "checksum"])
 
+        last = None  # key, rows and hash of the key that may go on
+        for b in batches:
+            if not b.num_rows:
+                continue
+            keys = b.column(key).to_numpy(zero_copy_only=False)
+            column = {c: b.column(c).to_numpy(zero_copy_only=False) for c in names}
+            first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+            size = np.diff(np.append(first, len(keys)))
+            h, n = np.full(len(first), BASIS), size.astype(np.int64)
+            for c, width in header:
+                h = fold(h, column[c][first], width)
+            if last and last[0] == keys[0]:
+                n[0], h[0] = n[0] + last[1], last[2]
+            elif last:
+                yield out(*([x] for x in last))
+            longest = np.argsort(-size, kind="stable")
+            falling = -size[longest]
+            for j in range(int(size.max())):
+                live = longest[: np.searchsorted(falling, -j)]
+                at, x = first[live] + j, h[live]
+                for c, width in fields:
+                    x = fold(x, column[c][at], width)
+                h[live] = x
+            last = (keys[-1], n[-1], h[-1])
+            yield out(keys[first[:-1]], n[:-1], h[:-1])
+        if last:
+            yield out(*([x] for x in last))
+
+    dealt = rows.filter(F.col(key).isNotNull()).repartition(key).sortWithinPartitions(key, order)
+    return dealt.select(F.col(key).cast("bigint").alias(key), *[c for c in names if c != key]).mapInArrow(run, f"{key} bigint, rows bigint, checksum string")
 
-def batch_checksums(events: DataFrame, versions: tuple[int, int, int] = (1, 1, 1)) -> DataFrame:
-    """Per batch: the fold over its header (versions, number of events, payload length), then its events."""
 
-    def one(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("event_seq")
-        h = np.array([BASIS], np.uint64)
-        for v, n in ((versions[0], 4), (versions[1], 8), (versions[2], 4), (len(frame), 4), (int(frame["gate_count"].sum()), 4)):
-            h = fold(h, np.array([v]), n)
-        return pd.DataFrame({"batch_seq": [frame["batch_seq"].iloc[0]], "checksum": [hexed(fold_rows(frame, METADATA, h[0]))]})
+def source_checksums(events: DataFrame) -> DataFrame:
+    """Per source: the fold over its events in order of event_seq."""
+    return fold_keys(events, "source_id", "event_seq", EVENT).drop("rows")
 
-    return events.select("batch_seq", "event_seq", *dict.fromkeys(c for c, _ in METADATA)).groupBy("batch_seq").applyInPandas(one, "batch_seq bigint, checksum string")
+
+def batch_checksums(events: DataFrame, versions: tuple[int, int, int] = (1, 1, 1)) -> DataFrame:
+    """Per batch: the fold over its header (versions, number of events, payload length), then its events."""
+    whole = Window.partitionBy("batch_seq")
+    head = {"_schema": F.lit(versions[0]), "_universe": F.lit(versions[1]), "_dictionary": F.lit(versions[2]), "_events": F.count("*").over(whole), "_bytes": F.sum("gate_count").over(whole)}
+    return fold_keys(events.withColumns(head), "batch_seq", "event_seq", METADATA, list(zip(head, (4, 8, 4, 4, 4)))).drop("rows")
 
 
 def run_checksum(state: DataFrame) -> DataFrame:
-    """The fold over the active sources in order of id; state has a row per source, as many as the universe."""
+    """The fold over the active sources in order of id. It is one sequence by its definition; the sources pass through one task in batches."""
     fields = [("source_id", 4), ("event_count", 8), ("value_count", 8), ("raw_checksum", 8), ("last_ticks", 8), ("folded", 8)]
-
-    def one(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("source_id")
-        frame["folded"] = np.array([int(x, 16) for x in frame["checksum"]], np.uint64).view(np.int64)
-        return pd.DataFrame({"sources": [len(frame)], "checksum": [hexed(fold_rows(frame, fields))]})
-
-    return state.groupBy().applyInPandas(one, "sources bigint, checksum string")
+    low = lambda at: F.conv(F.substring("checksum", at, 8), 16, 10).cast("bigint")
+    rows = state.withColumns({"run": F.lit(0).cast("bigint"), "folded": F.shiftleft(low(1), 32).bitwiseOR(low(9))})
+    return fold_keys(rows, "run", "source_id", fields).select(F.col("rows").alias("sources"), "checksum")
 
 
 CHRONOLOGY = ["radial_key", "gate_index", "elevation_number", "raw_value", "status"]
