@@ -13,9 +13,12 @@ from .embedding_dedup import near_links
 from .ngram_join import ngram_components
 from .packing import pack, token_pieces
 from .passages import cut_passages
+from .periodic_runs import periodic_runs
 from .quality import fit_quality, quality_scores
+from .spelling import spelling_variants, varied_words
 from .warc import read_archive, write_archive
 from .suffix_dedup import remove_repeats
+from .top_k import top_k
 from .url_filters import url_verdicts
 
 #: Fixed values of the contract: (host, path, action).
@@ -91,4 +94,33 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select(F.col("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_quality_classifier, op3_benchmark_decontamination, op4_url_filters, op5_ngram_join, op6_packing, op7_chat_formatting, op8_substring_dedup, op9_embedding_dedup, op10_warc)}
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    # of one document in ten, the words from a on repeat with period p
+    words = F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    docs = docs.withColumn("h", h).withColumn("words", F.when(F.col("h") % 10 == 0, words)).withColumn("n", F.size("words").cast("bigint"))
+    g = F.expr("h div 10")
+    docs = docs.withColumn("a", g % F.col("n")).withColumn("p", F.expr("1 + (n - a) div (3 + (h div 10) % 8)"))
+    planted = F.transform("words", lambda w, i: F.when(i < F.col("a"), w).otherwise(F.get("words", (F.col("a") + (i - F.col("a")) % F.col("p")).cast("int"))))
+    docs = docs.select("doc_id", F.when((F.col("h") % 10 == 0) & (F.col("n") > 0), F.array_join(planted, " ")).otherwise(F.col("text")).alias("text"))
+    found = periodic_runs(docs)
+    better = lambda r, best: r.length * best.period > best.length * r.period
+    best = F.aggregate("runs", F.element_at("runs", 1), lambda b, r: F.when(better(r, b), r).otherwise(b))
+    line = lambda r: F.concat(r.start, F.lit(","), r.length, F.lit(","), r.period, F.lit("\n"))
+    found = found.withColumn("best", F.when(F.size("runs") > 0, best))
+    return found.select(
+        "doc_id", F.size("runs").cast("bigint").alias("n_runs"), "best.start", "best.length", "best.period", F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(F.array_join(F.transform("runs", line), ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(varied_words(table(spark, sf_dir, "documents")))
+
+
+def op13_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_quality_classifier, op3_benchmark_decontamination, op4_url_filters, op5_ngram_join, op6_packing, op7_chat_formatting, op8_substring_dedup, op9_embedding_dedup, op10_warc, op11_periodic_runs, op12_spelling_variants, op13_top_k)}
