@@ -2,7 +2,8 @@
 
 Two dictionaries are trained, one on good and one on bad labelled texts. A text is cut into pieces of PIECE bytes and each piece is
 compressed with both; the difference of the compressed sizes over the piece's size says which kind of text it resembles. The mean and the extremes over
-all pieces go through a logistic calibration, fitted on labelled rows that the dictionaries did not see.
+all pieces go through a logistic calibration, fitted on what dictionaries say that did not see the row: the labelled rows are dealt to folds, and each fold is
+measured with dictionaries of the others.
 
 The fit takes at most `per_class` rows of each label (those whose id hashes lowest): the bound of what reaches the driver is 2 * per_class whole
 texts. Scoring reads all texts.
@@ -77,7 +78,7 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> np.ndarray:
     return w
 
 
-def fit_quality(labelled: DataFrame, docs: DataFrame, id: str = "doc_id", text: str = "text", label: str = "quality", per_class: int = 1500, least_rows: int = 8, dictionary_bytes: int = 65536) -> Model:
+def fit_quality(labelled: DataFrame, docs: DataFrame, id: str = "doc_id", text: str = "text", label: str = "quality", per_class: int = 1500, least_rows: int = 8, dictionary_bytes: int = 65536, folds: int = 8) -> Model:
     """labelled: id and label (0 or 1). Only the sampled ids meet docs, as a broadcast of at most 2 * per_class rows."""
     import zstandard
 
@@ -101,10 +102,12 @@ def fit_quality(labelled: DataFrame, docs: DataFrame, id: str = "doc_id", text:
         except zstandard.ZstdError:  # too few or too uniform samples: their end is the dictionary
             return b"".join(pieces)[-dictionary_bytes:]
 
-    # even ranks build the dictionaries, odd ranks calibrate
-    model = Model(dictionary(texts[1][::2]), dictionary(texts[0][::2]), [], [])
-    good, bad = _compressors(model)
-    held = [(features(t, good, bad), k) for k in (0, 1) for t in texts[k][1::2]]
+    # each text is measured with dictionaries of the other folds' texts; those of the model are built from all of them
+    held = []
+    for fold in range(folds):
+        good, bad = _compressors(Model(*[dictionary([t for n, t in enumerate(texts[k]) if n % folds != fold]) for k in (1, 0)], [], []))
+        held += [(features(t, good, bad), k) for k in (0, 1) for t in texts[k][fold::folds]]
+    model = Model(dictionary(texts[1]), dictionary(texts[0]), [], [])
     x, y = np.array([f for f, _ in held]), np.array([k for _, k in held], float)
     # the sample is balanced by its limits; weigh the constant back to the share of the labels
     counts = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count("*").alias("n")).collect()}
