@@ -12,7 +12,7 @@ from ..functions import keys as K
 from ..functions import payload as P
 from ..operators import checksums, dictionary, handlers, pressure, rollups, runs, validation, windows
 from ..sources import archive
-from ..streaming import pipeline
+from ..streaming import commits, pipeline
 from .bindings import UNIVERSE, V_FILES, V_GATES, V_STREAM, as_stream_events, files, gate_events, radials, stream_events
 from .shared import work_folder
 
@@ -800,8 +800,8 @@ def appended(folder):
 @query(SOURCE_SQL)
 def st1_micro_batches(spark, d):
     stream, folder = events_stream(spark, d)
-    pipeline.run_once(as_stream_events(stream), pipeline.committer(folder, UNIVERSE), f"{folder}/check")
-    return pipeline.last_state(spark, folder)
+    pipeline.run_once(as_stream_events(stream), commits.committer(folder, UNIVERSE), f"{folder}/check")
+    return commits.last_state(spark, folder)
 
 
 @query(f"WITH s AS ({SOURCE_SQL}) SELECT *, CAST(0 AS BIGINT) AS late FROM s")

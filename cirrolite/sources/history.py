@@ -15,10 +15,21 @@ def content_hash(df: DataFrame) -> tuple[int, str]:
 
 def exists(spark: SparkSession, path: str) -> bool:
     """Whether a path is there, on any file system that Spark reads."""
-    from pyspark.errors import AnalysisException
+    fs, place = _place(spark, path)
+    return fs.exists(place)
 
-    try:
-        spark.read.format("binaryFile").load(path).select("path").limit(1).count()
-        return True
-    except AnalysisException:
-        return False
+
+def _place(spark: SparkSession, path: str):
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
+
+
+def folders(spark: SparkSession, path: str) -> list[str]:
+    """Names of the folders under a path, on any file system that Spark reads; none if there is no such path."""
+    fs, place = _place(spark, path)
+    return sorted(s.getPath().getName() for s in fs.listStatus(place) if s.isDirectory()) if fs.exists(place) else []
+
+
+def remove(spark: SparkSession, path: str) -> bool:
+    fs, place = _place(spark, path)
+    return fs.delete(place, True)

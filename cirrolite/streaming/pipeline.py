@@ -10,8 +10,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.pressure import evaluate, next_band
-from ..operators.rollups import batch_deltas
-from ..operators.validation import accepted_batches, commit_errors
 from ..sources.history import exists
 
 
@@ -26,40 +24,6 @@ def run_once(stream: DataFrame, write: Callable[[DataFrame, int], None], checkpo
     stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
-def committer(folder: str, universe) -> Callable[[DataFrame, int], None]:
-    """Validates a micro-batch, folds what is valid and commits it on top of the state of the epoch before.
-
-    Deltas are computed in parallel, commits follow the epochs' order. An epoch that runs again reads the same earlier state and overwrites its own folders, so
-    redelivery changes nothing. A batch with a bad source id, or with ticks below what its source has seen, is rejected whole and kept with its reason.
-    """
-
-    def write(rows: DataFrame, epoch: int) -> None:
-        spark = rows.sparkSession
-        before = f"{folder}/state/epoch={epoch - 1}"
-        empty = spark.createDataFrame([], "source_id bigint, event_count bigint, value_count bigint, raw_checksum bigint, last_ticks bigint")
-        state = spark.read.parquet(before) if epoch and exists(spark, before) else empty
-        rows = rows.persist()
-        try:
-            good, bad = accepted_batches(rows, universe)
-            deltas = batch_deltas(rows.join(good.select("batch_seq"), "batch_seq", "left_semi"))
-            late = commit_errors(deltas, state).select("batch_seq", F.lit("SourceOrderViolation").alias("error")).distinct()
-            bad.select("batch_seq", "error").unionByName(late).write.mode("overwrite").parquet(f"{folder}/rejected/epoch={epoch}")
-            kept = deltas.join(late.select("batch_seq"), "batch_seq", "left_anti")
-            both = state.unionByName(kept.select(*empty.columns)).groupBy("source_id").agg(*[F.sum(c).alias(c) for c in ("event_count", "value_count", "raw_checksum")], F.max("last_ticks").alias("last_ticks"))
-            both.write.mode("overwrite").parquet(f"{folder}/state/epoch={epoch}")
-        finally:
-            rows.unpersist()
-
-    return write
-
-
-def last_state(spark: SparkSession, folder: str) -> DataFrame:
-    """The newest epoch's state: the epochs are listed by Spark, one small row each."""
-    rows = spark.read.parquet(f"{folder}/state")
-    newest = rows.agg(F.max("epoch")).first()[0]
-    return rows.filter(F.col("epoch") == newest).drop("epoch")
-
-
 def keyed_counts(events: DataFrame) -> DataFrame:
     """Per source, across micro-batches: counts, checksum and last ticks; `late` counts events below the last ticks, which change nothing else."""
 

@@ -12,7 +12,7 @@ from cirrolite.functions.payload import gates_of, payload_slice
 from cirrolite.operators import dictionary, handlers, pressure, runs, validation, windows
 from cirrolite.plans import queries as Q
 from cirrolite.plans.bindings import UNIVERSE, stream_events
-from cirrolite.streaming import pipeline
+from cirrolite.streaming import commits, pipeline
 
 from .conftest import DATA
 
@@ -135,25 +135,25 @@ def test_micro_batches_reject_late_batches_whole(spark, tmp_path):
     rows = Q.shaken(spark, DATA)
     rows.write.parquet(str(tmp_path / "in"))
     stream = pipeline.replay(spark, str(tmp_path / "in"), 100)
-    pipeline.run_once(stream, pipeline.committer(str(tmp_path), UNIVERSE), str(tmp_path / "check"))
+    pipeline.run_once(stream, commits.committer(str(tmp_path), UNIVERSE), str(tmp_path / "check"))
     good, bad = validation.accepted_batches(rows, UNIVERSE)
     from cirrolite.operators.rollups import source_rollup
 
     want = source_rollup(rows.join(good.select("batch_seq"), "batch_seq", "left_semi"))
     cols = ["source_id", "event_count", "value_count", "raw_checksum", "last_ticks"]
-    assert sorted(map(tuple, pipeline.last_state(spark, str(tmp_path)).select(cols).collect())) == sorted(map(tuple, want.select(cols).collect()))
+    assert sorted(map(tuple, commits.last_state(spark, str(tmp_path)).select(cols).collect())) == sorted(map(tuple, want.select(cols).collect()))
     assert spark.read.parquet(str(tmp_path / "rejected")).count() == bad.count()
 
 
 def test_commit_order_over_epochs(spark, tmp_path):
-    write = pipeline.committer(str(tmp_path), UNIVERSE)
+    write = commits.committer(str(tmp_path), UNIVERSE)
     v = stream_events(spark, DATA)
     write(v.filter("batch_seq = 1"), 0)
     write(v.filter("batch_seq in (0, 2)"), 1)  # batch 0 comes late
     write(v.filter("batch_seq in (0, 2)"), 1)  # and again
     late = [r["batch_seq"] for r in spark.read.parquet(str(tmp_path / "rejected")).collect()]
     assert late == [0]
-    assert pipeline.last_state(spark, str(tmp_path)).agg(F.sum("event_count")).first()[0] == v.filter("batch_seq in (1, 2)").count()
+    assert commits.last_state(spark, str(tmp_path)).agg(F.sum("event_count")).first()[0] == v.filter("batch_seq in (1, 2)").count()
 
 
 def test_deltas_arrive_in_any_order(spark, tmp_path):
@@ -173,3 +173,82 @@ def test_deltas_keep_doubles(spark):
     rows = spark.createDataFrame([(0, 1, 1), (0, 1, 2), (1, 1, 4)], "batch_seq bigint, source_id bigint, gate_count int")
     got = {r["field"]: r["value"] for r in handlers.merged(handlers.deltas(rows, [h])).collect()}
     assert got == {"half": 3.5, "rows": 3.0}
+
+
+def ticked(spark, rows):
+    """Events of (batch, source, ticks)."""
+    return spark.createDataFrame([(n, b, s, t) for n, (b, s, t) in enumerate(rows)], "event_seq bigint, batch_seq bigint, source_id bigint, message_ticks bigint").withColumns({
+        "radar_ordinal": F.lit(0), "elevation_slot": F.lit(0), "azimuth_bucket": F.floor(F.col("source_id") / 2).cast("int"), "range_band": (F.col("source_id") % 2).cast("int"), "gate_count": F.lit(2), "raw_sum": F.col("message_ticks") % 97})
+
+
+def in_order(rows):
+    """State and rejected batches by plain Python, batch by batch."""
+    state, out = {}, []
+    for b in sorted({r[0] for r in rows}):
+        mine = [r for r in rows if r[0] == b]
+        last, ok = {}, True
+        for _, s, t in mine:
+            ok &= t >= max(last.get(s, 0), state[s][3] if s in state else 0)
+            last[s] = t
+        if not ok:
+            out.append(b)
+            continue
+        for _, s, t in mine:
+            n, v, c, _ = state.get(s, (0, 0, 0, 0))
+            state[s] = (n + 1, v + 2, c + t % 97, t)
+    return sorted((s, *x) for s, x in state.items()), out
+
+
+@pytest.mark.parametrize("epochs", [[range(40)], [range(0, 1), range(1, 40)], [range(0, 13), range(13, 27), range(27, 40)]])
+def test_state_does_not_depend_on_epochs(spark, tmp_path, epochs):
+    rnd = random.Random(11)
+    rows = [(b, rnd.randrange(12), 100 * b + rnd.choice([0, 3, 3, 5, -150, -400, 900])) for b in range(40) for _ in range(3)]
+    want, late = in_order(rows)
+    assert 5 < len(late) < 35
+    write = commits.committer(str(tmp_path), UNIVERSE, buckets=5)
+    for e, some in enumerate(epochs):
+        write(ticked(spark, [r for r in rows if r[0] in some]), e)
+        if e == 1:
+            write(ticked(spark, [r for r in rows if r[0] in some]), e)  # delivered again
+    assert sorted(map(tuple, commits.last_state(spark, str(tmp_path), 5).collect())) == want
+    assert sorted(r["batch_seq"] for r in spark.read.parquet(str(tmp_path / "rejected")).collect()) == late
+
+
+def test_a_late_batch_inside_one_epoch(spark, tmp_path):
+    rows = [(0, 1, 100), (1, 1, 50), (2, 1, 70), (3, 1, 100), (3, 2, 5), (4, 2, 4), (4, 3, 9)]
+    for name, epochs in (("one", [range(5)]), ("many", [[0], [1], [2], [3], [4]])):
+        write = commits.committer(str(tmp_path / name), UNIVERSE)
+        for e, some in enumerate(epochs):
+            write(ticked(spark, [r for r in rows if r[0] in some]), e)
+        assert sorted(r["batch_seq"] for r in spark.read.parquet(str(tmp_path / name / "rejected")).collect()) == [1, 2, 4]
+        assert sorted((r["source_id"], r["last_ticks"]) for r in commits.last_state(spark, str(tmp_path / name)).collect()) == [(1, 100), (2, 5)]
+
+
+def test_a_rejected_batch_lets_later_ones_pass(spark):
+    """Batch 1 is late for source 1 and would make batch 2 late for source 2, and that batch 3 for source 3: each verdict hangs on the one before."""
+    deltas = spark.createDataFrame([(0, 1, 10, 10), (1, 1, 5, 5), (1, 2, 90, 90), (2, 2, 50, 50), (2, 3, 80, 80), (3, 3, 40, 40), (4, 3, 80, 81)], "batch_seq bigint, source_id bigint, first_ticks bigint, last_ticks bigint")
+    state = lambda *rows: spark.createDataFrame(list(rows), "source_id bigint, last_ticks bigint")
+    verdicts = lambda s: {r["batch_seq"]: r["accepted"] for r in commits.ordered_verdicts(deltas, s).collect()}
+    assert verdicts(state()) == {0: True, 1: False, 2: True, 3: False, 4: True}
+    assert verdicts(state((2, 60))) == {0: True, 1: False, 2: False, 3: True, 4: True}
+
+
+def test_commits_write_touched_buckets_only(spark, tmp_path):
+    folder = str(tmp_path)
+    write = commits.committer(folder, UNIVERSE, buckets=16)
+    write(ticked(spark, [(0, s, 1) for s in range(20)]), 0)
+    for e in range(1, 5):
+        write(ticked(spark, [(e, 7, e + 1)]), e)
+        assert len([p for p in (tmp_path / f"state/version={e}").iterdir() if p.name.startswith("bucket=")]) == 1
+    before = sorted(map(tuple, commits.last_state(spark, folder, 16).collect()))
+    assert len(before) == 20 and dict((r[0], r[1]) for r in before)[7] == 5
+    state = commits.BucketedState(spark, folder, 16)
+    assert state.expire(keep=2) == 3 + 1 + 2  # three records, the bucket's version 0, 1 and 2
+    assert sorted(map(tuple, commits.last_state(spark, folder, 16).collect())) == before and state.newest() == 4 and state.expire(keep=2) == 0
+    with pytest.raises(ValueError, match="never committed"):
+        write(ticked(spark, [(9, 7, 9)]), 9)  # an epoch is missing
+    with pytest.raises(ValueError, match="never committed"):
+        write(ticked(spark, [(1, 7, 9)]), 1)  # the commit before it has expired
+    with pytest.raises(ValueError, match="buckets"):
+        commits.last_state(spark, folder, 8)
+    assert commits.last_state(spark, str(tmp_path / "none")).count() == 0
