@@ -33,11 +33,31 @@ def scan_files(spark: SparkSession, folder: str, day: date | None = None, radar:
     return rows.orderBy("path").limit(most) if most else rows
 
 
-def file_kind(content: Column, path: Column) -> Column:
+#: What inspection says of each kind.
+KIND_TEXT = {
+    "short": "Archive Two signature is present, but the file is shorter than the 24-byte volume header.",
+    "CompressedStream": "File does not start with an Archive Two volume header and should not be parsed as base-data volume.",
+    "Unknown": "File signature is not recognized as a supported NEXRAD archive file kind.",
+}
+
+
+def _signs(content: Column, path: Column) -> tuple[Column, Column, Column]:
+    """Whether a file has the volume signature, the whole volume header, and the marks of a compressed stream: its name, or a bzip2 signature somewhere in its first 4096 bytes."""
     head = F.substring(content, 1, 4096)
-    hexed = F.hex(head)
-    at = F.instr(hexed, "425A68")  # BZh; at an odd place of the hex text, so that it begins a byte
-    return F.when(F.substring(hexed, 1, 8) == "41523256", "BaseData").when(F.element_at(F.split(path, "/"), -1).contains("_MDM") | ((at > 0) & (at % 2 == 1)), "CompressedStream").otherwise("Unknown")
+    pairs = F.concat(F.lit(" "), F.regexp_replace(F.hex(head), "(..)", "$1 "))  # bytes apart, so that a match begins at one
+    packed = F.upper(F.element_at(F.split(path, "/"), -1)).contains("_MDM") | F.contains(pairs, F.lit(" 42 5A 68 "))
+    return F.hex(F.substring(content, 1, 4)) == "41523256", F.length(content) >= VOLUME_HEADER, packed
+
+
+def file_kind(content: Column, path: Column) -> Column:
+    signed, whole, packed = _signs(content, path)
+    return F.when(signed & whole, "BaseData").when(signed, "Unknown").when(packed, "CompressedStream").otherwise("Unknown")
+
+
+def file_diagnostic(content: Column, path: Column) -> Column:
+    """What inspection says of a file that is no volume; null for volumes, whose diagnostics come from decoding."""
+    signed, whole, packed = _signs(content, path)
+    return F.when(signed, F.when(~whole, KIND_TEXT["short"])).when(packed, KIND_TEXT["CompressedStream"]).otherwise(KIND_TEXT["Unknown"])
 
 
 MESSAGES = pa.schema([("path", pa.string()), ("radar_id", pa.string()), ("volume_ms", pa.int64()), ("record_seq", pa.int64()), ("message_seq", pa.int64()), ("message_type", pa.int32()), ("message_ms", pa.int64()), ("radial_seq", pa.int64()), ("body", pa.binary()), ("diagnostic", pa.string())])
@@ -62,7 +82,7 @@ def message_length(data: bytes, at: int) -> int | None:
 
 
 def messages_of(data: bytes) -> Iterator[bytes]:
-    """Messages of a decompressed record, with zero padding between them."""
+    """Messages of a decompressed record, with zero padding between them; the last one is left out if the record ends inside it."""
     at = 0
     while at + MESSAGE_HEADER <= len(data):
         n = message_length(data, at)
@@ -72,7 +92,7 @@ def messages_of(data: bytes) -> Iterator[bytes]:
             at += 1
             continue
         if at + n > len(data):
-            raise ValueError("a message is cut short")
+            return
         yield data[at : at + n]
         at += n
 
