@@ -92,12 +92,70 @@ def batch_checksums(events: DataFrame, versions: tuple[int, int, int] = (1, 1, 1
     return fold_keys(events.withColumns(head), "batch_seq", "event_seq", METADATA, list(zip(head, (4, 8, 4, 4, 4)))).drop("rows")
 
 
+# ---- one long fold in parallel ----
+#
+# Appending a byte changes the lowest eight bits of the hash by the byte and multiplies: the low byte runs on its own, and what lies above it is only multiplied.
+# So the fold of a range is known once its results for the 256 possible low bytes are: from a hash h with low byte l it leads to table[l] + (h - l) * PRIME ** bytes.
+
+
+def power(n: int) -> np.uint64:
+    return np.uint64(pow(int(PRIME), n, 1 << 64))
+
+
+def composed(first: np.ndarray, then: np.ndarray, bytes_then: int) -> np.ndarray:
+    """The table of two ranges in a row."""
+    low = first & np.uint64(255)
+    return then[low.astype(np.int64)] + (first - low) * power(bytes_then)
+
+
+def fold_table(column: dict[str, np.ndarray], fields: list[tuple[str, int]], lanes: int = 64) -> tuple[np.ndarray, int]:
+    """The table of all rows in order and their bytes: `lanes` slices of them side by side, then one after the other."""
+    n, width = len(column[fields[0][0]]), sum(w for _, w in fields)
+    at = np.arange(min(lanes, n) + 1) * n // max(1, min(lanes, n))
+    first, size = at[:-1], np.diff(at)
+    tables = np.tile(np.arange(256, dtype=np.uint64), (len(first), 1))
+    for j in range(int(size.max(initial=0))):
+        live = np.flatnonzero(size > j)
+        h = tables[live]
+        for c, w in fields:
+            h = fold(h, column[c][first[live] + j][:, None], w)
+        tables[live] = h
+    whole = np.arange(256, dtype=np.uint64)
+    for t, k in zip(tables, size):
+        whole = composed(whole, t, int(k) * width)
+    return whole, n * width
+
+
+def fold_ordered(rows: DataFrame, order: str, fields: list[tuple[str, int]], slices: int = 64) -> DataFrame:
+    """One row: rows and checksum of the fold over all rows by `order`, which must be unique. Ranges of the order fold in parallel; at most `slices` tables of 2 KB meet in the last step."""
+    names = [c for c, _ in fields]
+
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin, table, size, n = None, np.arange(256, dtype=np.uint64), 0, 0
+        for b in batches:
+            if b.num_rows:
+                begin = b.column("_order")[0].as_py() if begin is None else begin
+                t, k = fold_table({c: b.column(c).to_numpy(zero_copy_only=False) for c in names}, fields)
+                table, size, n = composed(table, t, k), size + k, n + b.num_rows
+        if n:
+            yield pa.RecordBatch.from_arrays([pa.array([begin], pa.int64()), pa.array([n], pa.int64()), pa.array([size], pa.int64()), pa.array([table.tobytes()], pa.binary())], ["begin", "n", "size", "fold"])
+
+    def whole(frame: pd.DataFrame) -> pd.DataFrame:
+        h = int(BASIS)
+        for t, k in frame.sort_values("begin")[["fold", "size"]].itertuples(index=False):
+            h = (int(np.frombuffer(t, np.uint64)[h & 255]) + (h - (h & 255)) * int(power(k))) % (1 << 64)
+        return pd.DataFrame({"rows": [int(frame["n"].sum())], "checksum": [f"{h:016x}"]})
+
+    dealt = rows.select(F.col(order).cast("bigint").alias("_order"), *dict.fromkeys(names)).repartitionByRange(slices, "_order").sortWithinPartitions("_order")
+    return dealt.mapInArrow(part, "begin bigint, n bigint, size bigint, fold binary").groupBy().applyInPandas(whole, "rows bigint, checksum string")
+
+
 def run_checksum(state: DataFrame) -> DataFrame:
-    """The fold over the active sources in order of id. It is one sequence by its definition; the sources pass through one task in batches."""
+    """The fold over the active sources in order of id."""
     fields = [("source_id", 4), ("event_count", 8), ("value_count", 8), ("raw_checksum", 8), ("last_ticks", 8), ("folded", 8)]
     low = lambda at: F.conv(F.substring("checksum", at, 8), 16, 10).cast("bigint")
-    rows = state.withColumns({"run": F.lit(0).cast("bigint"), "folded": F.shiftleft(low(1), 32).bitwiseOR(low(9))})
-    return fold_keys(rows, "run", "source_id", fields).select(F.col("rows").alias("sources"), "checksum")
+    rows = state.withColumn("folded", F.shiftleft(low(1), 32).bitwiseOR(low(9)))
+    return fold_ordered(rows, "source_id", fields).withColumnRenamed("rows", "sources")
 
 
 CHRONOLOGY = ["radial_key", "gate_index", "elevation_number", "raw_value", "status"]
@@ -155,18 +213,6 @@ def sampled_checksum(events: DataFrame, samples: int = 16, keep: str = "event_se
     return events.select(keep, "message_ticks", "volume_ticks", "radial_seq", "gate_count", "raw_sum", "gates", "word_size").mapInArrow(run, f"{keep} bigint, work bigint")
 
 
-def detailed(events: DataFrame) -> DataFrame:
-    """Stream events with the columns that checksums read."""
-    from .windows import payload_offsets
-
-    moment = F.array_position(F.array(*[F.lit(m) for m in ("CLICK", "ERROR", "PURCHASE", "SIGNUP", "VIEW")]), F.col("moment_name")) - 1
-    seq = F.row_number().over(Window.partitionBy("batch_seq").orderBy("event_seq")) - 1
-    zero = F.lit(0).cast("bigint")
-    return payload_offsets(events).select(
-        "*", (F.col("batch_seq") * 0 + 90).alias("volume_ticks"), zero.alias("record"), seq.cast("bigint").alias("message"), seq.cast("bigint").alias("radial_seq"), moment.cast("bigint").alias("moment_id"),
-        zero.alias("gate_start"), F.lit(0x3F800000).cast("bigint").alias("scale_bits"), zero.alias("offset_bits"), F.lit(8).alias("word_size"), F.lit(1).alias("status_model"))
-
-
 def dictionary_checksum(catalogs: DataFrame, version: int, order: tuple[str, ...] = ("radar", "moment")) -> DataFrame:
     """One row: entries and the fold over a dictionary's catalogs. catalogs: catalog, id, text - distinct names only, so one group is small.
 

@@ -8,7 +8,10 @@ from pyspark.sql.window import Window
 
 from ..functions.keys import Universe
 from ..functions.payload import EPOCH_TICKS, raw_sum
+from ..operators.windows import payload_offsets
 
+#: The event types of the driver's table, as moments.
+MOMENTS = ("CLICK", "ERROR", "PURCHASE", "SIGNUP", "VIEW")
 UNIVERSE = Universe(radars=8, elevations=4, azimuths=10, bands=2)
 
 
@@ -34,6 +37,16 @@ def as_stream_events(events: DataFrame) -> DataFrame:
     return rows.withColumn("source_id", UNIVERSE.encode()).withColumn("raw_sum", raw_sum(F.col("gates")))
 
 
+def detailed(events: DataFrame) -> DataFrame:
+    """Stream events with the columns that checksums read."""
+    moment = F.array_position(F.array(*[F.lit(m) for m in MOMENTS]), F.col("moment_name")) - 1
+    seq = F.row_number().over(Window.partitionBy("batch_seq").orderBy("event_seq")) - 1
+    zero = F.lit(0).cast("bigint")
+    return payload_offsets(events).select(
+        "*", (F.col("batch_seq") * 0 + 90).alias("volume_ticks"), zero.alias("record"), seq.cast("bigint").alias("message"), seq.cast("bigint").alias("radial_seq"), moment.cast("bigint").alias("moment_id"),
+        zero.alias("gate_start"), F.lit(0x3F800000).cast("bigint").alias("scale_bits"), zero.alias("offset_bits"), F.lit(8).alias("word_size"), F.lit(1).alias("status_model"))
+
+
 def gate_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per gate, with its radial's and volume's data. The orders join on their key; nothing is broadcast by hint."""
     lines, orders = spark.read.parquet(f"{sf_dir}/lineitem.parquet"), spark.read.parquet(f"{sf_dir}/orders.parquet")
@@ -98,3 +111,17 @@ V_FILES = """f AS (
            DATE '2024-01-01' + CAST(s_suppkey % 28 AS INT) AS d, lpad(CAST(s_suppkey % 24 AS VARCHAR), 2, '0') AS hh
     FROM supplier JOIN nation ON s_nationkey = n_nationkey)
 )"""
+V_DETAIL = f"""{V_STREAM}, d AS (
+  SELECT *, row_number() OVER w - 1 AS radial_seq, list_position({list(MOMENTS)}, moment_name) - 1 AS moment_id,
+         CAST(coalesce(sum(gate_count) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS payload_offset FROM v WINDOW w AS (PARTITION BY batch_seq ORDER BY event_seq)
+)"""
+
+
+def fnv_sql(rows: str) -> str:
+    """The FNV-1a fold of a list of bytes in DuckDB, as hex."""
+    return f"printf('%016x', CAST(list_reduce(list_prepend(CAST(14695981039346656037 AS UHUGEINT), CAST({rows} AS UHUGEINT[])), lambda h, b: (xor(h, b) * 1099511628211) % 18446744073709551616) AS UBIGINT))"
+
+
+def bytes_sql(fields: list[tuple[str, int]]) -> str:
+    """The little-endian bytes of numbers in DuckDB."""
+    return " || ".join(f"list_transform(range({n}), lambda i: (CAST({c} AS BIGINT) >> (8 * i)) & 255)" for c, n in fields)

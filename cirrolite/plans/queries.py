@@ -12,8 +12,8 @@ from ..functions import keys as K
 from ..functions import payload as P
 from ..operators import checksums, dictionary, handlers, pressure, rollups, runs, validation, windows
 from ..sources import archive
-from ..streaming import commits, pipeline
-from .bindings import UNIVERSE, V_FILES, V_GATES, V_STREAM, as_stream_events, files, gate_events, radials, stream_events
+from ..streaming import commits, keyed, pipeline
+from .bindings import MOMENTS, UNIVERSE, V_DETAIL, V_FILES, V_GATES, V_STREAM, as_stream_events, bytes_sql, detailed, files, fnv_sql, gate_events, radials, stream_events
 from .shared import work_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -682,7 +682,7 @@ def ud6_counter_handler(spark, d):
 
 @query()
 def ud7_heavy_handler(spark, d):
-    work = checksums.sampled_checksum(checksums.detailed(stream_events(spark, d)), keep="source_id")
+    work = checksums.sampled_checksum(detailed(stream_events(spark, d)), keep="source_id")
     return handlers.snapshots(work, [handlers.HEAVY])
 
 
@@ -703,25 +703,34 @@ def ud10_apply_values(spark, d):
     return handlers.applied(new.withColumn("value", F.lit(0).cast("bigint")), new, handlers.contract(spark, [handlers.COUNTER]))
 
 
-@query()
+FIXED = {"record": "0", "message": "radial_seq", "gate_start": "0", "volume_ticks": "90", "scale_bits": "1065353216", "offset_bits": "0", "word_size": "8", "status_model": "1"}
+SAID = lambda fields: bytes_sql([(FIXED.get(c, c), n) for c, n in fields])
+CK2_SQL = f"{V_DETAIL}, e AS (SELECT source_id, event_seq, gate_count, raw_sum, message_ticks, moment_id, {SAID(checksums.EVENT)} AS b FROM d), c AS (SELECT source_id, count(*) AS event_count, CAST(sum(gate_count) AS BIGINT) AS value_count, CAST(sum(raw_sum) AS BIGINT) AS raw_checksum, max(message_ticks) AS last_ticks, count(DISTINCT moment_id) AS moments, {fnv_sql('flatten(list(b ORDER BY event_seq))')} AS checksum FROM e GROUP BY 1)"
+HEAD = bytes_sql([("1", 4), ("1", 8), ("1", 4), ("count(*)", 4), ("sum(gate_count)", 4)])
+
+
+@query(f"WITH {V_DETAIL}, e AS (SELECT batch_seq, event_seq, gate_count, {SAID(checksums.METADATA)} AS b FROM d), h AS (SELECT batch_seq, {HEAD} AS head, flatten(list(b ORDER BY event_seq)) AS rest FROM e GROUP BY 1) SELECT batch_seq, {fnv_sql('head || rest')} AS checksum FROM h")
 def ck1_batch_checksums(spark, d):
-    return checksums.batch_checksums(checksums.detailed(stream_events(spark, d)))
+    return checksums.batch_checksums(detailed(stream_events(spark, d)))
 
 
-@query()
+@query(f"WITH {CK2_SQL} SELECT source_id, checksum FROM c")
 def ck2_source_checksums(spark, d):
-    return checksums.source_checksums(checksums.detailed(stream_events(spark, d)))
+    return checksums.source_checksums(detailed(stream_events(spark, d)))
 
 
-@query()
+STATE_BYTES = bytes_sql([("source_id", 4), ("event_count", 8), ("value_count", 8), ("raw_checksum", 8), ("last_ticks", 8)]) + " || list_transform(range(8), lambda i: CAST('0x' || substr(checksum, 15 - 2 * CAST(i AS INT), 2) AS BIGINT))"
+
+
+@query(f"WITH {CK2_SQL}, r AS (SELECT source_id, {STATE_BYTES} AS b FROM c) SELECT count(*) AS sources, {fnv_sql('flatten(list(b ORDER BY source_id))')} AS checksum FROM r")
 def ck3_run_checksum(spark, d):
-    v = checksums.detailed(stream_events(spark, d))
+    v = detailed(stream_events(spark, d))
     return checksums.run_checksum(rollups.source_rollup(v).join(checksums.source_checksums(v), "source_id"))
 
 
 @query()
 def ck5_sampled_checksum(spark, d):
-    return checksums.sampled_checksum(checksums.detailed(stream_events(spark, d)))
+    return checksums.sampled_checksum(detailed(stream_events(spark, d)))
 
 
 # ---- health ----
@@ -804,10 +813,11 @@ def st1_micro_batches(spark, d):
     return commits.last_state(spark, folder)
 
 
-@query(f"WITH s AS ({SOURCE_SQL}) SELECT *, CAST(0 AS BIGINT) AS late FROM s")
+@query(f"WITH {CK2_SQL} SELECT *, CAST(0 AS BIGINT) AS late FROM c")
 def st2_keyed_state(spark, d):
-    stream, folder = events_stream(spark, d)
-    pipeline.run_once(pipeline.keyed_counts(as_stream_events(stream)), appended(folder), f"{folder}/check", "update")
+    folder = work_folder(spark)
+    detailed(stream_events(spark, d)).repartitionByRange(4, "event_seq").sortWithinPartitions("event_seq").write.parquet(f"{folder}/in")
+    keyed.run_keyed(keyed.source_totals(pipeline.replay(spark, f"{folder}/in", 4)), appended(folder), f"{folder}/check")
     return windows.latest(spark.read.parquet(f"{folder}/out"), "source_id", "epoch").drop("epoch")
 
 
@@ -816,5 +826,5 @@ SELECT key, seq, samples, round(score, 6) AS mean_score, samples >= 3 AS eligibl
 def st7_pressure_stream(spark, d):
     folder = work_folder(spark)
     samples(spark, d).repartitionByRange(2, "seq").write.parquet(f"{folder}/in")
-    pipeline.run_once(pipeline.pressure_stream(pipeline.replay(spark, f"{folder}/in", 2), scale=0.5), appended(folder), f"{folder}/check")
+    keyed.run_keyed(keyed.keyed(pipeline.replay(spark, f"{folder}/in", 2), "key", keyed.Pressure(scale=0.5)), appended(folder), f"{folder}/check")
     return spark.read.parquet(f"{folder}/out").select("key", "seq", "samples", F.round("mean_score", 6).alias("mean_score"), "eligible", "band")

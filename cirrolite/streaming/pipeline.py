@@ -1,15 +1,12 @@
-"""Structured Streaming twins of the batch jobs: micro-batches with validation and ordered commits, and keyed state."""
+"""Streams over folders of batches, and the ordered merging of deltas."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators.pressure import evaluate, next_band
 from ..sources.history import exists
 
 
@@ -24,56 +21,6 @@ def run_once(stream: DataFrame, write: Callable[[DataFrame, int], None], checkpo
     stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
-def keyed_counts(events: DataFrame) -> DataFrame:
-    """Per source, across micro-batches: counts, checksum and last ticks; `late` counts events below the last ticks, which change nothing else."""
-
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        n, v, c, last, late = state.get if state.exists else (0, 0, 0, -1, 0)
-        rows = pd.concat(list(frames)).sort_values("event_seq")
-        top = rows["message_ticks"].cummax().clip(lower=last)
-        ok = rows["message_ticks"] >= top
-        n, v, c, late = n + int(ok.sum()), v + int(rows["gate_count"][ok].sum()), c + int(rows["raw_sum"][ok].sum()), late + int((~ok).sum())
-        last = max(last, int(rows["message_ticks"].max()))
-        state.update((n, v, c, last, late))
-        yield pd.DataFrame({"source_id": [key[0]], "event_count": [n], "value_count": [v], "raw_checksum": [c], "last_ticks": [last], "late": [late]})
-
-    fields = "event_count bigint, value_count bigint, raw_checksum bigint, last_ticks bigint, late bigint"
-    return events.select("source_id", "event_seq", "message_ticks", "gate_count", "raw_sum").groupBy("source_id").applyInPandasWithState(step, f"source_id bigint, {fields}", fields, "update", GroupStateTimeout.NoTimeout)
-
-
-def pressure_stream(samples: DataFrame, size: int = 8, least: int = 3, scale: float = 1.0) -> DataFrame:
-    """Rolling mean and band of each key's samples (key, seq, score); the state holds the last scores and the band."""
-
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        scores, band = (list(state.get[0]), state.get[1]) if state.exists else ([], "Normal")
-        out = []
-        for r in pd.concat(list(frames)).sort_values("seq").itertuples():
-            scores = [*scores, float(r.score)][-size:]
-            mean = sum(scores) / len(scores)
-            band = next_band(mean, band, scale)
-            out.append((key[0], r.seq, len(scores), mean, len(scores) >= least, band))
-        state.update((scores, band))
-        yield pd.DataFrame(out, columns=["key", "seq", "samples", "mean_score", "eligible", "band"])
-
-    return samples.groupBy("key").applyInPandasWithState(step, "key bigint, seq bigint, samples bigint, mean_score double, eligible boolean, band string", "scores array<double>, band string", "append", GroupStateTimeout.NoTimeout)
-
-
-def health_stream(samples: DataFrame) -> DataFrame:
-    """Transitions of each key's health across micro-batches. samples: key, seq, observed, band, pressure."""
-
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        status, start, baseline, cool = state.get if state.exists else ("None", None, None, 0)
-        now, out = {"status": status, "start": start, "baseline": baseline, "cool": cool}, []
-        for r in pd.concat(list(frames)).sort_values("seq").itertuples():
-            was, began = now["status"], now["start"]
-            if reason := evaluate(now, r.seq, r.observed, r.band, r.pressure):
-                out.append((key[0], r.seq, was, now["status"], reason, r.seq - began if began is not None else 0))
-        state.update((now["status"], now["start"], now["baseline"], now["cool"]))
-        yield pd.DataFrame(out, columns=["key", "seq", "before", "after", "reason", "age"])
-
-    return samples.groupBy("key").applyInPandasWithState(step, "key bigint, seq bigint, before string, after string, reason string, age bigint", "status string, start bigint, baseline double, cool int", "append", GroupStateTimeout.NoTimeout)
-
-
 def delta_merger(folder: str) -> Callable[[DataFrame, int], None]:
     """Deltas (handler, sequence, delta_id, source_id, field, value, content) by epoch: repeated ones with the same content are no-ops, others are kept as
     rejected; the arrived ones wait until all sequences before them are there (see released())."""

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from cirrolite.operators import checksums as C
 from cirrolite.operators import rollups
-from cirrolite.plans.bindings import stream_events
+from cirrolite.plans.bindings import detailed, stream_events
 from cirrolite.plans.queries import gates
 
 from .conftest import DATA
@@ -29,7 +29,7 @@ def packed(row, fields) -> bytes:
 
 
 def test_source_and_run(spark):
-    v = C.detailed(stream_events(spark, DATA).filter("event_seq < 600")).cache()
+    v = detailed(stream_events(spark, DATA).filter("event_seq < 600")).cache()
     want: dict[int, int] = {}
     for r in sorted(v.collect(), key=lambda r: r["event_seq"]):
         want[r["source_id"]] = fnv(packed(r, C.EVENT), want.get(r["source_id"], BASIS))
@@ -44,7 +44,7 @@ def test_source_and_run(spark):
 
 
 def test_batch(spark):
-    v = C.detailed(stream_events(spark, DATA).filter("event_seq < 500"))
+    v = detailed(stream_events(spark, DATA).filter("event_seq < 500"))
     rows = sorted(v.collect(), key=lambda r: r["event_seq"])
     for got in C.batch_checksums(v).collect():
         mine = [r for r in rows if r["batch_seq"] == got["batch_seq"]]
@@ -70,7 +70,7 @@ def test_chronology_does_not_depend_on_slices(spark):
 
 @pytest.mark.parametrize("word", [8, 16])
 def test_sampled(spark, word):
-    v = C.detailed(stream_events(spark, DATA).filter("event_seq < 300"))
+    v = detailed(stream_events(spark, DATA).filter("event_seq < 300"))
     v = v.withColumn("word_size", F.lit(word)).withColumn("gates", F.transform("gates", lambda g: g * (257 if word == 16 else 1) % (1 << word)))
     got = {r["event_seq"]: r["work"] for r in C.sampled_checksum(v).collect()}
     for r in v.collect():
@@ -93,3 +93,22 @@ def test_dictionary(spark):
             want = fnv(struct.pack("<i", i) + say(t), want)
     got = C.dictionary_checksum(spark.createDataFrame(rows, "catalog string, id bigint, text string"), 4).first()
     assert (got["entries"], got["checksum"]) == (3, f"{want:016x}")
+
+
+def test_a_fold_in_parallel_is_the_fold(spark):
+    """Ranges of any size, also fewer rows than lanes, and rows whose ids step far."""
+    import numpy as np
+
+    r = np.random.default_rng(2)
+    fields = [("a", 4), ("b", 8), ("c", 1)]
+    for n in (1, 2, 63, 64, 65, 1000):
+        column = {"a": r.integers(0, 2**31, n), "b": r.integers(-(2**62), 2**62, n), "c": r.integers(0, 255, n)}
+        h = np.array([C.BASIS], np.uint64)
+        for k in range(n):
+            for c, w in fields:
+                h = C.fold(h, column[c][k : k + 1], w)
+        table, size = C.fold_table(column, fields)
+        low = int(C.BASIS) & 255
+        assert size == 13 * n and (int(table[low]) + (int(C.BASIS) - low) * int(C.power(size))) % 2**64 == int(h[0])
+        df = spark.createDataFrame([(k * k, int(x), int(y), int(z)) for k, (x, y, z) in enumerate(zip(column["a"], column["b"], column["c"]))], "k bigint, a bigint, b bigint, c bigint")
+        assert [tuple(x) for x in C.fold_ordered(df, "k", fields, slices=7).collect()] == [(n, C.hexed(h[0]))]

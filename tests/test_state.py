@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 
 from cirrolite.functions import keys as K
 from cirrolite.functions.payload import gates_of, payload_slice
-from cirrolite.operators import dictionary, handlers, pressure, runs, validation, windows
+from cirrolite.operators import checksums, dictionary, handlers, pressure, runs, validation, windows
 from cirrolite.plans import queries as Q
-from cirrolite.plans.bindings import UNIVERSE, stream_events
-from cirrolite.streaming import commits, pipeline
+from cirrolite.plans.bindings import UNIVERSE, detailed, stream_events
+from cirrolite.streaming import commits, keyed, pipeline
 
 from .conftest import DATA
 
@@ -127,7 +127,7 @@ def test_health_stream_is_the_batch(spark, tmp_path):
     ev = Q.evidence(spark, DATA)
     want = sorted(map(tuple, pressure.health(ev, "key", "seq").collect()))
     ev.repartitionByRange(3, "seq").write.parquet(str(tmp_path / "in"))
-    pipeline.run_once(pipeline.health_stream(pipeline.replay(spark, str(tmp_path / "in"), 3)), Q.appended(str(tmp_path)), str(tmp_path / "check"))
+    keyed.run_keyed(keyed.keyed(pipeline.replay(spark, str(tmp_path / "in"), 3), "key", keyed.Health(), "Append"), Q.appended(str(tmp_path)), str(tmp_path / "check"), "append")
     assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "out")).drop("epoch").collect())) == want
 
 
@@ -252,3 +252,38 @@ def test_commits_write_touched_buckets_only(spark, tmp_path):
     with pytest.raises(ValueError, match="buckets"):
         commits.last_state(spark, folder, 8)
     assert commits.last_state(spark, str(tmp_path / "none")).count() == 0
+
+
+def out_of(folder):
+    return lambda rows, epoch: rows.write.mode("overwrite").parquet(f"{folder}/out/epoch={epoch}")
+
+
+def test_keyed_state_survives_a_restart(spark, tmp_path):
+    """Three parts of the events, each in a query of its own on the same checkpoint; then one whose ticks step back."""
+    folder, ev = str(tmp_path), detailed(stream_events(spark, DATA)).cache()
+    before = spark.conf.get(keyed.PROVIDER)
+    for k in range(3):
+        ev.filter(F.floor(F.col("event_seq") / 400) == k).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+        keyed.run_keyed(keyed.source_totals(pipeline.replay(spark, f"{folder}/in", 1)), out_of(folder), f"{folder}/check")
+    assert spark.conf.get(keyed.PROVIDER) == before
+    last = windows.latest(spark.read.parquet(f"{folder}/out"), "source_id", "epoch").cache()
+    from cirrolite.operators.rollups import source_rollup
+
+    want = source_rollup(ev).join(checksums.source_checksums(ev), "source_id").join(ev.groupBy("source_id").agg(F.count_distinct("moment_id").alias("moments")), "source_id")
+    cols = ["source_id", "event_count", "value_count", "raw_checksum", "last_ticks", "moments", "checksum"]
+    assert sorted(map(tuple, last.select(cols).collect())) == sorted(map(tuple, want.select(cols).collect())) and last.agg(F.max("late")).first()[0] == 0
+    one = last.orderBy("source_id").first()
+    last.unpersist()  # the folder is read again below
+    ev.filter(F.col("source_id") == one["source_id"]).limit(1).withColumns({"message_ticks": F.lit(5).cast("bigint"), "event_seq": F.lit(10**6).cast("bigint")}).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    keyed.run_keyed(keyed.source_totals(pipeline.replay(spark, f"{folder}/in", 1)), out_of(folder), f"{folder}/check")
+    late = windows.latest(spark.read.parquet(f"{folder}/out"), "source_id", "epoch").filter(F.col("source_id") == one["source_id"]).first()
+    assert (late["late"], late["checksum"], late["event_count"]) == (1, one["checksum"], one["event_count"])
+
+
+def test_idle_state_expires(spark, tmp_path):
+    folder, ev = str(tmp_path), detailed(stream_events(spark, DATA)).filter("event_seq < 20").cache()
+    for k in range(2):
+        ev.coalesce(1).write.mode("append").parquet(f"{folder}/in")
+        keyed.run_keyed(keyed.source_totals(pipeline.replay(spark, f"{folder}/in", 1), idle_ms=1), out_of(folder), f"{folder}/check")
+    rows = spark.read.parquet(f"{folder}/out")
+    assert rows.select("epoch").distinct().count() == 2 and rows.groupBy("source_id").agg(F.count_distinct("event_count", "checksum").alias("n")).filter("n > 1").isEmpty()
