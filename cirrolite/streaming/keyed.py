@@ -147,6 +147,6 @@ def source_totals(events: DataFrame, idle_ms: int | None = None) -> DataFrame:
 
 
 def run_keyed(stream: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "update") -> None:
-    """Everything that is there now, with the state that the checkpoint holds."""
+    """Everything that is there now, with the state that the checkpoint holds. For state that does not expire: where it does, there is a next trigger always, and the query runs until it is stopped."""
     with rocks(stream.sparkSession):
         stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
