@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,15 +13,27 @@ from pyspark.sql import functions as F
 MERGEABLE, SNAPSHOT, UNSUPPORTED = "Mergeable", "SnapshotOnly", "Unsupported"
 
 
+@dataclass(frozen=True)
+class Fold:
+    """An ordered fold that no column aggregate can say: init makes a source's state, step takes it over some of the source's events, in order, to the next state, finish makes the fields of it.
+
+    A source's events come in parts, as batches cut them, so the state must carry all that step needs from earlier parts.
+    """
+
+    init: Callable[[], object]
+    step: Callable[[object, pd.DataFrame], object]
+    finish: Callable[[object], dict]
+
+
 @dataclass(frozen=True)
 class Handler:
-    """fields: name -> (type, aggregate). An opaque handler has `fold` instead: the ordered events of a source to a dict of its fields."""
+    """fields: name -> (type, aggregate). An opaque handler has a `fold` instead, over the columns that it `needs` (all, if none are named)."""
 
     name: str
     fields: dict[str, tuple[str, Callable[[], Column] | None]]
     kind: str = SNAPSHOT
     version: str = "1"
-    fold: Callable[[pd.DataFrame], dict] | None = None
+    fold: Fold | None = None
     needs: tuple[str, ...] = field(default=())
 
     def __post_init__(self) -> None:
@@ -90,14 +103,35 @@ def _values(c: Column, kind: str) -> list[Column]:
 
 
 def _folded(events: DataFrame, h: Handler) -> DataFrame:
-    def one(frame: pd.DataFrame) -> pd.DataFrame:
-        got = h.fold(frame.sort_values("event_seq"))
+    """Spark deals sources and sorts their events; a task carries the state of the source at hand from batch to batch, so a source of any size takes one batch of memory."""
+
+    def rows_of(source: int, state: object) -> pd.DataFrame:
+        got = h.fold.finish(state)
         if set(got) != set(h.fields):
             raise ValueError(f"{h.name} returned {sorted(got)}")
-        rows = [(frame["source_id"].iloc[0], h.name, f, kind, int(got[f]) if kind == "bigint" else None, float(got[f]) if kind == "double" else None) for f, (kind, _) in h.fields.items()]
+        rows = [(source, h.name, f, kind, int(got[f]) if kind == "bigint" else None, float(got[f]) if kind == "double" else None) for f, (kind, _) in h.fields.items()]
         return pd.DataFrame(rows, columns=["source_id", "handler", "field", "type", "int64_value", "double_value"]).astype({"int64_value": "Int64"})
 
-    return events.groupBy("source_id").applyInPandas(one, "source_id bigint, handler string, field string, type string, int64_value bigint, double_value double")
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        source, state = None, None
+        for frame in frames:
+            ids = frame["source_id"].to_numpy()
+            cuts = [0, *(np.flatnonzero(ids[1:] != ids[:-1]) + 1).tolist(), len(ids)] if len(ids) else []
+            done = []
+            for lo, hi in zip(cuts, cuts[1:]):
+                if source is None or ids[lo] != source:
+                    if source is not None:
+                        done.append(rows_of(source, state))
+                    source, state = int(ids[lo]), h.fold.init()
+                state = h.fold.step(state, frame.iloc[lo:hi])
+            if done:
+                yield pd.concat(done)
+        if source is not None:
+            yield rows_of(source, state)
+
+    some = events.select("source_id", "event_seq", *[c for c in h.needs if c not in ("source_id", "event_seq")]) if h.needs else events
+    dealt = some.filter("source_id is not null").repartition("source_id").sortWithinPartitions("source_id", "event_seq")
+    return dealt.mapInPandas(run, "source_id bigint, handler string, field string, type string, int64_value bigint, double_value double")
 
 
 def deltas(events: DataFrame, handlers: list[Handler]) -> DataFrame:

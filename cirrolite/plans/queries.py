@@ -693,7 +693,7 @@ def ud8_counting_handler(spark, d):
 
 @query(f"WITH {V_STREAM} SELECT source_id, 'LastValue' AS handler, 'last_raw' AS field, max_by(raw_sum, event_seq) AS int64_value FROM v GROUP BY 1")
 def ud1_opaque_handler(spark, d):
-    last = handlers.Handler("LastValue", {"last_raw": ("bigint", None)}, fold=lambda f: {"last_raw": f["raw_sum"].iloc[-1]})
+    last = handlers.Handler("LastValue", {"last_raw": ("bigint", None)}, fold=handlers.Fold(lambda: 0, lambda last, f: f["raw_sum"].iloc[-1], lambda last: {"last_raw": last}), needs=("raw_sum",))
     return handlers.snapshots(stream_events(spark, d).select("source_id", "event_seq", "raw_sum"), [last]).select("source_id", "handler", "field", "int64_value")
 
 
@@ -821,6 +821,24 @@ def st2_keyed_state(spark, d):
     return windows.latest(spark.read.parquet(f"{folder}/out"), "source_id", "epoch").drop("epoch")
 
 
+LATE = "sequence % 3 = 1"
+
+
+@query(f"""WITH {V_STREAM}, a AS (SELECT radar_code AS handler, batch_seq AS sequence, source_id, CAST(sum(raw_sum) AS BIGINT) AS value FROM v GROUP BY 1, 2, 3),
+s AS (SELECT DISTINCT handler, sequence FROM a WHERE NOT ({LATE} AND sequence >= 20)), r AS (SELECT handler, sequence, row_number() OVER (PARTITION BY handler ORDER BY sequence) - 1 = sequence AS ok FROM s),
+n AS (SELECT handler, max(sequence) + 1 AS next FROM r WHERE ok GROUP BY 1)
+SELECT a.handler, source_id, next, CAST(sum(value) AS BIGINT) AS value FROM a JOIN n ON a.handler = n.handler AND sequence < next GROUP BY 1, 2, 3""")
+def st6_live_release(spark, d):
+    """Every third sequence comes late, some of them never: each trigger releases what has become gap-free."""
+    folder = work_folder(spark)
+    rows = stream_events(spark, d).groupBy(F.col("radar_code").alias("handler"), F.col("batch_seq").alias("sequence"), "source_id").agg(F.sum("raw_sum").alias("value"))
+    rows = rows.select("handler", "sequence", F.concat_ws("|", "handler", "sequence").alias("delta_id"), "source_id", F.lit("raw_checksum").alias("field"), "value", F.lit("c").alias("content"))
+    write = pipeline.delta_merger(folder)
+    for epoch, some in enumerate((f"not ({LATE})", f"{LATE} and sequence < 20 and sequence % 2 = 0", f"{LATE} and sequence < 20")):
+        write(rows.filter(some), epoch)
+    return pipeline.merged_values(spark, folder).join(pipeline.cursors(spark, folder), "handler").select("handler", "source_id", "next", "value")
+
+
 @query(f"""WITH RECURSIVE {SAMPLE_SQL}, q AS (SELECT key, seq, avg(score) OVER w AS score, count(*) OVER w AS samples, row_number() OVER (PARTITION BY key ORDER BY seq) AS i FROM s WINDOW w AS (PARTITION BY key ORDER BY seq ROWS 7 PRECEDING)), {BAND_STEPS}
 SELECT key, seq, samples, round(score, 6) AS mean_score, samples >= 3 AS eligible, {BAND_NAME} AS band FROM w""")
 def st7_pressure_stream(spark, d):

@@ -296,3 +296,68 @@ def test_idle_state_expires(spark, tmp_path):
                 time.sleep(0.5)
             run.stop()
         assert {r["source_id"]: r["checksum"] for r in seen} == want
+
+
+def deltas_of(spark, *rows):
+    return spark.createDataFrame([("h", s, f"id{s}", source, "f", v, c) for s, source, v, c in rows], "handler string, sequence bigint, delta_id string, source_id bigint, field string, value bigint, content string")
+
+
+def test_gaps_hold_deltas_back_until_they_are_filled(spark, tmp_path):
+    folder = str(tmp_path)
+    write = pipeline.delta_merger(folder)
+    now = lambda: ({r["source_id"]: r["value"] for r in pipeline.merged_values(spark, folder).collect()}, {r["handler"]: r["next"] for r in pipeline.cursors(spark, folder).collect()})
+    write(deltas_of(spark, (1, 1, 5, "b"), (1, 2, 6, "b"), (3, 1, 70, "d")), 0)
+    assert now() == ({}, {})
+    write(deltas_of(spark, (0, 1, 1, "a"), (1, 1, 5, "b"), (1, 2, 6, "b")), 1)  # 0 fills the gap; 1 comes again
+    assert now() == ({1: 6, 2: 6}, {"h": 2})
+    write(deltas_of(spark, (0, 1, 1, "a"), (5, 1, 900, "f"), (1, 1, 8, "other")), 2)
+    assert now() == ({1: 6, 2: 6}, {"h": 2}) and [r["value"] for r in spark.read.parquet(f"{folder}/rejected").collect()] == [8]
+    for _ in range(2):  # delivered twice
+        write(deltas_of(spark, (2, 2, 10, "c")), 3)
+        assert now() == ({1: 76, 2: 16}, {"h": 4})
+    write(deltas_of(spark, (4, 3, 1000, "e")), 4)
+    assert now() == ({1: 976, 2: 16, 3: 1000}, {"h": 6}) and spark.read.parquet(f"{folder}/pending/epoch=4").count() == 0
+    assert spark.read.parquet(f"{folder}/applied/epoch=3").count() == 2  # what was released then, no more
+    with pytest.raises(ValueError, match="never merged"):
+        write(deltas_of(spark, (9, 3, 1, "z")), 9)
+
+
+@pytest.mark.parametrize("size", [3, 10_000])
+def test_ordered_folds_carry_their_state_over_batches(spark, size):
+    """The longest rise of a source's values: it depends on every event before. Batches cut the sources anywhere."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+
+    def step(state, frame):
+        last, now, best = state
+        for v in frame["v"]:
+            now = now + 1 if v > last else 1
+            last, best = v, max(best, now)
+        return last, now, best
+
+    rise = handlers.Handler("Rise", {"rise": ("bigint", None), "half": ("double", None)}, fold=handlers.Fold(lambda: (-1, 0, 0), step, lambda s: {"rise": s[2], "half": s[2] / 2}), needs=("v",))
+    rnd = random.Random(4)
+    rows = [(rnd.choice([1, 1, 1, 2, 3]), n, rnd.randrange(50)) for n in range(500)]
+    want = {}
+    for s in (1, 2, 3):
+        want[s] = step((-1, 0, 0), {"v": [v for x, _, v in rows if x == s]})[2]
+    spark.conf.set(key, size)
+    try:
+        got = handlers.snapshots(spark.createDataFrame(rows, "source_id bigint, event_seq bigint, v bigint"), [rise]).collect()
+    finally:
+        spark.conf.set(key, before)
+    assert {(r["source_id"], r["field"]): r["int64_value"] if r["field"] == "rise" else r["double_value"] for r in got} == {(s, f): n if f == "rise" else n / 2 for s, n in want.items() for f in ("rise", "half")}
+    wrong = handlers.Handler("Wrong", {"a": ("bigint", None)}, fold=handlers.Fold(lambda: 0, lambda s, f: s, lambda s: {"b": 1}))
+    with pytest.raises(Exception, match="Wrong returned"):
+        handlers.snapshots(spark.createDataFrame(rows, "source_id bigint, event_seq bigint, v bigint"), [wrong]).collect()
+
+
+def test_range_join_of_uneven_ranges(spark):
+    from cirrolite.operators.rollups import range_join
+
+    ranges = spark.createDataFrame([(0, 0, 0, 1), (1, 0, 1, 3), (2, 1, 3, 500), (3, 1, 500, 500), (4, 1, 700, 100_000)], "bucket_id int, shard_id int, first_source bigint, end_source bigint")
+    events = spark.createDataFrame([(i,) for i in (-1, 0, 1, 2, 3, 499, 500, 650, 700, 99_999, 100_000, None)] * 2, "source_id bigint")
+    joined = range_join(events, ranges)
+    assert "NestedLoop" not in joined._jdf.queryExecution().toString() and "Cartesian" not in joined._jdf.queryExecution().toString()
+    assert sorted((r["source_id"], r["bucket_id"]) for r in joined.collect()) == sorted([(0, 0), (1, 1), (2, 1), (3, 2), (499, 2), (700, 4), (99_999, 4)] * 2)
+    assert range_join(events, ranges.limit(0)).count() == 0
