@@ -6,13 +6,14 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from .prefix import positions, running_sums
 
 
 def assign_ids(rows: DataFrame, text: str, order: str | Column) -> DataFrame:
-    """(text, id): ids from 0 in order of the smallest `order` of each text. Only distinct texts reach the ranking window."""
+    """(text, id): ids from 0 in order of the smallest `order` of each text. Distinct texts are placed by a distributed prefix sum."""
     seen = rows.groupBy(F.col(text).alias("text")).agg(F.min(order).alias("first_seen"))
-    return seen.select("text", (F.row_number().over(Window.orderBy("first_seen", "text")) - 1).cast("bigint").alias("id"), "first_seen")
+    return positions(seen, ["first_seen", "text"]).select("text", (F.col("position") - 1).alias("id"), "first_seen")
 
 
 def lookup(rows: DataFrame, catalog: DataFrame, text: str, as_: str) -> DataFrame:
@@ -53,9 +54,9 @@ def combined_versions(rows: DataFrame, kinds: dict[str, str], order: str) -> Dat
     for rank, (column, kind) in enumerate(kinds.items()):
         seen = rows.groupBy(F.col(column).alias("text")).agg(F.min(order).alias("first_seen")).select(F.lit(kind).alias("kind"), F.lit(rank).alias("rank"), "text", "first_seen")
         first = seen if first is None else first.unionByName(seen)
-    by = Window.orderBy("first_seen", "rank", "text")
-    upto = by.rowsBetween(Window.unboundedPreceding, 0)
-    return first.select((F.row_number().over(by) + 1).cast("bigint").alias("version"), "kind", "text", *[F.count_if(F.col("kind") == k).over(upto).alias(f"{k}_count") for k in kinds.values()])
+    kept = {f"{k}_count": (F.col("kind") == k).cast("int") for k in kinds.values()}
+    placed = running_sums(first, ["first_seen", "rank", "text"], {"position": F.lit(1)} | kept)
+    return placed.select((F.col("position") + 1).alias("version"), "kind", "text", *kept)
 
 
 #: Fixed value: ids and dimensions of an event are unsigned 16-bit numbers.

@@ -82,10 +82,23 @@ def calibrated_stats(gates: DataFrame, *by: str) -> DataFrame:
     return gates.groupBy(*by).agg(F.count(good).alias("values"), F.min(good).alias("least"), F.max(good).alias("most"), F.coalesce(F.sum(scaled(good)), F.lit(0)).alias("scaled_sum"), F.sum("raw_value").alias("raw_sum"))
 
 
-def unevenness(gates: DataFrame, kinds: dict[str, str]) -> DataFrame:
-    """For each kind of bucket (kind -> column) the buckets with least and most valid share; equal shares go to the smallest bucket."""
-    pairs = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(c).cast("bigint").alias("bucket")) for k, c in kinds.items()]))
-    each = gates.select("status", pairs.alias("p")).groupBy("p.kind", "p.bucket").agg(F.count("*").alias("gates"), F.count_if(F.col("status") == 0).alias("valid"))
+def unevenness(gates: DataFrame, kinds: dict[str, str], within: str | None = None) -> DataFrame:
+    """For each kind of bucket (kind -> column of whole numbers) the buckets with least and most valid share; equal shares go to the smallest bucket.
+
+    One pass over grouping sets. With `within`, a column that determines all buckets (a radial), gates are summed by it first, so the sets expand one row per radial, not the gates.
+    """
+    counts = [F.count("*").alias("gates"), F.count_if(F.col("status") == 0).alias("valid")]
+    rows = gates.select("status", *([F.col(within).alias("_within")] if within else []), *[F.col(c).cast("bigint").alias(f"_{k}") for k, c in kinds.items()])
+    columns = [f"_{k}" for k in kinds]
+    rows = rows.groupBy(*(["_within"] if within else []), *columns).agg(*counts)
+    level = F.grouping_id()
+    sets = rows.groupingSets([[c] for c in columns], *columns).agg(level.alias("level"), F.sum("gates").alias("gates"), F.sum("valid").alias("valid"))
+    # the grouping id has a bit for each column that is summed over, the first column's highest
+    whole = (1 << len(columns)) - 1
+    of = [F.col("level") == whole - (1 << (len(columns) - 1 - n)) for n in range(len(columns))]
+    kind = F.coalesce(*[F.when(o, F.lit(k)) for o, k in zip(of, kinds)])
+    bucket = F.coalesce(*[F.when(o, F.col(c)) for o, c in zip(of, columns)])
+    each = sets.select(kind.alias("kind"), bucket.alias("bucket"), "gates", "valid")
     each = each.withColumn("share", F.col("valid") / F.col("gates"))
     return each.groupBy("kind").agg(
         F.count("*").alias("buckets"), F.min_by("bucket", F.struct("share", "bucket")).alias("least_bucket"), F.min("share").alias("least_share"),

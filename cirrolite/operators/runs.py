@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from .handlers import Handler, snapshots
@@ -11,6 +11,15 @@ from .rollups import all_sources, batch_metrics, source_rollup
 TABLES = ("runs", "batches", "sources", "handler_values", "diagnostics")
 
 
+def counted_write(events: DataFrame, path: str, first: Column) -> dict[str, int]:
+    """Writes events and counts them on their way, in the same pass: batches (rows where `first` holds, one a batch), events, bytes, values and checksum."""
+    seen = Observation("written")
+    whole = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    totals = {"batches": F.count_if(first), "events": F.count(F.lit(1)), "bytes": whole("gate_count"), "values": whole("gate_count"), "checksum": whole("raw_sum")}
+    events.observe(seen, *[c.alias(k) for k, c in totals.items()]).write.parquet(path)
+    return seen.get
+
+
 def batch_outcomes(accepted: DataFrame, processed: DataFrame) -> DataFrame:
     """Full join of accepted batches and results on batch_seq; what one side lacks is 0 or ''."""
     a = accepted.select("batch_seq", F.col("event_count").alias("accepted_events"), F.col("value_count").alias("accepted_values"))

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .prefix import running_sums
+
 #: Radial states that begin a sweep.
 SWEEP_STARTS = (0, 3, 5, 80, 83, 85)
 
@@ -37,10 +39,8 @@ def rolling_pressure(samples: DataFrame, key: str, seq: str, score: str, size: i
 
 
 def capped_prefix(files: DataFrame, order: list[str], most_files: int, most_bytes: int) -> DataFrame:
-    """Files in order until a limit would be passed; nothing after that file. No more than the first most_files files can be among them, so only those meet in the window."""
-    files = files.orderBy(*order).limit(most_files)
-    by = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    rows = files.withColumn("n", F.count("*").over(by)).withColumn("total_bytes", F.sum("size_bytes").over(by))
+    """Files in order, with their number and bytes so far, until a limit would be passed; nothing after that file. Sizes are not negative, so the sums say where that is."""
+    rows = running_sums(files, order, {"n": F.lit(1), "total_bytes": F.col("size_bytes")})
     return rows.filter((F.col("n") <= most_files) & (F.col("total_bytes") <= most_bytes))
 
 

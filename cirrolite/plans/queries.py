@@ -114,14 +114,6 @@ def ag15_raw_sum(spark, d):
     return gate_events(spark, d).agg(F.sum("raw_value").alias("raw_sum"), F.count("*").alias("gates"))
 
 
-@query(f"""WITH {V_GATES}, p AS (SELECT 'volume' AS kind, volume_id AS bucket, status FROM c UNION ALL SELECT 'radial', radial_key, status FROM c UNION ALL SELECT 'elevation', elevation_number, status FROM c),
-e AS (SELECT kind, bucket, count(*) AS n, count(*) FILTER (WHERE status = 0) AS valid, count(*) FILTER (WHERE status = 0) / count(*)::DOUBLE AS share FROM p GROUP BY 1, 2),
-r AS (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY share, bucket) AS lo, row_number() OVER (PARTITION BY kind ORDER BY share DESC, bucket) AS hi FROM e)
-SELECT kind, count(*) AS buckets, max(bucket) FILTER (WHERE lo = 1) AS least_bucket, min(share) AS least_share, max(bucket) FILTER (WHERE hi = 1) AS most_bucket, max(share) AS most_share, min(valid) AS least_valid, max(valid) AS most_valid FROM r GROUP BY 1""")
-def ag16_unevenness(spark, d):
-    return rollups.unevenness(gates(spark, d), {"volume": "volume_id", "radial": "radial_key", "elevation": "elevation_number"})
-
-
 HEAD_FIELDS = ("gate_count", "word_size", "first_km", "spacing_km", "scale", "offset")
 HEAD_SQL = f"""{V_GATES}, h AS (SELECT radial_key, moment_name, CAST(count(*) AS INT) AS gate_count, CAST(CASE WHEN radial_key % 3 = 0 THEN 16 ELSE 8 END AS INT) AS word_size, CAST(radial_key % 5 AS FLOAT) AS first_km,
 CAST(CASE WHEN radial_key % 2 = 0 THEN 0.25 ELSE 1 END AS FLOAT) AS spacing_km, max(scale) AS scale, max("offset") AS "offset" FROM g GROUP BY radial_key, moment_name)"""
@@ -153,6 +145,26 @@ def wn1_radial_sequence(spark, d):
     return windows.sweeps(radials(spark, d)).select("volume_id", "radial_key", "radial_seq")
 
 
+def radial_places(spark, d):
+    """The record, sweep and minute of each radial: eight radials make a record; sweeps count per volume."""
+    r = windows.sweeps(radials(spark, d))
+    minutes = spark.read.parquet(f"{d}/orders.parquet").select(F.col("o_orderkey").alias("radial_key"), (F.unix_date(F.col("o_orderdate").cast("date")) * 1440).alias("minute"))
+    return r.select("radial_key", F.floor(F.col("radial_key") / 8).cast("bigint").alias("record"), (F.col("volume_id") * 1_000_000 + F.col("sweep")).alias("sweep")).join(minutes, "radial_key")
+
+
+@query(f"""WITH {V_GATES}, {SW}, k AS (SELECT radial_key, volume_id * 1000000 + sweep AS sweep FROM x),
+o AS (SELECT c.*, radial_key // 8 AS record, k.sweep, date_diff('day', DATE '1970-01-01', CAST(message_ts AS DATE)) * 1440 AS minute FROM c JOIN k USING (radial_key)),
+p AS (SELECT 'volume' AS kind, volume_id AS bucket, status FROM o UNION ALL SELECT 'radial', radial_key, status FROM o UNION ALL SELECT 'elevation', elevation_number, status FROM o
+UNION ALL SELECT 'record', record, status FROM o UNION ALL SELECT 'sweep', sweep, status FROM o UNION ALL SELECT 'minute', minute, status FROM o),
+shares AS (SELECT kind, bucket, count(*) AS n, count(*) FILTER (WHERE status = 0) AS valid, count(*) FILTER (WHERE status = 0) / count(*)::DOUBLE AS share FROM p GROUP BY 1, 2),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY share, bucket) AS lo, row_number() OVER (PARTITION BY kind ORDER BY share DESC, bucket) AS hi FROM shares)
+SELECT kind, count(*) AS buckets, max(bucket) FILTER (WHERE lo = 1) AS least_bucket, min(share) AS least_share, max(bucket) FILTER (WHERE hi = 1) AS most_bucket, max(share) AS most_share, min(valid) AS least_valid, max(valid) AS most_valid FROM ranked GROUP BY 1""")
+def ag16_unevenness(spark, d):
+    rows = gates(spark, d).join(radial_places(spark, d), "radial_key")
+    kinds = {"volume": "volume_id", "record": "record", "sweep": "sweep", "radial": "radial_key", "minute": "minute", "elevation": "elevation_number"}
+    return rollups.unevenness(rows, kinds, within="radial_key")
+
+
 @query(f"WITH {SW} SELECT volume_id, radial_key, sweep FROM x")
 def wn2_sweeps(spark, d):
     return windows.sweeps(radials(spark, d)).select("volume_id", "radial_key", "sweep")
@@ -423,8 +435,8 @@ def ag20_ledger_summary(spark, d):
 
 @query(f"WITH {V_STREAM} SELECT count(DISTINCT batch_seq) AS batches, count(*) AS events, CAST(sum(gate_count) AS BIGINT) AS bytes, CAST(sum(gate_count) AS BIGINT) AS \"values\", CAST(sum(raw_sum) AS BIGINT) AS checksum FROM v")
 def ag22_counting_sink(spark, d):
-    m = rollups.batch_metrics(stream_events(spark, d))
-    return m.agg(F.count("*").alias("batches"), F.sum("event_count").alias("events"), F.sum("payload_bytes").alias("bytes"), F.sum("value_count").alias("values"), F.sum("raw_checksum").alias("checksum"))
+    totals = runs.counted_write(detailed(stream_events(spark, d)), f"{work_folder(spark)}/events", first=F.col("message") == 0)
+    return spark.createDataFrame([totals], "batches bigint, events bigint, bytes bigint, values bigint, checksum bigint")
 
 
 @query(f"WITH s AS ({SOURCE_SQL}) SELECT CAST(i AS BIGINT) AS source_id, s.source_id IS NOT NULL AS active, coalesce(event_count, 0) AS event_count, coalesce(value_count, 0) AS value_count, coalesce(raw_checksum, 0) AS raw_checksum, coalesce(last_ticks, 0) AS last_ticks FROM (SELECT unnest(range(0, 640)) AS i) LEFT JOIN s ON i = s.source_id")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def work_folder(spark: SparkSession) -> str:
@@ -16,3 +16,10 @@ def work_folder(spark: SparkSession) -> str:
     if not base:
         base = spark._cirrolite_work = tempfile.mkdtemp(prefix="cirrolite-")
     return f"{base.rstrip('/')}/cirrolite-run-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame) -> DataFrame:
+    """df as a table in a new folder that all executors see."""
+    path = work_folder(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

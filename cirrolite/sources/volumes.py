@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.window import Window
 
-from ..plans.shared import work_folder
+from ..plans.shared import written
 from .archive import RADIAL, VOLUME_HEADER, messages_of, radial_of
 
 RECORD = pa.schema([("path", pa.string()), ("radar_id", pa.string()), ("volume_ms", pa.int64()), ("record_seq", pa.int64()), ("record_offset", pa.int64()), ("packed", pa.binary()), ("diagnostic", pa.string())])
@@ -155,9 +155,7 @@ def decoded(rows: DataFrame, tasks: int | None = None) -> DataFrame:
 
 def numbered(message_rows: DataFrame) -> DataFrame:
     """The columns of archive.messages: radial_seq numbers a volume's radials from 1, over all its records. Messages are written once; the prefix sum runs over one small row per record."""
-    path = work_folder(message_rows.sparkSession)
-    message_rows.write.parquet(path)
-    rows = message_rows.sparkSession.read.schema(message_rows.schema).parquet(path)
+    rows = written(message_rows)
     counts = rows.groupBy("path", "record_seq").agg(F.max("radial_in_record").alias("n"))
     before = F.coalesce(F.sum("n").over(Window.partitionBy("path").orderBy("record_seq").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     starts = counts.select(F.col("path").alias("p"), F.col("record_seq").alias("r"), before.alias("before"))

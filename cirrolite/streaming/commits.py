@@ -18,7 +18,7 @@ from pyspark.sql.window import Window
 
 from ..operators.rollups import batch_deltas
 from ..operators.validation import accepted_batches
-from ..plans.shared import work_folder
+from ..plans.shared import written
 from ..sources.history import exists, folders, remove
 
 STATE = "source_id bigint, event_count bigint, value_count bigint, raw_checksum bigint, last_ticks bigint"
@@ -26,12 +26,6 @@ SUMS, COLUMNS = ("event_count", "value_count", "raw_checksum"), ("source_id", "e
 RECORD = "bucket int, version bigint, buckets int"
 
 
-def _settled(df: DataFrame) -> DataFrame:
-    path = work_folder(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def ordered_verdicts(deltas: DataFrame, state: DataFrame) -> DataFrame:
     """(batch_seq, accepted) for the batches of deltas (batch_seq, source_id, first_ticks, last_ticks) that are committed in order of batch_seq on top of state (source_id, last_ticks).
 
@@ -40,7 +34,7 @@ def ordered_verdicts(deltas: DataFrame, state: DataFrame) -> DataFrame:
     end; they are as many as the longest chain of batches whose rejection lets the next one pass, two where nothing steps back.
     """
     stored = state.select("source_id", F.col("last_ticks").alias("stored"))
-    rows = _settled(deltas.select("batch_seq", "source_id", "first_ticks", "last_ticks").join(stored, "source_id", "left"))
+    rows = written(deltas.select("batch_seq", "source_id", "first_ticks", "last_ticks").join(stored, "source_id", "left"))
     verdict = rows.select("batch_seq").distinct().withColumn("accepted", F.lit(None).cast("boolean"))
     before = Window.partitionBy("source_id").orderBy("batch_seq").rowsBetween(Window.unboundedPreceding, -1)
     while True:
@@ -49,7 +43,7 @@ def ordered_verdicts(deltas: DataFrame, state: DataFrame) -> DataFrame:
         maybe = F.greatest("stored", F.max(F.when(F.coalesce("accepted", F.lit(True)), F.col("last_ticks"))).over(before))
         known = known.withColumn("out", F.coalesce(F.col("first_ticks") < sure, F.lit(False))).withColumn("fits", F.coalesce(F.col("first_ticks") >= maybe, F.lit(True)))
         each = known.groupBy("batch_seq").agg(F.first("accepted").alias("accepted"), F.bool_or("out").alias("out"), F.bool_and("fits").alias("fits"))
-        verdict = _settled(each.select("batch_seq", F.coalesce("accepted", F.when(F.col("out"), False).when(F.col("fits"), True)).alias("accepted")))
+        verdict = written(each.select("batch_seq", F.coalesce("accepted", F.when(F.col("out"), False).when(F.col("fits"), True)).alias("accepted")))
         if verdict.filter("accepted is null").isEmpty():
             return verdict
 
@@ -133,7 +127,7 @@ def committer(folder: str, universe, buckets: int = 64) -> Callable[[DataFrame,
         rows = rows.persist()
         try:
             good, bad = accepted_batches(rows, universe)
-            deltas = _settled(batch_deltas(rows.join(good.select("batch_seq"), "batch_seq", "left_semi")))
+            deltas = written(batch_deltas(rows.join(good.select("batch_seq"), "batch_seq", "left_semi")))
             verdicts = ordered_verdicts(deltas, state.read(record, state.touched(deltas)))
             late = verdicts.filter("not accepted").select("batch_seq", F.lit("SourceOrderViolation").alias("error"))
             bad.select("batch_seq", "error").unionByName(late).write.mode("overwrite").parquet(f"{folder}/rejected/epoch={epoch}")

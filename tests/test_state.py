@@ -361,3 +361,28 @@ def test_range_join_of_uneven_ranges(spark):
     assert "NestedLoop" not in joined._jdf.queryExecution().toString() and "Cartesian" not in joined._jdf.queryExecution().toString()
     assert sorted((r["source_id"], r["bucket_id"]) for r in joined.collect()) == sorted([(0, 0), (1, 1), (2, 1), (3, 2), (499, 2), (700, 4), (99_999, 4)] * 2)
     assert range_join(events, ranges.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("slices", [1, 5, 64])
+def test_running_sums_over_slices(spark, slices):
+    from cirrolite.operators.prefix import positions, running_sums
+
+    rnd = random.Random(6)
+    rows = [(rnd.randrange(20), n, rnd.choice([None, 0, 7, rnd.randrange(1 << 40)])) for n in range(300)]
+    df = spark.createDataFrame(rows, "a bigint, b bigint, v bigint").repartition(6)
+    total, want = 0, []
+    for k, (a, b, v) in enumerate(sorted(rows, key=lambda r: r[:2]), 1):
+        total += v or 0
+        want.append((a, b, v, total, k))
+    made = running_sums(df, ["a", "b"], {"total": F.col("v"), "k": F.lit(1)}, slices)
+    assert [tuple(r) for r in made.orderBy("a", "b").collect()] == want
+    assert "SinglePartition" not in made._jdf.queryExecution().toString()
+    assert positions(df.limit(0), ["a", "b"]).collect() == []
+
+
+def test_a_write_counts_what_it_writes(spark, tmp_path):
+    ev = detailed(stream_events(spark, DATA))
+    totals = runs.counted_write(ev, str(tmp_path / "out"), F.col("message") == 0)
+    back = spark.read.parquet(str(tmp_path / "out"))
+    assert totals == back.agg(F.count_distinct("batch_seq").alias("batches"), F.count("*").alias("events"), F.sum("gate_count").alias("bytes"), F.sum("gate_count").alias("values"), F.sum("raw_sum").alias("checksum")).first().asDict()
+    assert runs.counted_write(ev.limit(0), str(tmp_path / "none"), F.col("message") == 0)["events"] == 0
