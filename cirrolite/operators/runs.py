@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import json
+import uuid
+
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .handlers import Handler, snapshots
 from .rollups import all_sources, batch_metrics, source_rollup
@@ -45,40 +49,84 @@ def run_tables(run_id: str, version: int, events: DataFrame, processed: DataFram
     return {k: tagged(v) for k, v in found.items()}
 
 
+# ---- stored runs ----
+#
+# A run's tables are written under data/<attempt>/<table>; then one record, commits/<number>.json, names them all. The run is there once its record is, with all tables or none: what a
+# writer left behind that failed in between is named by no record. Records are created, never replaced: of two writers that take the same number, one fails, looks again, and meets the other's run.
+
+SCHEMA_VERSION = 1
+RECORD = "number bigint, run_id string, version bigint, schema_version int, batch_count bigint, event_count bigint, value_count bigint, tables map<string,struct<path:string,schema:string,rows:bigint,hash:string>>"
+
+
+def records(spark: SparkSession, folder: str) -> DataFrame:
+    """One row per stored run."""
+    from ..sources.history import exists
+
+    return spark.read.schema(RECORD).json(f"{folder}/commits") if exists(spark, f"{folder}/commits") else spark.createDataFrame([], RECORD)
+
+
+def _record(spark: SparkSession, folder: str, run_id: str):
+    found = records(spark, folder).filter(F.col("run_id") == run_id).orderBy("number").first()
+    if found and found["schema_version"] != SCHEMA_VERSION:
+        raise ValueError(f"run {run_id} is stored with schema version {found['schema_version']}; this library reads {SCHEMA_VERSION}")
+    return found
+
+
 def store(spark: SparkSession, tables: dict[str, DataFrame], folder: str) -> str:
     """Appends a run: Stored, or Unchanged when the same run with the same content is there; other content under the same id is an error.
 
-    A run is as large as its universe and its batches; its content hash is an aggregate, nothing is collected.
+    A run is as large as its universe and its batches; its content hashes are aggregates, nothing is collected.
     """
-    from ..sources.history import content_hash, exists
+    from ..sources.history import content_hash, created
 
-    run_id = tables["runs"].select("run_id").first()[0]
-    new = {k: content_hash(v) for k, v in tables.items()}
-    if exists(spark, f"{folder}/runs/run_id={run_id}"):
-        old = {k: content_hash(read(spark, folder, k).filter(F.col("run_id") == run_id).select(*tables[k].columns)) for k in tables}
-        if old != new:
-            raise ValueError(f"run {run_id} is stored with other content")
-        return "Unchanged"
-    for k in [t for t in TABLES if t in tables and t != "runs"] + ["runs"]:  # runs last: a run is there once all of it is
-        tables[k].write.mode("overwrite").partitionBy("run_id").option("partitionOverwriteMode", "dynamic").parquet(f"{folder}/{k}")
-    return "Stored"
+    head = tables["runs"].first()
+    run_id, attempt = head["run_id"], uuid.uuid4().hex
 
+    def stored_before() -> bool:
+        old = _record(spark, folder, run_id)
+        if old is None:
+            return False
+        if {k: (t["rows"], t["hash"]) for k, t in old["tables"].items()} != {k: content_hash(v) for k, v in tables.items()}:
+            raise ValueError(f"run {run_id} is stored with other content")
+        return True
 
-def read(spark: SparkSession, folder: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{table}").withColumn("run_id", F.col("run_id").cast("string"))
+    if stored_before():
+        return "Unchanged"
+    said = {}
+    for k, rows in tables.items():
+        rows.write.parquet(path := f"{folder}/data/{attempt}/{k}")
+        back = spark.read.schema(rows.schema).parquet(path)
+        n, h = content_hash(back)
+        said[k] = {"path": f"data/{attempt}/{k}", "schema": json.dumps(rows.schema.jsonValue()), "rows": n, "hash": h}
+    while True:
+        number = (records(spark, folder).agg(F.max("number")).first()[0] or 0) + 1
+        record = {"number": number, "run_id": run_id, "version": head["version"], "schema_version": SCHEMA_VERSION, **{c: head[c] for c in ("batch_count", "event_count", "value_count")}, "tables": said}
+        if created(spark, f"{folder}/commits/{number:012d}.json", json.dumps(record)):
+            return "Stored"
+        if stored_before():  # another writer was faster with this run
+            return "Unchanged"
 
 
 def list_runs(spark: SparkSession, folder: str) -> DataFrame:
-    return read(spark, folder, "runs").orderBy("version")
+    """Of runs that were stored more than once at the same time, the first counts."""
+    rows = records(spark, folder)
+    first = rows.groupBy("run_id").agg(F.min_by(F.struct("batch_count", "event_count", "value_count", "version"), "number").alias("r"))
+    return first.select("run_id", "r.*").orderBy("version", "run_id")
 
 
 def latest_run(spark: SparkSession, folder: str) -> DataFrame:
-    return read(spark, folder, "runs").orderBy(F.desc("version")).limit(1)
+    return list_runs(spark, folder).orderBy(F.desc("version"), F.desc("run_id")).limit(1)
 
 
 def of_run(spark: SparkSession, folder: str, table: str, run_id: str, **where) -> DataFrame:
-    """Rows of one run; the filter on run_id prunes partitions, the others reach the scan."""
-    rows = read(spark, folder, table).filter(F.col("run_id") == run_id)
+    """Rows of one run: its record names the table's path and schema, so no other run is listed and nothing is inferred. The filters reach the scan."""
+    found = _record(spark, folder, run_id)
+    if found is None:
+        raise ValueError(f"no run {run_id}")
+    if table not in found["tables"]:
+        raise ValueError(f"run {run_id} has no table {table}")
+    at = found["tables"][table]
+    rows = spark.read.schema(StructType.fromJson(json.loads(at["schema"]))).parquet(f"{folder}/{at['path']}")
     for c, v in where.items():
         rows = rows.filter(F.col(c) == v)
     return rows

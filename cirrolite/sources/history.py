@@ -33,3 +33,21 @@ def folders(spark: SparkSession, path: str) -> list[str]:
 def remove(spark: SparkSession, path: str) -> bool:
     fs, place = _place(spark, path)
     return fs.delete(place, True)
+
+
+def created(spark: SparkSession, path: str, text: str) -> bool:
+    """Writes a small file that must not be there yet; False if it is."""
+    from py4j.protocol import Py4JJavaError
+
+    fs, place = _place(spark, path)
+    try:
+        out = fs.create(place, False)
+    except Py4JJavaError as e:
+        if "AlreadyExists" in e.java_exception.getClass().getName() or "already exists" in str(e.java_exception.getMessage()):
+            return False
+        raise
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+    return True

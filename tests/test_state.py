@@ -386,3 +386,56 @@ def test_a_write_counts_what_it_writes(spark, tmp_path):
     back = spark.read.parquet(str(tmp_path / "out"))
     assert totals == back.agg(F.count_distinct("batch_seq").alias("batches"), F.count("*").alias("events"), F.sum("gate_count").alias("bytes"), F.sum("gate_count").alias("values"), F.sum("raw_sum").alias("checksum")).first().asDict()
     assert runs.counted_write(ev.limit(0), str(tmp_path / "none"), F.col("message") == 0)["events"] == 0
+
+
+def a_run(spark, run_id="a", version=1, some="event_seq >= 0"):
+    return runs.run_tables(run_id, version, stream_events(spark, DATA).filter(some), Q.processed(spark, DATA), 640, [handlers.COUNTER])
+
+
+def test_a_run_is_there_as_a_whole_or_not_at_all(spark, tmp_path):
+    folder, tables = str(tmp_path), a_run(spark)
+    poison = tables | {"diagnostics": tables["diagnostics"].withColumn("x", F.raise_error(F.lit("disk full")).cast("string"))}
+    with pytest.raises(Exception, match="disk full"):
+        runs.store(spark, poison, folder)
+    assert runs.list_runs(spark, folder).collect() == [] and runs.latest_run(spark, folder).collect() == []
+    with pytest.raises(ValueError, match="no run a"):
+        runs.of_run(spark, folder, "sources", "a")
+    assert runs.store(spark, tables, folder) == "Stored" and runs.of_run(spark, folder, "sources", "a").count() == 640
+    with pytest.raises(ValueError, match="no table"):
+        runs.of_run(spark, folder, "other", "a")
+
+
+def test_stored_runs_of_another_schema_are_refused(spark, tmp_path, monkeypatch):
+    folder = str(tmp_path)
+    monkeypatch.setattr(runs, "SCHEMA_VERSION", 2)
+    runs.store(spark, a_run(spark), folder)
+    monkeypatch.undo()
+    for use in (lambda: runs.store(spark, a_run(spark), folder), lambda: runs.of_run(spark, folder, "sources", "a")):
+        with pytest.raises(ValueError, match="schema version 2"):
+            use()
+
+
+def test_writers_at_the_same_time(spark, tmp_path, monkeypatch):
+    """Another writer takes the record's number while this one writes its tables: a different run is no harm, the same run is found."""
+    from cirrolite.sources import history
+
+    folder, real = str(tmp_path), history.created
+
+    def meanwhile(other):
+        def first_other(spark_, path, text):
+            if history.created is not real:  # once
+                monkeypatch.setattr(history, "created", real)
+                assert runs.store(spark, other, folder) == "Stored"
+            return real(spark_, path, text)
+
+        monkeypatch.setattr(history, "created", first_other)
+
+    meanwhile(a_run(spark, "b", 2))
+    assert runs.store(spark, a_run(spark), folder) == "Stored"
+    assert [(r["run_id"], r["version"]) for r in runs.list_runs(spark, folder).collect()] == [("a", 1), ("b", 2)]
+    meanwhile(a_run(spark, "c", 3))
+    assert runs.store(spark, a_run(spark, "c", 3), folder) == "Unchanged"
+    meanwhile(a_run(spark, "d", 4, "event_seq > 9"))
+    with pytest.raises(ValueError, match="other content"):
+        runs.store(spark, a_run(spark, "d", 4), folder)
+    assert runs.latest_run(spark, folder).first()["run_id"] == "d" and runs.records(spark, folder).count() == 4
