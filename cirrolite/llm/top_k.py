@@ -1,12 +1,14 @@
 """Exact top-k search by inner product, by elimination with a table of distances to pivots.
 
-Vectors become integers, floor(scale * x). With d the distance of a query q and a vector v, 2 q.v = |q|^2 + |v|^2 - d^2, and for every pivot p, d >= |d(q, p) - d(v, p)|. The greatest of these lower
-bounds over many pivots gives an upper bound of the score. Distances to the pivots are computed once per vector and kept with it.
+Vectors become integers, floor(scale * x). With d the distance of a query q and a vector v, 2 q.v = |q|^2 + |v|^2 - d^2, so a lower bound of d is an upper bound of the score. The distances of q and v to
+all pivots fix the parts of q and v that lie in the pivots' span, and the lengths of what is left; the greatest lower bound that they allow together is reached when what is left points the same way:
+d^2 >= |c(q) - c(v)|^2 + (r(q) - r(v))^2, with c the coordinates in the span and r the length outside it. It is never below the greatest of the bounds |d(q, p) - d(v, p)| of single pivots, which
+leave out almost nothing where vectors point in all directions. The table holds c and r of each vector (by an orthonormal basis of the span, which gives what the distances give with less rounding), computed once.
 
 Rows of equal dimension are one space. Rows go to the cell of their nearest pivot, large cells to several blocks by row number, so that a block has about `block` rows whatever the
-cell's share. A block is one row of a table: its vectors, their distances to the pivots, and the range of these distances. The queries of a block find their best k in it first; that is a floor
+cell's share. A block is one row of a table: its vectors, their table rows, and the range of their distances to each pivot. The queries of a block find their best k in it first; that is a floor
 of their k-th score. Then blocks of queries meet the blocks of vectors: pairs whose ranges bound all scores below all floors go before their vectors travel; in the others,
-each query takes the vectors that its bounds leave in the order of their bounds, in steps, and stops when the next bound is below its k-th score. Equal bounds are still looked at, so
+each query takes the vectors that the bounds leave in the order of the bounds, in steps, and stops when the next bound is below its k-th score. Equal bounds are still looked at, so
 ties go to the smaller id exactly.
 
 The pivots (at most `pivots` for each dimension) come from a bounded sample: each next one is the vector furthest from those taken. They decide the speed alone.
@@ -52,8 +54,8 @@ def distances(x: np.ndarray, p: np.ndarray) -> np.ndarray:
 
 
 def margin(norms: np.ndarray | float) -> np.ndarray | float:
-    """What rounding (distances travel as 32-bit floats) may take from a bound on scores of vectors of at most that squared length."""
-    return 2e-6 * norms + 1e-3
+    """What rounding (the table travels as 32-bit floats) may take from a bound on scores of vectors of at most that squared length."""
+    return 4e-6 * norms + 1e-3
 
 
 def chosen(sample: np.ndarray, most: int) -> np.ndarray:
@@ -67,6 +69,18 @@ def chosen(sample: np.ndarray, most: int) -> np.ndarray:
     return sample[taken]
 
 
+def span(pivots: np.ndarray) -> np.ndarray:
+    """An orthonormal basis, as columns, of a space that holds the pivots."""
+    return np.linalg.qr(pivots.astype(np.float64).T)[0]
+
+
+def pivot_table(x: np.ndarray, basis: np.ndarray) -> np.ndarray:
+    """c and, in the last column, r of each vector."""
+    x = x.astype(np.float64)
+    c = x @ basis
+    return np.column_stack([c, np.sqrt(np.maximum(0, (x * x).sum(1) - (c * c).sum(1)))])
+
+
 def scores(q: np.ndarray, x: np.ndarray, norms: float) -> np.ndarray:
     """Exact inner products: in doubles where every sum stays below 2**53."""
     return (x.astype(np.float64) @ q.astype(np.float64)).astype(np.int64) if norms < EXACT else x @ q
@@ -88,11 +102,8 @@ class Best:
 
 def search(best: Best, q: np.ndarray, q_table: np.ndarray, q_norm: float, x: np.ndarray, table: np.ndarray, norms: np.ndarray, ids: np.ndarray, skip: int = -1) -> int:
     """Candidates in the order of their bounds until none can enter; the row `skip` is the query itself. Returns how many scores were computed."""
-    lower = np.zeros(len(x))
-    for p in range(table.shape[1]):  # column by column, in place
-        np.maximum(lower, np.abs(table[:, p] - q_table[p]), out=lower)
     top = float(max(q_norm, norms.max()))
-    upper = (q_norm + norms - lower * lower) / 2 + margin(top)
+    upper = table @ q_table + margin(top)  # |q|^2 + |v|^2 less the least squared distance, halved
     if skip >= 0:
         upper[skip] = -np.inf
     left = np.flatnonzero(upper >= (best.floor if best.floor is not None else -np.inf))
@@ -106,10 +117,10 @@ def search(best: Best, q: np.ndarray, q_table: np.ndarray, q_norm: float, x: np.
     return min(at, len(left))
 
 
-def _side(numbers: np.ndarray, ids: np.ndarray, x: np.ndarray, table: np.ndarray, norms: np.ndarray) -> dict:
+def _side(numbers: np.ndarray, ids: np.ndarray, x: np.ndarray, table: np.ndarray, norms: np.ndarray, away: np.ndarray) -> dict:
     kind = next(t for t in (np.int16, np.int32, np.int64) if t == np.int64 or np.abs(x).max(initial=0) <= np.iinfo(t).max)
     travels = {"n": len(x), "numbers": numbers.tobytes(), "ids": ids.tobytes(), "type": np.dtype(kind).str, "vectors": x.astype(kind).tobytes(), "table": table.astype(np.float32).tobytes()}
-    return travels | {"most": float(norms.max()), "low": table.min(0).tolist(), "high": table.max(0).tolist()}
+    return travels | {"most": float(norms.max()), "low": away.min(0).tolist(), "high": away.max(0).tolist()}
 
 
 def _read(row: dict, dim: int, tag: str = "") -> tuple[np.ndarray, ...]:
@@ -130,17 +141,17 @@ def _packed(k: int):
 
     def run(key: tuple, part: pa.Table) -> pa.Table:
         part = part.sort_by("number")
-        x, table = (np.frombuffer(b"".join(part.column(c).to_pylist()), kind).reshape(part.num_rows, -1) for c, kind in (("x", np.int64), ("t", np.float64)))
+        x, table, away = (np.frombuffer(b"".join(part.column(c).to_pylist()), kind).reshape(part.num_rows, -1) for c, kind in (("x", np.int64), ("t", np.float64), ("d", np.float64)))
         numbers, ids, asks = (part.column(c).to_numpy() for c in ("number", "id", "asks"))
         norms = np.einsum("ij,ij->i", x, x).astype(np.float64)
-        row = {"dim": key[0].as_py(), "block": key[1].as_py()} | _side(numbers, ids, x, table, norms)
+        row = {"dim": key[0].as_py(), "block": key[1].as_py()} | _side(numbers, ids, x, table, norms, away)
         some, found = np.flatnonzero(asks), []
         for i in some:
             search(best := Best(k), x[i], table[i], norms[i], x, table, norms, ids, skip=int(i))
             found.append((int(numbers[i]), int(ids[i]), best))
         if found:
             floors, hits = np.array([-(2**63) if b.floor is None else b.floor for *_, b in found], np.int64), _hits(found)
-            row |= {f"{c}_q": v for c, v in _side(numbers[some], ids[some], x[some], table[some], norms[some]).items()} | {"floors": floors.tobytes(), "floor": int(floors.min())}
+            row |= {f"{c}_q": v for c, v in _side(numbers[some], ids[some], x[some], table[some], norms[some], away[some]).items()} | {"floors": floors.tobytes(), "floor": int(floors.min())}
             row |= {f"hit_{c}": hits.column(c).to_numpy().tobytes() for c in HITS}
         return pa.Table.from_pylist([row], schema=pa.schema([(c, ARROW[t]) for c, t in BLOCK.items()]))
 
@@ -171,7 +182,7 @@ def _opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b.column(f"hit_{c}")[at].as_py(), np.int64)) for c in HITS], list(HITS))
 
 
-def top_k(vectors: DataFrame, is_query: Column, k: int = 5, id: str = "vec_id", vector: str = "embedding", scale: float = 256.0, pivots: int = 64, block: int = 4096, sample: int = 2000) -> DataFrame:
+def top_k(vectors: DataFrame, is_query: Column, k: int = 5, id: str = "vec_id", vector: str = "embedding", scale: float = 256.0, pivots: int = 48, block: int = 4096, sample: int = 2000) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: the k rows of largest inner product with each row of vectors for which is_query, a condition on its columns, holds. At most `sample` vectors of a dimension reach the driver."""
     kind = "array<float>" if vectors.schema[vector].dataType.simpleString() == "array<float>" else "array<double>"
     rows = vectors.select(F.col(id).cast("bigint").alias("id"), F.coalesce(is_query, F.lit(False)).alias("asks"), F.col(vector).cast(kind).alias("e"))
@@ -184,6 +195,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, id: str = "vec_id",
     thin = rows.join(F.broadcast(dims), "dim").filter(F.pmod(F.xxhash64("e", F.lit(3)), F.col("n")) <= 2 * sample).select("dim", "e").distinct()
     picked = thin.withColumn("at", F.row_number().over(Window.partitionBy("dim").orderBy(F.xxhash64("e"), "e"))).filter(F.col("at") <= sample).select("dim", "e").toPandas()
     spaces = {int(d): chosen(integers(np.array(g["e"].tolist()).reshape(len(g), int(d)), scale), pivots) for d, g in picked.groupby("dim")}
+    bases = {d: span(p) for d, p in spaces.items()}
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -193,11 +205,11 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, id: str = "vec_id",
                 x = integers(part.column("e").flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, d), scale)
                 if (np.square(x.astype(np.float64)).sum(1) >= 2**60).any():
                     raise ValueError("a vector is too long for scores of 64 bits")
-                table = distances(x, spaces[d])
-                made = [pa.array(table.argmin(1).astype(np.int32)), pa.array([r.tobytes() for r in x], pa.binary()), pa.array([r.tobytes() for r in table], pa.binary())]
-                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in ("number", "id", "asks", "dim")], *made], ["number", "id", "asks", "dim", "cell", "x", "t"])
+                away = distances(x, spaces[d])
+                made = [pa.array(away.argmin(1).astype(np.int32)), *[pa.array([r.tobytes() for r in y], pa.binary()) for y in (x, pivot_table(x, bases[d]), away)]]
+                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in ("number", "id", "asks", "dim")], *made], ["number", "id", "asks", "dim", "cell", "x", "t", "d"])
 
-    points = written(rows.mapInArrow(placed, "number bigint, id bigint, asks boolean, dim int, cell int, x binary, t binary"))
+    points = written(rows.mapInArrow(placed, "number bigint, id bigint, asks boolean, dim int, cell int, x binary, t binary, d binary"))
     sizes = points.groupBy("dim", "cell").agg(F.count("*").alias("n"))  # at most `pivots` rows a dimension
     share = F.pmod(F.xxhash64("number"), F.ceil(F.col("n") / block))
     made = written(points.join(F.broadcast(sizes), ["dim", "cell"]).withColumn("block", F.xxhash64("cell", share)).groupBy("dim", "block").applyInArrow(_packed(k), ddl(BLOCK)))

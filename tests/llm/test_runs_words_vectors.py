@@ -249,8 +249,8 @@ def test_bounds_leave_most_candidates_out():
     r = np.random.default_rng(5)
     x = tk.integers(np.repeat(r.normal(size=(20, 16)), 100, axis=0) + 0.02 * r.normal(size=(2000, 16)), 256.0)
     x[::2] = (x[::2] * (256 / np.sqrt((x[::2] ** 2).sum(1, keepdims=True)))).astype(np.int64)
-    norms, pivots = (x * x).sum(1).astype(float), tk.chosen(x, 32)
-    table, ids, looked = tk.distances(x, pivots), np.arange(len(x)), 0
+    norms, pivots = (x * x).sum(1).astype(float), tk.chosen(x, 8)
+    table, ids, looked = tk.pivot_table(x, tk.span(pivots)), np.arange(len(x)), 0
     for i in range(0, 2000, 40):
         best = tk.Best(5)
         looked += tk.search(best, x[i], table[i], norms[i], x, table, norms, ids, skip=i)
@@ -260,6 +260,20 @@ def test_bounds_leave_most_candidates_out():
     assert looked < 50 * 2000 / 3
 
 
+def test_bounds_hold_and_beat_single_pivots():
+    r = np.random.default_rng(8)
+    for dim, n in ((2, 5), (12, 6), (40, 30)):
+        x = tk.integers(r.normal(size=(200, dim)) * r.choice([0.1, 1, 30], size=(200, 1)), 256.0)
+        p = tk.chosen(x, n)
+        table, norms = tk.pivot_table(x, tk.span(p)), (x * x).sum(1).astype(float)
+        real, upper = x @ x.T, table @ table.T
+        slack = tk.margin(np.maximum(norms[:, None], norms))
+        assert (upper + slack >= real).all()
+        away = tk.distances(x, p)
+        lower = np.abs(away[:, None] - away).max(2)
+        assert (upper <= (norms[:, None] + norms - lower**2) / 2 + slack).all()
+
+
 def test_op13_by_brute_force(spark):
     rows = [(r["vec_id"], r["embedding"]) for r in spark.read.parquet(f"{DATA}/embeddings.parquet").collect()]
     assert hits_of(QUERIES["op13_top_k"](spark, DATA)) == brute_top(rows, lambda i: i % 50 == 0)
