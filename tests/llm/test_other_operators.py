@@ -28,7 +28,7 @@ from .test_text_operators import check_packing
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_same_rows_as_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "pages", "benchmark", "conversations"):
+    for t in ("documents", "pages", "benchmark", "conversations", "embeddings"):
         con.execute(f"create view {t} as select * from read_parquet('{DATA}/{t}.parquet')")
     df = QUERIES[name](spark, DATA)
     c = con.execute(ORACLES[name])
