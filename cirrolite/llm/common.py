@@ -47,6 +47,23 @@ def without(rows: DataFrame, ids: DataFrame, id: str) -> DataFrame:
     return rows.join(small(written(ids.select(id).distinct())), id, "left_anti")
 
 
+def tagged(rows: DataFrame, most_bytes: int = 8 << 20) -> DataFrame:
+    """rows (id, text) with a tag, so that id and tag name a text: 0 where the id has one text, a hash of the text where it has several or is null.
+
+    Rows without id are so dealt by their texts in a shuffle by both. Ids with several texts are broadcast while they are few; if they aren't, all rows have their text's hash.
+    """
+    name = F.xxhash64(F.coalesce("text", F.lit("")))
+    by_id = rows.filter("id is not null").select("id", name.alias("name")).groupBy("id").agg(F.min("name").alias("low"), F.max("name").alias("high"))
+    several = written(by_id.filter("low < high").select("id", F.lit(True).alias("several")))
+    n = several.count()
+    if 24 * n > most_bytes:
+        return rows.withColumn("tag", name)
+    if not n:
+        return rows.withColumn("tag", F.when(F.col("id").isNull(), name).otherwise(0))
+    marked = rows.join(F.broadcast(several), "id", "left")
+    return marked.withColumn("tag", F.when(F.col("id").isNull() | F.col("several"), name).otherwise(0)).drop("several")
+
+
 def small_batches(spark: SparkSession, size: int = 8 << 20) -> None:
     """Arrow batches of texts of at most `size` bytes: a task holds a few of them at a time. A smaller setting is left as it is."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"

@@ -18,9 +18,8 @@ Goal: remove each byte that lies in a `length`-byte string which also starts in
 Only hashes, positions and the snippets at the ends of matches are shuffled, not texts. Hashes of 64 bits stand for equality of contexts under one anchor;
 matches inside a context are decided by the longest-previous-factor arrays, on bytes.
 
-Defined results: a null text is empty; equal ids count as one document (its rows never remove bytes from each other, and
-intervals found in one of them go from all);
-rows with a null id neither lose nor remove bytes.
+Defined results: a null text is empty; rows of equal ids never remove bytes from each other, and each loses what its own text repeats: intervals
+go by id and text (`tagged`); rows with a null id neither lose nor remove bytes.
 """
 
 from __future__ import annotations
@@ -34,10 +33,10 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import buffers, dealt, mix, pack, partitions, small, small_batches, unpack, written
+from .common import buffers, dealt, mix, pack, partitions, small, small_batches, tagged, unpack, written
 
 GRAM = 16
-ENTRY = np.dtype([("key", "<u4"), ("context", "<u8"), ("left", "<u2"), ("right", "<u2"), ("doc", "<i8"), ("at", "<u4"), ("extent", "<u4"), ("before", "u1"), ("after", "u1")])
+ENTRY = np.dtype([("key", "<u4"), ("context", "<u8"), ("left", "<u2"), ("right", "<u2"), ("doc", "<i8"), ("tag", "<i8"), ("at", "<u4"), ("extent", "<u4"), ("before", "u1"), ("after", "u1")])
 SNIPPET = np.dtype([("key", "<u8"), ("doc", "<i8"), ("at", "<u4"), ("extent", "<u4"), ("before", "u1"), ("after", "u1")])
 BLOCK = 1 << 20
 B = np.uint64(0x9E3779B97F4A7C15)
@@ -114,11 +113,11 @@ def _folded(e: np.ndarray, shard: np.ndarray, length: int) -> tuple[np.ndarray,
     same = name[order][1:] == name[order][:-1]
     often = np.concatenate((same, [False])) | np.concatenate(([False], same)) if len(e) else np.zeros(0, bool)
     alone, x, name = order[~often], order[often], name[order[often]]
-    again = np.lexsort((e["at"][x], e["doc"][x], name))
+    again = np.lexsort((e["at"][x], e["tag"][x], e["doc"][x], name))
     x, name = x[again], name[again]
     r = e[x]
     step = np.diff(r["at"].astype(np.int64))
-    head = _heads(name, r["doc"], r["before"], r["after"], np.concatenate(([0], np.cumsum((step < 0) | (step > length)))) if len(r) else name)
+    head = _heads(name, r["doc"], r["tag"], r["before"], r["after"], np.concatenate(([0], np.cumsum((step < 0) | (step > length)))) if len(r) else name)
     if len(r):
         r["extent"][head] = r["at"][np.append(head[1:], len(r)) - 1] - r["at"][head]
     r, x, name = r[head], x[head], name[head]
@@ -126,30 +125,30 @@ def _folded(e: np.ndarray, shard: np.ndarray, length: int) -> tuple[np.ndarray,
     least = np.repeat(r["doc"][first], np.diff(np.append(first, len(r))))
     later = r["doc"] > least
     d = r[later]
-    spans = d["doc"], d["at"] - d["before"], d["at"] + d["extent"] + GRAM + d["after"]
+    spans = d["doc"], d["tag"], d["at"] - d["before"], d["at"] + d["extent"] + GRAM + d["after"]
     return np.concatenate([e[alone], r[~later]]), np.concatenate([shard[alone], shard[x[~later]]]), spans
 
 
-ANCHORS = "shard int, entries binary, doc bigint, spans binary"
+ANCHORS = "shard int, entries binary, doc bigint, tag bigint, spans binary"
 
 
 def _anchors(length: int, shards: int):
     def done(parts: list) -> Iterator[pa.RecordBatch]:
-        e, shard, (doc, a, b) = _folded(np.concatenate([e for e, _ in parts]), np.concatenate([s for _, s in parts]), length)
-        for batch in _by_document(doc, np.stack([a, b], 1).astype("<u4"), "spans", "looks"):
+        e, shard, (doc, tag, a, b) = _folded(np.concatenate([e for e, _ in parts]), np.concatenate([s for _, s in parts]), length)
+        for batch in _by_document(doc, tag, np.stack([a, b], 1).astype("<u4"), "spans", "looks"):
             place = mix(batch.column("doc").to_numpy()) % np.uint64(shards)
-            yield pa.RecordBatch.from_arrays([pa.array(place.astype(np.int32)), pa.nulls(len(place), pa.binary()), batch.column("doc"), batch.column("spans")], ["shard", "entries", "doc", "spans"])
+            yield pa.RecordBatch.from_arrays([pa.array(place.astype(np.int32)), pa.nulls(len(place), pa.binary()), *batch.select(["doc", "tag", "spans"]).columns], ["shard", "entries", "doc", "tag", "spans"])
         packed = pack(e, shard)
-        yield pa.RecordBatch.from_arrays([*packed.columns, pa.nulls(packed.num_rows, pa.int64()), pa.nulls(packed.num_rows, pa.binary())], ["shard", "entries", "doc", "spans"])
+        yield pa.RecordBatch.from_arrays([*packed.columns, pa.nulls(packed.num_rows, pa.int64()), pa.nulls(packed.num_rows, pa.int64()), pa.nulls(packed.num_rows, pa.binary())], ["shard", "entries", "doc", "tag", "spans"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, held = [], 0
         for b in batches:
-            for doc, t in zip(b.column("id").to_pylist(), buffers(b.column("text"))):
+            for doc, tag, t in zip(b.column("id").to_pylist(), b.column("tag").to_pylist(), buffers(b.column("text"))):
                 if (f := anchors(t or b"", length)) is None:
                     continue
                 e = np.zeros(len(f["at"]), ENTRY)
-                e["key"], e["doc"], e["context"] = f["hash"] & np.uint64(0xFFFFFFFF), doc, f["context"]
+                e["key"], e["doc"], e["tag"], e["context"] = f["hash"] & np.uint64(0xFFFFFFFF), doc, tag, f["context"]
                 for name in ("left", "right"):
                     e[name] = f[name] >> np.uint64(48)
                 for name in ("at", "before", "after"):
@@ -166,12 +165,12 @@ def _anchors(length: int, shards: int):
 
 
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (doc, spans, looks): removed intervals, and places to look at further with their anchor's key."""
+    """Rows (doc, tag, spans, looks): removed intervals, and places to look at further with their anchor's key."""
     gone, look, packed = [], [], []
     for b in batches:
         told = pa.compute.is_valid(b.column("doc"))
         some = b.filter(told)
-        yield pa.RecordBatch.from_arrays([some.column("doc"), some.column("spans"), pa.nulls(some.num_rows, pa.binary())], ["doc", "spans", "looks"])
+        yield pa.RecordBatch.from_arrays([*some.select(["doc", "tag", "spans"]).columns, pa.nulls(some.num_rows, pa.binary())], ["doc", "tag", "spans", "looks"])
         packed.append(b.filter(pa.compute.invert(told)))
     for s, e in unpack(iter(packed), ENTRY).items():
         e = e[np.lexsort((e["doc"], e["context"], e["key"]))]
@@ -179,7 +178,7 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = np.repeat(np.arange(len(head)), np.diff(np.append(head, len(e))))
         later = e["doc"] > e["doc"][head][of]
         d = e[later]
-        gone.append((d["doc"], d["at"] - d["before"], d["at"] + d["extent"] + GRAM + d["after"]))
+        gone.append((d["doc"], d["tag"], d["at"] - d["before"], d["at"] + d["extent"] + GRAM + d["after"]))
         # contexts, each with its first document: of keys with several contexts in several documents, those that share a half
         r = e[head]
         group = _heads(r["key"])
@@ -194,43 +193,43 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             n = np.diff(np.append(at, len(q)))
             shared[open_[order]] |= np.repeat(n > 1, n)
         r = e[~later & shared[of]]
-        p = np.empty(len(r), SNIPPET)
+        p, tags = np.empty(len(r), SNIPPET), r["tag"]
         p["key"] = r["key"].astype(np.uint64) | np.uint64(s) << np.uint64(32)
         for name in ("doc", "at", "extent", "before", "after"):
             p[name] = r[name]
-        look.append(p)
-    doc, a, b = (np.concatenate(c) for c in zip(*gone)) if gone else (np.empty(0, np.int64),) * 3
-    yield from _by_document(doc, np.stack([a, b], 1).astype("<u4") if len(doc) else np.empty((0, 2), "<u4"), "spans", "looks")
-    p = np.concatenate(look) if look else np.empty(0, SNIPPET)
-    yield from _by_document(p["doc"].copy(), p, "looks", "spans")
+        look.append((p, tags))
+    doc, tag, a, b = (np.concatenate(c) for c in zip(*gone)) if gone else (np.empty(0, np.int64),) * 4
+    yield from _by_document(doc, tag, np.stack([a, b], 1).astype("<u4") if len(doc) else np.empty((0, 2), "<u4"), "spans", "looks")
+    p, tag = (np.concatenate(c) for c in zip(*look)) if look else (np.empty(0, SNIPPET), np.empty(0, np.int64))
+    yield from _by_document(p["doc"].copy(), tag, p, "looks", "spans")
 
 
-def _by_document(doc: np.ndarray, rows: np.ndarray, name: str, other: str) -> Iterator[pa.RecordBatch]:
-    order = np.argsort(doc, kind="stable")
-    doc, rows = doc[order], rows[order]
-    at = np.append(_heads(doc), len(doc)) if len(doc) else np.zeros(1, np.int64)
+def _by_document(doc: np.ndarray, tag: np.ndarray, rows: np.ndarray, name: str, other: str) -> Iterator[pa.RecordBatch]:
+    order = np.lexsort((tag, doc))
+    doc, tag, rows = doc[order], tag[order], rows[order]
+    at = np.append(_heads(doc, tag), len(doc)) if len(doc) else np.zeros(1, np.int64)
     for i in range(0, len(at) - 1, 50_000):
         some = at[i : i + 50_001]
         values = pa.array([rows[a:b].tobytes() for a, b in zip(some[:-1], some[1:])], pa.binary())
-        yield pa.RecordBatch.from_pydict({"doc": pa.array(doc[some[:-1]]), name: values, other: pa.nulls(len(values), pa.binary())}).select(["doc", "spans", "looks"])
+        yield pa.RecordBatch.from_pydict({"doc": pa.array(doc[some[:-1]]), "tag": pa.array(tag[some[:-1]]), name: values, other: pa.nulls(len(values), pa.binary())}).select(["doc", "tag", "spans", "looks"])
 
 
-SNIPPETS = "key bigint, doc bigint, at bigint, extent bigint, snippet binary"
+SNIPPETS = "key bigint, doc bigint, tag bigint, at bigint, extent bigint, snippet binary"
 
 
 def _snippets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        out = {n: [] for n in ("key", "doc", "at", "extent", "snippet")}
-        for doc, t, looks in zip(b.column("id").to_pylist(), buffers(b.column("text")), b.column("looks").to_pylist()):
+        out = {n: [] for n in ("key", "doc", "tag", "at", "extent", "snippet")}
+        for doc, tag, t, looks in zip(b.column("id").to_pylist(), b.column("tag").to_pylist(), buffers(b.column("text")), b.column("looks").to_pylist()):
             done = set()
             for raw in looks:
                 p = np.frombuffer(raw, SNIPPET)
                 for key, at, extent, before, after in zip(*(p[c].tolist() for c in ("key", "at", "extent", "before", "after"))):
                     if (key, at) not in done:
                         done.add((key, at))
-                        for n, v in (("key", key), ("doc", doc), ("at", at - before), ("extent", extent), ("snippet", t[at - before : at + GRAM + after])):
+                        for n, v in (("key", key), ("doc", doc), ("tag", tag), ("at", at - before), ("extent", extent), ("snippet", t[at - before : at + GRAM + after])):
                             out[n].append(v)
-        yield pa.RecordBatch.from_arrays([pa.array(out["key"], pa.int64()), pa.array(out["doc"], pa.int64()), pa.array(out["at"], pa.int64()), pa.array(out["extent"], pa.int64()), pa.array(out["snippet"], pa.binary())], list(out))
+        yield pa.RecordBatch.from_arrays([pa.array(out["key"], pa.int64()), pa.array(out["doc"], pa.int64()), pa.array(out["tag"], pa.int64()), pa.array(out["at"], pa.int64()), pa.array(out["extent"], pa.int64()), pa.array(out["snippet"], pa.binary())], list(out))
 
 
 def previous_factors(suffixes: np.ndarray, doc: np.ndarray, depth: int) -> np.ndarray:
@@ -263,14 +262,15 @@ def previous_factors(suffixes: np.ndarray, doc: np.ndarray, depth: int) -> np.nd
 
 def _factors(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, doc, at, extent, text = [], [], [], [], []
+        key, doc, tag, at, extent, text = [], [], [], [], [], []
         for b in batches:
             key += b.column("key").to_pylist()
             doc += b.column("doc").to_pylist()
+            tag += b.column("tag").to_pylist()
             at += b.column("at").to_pylist()
             extent += b.column("extent").to_pylist()
             text += list(buffers(b.column("snippet")))
-        d, a, b2 = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        d, g, a, b2 = ([np.empty(0, np.int64)] for _ in range(4))
         step = 20_000  # snippets whose suffixes are sorted together; a key's snippets stay together while it has fewer
         order = sorted(range(len(key)), key=lambda i: key[i])
         for some in _whole_keys(order, key, step):
@@ -285,11 +285,12 @@ def _factors(length: int):
             docs = np.array([doc[i] for i in some])[own]
             hit = previous_factors(rows, docs, length) >= length
             d.append(docs[hit])
+            g.append(np.array([tag[i] for i in some])[own][hit])
             a.append((np.array([at[i] for i in some])[own] + offset)[hit])
             b2.append(a[-1] + length + np.array([extent[i] for i in some])[own][hit])
-        doc_, a_, b_ = np.concatenate(d), np.concatenate(a), np.concatenate(b2)
-        for batch in _by_document(doc_, np.stack([a_, b_], 1).astype("<u4"), "spans", "looks"):
-            yield batch.select(["doc", "spans"])
+        doc_, tag_, a_, b_ = (np.concatenate(c) for c in (d, g, a, b2))
+        for batch in _by_document(doc_, tag_, np.stack([a_, b_], 1).astype("<u4"), "spans", "looks"):
+            yield batch.select(["doc", "tag", "spans"])
 
     return run
 
@@ -347,23 +348,24 @@ def remove_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", leng
     spark = docs.sparkSession
     small_batches(spark)
     rows = docs.select(F.col(id).cast("bigint").alias("id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
+    rows = tagged(rows)
     named = rows.select("id", F.sha2("text", 256).alias("sha"), F.octet_length("text").alias("n"))
     long = named.filter(f"id is not null and n >= {length}")
-    # a copy is a row whose text an earlier document has; every other document that repeats its own id stays
+    # a copy is a row whose text an earlier document has
     first = long.groupBy("sha").agg(F.min("id").alias("first"), F.count("*").alias("rows")).filter("rows > 1").drop("rows")
     copies = written(long.join(first, "sha").filter("id > first").select("id", "sha").distinct())
     copies = small(copies, 100)
     marked = rows.withColumn("sha", F.sha2("text", 256))
     told = marked.join(copies, ["id", "sha"], "left_anti")
     shards = partitions(spark)
-    entries = told.filter("id is not null").select("id", "text").mapInArrow(_anchors(length, shards), ANCHORS)
-    met = written(dealt(entries, shards).mapInArrow(_contexts, "doc bigint, spans binary, looks binary"))
-    looks = met.filter("looks is not null").groupBy(F.col("doc").alias("id")).agg(F.collect_list("looks").alias("looks"))
-    near = rows.join(small(written(looks.select("id"))), "id", "left_semi")
-    snippets = near.join(looks, "id").mapInArrow(_snippets, SNIPPETS)
-    more = snippets.repartition(shards, "key").mapInArrow(_factors(length), "doc bigint, spans binary")
-    spans = met.filter("spans is not null").select("doc", "spans").unionByName(more)
-    spans = spans.groupBy(F.col("doc").alias("id")).agg(F.collect_list("spans").alias("spans"))
+    entries = told.filter("id is not null").select("id", "tag", "text").mapInArrow(_anchors(length, shards), ANCHORS)
+    met = written(dealt(entries, shards).mapInArrow(_contexts, "doc bigint, tag bigint, spans binary, looks binary"))
+    looks = met.filter("looks is not null").groupBy(F.col("doc").alias("id"), "tag").agg(F.collect_list("looks").alias("looks"))
+    near = rows.join(small(written(looks.select("id", "tag"))), ["id", "tag"], "left_semi")
+    snippets = near.join(looks, ["id", "tag"]).mapInArrow(_snippets, SNIPPETS)
+    more = snippets.repartition(shards, "key").mapInArrow(_factors(length), "doc bigint, tag bigint, spans binary")
+    spans = met.filter("spans is not null").select("doc", "tag", "spans").unionByName(more)
+    spans = spans.groupBy(F.col("doc").alias("id"), "tag").agg(F.collect_list("spans").alias("spans"))
     marked = marked.join(copies.withColumn("copy", F.lit(True)), ["id", "sha"], "left").drop("sha")
-    out = marked.join(spans, "id", "left").select("id", "text", "copy", "spans").mapInArrow(_apply, "id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary, spans array<struct<start:bigint,end:bigint>>")
+    out = marked.join(spans, ["id", "tag"], "left").select("id", "text", "copy", "spans").mapInArrow(_apply, "id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary, spans array<struct<start:bigint,end:bigint>>")
     return out.withColumnRenamed("id", id)
