@@ -16,21 +16,21 @@ places with windows of at least `agree` hash functions, and in each place the de
 The later document (by id) loses the words of the passage, the earlier one keeps them; all is judged on the input. A whole text whose words repeat an earlier document's goes entirely,
 if it has `least_words` words, without taking part in the search.
 
-Defined results: null and empty texts and those of fewer words lose nothing; rows that share an id count as one document (they lose nothing to each other, and what one loses by position goes from all that are long enough); rows with a
-null id neither lose nor remove words.
+Defined results: null and empty texts and those of fewer words lose nothing; rows that share an id lose nothing to each other, and each loses what its own text repeats
+(places go by id and text); rows with a null id neither lose nor remove words.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import PACKED, buffers, dealt, mix, pack, partitions, small, small_batches, unpack, written
+from .common import PACKED, buffers, dealt, mix, pack, partitions, small, small_batches, tagged, unpack, written
 from .shingles import P, shingle_hashes, word_hashes
 from .suffix_dedup import sliding, united
 
@@ -38,7 +38,7 @@ GRAM = 5
 FUNCTIONS = 6
 TILE = 2048
 CHUNK = 200_000
-ENTRY = np.dtype([("key", "<u4"), ("doc", "<i8"), ("c", "<u4"), ("left", "<u2"), ("right", "<u2")])
+ENTRY = np.dtype([("key", "<u4"), ("doc", "<i8"), ("tag", "<u4"), ("c", "<u4"), ("left", "<u2"), ("right", "<u2")])
 KEY = np.dtype([("key", "<u8"), ("c", "<u4"), ("left", "<u2"), ("right", "<u2")])
 BASE = np.uint64(0x9E3779B97F4A7C15)
 SEEDS = mix(np.arange(1, FUNCTIONS + 1) * 7919)
@@ -108,28 +108,29 @@ def contents(texts: list[np.ndarray], w: dict[str, np.ndarray], width: int) -> n
 def _windows(width: int, shards: int, functions: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts, docs, held = [], [], 0
-            for k, (doc, t) in enumerate(zip(b.column("id").to_pylist(), buffers(b.column("text")))):
+            texts, docs, tags, held = [], [], [], 0
+            for k, (doc, tag, t) in enumerate(zip(b.column("id").to_pylist(), b.column("tag").to_pylist(), buffers(b.column("text")))):
                 w = word_hashes(t)
                 if len(w) >= width + GRAM - 1:
                     texts.append(shingle_hashes(w))
                     docs.append(doc)
+                    tags.append(tag & 0xFFFFFFFF)
                     held += len(w)
                 if texts and (held > CHUNK or k == b.num_rows - 1):
                     found = windows(texts, width, functions)
                     e = np.empty(len(found["v"]), ENTRY)
                     v = mix(found["v"] + found["f"].astype(np.uint64))
-                    e["key"], e["doc"] = v & np.uint64(0xFFFFFFFF), np.array(docs)[found["text"]]
+                    e["key"], e["doc"], e["tag"] = v & np.uint64(0xFFFFFFFF), np.array(docs)[found["text"]], np.array(tags, np.uint32)[found["text"]]
                     e["c"], e["left"], e["right"] = found["c"], np.minimum(found["c"] - found["l"], width - 1), np.minimum(found["r"] - found["c"], width - 1)
                     yield pack(e, ((v >> np.uint64(32)) % np.uint64(shards)).astype(np.int32))
-                    texts, docs, held = [], [], 0
+                    texts, docs, tags, held = [], [], [], 0
 
     return run
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(a, keys): the windows of document a under keys that other documents have too. A key holds its shard and the number of tiles that its windows are cut into."""
-    docs, keys = [np.empty(0, np.int64)], [np.empty(0, KEY)]
+    """(a, half, keys): the windows of document a (its tag's lower half) under keys that other documents have too. A key holds its shard and the number of tiles that its windows are cut into."""
+    docs, tags, keys = [np.empty(0, np.int64)], [np.empty(0, np.uint32)], [np.empty(0, KEY)]
     for shard, e in unpack(batches, ENTRY).items():
         e = e[np.lexsort((e["doc"], e["key"]))]
         head = np.flatnonzero(np.concatenate(([True], e["key"][1:] != e["key"][:-1])))
@@ -144,14 +145,15 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for name in ("c", "left", "right"):
             k[name] = e[name]
         docs.append(e["doc"].copy())
+        tags.append(e["tag"].copy())
         keys.append(k)
-    doc, key = np.concatenate(docs), np.concatenate(keys)
-    order = np.argsort(doc, kind="stable")
-    doc, key = doc[order], key[order]
-    at = np.append(np.flatnonzero(np.concatenate(([True], doc[1:] != doc[:-1]))), len(doc)) if len(doc) else np.empty(0, np.int64)
+    doc, tag, key = np.concatenate(docs), np.concatenate(tags), np.concatenate(keys)
+    order = np.lexsort((tag, doc))
+    doc, tag, key = doc[order], tag[order], key[order]
+    at = np.append(np.flatnonzero(np.concatenate(([True], (doc[1:] != doc[:-1]) | (tag[1:] != tag[:-1])))), len(doc)) if len(doc) else np.empty(0, np.int64)
     for i in range(0, len(at) - 1, 1 << 14):
         cuts = at[i : i + (1 << 14) + 1]
-        yield pa.RecordBatch.from_arrays([pa.array(doc[cuts[:-1]]), pa.array([key[x:y].tobytes() for x, y in zip(cuts, cuts[1:])], pa.binary())], ["a", "keys"])
+        yield pa.RecordBatch.from_arrays([pa.array(doc[cuts[:-1]]), pa.array(tag[cuts[:-1]].astype(np.int64)), pa.array([key[x:y].tobytes() for x, y in zip(cuts, cuts[1:])], pa.binary())], ["a", "half", "keys"])
 
 
 def near_entry(width: int) -> np.dtype:
@@ -187,7 +189,7 @@ def _near_windows(width: int, shards: int):
             flat, docs, keys, first, held, n = [], [], [], [], 0, 0
             for k, (doc, t, found) in enumerate(zip(b.column("id").to_pylist(), buffers(b.column("text")), b.column("keys").to_pylist())):
                 t, found = shingle_hashes(word_hashes(t)), np.frombuffer(b"".join(found), KEY)
-                found = found[found["c"] + found["right"] < len(t)]  # rows that share an id may have other texts
+                found = found[found["c"] + found["right"] < len(t)]  # texts of one id whose tags are equal in the lower half
                 if len(found):
                     found = found[np.argsort(found["key"], kind="stable")]
                     docs.append(np.full(len(found), doc))
@@ -321,10 +323,46 @@ def dense(common: np.ndarray, loss: float, least: int) -> bool:
     return bool((s[least:] >= np.minimum.accumulate(s[: len(s) - least]) - 1e-9).any())
 
 
+def grown(x: np.ndarray, y: np.ndarray, at: tuple[int, int, int, int], shared: np.ndarray, threshold: float, similar: Callable[[np.ndarray, np.ndarray], bool]) -> tuple[int, int]:
+    """The longest stretch of x around [p, q) that begins and ends with runs of common shingles and is similar to one of y around [u, v); at: p, q, u, v.
+
+    Runs beside the stretch are looked for on y's side of [u, v), nearest to the place that they have in x. Candidates are taken by length, shorter by a sixteenth at least after each failure.
+    """
+    p, q, u, v = at
+    s = np.concatenate(([0.0], np.cumsum(np.where(shared, 1.0, -threshold / (1 - threshold) if threshold < 1 else -1e3))))
+    edge = np.diff(np.concatenate(([False], shared, [False])).astype(np.int8))
+    starts, ends = np.flatnonzero(edge[:p] == 1), np.flatnonzero(edge[q + 1 :] == -1) + q + 1
+    starts, ends = starts[s[starts] <= s[q:].max()], ends[s[ends] >= s[: p + 1].min()]  # too many gaps on x's side alone
+    order = np.argsort(y, kind="stable")
+
+    def there(t: int, low: int, high: int, near: int) -> int | None:
+        """Where y has x's shingle t: the place in [low, high) nearest to near."""
+        found = order[np.searchsorted(y[order], x[t], "left") : np.searchsorted(y[order], x[t], "right")]
+        found = found[(found >= low) & (found < high)]
+        return int(found[np.abs(found - near).argmin()]) if len(found) else None
+
+    left = [(p, u)] + [(t, k) for t in starts.tolist() if (k := there(t, 0, u, u - p + t)) is not None]
+    right = [(q, v)] + [(t, k + 1) for t in ends.tolist() if (k := there(t - 1, v, len(y), v - q + t - 1)) is not None]
+    (a, c), (b, d) = (np.array(z).T for z in (left, right))
+    total = np.concatenate(([0], np.cumsum(shared)))
+    common, wide = total[b] - total[a][:, None], b - a[:, None]
+    i, j = np.nonzero(common >= threshold * (wide + (d - c[:, None]) - common))
+    limit = np.inf
+    for k in np.argsort(-wide[i, j], kind="stable"):
+        p2, q2, u2, v2 = (int(z) for z in (a[i[k]], b[j[k]], c[i[k]], d[j[k]]))
+        if q2 - p2 <= q - p:
+            break
+        if q2 - p2 <= limit:
+            if similar(x[p2:q2], y[u2:v2]):
+                return p2, q2
+            limit = (q2 - p2) * 15 / 16
+    return p, q
+
+
 def accepted(a: np.ndarray, b: np.ndarray, width: int, threshold: float) -> Iterator[tuple[int, int]]:
     """The stretches [i, j) of a that are near-duplicates of stretches of b: the densest one, then those before and after it; if it fails, those of either half.
 
-    Each part of a is held against the part of b that has most of its shingles, so the work goes down with the parts.
+    Each part of a is held against the parts of b that have enough of its shingles, so the work goes down with the parts. What is accepted grows on both sides as far as the similarity holds.
     """
     share = 2 * threshold / (1 + threshold)  # of common shingles at the threshold, for sides of equal size
     # stretches that are dense on this side; if they don't make it, denser ones; at last those with the fewest gaps
@@ -339,16 +377,38 @@ def accepted(a: np.ndarray, b: np.ndarray, width: int, threshold: float) -> Iter
         flags[x] = True
         return flags
 
-    def beside(x: np.ndarray) -> np.ndarray:
-        """The part of b that has most of x's shingles in twice its length."""
+    def beside(x: np.ndarray) -> Iterator[np.ndarray]:
+        """The parts of b that have enough of x's shingles in twice its length, the one with most of them first."""
         k = np.flatnonzero(there(x))
         n = first[k + 1] - first[k]
         pos = np.sort(order[np.repeat(first[k], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)])
-        if not len(pos):
-            return b[:0]
         room = 2 * max(len(x), width)
-        best = int((np.searchsorted(pos, pos + room) - np.arange(len(pos))).argmax())
-        return b[max(0, pos[best] - width) : pos[best] + room + width]
+        count = np.searchsorted(pos, pos + room) - np.arange(len(pos))
+        while len(pos) and count.max() >= threshold * width:
+            best = int(count.argmax())
+            yield b[max(0, pos[best] - width) : pos[best] + room + width]
+            count[np.searchsorted(pos, pos[best] - room // 2) : np.searchsorted(pos, pos[best] + room)] = 0
+
+    def similar(x: np.ndarray, y: np.ndarray) -> bool:
+        one, two = there(x), there(y)
+        return bool(np.count_nonzero(one & two) >= threshold * np.count_nonzero(one | two) - 1e-9)
+
+    def stretch(x: np.ndarray, y: np.ndarray) -> tuple[int, int, bool]:
+        """The stretch of x that is a near-duplicate of one of y (0, 0 if there is none), and whether both sides are dense enough for one."""
+        # a result needs a stretch on either side with the threshold's share of common shingles, and on one side with that of equal sides
+        sides = there(y)[x], there(x)[y]
+        if not (all(dense(z, losses[0], width) for z in sides) and any(dense(z, losses[-2], width) for z in sides)):
+            return 0, 0, False
+        for loss in losses:
+            p, q = densest(sides[0], loss, width)
+            u, v = densest(there(x[p:q])[y], loss, width)
+            core = np.flatnonzero(there(y[u:v])[x[p:q]])  # a passage begins and ends with words that both have
+            if not len(core) or core[-1] - core[0] < width - 1:
+                continue
+            p, q = p + int(core[0]), p + int(core[-1]) + 1
+            if similar(x[p:q], y[u:v]):
+                return *grown(x, y, (p, q, u, v), sides[0], threshold, similar), True
+        return 0, 0, True
 
     # where nothing is common for longer than a passage's gaps can be, no passage goes on
     common = np.flatnonzero(first[a + 1] > first[a])
@@ -364,29 +424,17 @@ def accepted(a: np.ndarray, b: np.ndarray, width: int, threshold: float) -> Iter
         if np.array_equal(b[p : p + len(x)], x):  # word for word
             yield i, j
             continue
-        y = beside(x)
-        # a result needs a stretch on either side with the threshold's share of common shingles, and on one side with that of equal sides
-        sides = there(y)[x], there(x)[y]
-        if not (all(dense(z, losses[0], width) for z in sides) and any(dense(z, losses[-2], width) for z in sides)):
-            if j - i > 4 * width:
-                open_ += [(i, (i + j + width) // 2), ((i + j - width) // 2, j)]
-            continue
-        done = False
-        for loss in losses:
-            p, q = densest(sides[0], loss, width)
-            u, v = densest(there(x[p:q])[y], loss, width)
-            two = there(y[u:v])
-            core = np.flatnonzero(two[x[p:q]])  # a passage begins and ends with words that both have
-            if not len(core) or core[-1] - core[0] < width - 1:
-                continue
-            p, q = p + int(core[0]), p + int(core[-1]) + 1
-            one = there(x[p:q])
-            if done := bool(np.count_nonzero(one & two) >= threshold * np.count_nonzero(one | two) - 1e-9):
+        hope = False
+        for y in beside(x):
+            p, q, able = stretch(x, y)
+            hope |= able
+            if q:
                 yield i + p, i + q
                 open_ += [(i, i + p), (i + q, j)]
                 break
-        if not done and j - i > 2 * width:
-            open_ += [(i, (i + j + width) // 2), ((i + j - width) // 2, j)]
+        else:
+            if j - i > (2 if hope else 4) * width:
+                open_ += [(i, (i + j + width) // 2), ((i + j - width) // 2, j)]
 
 
 def places(first: dict[str, np.ndarray], second: dict[str, np.ndarray], width: int, agree: int) -> list[tuple[int, int, int, int]]:
@@ -432,17 +480,17 @@ def _verify(width: int, agree: int, threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts, docs, pairs, at, held = [], [], [], {}, 0
-            for k, (doc, other, s, t) in enumerate(zip(b.column("a").to_pylist(), b.column("b").to_pylist(), buffers(b.column("text_a")), buffers(b.column("text_b")))):
+            for k, (doc, tag, other, s, t) in enumerate(zip(b.column("a").to_pylist(), b.column("tag").to_pylist(), b.column("b").to_pylist(), buffers(b.column("text_a")), buffers(b.column("text_b")))):
                 for name, text in (((doc, s), s), ((other, t), t)):
                     if name not in at:  # each text's windows are made once for all of its pairs here
                         at[name] = len(texts)
                         texts.append(shingle_hashes(word_hashes(text)))
                         held += len(texts[-1])
-                docs.append(doc)
+                docs.append((doc, tag))
                 pairs.append((at[doc, s], at[other, t]))
                 if held > CHUNK or k == b.num_rows - 1:
                     found = [(d, (x + [0, GRAM - 1]).astype("<u4").tobytes()) for d, x in zip(docs, passages(texts, pairs, width, agree, threshold)) if len(x)]
-                    yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in found], pa.int64()), pa.array([x for _, x in found], pa.binary())], ["id", "spans"])
+                    yield pa.RecordBatch.from_arrays([pa.array([d for (d, _), _ in found], pa.int64()), pa.array([g for (_, g), _ in found], pa.int64()), pa.array([x for _, x in found], pa.binary())], ["id", "tag", "spans"])
                     texts, docs, pairs, at, held = [], [], [], {}, 0
 
     return run
@@ -484,7 +532,7 @@ def _names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for b in batches:
         words = [(t or b"").lower().split() for t in buffers(b.column("text"))]
-        yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([xxhash.xxh3_128_hexdigest(b" ".join(w)) for w in words]), pa.array([len(w) for w in words], pa.int64())], ["id", "name", "n"])
+        yield pa.RecordBatch.from_arrays([b.column("id"), b.column("tag"), pa.array([xxhash.xxh3_128_hexdigest(b" ".join(w)) for w in words]), pa.array([len(w) for w in words], pa.int64())], ["id", "tag", "name", "n"])
 
 
 def cut_passages(docs: DataFrame, id: str = "doc_id", text: str = "text", least_words: int = 50, agree: int = 3, threshold: float = 0.75, broadcast_bytes: int = 32 << 20) -> DataFrame:
@@ -492,30 +540,30 @@ def cut_passages(docs: DataFrame, id: str = "doc_id", text: str = "text", least_
     spark, width = docs.sparkSession, least_words - GRAM + 1
     functions = FUNCTIONS - agree + 1  # at least `agree` of all functions agree on a passage, so one of these does
     small_batches(spark)
-    rows = docs.select(F.col(id).cast("bigint").alias("id"), F.col(text).cast("string").alias("text"))
-    names = written(rows.filter("id is not null").mapInArrow(_names, "id bigint, name string, n bigint")).filter(F.col("n") >= least_words)
+    marked = tagged(docs.select(F.struct(*[F.col(c) for c in docs.columns if c != text]).alias("row"), F.col(id).cast("bigint").alias("id"), F.col(text).cast("string").alias("text")))
+    rows = marked.select("id", "tag", "text")
+    names = written(rows.filter("id is not null").mapInArrow(_names, "id bigint, tag bigint, name string, n bigint")).filter(F.col("n") >= least_words)
     first = names.groupBy("name").agg(F.min("id").alias("first"), F.count("*").alias("c")).filter("c > 1").drop("c")
-    copies = written(names.join(first, "name").filter("id > first").select("id").distinct())
-    copies = small(copies)
-    told = rows.filter("id is not null").join(copies, "id", "left_anti")
+    copies = written(names.join(first, "name").filter("id > first").select("id", "tag").distinct())
+    copies = small(copies, 24)
+    told = rows.filter("id is not null").join(copies, ["id", "tag"], "left_anti")
     shards = partitions(spark)
-    met = written(dealt(told.mapInArrow(_windows(width, shards, functions), PACKED), shards).mapInArrow(_shared, "a bigint, keys binary"))
-    keys = met.groupBy(F.col("a").alias("id")).agg(F.collect_list("keys").alias("keys"))
-    near = told.join(keys, "id").mapInArrow(_near_windows(width, shards), PACKED)
+    met = written(dealt(told.mapInArrow(_windows(width, shards, functions), PACKED), shards).mapInArrow(_shared, "a bigint, half bigint, keys binary"))
+    keys = met.groupBy(F.col("a").alias("id"), "half").agg(F.collect_list("keys").alias("keys"))
+    near = told.withColumn("half", F.col("tag").bitwiseAND(0xFFFFFFFF)).join(keys, ["id", "half"]).mapInArrow(_near_windows(width, shards), PACKED)
     pairs = written(dealt(near, shards).mapInArrow(_pairs(width, threshold), "a bigint, b bigint").distinct())
     wanted = written(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct())
     near = told.join(small(wanted), "id", "left_semi")
     # the texts are small next to the work on them: more tasks than their size asks for
     # rows of one id with several texts give a pair each
     both = pairs.join(near.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b").repartition(4 * shards, "a")
-    both = both.join(near.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
-    both = both.select("a", "b", "text_a", "text_b").sortWithinPartitions("b", "a")
-    found = written(both.mapInArrow(_verify(width, agree, threshold), "id bigint, spans binary"))
-    spans = found.groupBy("id").agg(F.collect_list("spans").alias("spans"))
-    size = found.agg(F.coalesce(F.sum(F.octet_length("spans") + 16), F.lit(0))).first()[0]
+    both = both.join(near.select(F.col("id").alias("a"), "tag", F.col("text").alias("text_a")), "a")
+    both = both.select("a", "tag", "b", "text_a", "text_b").sortWithinPartitions("b", "a")
+    found = written(both.mapInArrow(_verify(width, agree, threshold), "id bigint, tag bigint, spans binary"))
+    spans = found.groupBy("id", "tag").agg(F.collect_list("spans").alias("spans"))
+    size = found.agg(F.coalesce(F.sum(F.octet_length("spans") + 24), F.lit(0))).first()[0]
     spans = F.broadcast(spans) if size <= broadcast_bytes else spans
-    marked = docs.select(F.struct(*[F.col(c) for c in docs.columns if c != text]).alias("row"), F.col(id).cast("bigint").alias("id"), F.col(text).cast("string").alias("text"))
-    marked = marked.join(copies.withColumn("copy", F.lit(True)), "id", "left").join(spans, "id", "left").select("row", "text", "copy", "spans")
+    marked = marked.join(copies.withColumn("copy", F.lit(True)), ["id", "tag"], "left").join(spans, ["id", "tag"], "left").select("row", "text", "copy", "spans")
     kinds = f"row {marked.schema['row'].dataType.simpleString()}, n_words bigint, n_removed bigint, spans array<struct<start:bigint,end:bigint>>, kept string"
     done = marked.mapInArrow(_apply, kinds)
     return done.select(*[F.col("kept").alias(c) if c == text else F.col(f"row.`{c}`") for c in docs.columns], "n_words", "n_removed", F.col("spans").alias("removed_spans"))

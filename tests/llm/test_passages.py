@@ -103,7 +103,33 @@ def test_tiles_of_a_hot_key(monkeypatch):
     rows = families(1, 60, 2, 90)
     monkeypatch.setattr(passages_module, "TILE", 7)
     windows = [shingle_hashes(word_hashes(t.encode())) for _, t in rows]
-    e = np.concatenate([np.array([(1, i, len(w) // 2, 45, 45)], passages_module.ENTRY) for (i, _), w in zip(rows, windows)])
+    e = np.concatenate([np.array([(1, i, 0, len(w) // 2, 45, 45)], passages_module.ENTRY) for (i, _), w in zip(rows, windows)])
     keys = [b for b in passages_module._shared(iter([passages_module.pack(e, np.zeros(len(e), np.int64))]))]
     tiles = np.frombuffer(keys[0].column("keys")[0].as_py(), passages_module.KEY)["key"][0] >> np.uint64(48)
     assert tiles == 9
+
+
+def changed(words: list[str], kind: str, count: int, r: random.Random, name: str) -> list[str]:
+    w = list(words)
+    for e in range(count):
+        k = r.randrange(len(w))
+        w[k : k + (kind != "insert")] = [] if kind == "delete" else [f"edit{name}x{e}"]
+    return w
+
+
+@pytest.mark.parametrize("words, count, kind", [(80, 2, "replace"), (120, 3, "insert"), (120, 3, "delete"), (300, 9, "replace")])
+def test_words_of_near_passages_go(spark, words, count, kind):
+    """Of passages that are near-duplicates as a whole nine in ten of the words go."""
+    r, rows, want = random.Random(words), [], {}
+    for f in range(100):
+        base = cases.prose(words, 300_000 + f).split()
+        one, two = base, changed(base, kind, count, r, str(f))
+        rows += [(2 * f + k, f"{cases.prose(60, 400_000 + 2 * f + k)} {' '.join(w)} {cases.prose(60, 500_000 + 2 * f + k)}") for k, w in enumerate((one, two))]
+        a, b = ({tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (one, two))
+        if len(a & b) >= 0.75 * len(a | b):
+            want[2 * f + 1] = len(two)
+    got = {x["doc_id"]: x["n_removed"] for x in cut_passages(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    share = sum(min(got[i], n) for i, n in want.items()) / sum(want.values())
+    print(words, count, kind, len(want), round(share, 3), round(float(np.mean([got[i] >= 0.8 * n for i, n in want.items()])), 3))
+    assert len(want) > 20 and share >= 0.9
+    assert all(got[2 * f] == 0 for f in range(100)) and all(got[i] <= n + 8 for i, n in want.items())

@@ -93,6 +93,29 @@ def test_suffix_dedup_on_the_table(spark):
     assert remove_repeats(cases.docs(spark, [])).collect() == []
 
 
+def several_texts():
+    """Ids with more than one text, null ids among them."""
+    a, b, c = cases.prose(150, 61), cases.prose(150, 62), cases.prose(150, 63)
+    return [(1, a), (2, a), (2, b), (3, a + " " + c), (3, c), (3, b[:400] + " x"), (4, b), (4, b), (5, c[9:] + a), (None, a), (None, b), (5, "")]
+
+
+@pytest.mark.parametrize("most_bytes", [8 << 20, 0])
+def test_one_id_with_several_texts(spark, monkeypatch, most_bytes):
+    from cirrolite.llm import common
+
+    monkeypatch.setattr(common.tagged, "__defaults__", (most_bytes,))
+    rows = several_texts()
+    got = remove_repeats(cases.docs(spark, rows)).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()
+    assert sorted(tuple(r) for r in got if r["doc_id"] is not None) == kept_bytes([r for r in rows if r[0] is not None])
+    assert all(r["n_removed"] == 0 for r in got if r["doc_id"] is None)
+    cut = cut_passages(cases.docs(spark, rows))
+    left = sorted((r["doc_id"], r["n_words"], r["n_removed"]) for r in cut.filter("doc_id is not null").collect())
+    by_id = {i: sorted(n for d, _, n in left if d == i) for i in range(1, 6)}
+    assert by_id[1] == [0] and by_id[2] == [0, 150] and by_id[4] == [150, 150] and by_id[5][0] == 0 and by_id[5][1] >= 295
+    assert by_id[3][0] == 0 and by_id[3][1] >= 50 and by_id[3][2] >= 150 and sum(by_id[3]) < 230
+    assert cut.filter("doc_id is null and n_removed > 0").isEmpty()
+
+
 def test_previous_factors():
     rng = np.random.default_rng(1)
     s, doc = rng.integers(97, 99, (60, 8)).astype(np.uint8), rng.integers(0, 5, 60)
