@@ -134,27 +134,37 @@ def _folded(events: DataFrame, h: Handler) -> DataFrame:
     return dealt.mapInPandas(run, "source_id bigint, handler string, field string, type string, int64_value bigint, double_value double")
 
 
+TYPED = ["type", "int64_value", "double_value"]
+
+
 def deltas(events: DataFrame, handlers: list[Handler]) -> DataFrame:
-    """Partial aggregates of each batch: (sequence, source_id, handler, field, value). The value is a double if a field of the set is one, else a bigint."""
+    """Partial aggregates of each batch: (sequence, source_id, handler, field, type, int64_value, double_value). A value stands in the column of its type, so 64-bit sums stay exact beside doubles."""
     if posture(handlers) != "Merge":
         raise ValueError("only mergeable handlers have deltas")
-    kinds = {f: kind for h in handlers for f, (kind, _) in h.fields.items()}
-    both = "double" if "double" in kinds.values() else "bigint"
-    wide = events.groupBy(F.col("batch_seq").alias("sequence"), "source_id").agg(*[make().cast(kinds[f]).alias(f) for h in handlers for f, (_, make) in h.fields.items()])
-    cells = [F.struct(F.lit(h.name).alias("handler"), F.lit(f).alias("field"), F.col(f).cast(both).alias("value")) for h in handlers for f in h.fields]
+    wide = events.groupBy(F.col("batch_seq").alias("sequence"), "source_id").agg(*[make().cast(kind).alias(f) for h in handlers for f, (kind, make) in h.fields.items()])
+    cells = [F.struct(F.lit(h.name).alias("handler"), F.lit(f).alias("field"), F.lit(kind).alias("type"), *_values(F.col(f), kind)) for h in handlers for f, (kind, _) in h.fields.items()]
     return wide.select("sequence", "source_id", F.explode(F.array(*cells)).alias("x")).select("sequence", "source_id", "x.*")
 
 
 def merged(delta_rows: DataFrame) -> DataFrame:
-    return delta_rows.groupBy("handler", "source_id", "field").agg(F.sum("value").alias("value"))
+    return delta_rows.groupBy("handler", "source_id", "field", "type").agg(F.sum("int64_value").alias("int64_value"), F.sum("double_value").alias("double_value"))
 
 
 def applied(state: DataFrame, values: DataFrame, contract_rows: DataFrame) -> DataFrame:
-    """state (handler, source_id, field, value) with merged values put in; fields outside the contract raise when the rows are computed."""
-    known = contract_rows.select("handler", "field", F.lit(True).alias("known"))
-    new = values.join(known, ["handler", "field"], "left").withColumn("value", F.when(F.col("known"), F.col("value")).otherwise(F.raise_error(F.concat(F.lit("unknown field "), F.col("field"))).cast(dict(values.dtypes)["value"]))).drop("known")
-    both = state.withColumnRenamed("value", "old").join(new, ["handler", "source_id", "field"], "full")
-    return both.select("handler", "source_id", "field", F.coalesce("value", "old").alias("value"))
+    """state (handler, source_id, field and the typed value's columns) with merged values put in.
+
+    A field outside the contract, one whose type differs from the contract's, and a value in the other type's column raise when the rows are computed, whichever columns are read.
+    """
+    known = contract_rows.select("handler", "field", F.col("type").alias("wanted"))
+    wrong = (
+        F.when(F.col("wanted").isNull(), F.concat(F.lit("unknown field "), F.col("field"))).when(~F.col("type").eqNullSafe(F.col("wanted")), F.concat(F.lit("field "), F.col("field"), F.lit(" is of type "), F.col("wanted")))
+        .when(F.when(F.col("wanted") == "bigint", F.col("double_value")).otherwise(F.col("int64_value")).isNotNull(), F.concat(F.lit("field "), F.col("field"), F.lit(" has a value that is not of type "), F.col("wanted")))
+    )
+    kind = {c: t for c, t in values.dtypes if c in TYPED}
+    held = F.struct(*[F.when(wrong.isNull(), F.col(c)).otherwise(F.raise_error(wrong).cast(kind[c])).alias(c) for c in TYPED])
+    new = values.join(known, ["handler", "field"], "left").select("handler", "source_id", "field", held.alias("new"))
+    old = state.select("handler", "source_id", "field", F.struct(*TYPED).alias("old"))
+    return old.join(new, ["handler", "source_id", "field"], "full").select("handler", "source_id", "field", F.coalesce("new", "old").alias("x")).select("handler", "source_id", "field", "x.*")
 
 
 def delta_id(handler: str = "handler", version: str = "contract_version", sequence: str = "sequence", batch: str = "batch_id") -> Column:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -9,12 +12,13 @@ from pyspark.sql.window import Window
 from ..functions.keys import Universe
 
 
-def batch_errors(events: DataFrame, universe: Universe, catalog_size: tuple[int, int] | None = None, schema_version: int = 1, dictionary_version: int = 1, expected: DataFrame | None = None) -> DataFrame:
+def batch_errors(events: DataFrame, universe: Universe, catalog_size: tuple[int, int] | None = None, schema_version: int = 1, dictionary_version: int = 1, expected: DataFrame | None = None, metadata: DataFrame | None = None) -> DataFrame:
     """One row per batch: error (null if valid), event_index (-1 for rules on the whole batch).
 
     Header rules come first, then the first event that fails and its first rule, then the payload's tail, then the expected metrics. events: batch_seq,
     event_seq, message_ticks, gate_count, payload_length, payload_offset, batch_bytes, raw_sum, source_id, the key's dimensions, schema_version,
-    universe_version, dictionary_version and, with catalog_size (radars, moments), moment_id. expected: batch_seq, event_count, value_count, raw_checksum.
+    universe_version, dictionary_version and, with catalog_size (radars, moments), moment_id. expected: batch_seq, event_count, value_count, raw_checksum and, where they are
+    told, payload_bytes and metadata_checksum; the latter is compared with that of `metadata` (batch_seq, metadata_checksum), the fold over the header and the events.
     """
     by = Window.partitionBy("batch_seq").orderBy("event_seq")
     before = F.coalesce(F.sum("payload_length").over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -37,9 +41,15 @@ def batch_errors(events: DataFrame, universe: Universe, catalog_size: tuple[int,
     header = F.when(F.col("sv") != schema_version, "UnsupportedStreamSchemaVersion").when(F.col("uv") != universe.version, "SourceUniverseVersionMismatch").when(F.col("dv") != dictionary_version, "DictionarySnapshotVersionMismatch")
     metrics = F.lit(None).cast("string")
     if expected is not None:
-        each = each.join(expected.select("batch_seq", F.struct("event_count", "value_count", "raw_checksum").alias("want")), "batch_seq", "left")
-        same = (F.col("want.event_count") == F.col("n")) & (F.col("want.value_count") == F.col("v")) & (F.col("want.raw_checksum") == F.col("c"))
-        metrics = F.when(F.col("want").isNotNull() & ~same, "MetricsMismatch")
+        counted = {"event_count": "n", "value_count": "v", "raw_checksum": "c", "payload_bytes": "bytes", "metadata_checksum": "fold"}
+        if "metadata_checksum" in expected.columns:
+            if metadata is None:
+                raise ValueError("expected has metadata_checksum, but there is no metadata to compare it with")
+            each = each.join(metadata.select("batch_seq", F.col("metadata_checksum").alias("fold")), "batch_seq", "left")
+        told = [c for c in counted if c in expected.columns]
+        each = each.join(expected.select("batch_seq", F.struct(*told).alias("want")), "batch_seq", "left")
+        same = [F.col(f"want.{c}").eqNullSafe(F.col(counted[c])) for c in told]
+        metrics = F.when(F.col("want").isNotNull() & ~reduce(and_, same), "MetricsMismatch")
     error = F.coalesce(header, F.col("first.rule"), F.when(F.col("used") != F.col("bytes"), "PayloadTailNotReferenced"), metrics)
     return each.select("batch_seq", error.alias("error"), F.when(header.isNull() & F.col("first").isNotNull(), F.col("first.index")).otherwise(-1).cast("bigint").alias("event_index"))
 
@@ -49,7 +59,7 @@ def _inside(universe: Universe) -> Column:
 
 
 def accepted_batches(events: DataFrame, universe: Universe, schema_version: int = 1) -> tuple[DataFrame, DataFrame]:
-    """(accepted, rejected) batches for processing; the first rule that fails rejects the whole batch.
+    """(accepted, rejected) batches for processing, each with events and payload_values; the first rule that fails rejects the whole batch and event_index is the event's that broke it (-1: the header).
 
     Rules on the versions (where the events carry schema_version and universe_version), then on the source ids and their dimensions in order of the events,
     then on each source's ticks, which must not step back.
@@ -58,9 +68,14 @@ def accepted_batches(events: DataFrame, universe: Universe, schema_version: int
     owner = F.when(~_inside(universe), "SourceIdOutsideUniverse").when(~F.coalesce(universe.encode() == F.col("source_id"), F.lit(False)), "SourceOwnershipMismatch")
     heads = [F.when(F.max(c) != wanted, name) for c, wanted, name in (("schema_version", schema_version, "UnsupportedStreamSchemaVersion"), ("universe_version", universe.version, "SourceUniverseVersionMismatch")) if c in events.columns]
     rows = events.withColumn("owner", owner).withColumn("back", back)
-    first = F.min_by("owner", F.when(F.col("owner").isNotNull(), F.col("event_seq")))
-    each = rows.groupBy("batch_seq").agg(F.count("*").alias("events"), F.coalesce(*heads, first, F.when(F.bool_or("back"), "SourceOrderViolation")).alias("error"))
-    return each.filter("error is null").drop("error"), each.filter("error is not null")
+    rows = rows.withColumn("index", F.row_number().over(Window.partitionBy("batch_seq").orderBy("event_seq")) - 1)
+    each = rows.groupBy("batch_seq").agg(
+        F.count("*").alias("events"), F.sum("gate_count").cast("bigint").alias("payload_values"), (F.coalesce(*heads) if heads else F.lit(None)).cast("string").alias("head"),
+        F.min(F.when(F.col("owner").isNotNull(), F.struct("index", F.col("owner").alias("rule")))).alias("first"), F.min(F.when(F.col("back"), F.col("index"))).alias("late"))
+    error = F.coalesce("head", "first.rule", F.when(F.col("late").isNotNull(), "SourceOrderViolation"))
+    index = F.when(F.col("head").isNotNull(), -1).otherwise(F.coalesce("first.index", "late")).cast("bigint")
+    each = each.select("batch_seq", "events", "payload_values", error.alias("error"), index.alias("event_index"))
+    return each.filter("error is null").drop("error", "event_index"), each.filter("error is not null")
 
 
 def commit_errors(deltas: DataFrame, state: DataFrame) -> DataFrame:
@@ -71,7 +86,7 @@ def commit_errors(deltas: DataFrame, state: DataFrame) -> DataFrame:
 def reconcile(expected: DataFrame, actual: DataFrame, key: str, metrics: list[str]) -> DataFrame:
     """Differences of two snapshots: missing, unexpected, duplicate and changed keys."""
     def side(df: DataFrame, tag: str) -> DataFrame:
-        return df.groupBy(key).agg(F.count("*").alias(f"n_{tag}"), F.first(F.struct(*metrics)).alias(tag))
+        return df.groupBy(key).agg(F.count("*").alias(f"n_{tag}"), F.min(F.struct(*metrics)).alias(tag))
 
     both = side(expected, "e").join(side(actual, "a"), key, "full")
     problem = F.when(F.col("n_a").isNull(), "Missing").when(F.col("n_e").isNull(), "Unexpected").when(F.col("n_a") > 1, "Duplicate").when(~F.col("e").eqNullSafe(F.col("a")), "Changed")

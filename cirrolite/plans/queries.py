@@ -636,11 +636,12 @@ def va1_batch_errors(spark, d):
     return validation.batch_errors(rows_to_check(spark, d), CHECKED, (8, 5), expected=expected)
 
 
-@query(f"""WITH {CHECK_SQL}, y AS (SELECT *, CASE WHEN sid > 719 THEN 'SourceIdOutsideUniverse' WHEN key IS NULL OR sid <> key THEN 'SourceOwnershipMismatch' END AS own, t < lag(t) OVER (PARTITION BY batch_seq, sid ORDER BY event_seq) AS back FROM z),
-b AS (SELECT batch_seq, count(*) AS events, coalesce(max(header), min_by(own, event_seq) FILTER (WHERE own IS NOT NULL), CASE WHEN bool_or(back) THEN 'SourceOrderViolation' END) AS error FROM y GROUP BY 1) SELECT batch_seq, events, error FROM b""")
+@query(f"""WITH {CHECK_SQL}, y AS (SELECT *, CASE WHEN sid > 719 THEN 'SourceIdOutsideUniverse' WHEN key IS NULL OR sid <> key THEN 'SourceOwnershipMismatch' END AS own, t < lag(t) OVER (PARTITION BY batch_seq, sid ORDER BY event_seq) AS back, row_number() OVER (PARTITION BY batch_seq ORDER BY event_seq) - 1 AS i FROM z),
+b AS (SELECT batch_seq, count(*) AS events, coalesce(max(header), min_by(own, event_seq) FILTER (WHERE own IS NOT NULL), CASE WHEN bool_or(back) THEN 'SourceOrderViolation' END) AS error, CAST(sum(gate_count) AS BIGINT) AS payload_values, max(header) AS header, coalesce(min(i) FILTER (WHERE own IS NOT NULL), min(i) FILTER (WHERE back)) AS i FROM y GROUP BY 1)
+SELECT batch_seq, events, payload_values, error, CASE WHEN header IS NOT NULL THEN -1 ELSE i END AS event_index FROM b""")
 def va2_processing_check(spark, d):
     good, bad = validation.accepted_batches(rows_to_check(spark, d), CHECKED)
-    return good.withColumn("error", F.lit(None).cast("string")).unionByName(bad)
+    return bad.unionByName(good, allowMissingColumns=True)
 
 
 @query(f"""WITH {SHAKEN_SQL}, lz AS (SELECT batch_seq, source_id, CASE WHEN event_seq % 5 = 0 THEN t - 50000000000000 ELSE t END AS t FROM z), st AS (SELECT source_id, max(t) AS m FROM z WHERE batch_seq < 2 GROUP BY 1), dl AS (SELECT batch_seq, source_id, min(t) AS first_ticks FROM lz WHERE batch_seq >= 2 GROUP BY 1, 2) SELECT batch_seq, source_id, first_ticks, m AS stored_ticks FROM dl JOIN st USING (source_id) WHERE first_ticks < m""")
@@ -681,9 +682,13 @@ def so3_value_order(spark, d):
     return handlers.snapshots(stream_events(spark, d), [handlers.COUNTER]).select("source_id", "field", "int64_value").orderBy("source_id", "field")
 
 
+def values_of(rows):
+    return rows.select("handler", "source_id", "field", F.col("int64_value").alias("value"))
+
+
 @query(f"WITH {VALUES_SQL} SELECT 'CounterChecksum' AS handler, source_id, field, x AS value FROM u")
 def ud5_delta_merge(spark, d):
-    return handlers.merged(handlers.deltas(stream_events(spark, d), handlers.handler_set("CounterChecksum")))
+    return values_of(handlers.merged(handlers.deltas(stream_events(spark, d), handlers.handler_set("CounterChecksum"))))
 
 
 @query(f"WITH {V_STREAM} SELECT source_id, count(*) AS events, CAST(sum(gate_count) AS BIGINT) AS \"values\", CAST(sum(raw_sum) AS BIGINT) AS raw_checksum FROM v GROUP BY 1")
@@ -712,7 +717,27 @@ def ud1_opaque_handler(spark, d):
 @query(f"WITH {VALUES_SQL} SELECT 'CounterChecksum' AS handler, source_id, field, x AS value FROM u")
 def ud10_apply_values(spark, d):
     new = handlers.merged(handlers.deltas(stream_events(spark, d), [handlers.COUNTER]))
-    return handlers.applied(new.withColumn("value", F.lit(0).cast("bigint")), new, handlers.contract(spark, [handlers.COUNTER]))
+    return values_of(handlers.applied(new.withColumn("int64_value", F.lit(0).cast("bigint")), new, handlers.contract(spark, [handlers.COUNTER])))
+
+
+MIXED = handlers.Handler("Mixed", {"weighted": ("bigint", lambda: F.sum(F.col("raw_sum").cast("bigint") * F.col("gate_count"))), "half": ("double", lambda: F.sum(F.col("gate_count") * 0.5))}, handlers.MERGEABLE)
+MIXED_SQL = f"{V_STREAM}, m AS (SELECT source_id, CAST(sum(raw_sum * gate_count) AS BIGINT) AS weighted, sum(gate_count * CAST(0.5 AS DOUBLE)) AS half FROM v GROUP BY 1), u AS (SELECT source_id, 'weighted' AS field, 'bigint' AS type, weighted AS int64_value, CAST(NULL AS DOUBLE) AS double_value FROM m UNION ALL SELECT source_id, 'half', 'double', NULL, half FROM m)"
+
+
+def mixed_deltas(spark, d):
+    """64-bit sums beside doubles, each in the column of its type."""
+    return handlers.deltas(stream_events(spark, d), [MIXED])
+
+
+@query(f"WITH {MIXED_SQL} SELECT 'Mixed' AS handler, * FROM u")
+def ud5_typed_merge(spark, d):
+    return handlers.merged(mixed_deltas(spark, d))
+
+
+@query(f"WITH {MIXED_SQL} SELECT 'Mixed' AS handler, * FROM u")
+def ud10_typed_apply(spark, d):
+    new = handlers.merged(mixed_deltas(spark, d))
+    return handlers.applied(new.filter("source_id % 2 = 0").withColumns({"int64_value": F.col("int64_value") - 1, "double_value": F.col("double_value") - 1}), new, handlers.contract(spark, [MIXED]))
 
 
 FIXED = {"record": "0", "message": "radial_seq", "gate_start": "0", "volume_ticks": "90", "scale_bits": "1065353216", "offset_bits": "0", "word_size": "8", "status_model": "1"}

@@ -22,8 +22,13 @@ def run_once(stream: DataFrame, write: Callable[[DataFrame, int], None], checkpo
     stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
+def _summed(rows: DataFrame) -> DataFrame:
+    by = [c for c in ("handler", "source_id", "field", "type") if c in rows.columns]
+    return rows.groupBy(*by).agg(*[F.sum(c).alias(c) for c in ("value", "int64_value", "double_value") if c in rows.columns])
+
+
 def delta_merger(folder: str) -> Callable[[DataFrame, int], None]:
-    """Merges deltas (handler, sequence, delta_id, source_id, field, value, content), one epoch a trigger, in each handler's order of sequence from 0 on.
+    """Merges deltas (handler, sequence, delta_id, source_id, field, value, content; or type, int64_value and double_value in place of value), one epoch a trigger, in each handler's order of sequence from 0 on.
 
     A delta that was delivered before with the same content is a no-op, one with other content is kept under rejected/. Accepted deltas wait until all sequences before theirs are there: each
     trigger moves the handlers' cursors over the newly gap-free prefix, writes what that prefix adds (applied/, a row per handler, source and field that it touches)
@@ -63,7 +68,7 @@ def delta_merger(folder: str) -> Callable[[DataFrame, int], None]:
         now = cursors.unionByName(moved).groupBy("handler").agg(F.max("next").alias("next"))
         now = put("moved", now)
         due = waiting.join(now, "handler", "left").withColumn("due", F.coalesce(F.col("sequence") < F.col("next"), F.lit(False)))
-        put("applied", due.filter("due").groupBy("handler", "source_id", "field").agg(F.sum("value").alias("value")))
+        put("applied", _summed(due.filter("due")))
         put("pending", due.filter("not due").select(*rows.columns))
         put("cursors", now)
 
@@ -76,10 +81,10 @@ def _merged_epochs(spark: SparkSession, folder: str) -> int:
 
 
 def merged_values(spark: SparkSession, folder: str) -> DataFrame:
-    """handler, source_id, field, value: all that was released so far, by merged epochs alone."""
+    """handler, source_id, field and value (or the typed value's columns): all that was released so far, by merged epochs alone."""
     last = _merged_epochs(spark, folder)
     rows = spark.read.parquet(f"{folder}/applied").filter(F.col("epoch") <= last)
-    return rows.groupBy("handler", "source_id", "field").agg(F.sum("value").alias("value"))
+    return _summed(rows)
 
 
 def cursors(spark: SparkSession, folder: str) -> DataFrame:

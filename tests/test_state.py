@@ -58,10 +58,15 @@ def test_handler_rules(spark):
         handlers.handler_set("other")
     with pytest.raises(ValueError):
         handlers.snapshots(stream_events(spark, DATA), [handlers.REFUSED])
-    state = spark.createDataFrame([("h", 1, "f", 1)], "handler string, source_id bigint, field string, value bigint")
-    known = spark.createDataFrame([("h", "g")], "handler string, field string")
+    state = spark.createDataFrame([("h", 1, "f", "bigint", 1, None)], "handler string, source_id bigint, field string, type string, int64_value bigint, double_value double")
+    known = lambda f, kind: spark.createDataFrame([("h", f, kind)], "handler string, field string, type string")
+    assert handlers.applied(state, state, known("f", "bigint")).count() == 1
     with pytest.raises(Exception, match="unknown field"):
-        handlers.applied(state, state, known).collect()
+        handlers.applied(state, state, known("g", "bigint")).collect()
+    with pytest.raises(Exception, match="is of type double"):
+        handlers.applied(state, state, known("f", "double")).select("int64_value").collect()
+    with pytest.raises(Exception, match="not of type double"):
+        handlers.applied(state, state.withColumn("type", F.lit("double")), known("f", "double")).select("type").collect()
 
 
 def test_redelivery(spark):
@@ -172,8 +177,44 @@ def test_deltas_arrive_in_any_order(spark, tmp_path):
 def test_deltas_keep_doubles(spark):
     h = handlers.Handler("Mean", {"half": ("double", lambda: F.sum(F.col("gate_count") * 0.5)), "rows": ("bigint", lambda: F.count("*"))}, handlers.MERGEABLE)
     rows = spark.createDataFrame([(0, 1, 1), (0, 1, 2), (1, 1, 4)], "batch_seq bigint, source_id bigint, gate_count int")
-    got = {r["field"]: r["value"] for r in handlers.merged(handlers.deltas(rows, [h])).collect()}
-    assert got == {"half": 3.5, "rows": 3.0}
+    got = {r["field"]: (r["type"], r["int64_value"], r["double_value"]) for r in handlers.merged(handlers.deltas(rows, [h])).collect()}
+    assert got == {"half": ("double", None, 3.5), "rows": ("bigint", 3, None)}
+
+
+def test_typed_deltas_are_released_live(spark, tmp_path):
+    """64-bit sums above 2^53 and doubles side by side, over a gap."""
+    write = pipeline.delta_merger(str(tmp_path))
+    kinds = "handler string, sequence bigint, delta_id string, source_id bigint, field string, type string, int64_value bigint, double_value double, content string"
+    d = lambda s, n, x: spark.createDataFrame([("h", s, f"id{s}", 1, "n", "bigint", n, None, "c"), ("h", s, f"id{s}", 1, "x", "double", None, x, "c")], kinds)
+    write(d(1, 3, 0.25), 0)
+    write(d(0, 2**60, 0.5), 1)
+    got = {r["field"]: (r["type"], r["int64_value"], r["double_value"]) for r in pipeline.merged_values(spark, str(tmp_path)).collect()}
+    assert got == {"n": ("bigint", 2**60 + 3, None), "x": ("double", None, 0.75)}
+
+
+def test_expected_metrics_in_full(spark):
+    """Each of the five metrics is compared; metadata folds need their actual values."""
+    from pyspark.sql.window import Window
+
+    same = {"payload_length": F.col("gate_count"), "batch_bytes": F.sum("gate_count").over(Window.partitionBy("batch_seq")), "word_size": F.lit(8), "schema_version": F.lit(1), "universe_version": F.lit(1), "dictionary_version": F.lit(1)}
+    rows = windows.payload_offsets(stream_events(spark, DATA)).withColumns(same)
+    fold = checksums.batch_checksums(detailed(stream_events(spark, DATA))).select("batch_seq", F.col("checksum").alias("metadata_checksum"))
+    good = [r["batch_seq"] for r in validation.batch_errors(rows, UNIVERSE).filter("error is null").collect()]
+    size = rows.groupBy("batch_seq").agg(F.max("batch_bytes").alias("payload_bytes"), F.count("*").alias("event_count"), F.sum("gate_count").alias("value_count"), F.sum("raw_sum").alias("raw_checksum"))
+    full = size.join(fold, "batch_seq")
+    check = lambda want: {r["error"] for r in validation.batch_errors(rows, UNIVERSE, expected=want, metadata=fold).filter(F.col("batch_seq").isin(good)).collect()}
+    assert good and check(full) == {None}
+    for c in ("payload_bytes", "event_count", "value_count", "raw_checksum"):
+        assert check(full.withColumn(c, F.col(c) + 1)) == {"MetricsMismatch"}
+    assert check(full.withColumn("metadata_checksum", F.concat("metadata_checksum", F.lit("0")))) == {"MetricsMismatch"}
+    with pytest.raises(ValueError, match="no metadata"):
+        validation.batch_errors(rows, UNIVERSE, expected=full)
+
+
+def test_reconcile_tells_all_problems(spark):
+    side = lambda *rows: spark.createDataFrame(rows, "source_id bigint, n bigint")
+    got = validation.reconcile(side((1, 1), (2, 2), (3, 3), (4, 4)), side((1, 1), (2, 9), (4, 5), (4, 4), (5, 5)), "source_id", ["n"])
+    assert {r["source_id"]: r["problem"] for r in got.collect()} == {2: "Changed", 3: "Missing", 4: "Duplicate", 5: "Unexpected"}
 
 
 def ticked(spark, rows):
