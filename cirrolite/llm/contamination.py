@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
 from .common import buffers, small_batches
 
@@ -92,48 +93,65 @@ _built: dict[str, object] = {}
 
 def contamination(docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", window: int = WINDOW, automaton_bytes: int = 32 << 20) -> DataFrame:
     """Per row of docs: the id, n_words, n_hit, items (sorted strings), spans (start, end in characters of the original text)."""
-    spark = docs.sparkSession
+    rows = docs.select(F.col(id).cast("bigint").alias("row"), F.col(text).cast("string").alias("text"))
+    found = _scanned(rows, benchmark, item, item_text, window, automaton_bytes, ["n_words", "hit", "items", "spans"])
+    return found.select(F.col("row").alias(id), "n_words", F.size("hit").cast("bigint").alias("n_hit"), "items", "spans")
+
+
+def keep_clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", window: int = WINDOW, one_in: int = 20, automaton_bytes: int = 32 << 20) -> DataFrame:
+    """The rows of docs, with all their columns, of whose words less than one in `one_in` are hit. Each row is judged by its own text, whatever its id: rows pass through the scan, nothing is joined."""
+    others = [c for c in docs.columns if c != text]
+    rows = docs.select((F.struct(*others) if others else F.lit(None).cast("int")).alias("row"), F.col(text).cast("string").alias("text"))
+    found = _scanned(rows, benchmark, item, item_text, window, automaton_bytes, ["text", "n_words", "hit"])
+    clean = found.filter((F.size("hit") == 0) | (one_in * F.size("hit") < F.col("n_words")))
+    return clean.select(*[F.col("text").alias(c) if c == text else F.col("row").getField(c).alias(c) for c in docs.columns])
+
+
+def _scanned(rows: DataFrame, benchmark: DataFrame, item: str, item_text: str, window: int, automaton_bytes: int, wanted: list[str]) -> DataFrame:
+    """rows (row of any type, text) with what is wanted of FOUND."""
+    spark = rows.sparkSession
     small_batches(spark)
     b = benchmark.select(F.col(item).cast("string").alias("item"), F.coalesce(F.col(item_text).cast("string"), F.lit("")).alias("t"))
     total = b.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).first()[0]
     slices = max(1, -(-total // automaton_bytes))
-    rows = docs.select(F.col(id).cast("bigint").alias("id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"), F.lit(None).cast("array<int>").alias("hit"), F.lit(None).cast("array<string>").alias("items"))
+    kept, row = ["text", "hit", "items"], rows.schema["row"]
+    rows = rows.withColumns({c: F.lit(None).cast(FOUND[c]) for c in ("hit", "items")})
     for k in range(slices):  # each slice adds its hits to those of the slices before it
         part = b if slices == 1 else b.filter(F.pmod(F.xxhash64("item", "t"), F.lit(slices)) == k)
         found = sorted({(r["item"] is None, r["item"] or "", r["t"].encode()) for r in part.collect()})
         items = spark.sparkContext.broadcast([(None if none else i, t) for none, i, t in found])
         key = hashlib.sha1(repr((found, window)).encode()).hexdigest()
-        last = k == slices - 1
-        rows = rows.mapInArrow(_scanner(items, key, window, last), FOUND if last else PASSED)
-    return rows.select(F.col("id").alias(id), "n_words", F.size("hit").cast("bigint").alias("n_hit"), "items", "spans")
-
+        columns = wanted if k == slices - 1 else kept
+        rows = rows.mapInArrow(_scanner(items, key, window, columns), StructType([row, *[StructField(c, FOUND[c]) for c in columns]]))
+    return rows
 
-PASSED = "id bigint, text string, hit array<int>, items array<string>"
-FOUND = "id bigint, n_words bigint, hit array<int>, items array<string>, spans array<struct<start:bigint,end:bigint>>"
 
+FOUND = {
+    "text": StringType(), "n_words": LongType(), "hit": ArrayType(IntegerType()), "items": ArrayType(StringType()),
+    "spans": ArrayType(StructType([StructField("start", LongType()), StructField("end", LongType())])),
+}
+ARROW = {"n_words": pa.int64(), "hit": pa.list_(pa.int32()), "items": pa.list_(pa.string()), "spans": pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))}
 
-def _scanner(items, key: str, window: int, last: bool):
-    kept = [("id", pa.int64()), ("text", pa.string()), ("hit", pa.list_(pa.int32())), ("items", pa.list_(pa.string()))]
-    found = [kept[0], ("n_words", pa.int64()), *kept[2:], ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))]
-    out = pa.schema(found if last else kept)
 
+def _scanner(items, key: str, window: int, columns: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if key not in _built:
             _built.clear()
             _built[key] = automaton_of(items.value, window)
         automaton = _built[key]
         for b in batches:
-            counts, hits, names, spans = [], [], [], []
-            for i, t in enumerate(buffers(b.column("text"))):
+            made: dict[str, list] = {c: [] for c in ARROW}
+            before = zip(b.column("hit").to_pylist(), b.column("items").to_pylist())
+            for t, (earlier, names) in zip(buffers(b.column("text")), before):
                 n, hit, ids = scan(t, automaton)
-                if b.column("hit").is_valid()[i].as_py():
-                    hit[b.column("hit")[i].as_py()] = True
-                    ids = ids | set(b.column("items")[i].as_py())
-                counts.append(n)
-                hits.append(np.flatnonzero(hit).tolist() if ids or hit.any() else [])
-                names.append(sorted(x for x in ids if x is not None))
-                spans.append(spans_of(t, hit) if last and hit.any() else [])
-            made = {"id": b.column("id"), "text": b.column("text"), "n_words": counts, "hit": hits, "items": names, "spans": spans}
-            yield pa.RecordBatch.from_arrays([made[f.name] if isinstance(made[f.name], pa.Array) else pa.array(made[f.name], f.type) for f in out], schema=out)
+                if earlier is not None:
+                    hit[earlier] = True
+                    ids = ids | set(names)
+                made["n_words"].append(n)
+                made["hit"].append(np.flatnonzero(hit).tolist())
+                made["items"].append(sorted(x for x in ids if x is not None))
+                made["spans"].append(spans_of(t, hit) if "spans" in columns and hit.any() else [])
+            arrays = [b.column("row"), *[b.column("text") if c == "text" else pa.array(made[c], ARROW[c]) for c in columns]]
+            yield pa.RecordBatch.from_arrays(arrays, ["row", *columns])
 
     return run
