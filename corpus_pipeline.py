@@ -1,7 +1,7 @@
 """A training corpus from raw documents: quality, near-duplicates, repeated passages, benchmark contamination, packing.
 
-Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of docs. Decisions go by doc_id;
-rows without one pass the stages that go by it.
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of docs. Each decides by row: rows
+that share a doc_id, or have none, are judged by their own texts.
 """
 
 from __future__ import annotations
@@ -10,8 +10,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cirrolite.llm.common import table, without, written
-from cirrolite.llm.contamination import contamination
+from cirrolite.llm.common import small, table, without, written
+from cirrolite.llm.contamination import keep_clean
 from cirrolite.llm.ngram_join import ngram_components
 from cirrolite.llm.packing import pack, token_pieces
 from cirrolite.llm.passages import cut_passages
@@ -26,14 +26,24 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest id stays; of rows that repeat id and text, one."""
-    found = written(ngram_components(docs))
-    kept = without(docs, found.filter("component_id <> doc_id"), "doc_id")
-    repeated = written(found.filter("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id"))
+    """Of each group of near-duplicates the row with the smallest id stays, one without id only if none has an id; of rows that repeat id and text, one.
+
+    A row is named by a 64-bit hash of its id and text: rows that share an id, or have none, are judged by their own texts.
+    """
+    own = "row"
+    while own in docs.columns:
+        own += "_"
+    named = docs.withColumn(own, F.xxhash64("doc_id", "text"))
+    found = ngram_components(named, id=own).groupBy(own, "component_id").agg(F.count("*").alias("n"))
+    found = written(found.join(named.select(own, "doc_id").distinct(), own))
+    first = found.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", own)).getField(own).alias("first"), F.count("*").alias("rows"))
+    gone = found.join(small(written(first.filter("rows > 1").select("component_id", "first"))), "component_id").filter(F.col(own) != F.col("first"))
+    kept = without(named, gone, own)
+    repeated = written(found.filter("n > 1").select(own))
     if repeated.isEmpty():
-        return kept
-    once = kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    return kept.join(repeated, "doc_id", "left_anti").unionByName(once).select(*docs.columns)
+        return kept.select(*docs.columns)
+    once = kept.join(small(repeated), own, "left_semi").dropDuplicates(["doc_id", "text"])
+    return kept.join(small(repeated), own, "left_anti").unionByName(once).select(*docs.columns)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,8 +56,7 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of whose words at least one in twenty lies in benchmark windows go."""
-    found = contamination(docs, table(spark, sf_dir, "benchmark"))
-    return without(docs, found.filter((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))), "doc_id").select(*docs.columns)
+    return keep_clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
