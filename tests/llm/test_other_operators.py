@@ -215,6 +215,27 @@ def test_pipeline_stages(spark):
     check_packing(text(four), pack(spark, four, DATA).collect(), 2048)
 
 
+def test_pipeline_decides_by_row(spark):
+    """One id with two texts, and rows without id: each row is judged by its own text."""
+    p = [cases.prose(90, 500 + i) for i in range(7)]
+    rows = [(1, p[0]), (2, p[0]), (2, p[1]), (None, p[0]), (None, p[2]), (None, p[2]), (3, p[2] + " x"), (4, p[3]), (4, p[3]), (None, p[4]), (None, p[4]), (None, ""), (None, None), (5, ""), (5, p[5]), (6, None)]
+    d = cases.docs(spark, rows)
+    stages = dict(corpus_pipeline.STAGES)
+    out = stages["n-gram join"](spark, d, DATA)
+    order = lambda rows: sorted(rows, key=repr)
+    assert out.columns == d.columns
+    assert order((r["doc_id"], r["text"]) for r in out.collect()) == order([(1, p[0]), (2, p[1]), (3, p[2] + " x"), (4, p[3]), (None, p[4]), (None, ""), (None, None), (5, ""), (5, p[5]), (6, None)])
+    # rows of one id and rows without id, with and without a benchmark passage
+    item = max((r["text"] for r in spark.read.parquet(f"{DATA}/benchmark.parquet").collect() if r["text"]), key=lambda t: len(t.split()))
+    bad = p[6] + " " + item
+    rows = [(1, bad), (1, p[0]), (None, bad), (None, p[1]), (2, None), (None, ""), (3, "one")]
+    out = stages["decontamination"](spark, cases.docs(spark, rows), DATA)
+    assert out.columns == d.columns
+    assert order((r["doc_id"], r["text"]) for r in out.collect()) == order([(1, p[0]), (None, p[1]), (2, None), (None, ""), (3, "one")])
+    one = out.filter("doc_id = 3").first()  # the other columns stay with their rows
+    assert (one["score"], one["hit"], one["items"], one["row"], one["spans"]) == (0.5, 5, "i", "r", "s")
+
+
 def test_pipeline_edges(spark):
     d = cases.docs(spark).withColumn("n_chars", F.length("text"))
     for name, stage in corpus_pipeline.STAGES:
