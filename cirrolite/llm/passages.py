@@ -31,13 +31,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import PACKED, buffers, dealt, mix, pack, partitions, small, small_batches, tagged, unpack, written
-from .shingles import P, shingle_hashes, word_hashes
+from .shingles import P, batch_shingle_hashes
 from .suffix_dedup import sliding, united
 
 GRAM = 5
 FUNCTIONS = 6
 TILE = 2048
-CHUNK = 200_000
+CHUNK = 1 << 20  # bytes of text
 ENTRY = np.dtype([("key", "<u4"), ("doc", "<i8"), ("tag", "<u4"), ("c", "<u4"), ("left", "<u2"), ("right", "<u2")])
 KEY = np.dtype([("key", "<u8"), ("c", "<u4"), ("left", "<u2"), ("right", "<u2")])
 BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -67,22 +67,13 @@ def windows(texts: list[np.ndarray], width: int, functions: int = FUNCTIONS) ->
         # the nearest smaller values to either side are nodes themselves, or the zero between texts
         pos = np.sort(np.concatenate((c, ends)))
         value, k = whole[pos], np.searchsorted(pos, c)
-        l, r = k.copy(), k.copy()
-        table = [value]
-        while len(table[-1]) > 1 << len(table) - 1:
-            step = 1 << len(table) - 1
-            table.append(np.minimum(table[-1][:-step], table[-1][step:]))
-        for j in range(len(table) - 1, -1, -1):  # widen by powers of two while all values there are larger
-            t = table[j]
-            at = l - (1 << j)
-            ok = at >= 0
-            ok[ok] = t[at[ok]] > v[ok]
-            l = np.where(ok, at, l)
-            at = r + 1
-            ok = at < len(t)
-            ok[ok] = t[at[ok]] >= v[ok]
-            r = np.where(ok, r + (1 << j), r)
-        l, r = pos[l - 1] + 1, pos[r + 1] - 1
+        at = np.arange(len(pos))
+        l, r = at - 1, at + 1
+        for link, over in ((l, np.greater), (r, np.greater_equal)):
+            rest = k
+            while len(rest := rest[over(value[link[rest]], value[rest])]):
+                link[rest] = link[link[rest]]  # all between a value and the one it is linked to are larger
+        l, r = pos[l[k]] + 1, pos[r[k]] - 1
         wide = r - l + 1 >= width
         text = np.searchsorted(start, c, "right") - 1
         base = start[text]
@@ -110,19 +101,20 @@ def _windows(width: int, shards: int, functions: int):
         for b in batches:
             texts, docs, tags, held = [], [], [], 0
             for k, (doc, tag, t) in enumerate(zip(b.column("id").to_pylist(), b.column("tag").to_pylist(), buffers(b.column("text")))):
-                w = word_hashes(t)
-                if len(w) >= width + GRAM - 1:
-                    texts.append(shingle_hashes(w))
-                    docs.append(doc)
-                    tags.append(tag & 0xFFFFFFFF)
-                    held += len(w)
-                if texts and (held > CHUNK or k == b.num_rows - 1):
-                    found = windows(texts, width, functions)
+                texts.append(t)
+                docs.append(doc)
+                tags.append(tag & 0xFFFFFFFF)
+                held += len(t or b"")
+                if held > CHUNK or k == b.num_rows - 1:
+                    hashes = batch_shingle_hashes(texts)
+                    wide = [i for i, x in enumerate(hashes) if len(x) >= width]
+                    found = windows([hashes[i] for i in wide], width, functions)
                     e = np.empty(len(found["v"]), ENTRY)
                     v = mix(found["v"] + found["f"].astype(np.uint64))
-                    e["key"], e["doc"], e["tag"] = v & np.uint64(0xFFFFFFFF), np.array(docs)[found["text"]], np.array(tags, np.uint32)[found["text"]]
+                    e["key"], e["doc"], e["tag"] = v & np.uint64(0xFFFFFFFF), np.array(docs)[wide][found["text"]], np.array(tags, np.uint32)[wide][found["text"]]
                     e["c"], e["left"], e["right"] = found["c"], np.minimum(found["c"] - found["l"], width - 1), np.minimum(found["r"] - found["c"], width - 1)
-                    yield pack(e, ((v >> np.uint64(32)) % np.uint64(shards)).astype(np.int32))
+                    if len(e):
+                        yield pack(e, ((v >> np.uint64(32)) % np.uint64(shards)).astype(np.int32))
                     texts, docs, tags, held = [], [], [], 0
 
     return run
@@ -186,23 +178,22 @@ def _near_windows(width: int, shards: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            flat, docs, keys, first, held, n = [], [], [], [], 0, 0
+            docs, texts, keys, held = [], [], [], 0
             for k, (doc, t, found) in enumerate(zip(b.column("id").to_pylist(), buffers(b.column("text")), b.column("keys").to_pylist())):
-                t, found = shingle_hashes(word_hashes(t)), np.frombuffer(b"".join(found), KEY)
-                found = found[found["c"] + found["right"] < len(t)]  # texts of one id whose tags are equal in the lower half
-                if len(found):
-                    found = found[np.argsort(found["key"], kind="stable")]
-                    docs.append(np.full(len(found), doc))
-                    first.append(np.full(len(found), held))
-                    keys.append(found)
-                    flat.append(t)
-                    held += len(t)
-                    n += len(found)
-                if n and (n > 1 << 13 or held > CHUNK or k == b.num_rows - 1):
-                    whole, d, ks, fs = np.concatenate(flat), np.concatenate(docs), np.concatenate(keys), np.concatenate(first)
-                    for i in range(0, n, 1 << 14):
-                        yield from near_of(whole, d[i : i + (1 << 14)], ks[i : i + (1 << 14)], fs[i : i + (1 << 14)])
-                    flat, docs, keys, first, held, n = [], [], [], [], 0, 0
+                docs.append(doc)
+                texts.append(t)
+                keys.append(np.frombuffer(b"".join(found), KEY))
+                held += len(t or b"")
+                if held > CHUNK or k == b.num_rows - 1:
+                    hashes = batch_shingle_hashes(texts)
+                    size = np.array([len(x) for x in hashes])
+                    of = np.repeat(np.arange(len(keys)), [len(x) for x in keys])
+                    flat, ks = np.concatenate(hashes), np.concatenate(keys)
+                    here = np.flatnonzero(ks["c"] + ks["right"].astype(np.int64) < size[of])  # else of another text of this id, whose tag is equal in the lower half
+                    d, ks, first = np.array(docs)[of[here]], ks[here], (np.cumsum(size) - size)[of[here]]
+                    for i in range(0, len(ks), 1 << 14):
+                        yield from near_of(flat, d[i : i + (1 << 14)], ks[i : i + (1 << 14)], first[i : i + (1 << 14)])
+                    docs, texts, keys, held = [], [], [], 0
 
     return run
 
@@ -215,21 +206,20 @@ def partners(key: np.ndarray, doc: np.ndarray, near: np.ndarray, least: int, roo
     first.sort()
     key, doc, near = key[first], doc[first], near[first]
     # postings: which windows hold a shingle, and how often
-    row, col = np.nonzero(near)
-    value = mix(key)[row] + near[row, col] * P[0]
-    order = np.argsort(value, kind="stable")
-    row, value = row[order], value[order]
-    new = np.concatenate(([True], (value[1:] != value[:-1]) | (row[1:] != row[:-1]))) if len(row) else np.empty(0, bool)
-    at = np.flatnonzero(new)
-    times, row, value = np.diff(np.append(at, len(row))), row[at], value[at]
+    bits = np.uint64(max(len(doc) - 1, 1).bit_length())  # the row stands in the low bits of its shingles' hashes
+    value = (mix(key)[:, None] + near * P[0])[near > 0] >> bits << bits | np.repeat(np.arange(len(doc), dtype=np.uint64), np.count_nonzero(near, 1))
+    value.sort()
+    at = np.flatnonzero(np.concatenate(([True], value[1:] != value[:-1]))) if len(value) else np.empty(0, np.int64)
+    times, value = np.diff(np.append(at, len(value))), value[at]
+    row, value = (value & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64), value >> bits
     head = np.flatnonzero(np.concatenate(([True], value[1:] != value[:-1]))) if len(value) else np.empty(0, np.int64)
     size = np.diff(np.append(head, len(value)))
-    before = np.arange(len(value)) - np.repeat(head, size)  # earlier windows with this shingle
     some = np.repeat(size, size) > 1  # shingles that no other window under the key has say nothing
-    held = np.bincount(row, weights=times * some, minlength=len(doc))
+    times, row, size = times[some], row[some], size[size > 1]
+    before = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)  # earlier windows with this shingle
     able = np.bincount(row, weights=times * (before > 0), minlength=len(doc)) >= least
-    post = np.flatnonzero(some & able[row])
-    post = post[np.argsort(row[post], kind="stable")]
+    post = np.flatnonzero(able[row])
+    post = post[np.argsort(row[post].astype(np.uint16) if len(doc) <= 1 << 16 else row[post], kind="stable")]
     at = np.searchsorted(row[post], np.arange(len(doc) + 1))
     start = np.searchsorted(key, key, "left")  # where the windows of a key begin
     rows = np.flatnonzero(able)
@@ -254,7 +244,11 @@ def partners(key: np.ndarray, doc: np.ndarray, near: np.ndarray, least: int, roo
         best = common.argmax(1)
         most = common[np.arange(len(chunk)), best]
         out.append(np.stack([doc[chunk], doc[start[chunk] + best]], 1)[most > 0])
-        for k in np.flatnonzero((most > 0) & (most < held[chunk]) & ((common > 0).sum(1) > 1)):
+        # how many of a window's shingles any of those that may be its partners has
+        new = np.flatnonzero(np.concatenate(([True], p[1:] != p[:-1])))
+        any_ = np.logical_or.reduceat(common[own, other - start[chunk][own]] > 0, new) if len(p) else new > 0
+        held = np.bincount(own[new], weights=times[p[new]] * any_, minlength=len(chunk))
+        for k in np.flatnonzero(most < held):
             # others whose common shingles are not all among another one's
             a, found = chunk[k], np.flatnonzero(common[k])
             _, p, other = met(chunk[k : k + 1])
@@ -359,11 +353,31 @@ def grown(x: np.ndarray, y: np.ndarray, at: tuple[int, int, int, int], shared: n
     return p, q
 
 
-def accepted(a: np.ndarray, b: np.ndarray, width: int, threshold: float) -> Iterator[tuple[int, int]]:
+def foreign(x: np.ndarray, shared: np.ndarray, width: int) -> np.ndarray:
+    """For each stretch of `width` shingles of x: how many different ones it has that the other text hasn't."""
+    at = np.flatnonzero(~shared)
+    at = at[np.argsort(x[at], kind="stable")]
+    same = x[at[1:]] == x[at[:-1]]
+    before = np.concatenate(([-1], np.where(same, at[:-1], -1)))[: len(at)]  # the place before this one of the same shingle
+    step = np.bincount(np.maximum(np.maximum(before, at - width) + 1, 0), minlength=len(x) + 1) - np.bincount(at + 1, minlength=len(x) + 1)
+    return np.cumsum(step)[: max(len(x) - width + 1, 0)]
+
+
+def stretches(shared: np.ndarray, width: int, threshold: float, known: np.ndarray) -> list[tuple[int, int]]:
+    """Where passages can lie, by which shingles the other text has: where nothing is common for longer than a passage's gaps can be, no passage goes on. Those known throughout are left out."""
+    common = np.flatnonzero(shared)
+    cuts = np.flatnonzero(np.diff(common) > width) + 1
+    open_ = [(int(c[0]), int(c[-1]) + 1) for c in np.split(common, cuts) if len(c) >= threshold * width]
+    return [(i, j) for i, j in open_ if j - i >= width and not known[i:j].all() and dense(shared[i:j], threshold / (1 - threshold) if threshold < 1 else 1e3, width)]
+
+
+def accepted(a: np.ndarray, b: np.ndarray, width: int, threshold: float, known: np.ndarray | None = None) -> Iterator[tuple[int, int]]:
     """The stretches [i, j) of a that are near-duplicates of stretches of b: the densest one, then those before and after it; if it fails, those of either half.
 
     Each part of a is held against the parts of b that have enough of its shingles, so the work goes down with the parts. What is accepted grows on both sides as far as the similarity holds.
+    known: marks shingles of a that lie in accepted stretches; parts of which all are known could only yield stretches within those, so they are not searched. It is marked as stretches are found.
     """
+    known = np.zeros(len(a), bool) if known is None else known
     share = 2 * threshold / (1 + threshold)  # of common shingles at the threshold, for sides of equal size
     # stretches that are dense on this side; if they don't make it, denser ones; at last those with the fewest gaps
     losses = (*(x / (1 - x) for x in (threshold, share) if x < 1), 1e3)
@@ -410,18 +424,26 @@ def accepted(a: np.ndarray, b: np.ndarray, width: int, threshold: float) -> Iter
                 return *grown(x, y, (p, q, u, v), sides[0], threshold, similar), True
         return 0, 0, True
 
-    # where nothing is common for longer than a passage's gaps can be, no passage goes on
-    common = np.flatnonzero(first[a + 1] > first[a])
-    cuts = np.flatnonzero(np.diff(common) > width) + 1
-    open_ = [(int(c[0]), int(c[-1]) + 1) for c in np.split(common, cuts) if len(c) >= threshold * width]
     shared = first[a + 1] > first[a]
+    others: list[np.ndarray] = []
+
+    def possible(i: int, j: int) -> bool:
+        """Whether any stretch of a[i:j] can be similar to one of b: a union holds what is common and what either side has alone, and each side has some of that in every stretch."""
+        if not others:
+            others.extend((foreign(a, shared, width), foreign(b, there(a)[b], width)))
+        own, other = others
+        common = np.count_nonzero(there(a[i:j][shared[i:j]]))
+        return len(other) > 0 and common >= threshold * (common + own[i : j - width + 1].min() + other.min()) - 1e-9
+
+    open_ = stretches(shared, width, threshold, known)
     while open_:
         i, j = open_.pop()
-        if j - i < width or not dense(shared[i:j], losses[0], width):
+        if j - i < width or known[i:j].all() or not dense(shared[i:j], losses[0], width):
             continue
         x = a[i:j]
         p = order[first[x[0]]] if shared[i] else 0
         if np.array_equal(b[p : p + len(x)], x):  # word for word
+            known[i:j] = True
             yield i, j
             continue
         hope = False
@@ -429,11 +451,12 @@ def accepted(a: np.ndarray, b: np.ndarray, width: int, threshold: float) -> Iter
             p, q, able = stretch(x, y)
             hope |= able
             if q:
+                known[i + p : i + q] = True
                 yield i + p, i + q
                 open_ += [(i, i + p), (i + q, j)]
                 break
         else:
-            if j - i > (2 if hope else 4) * width:
+            if j - i > (2 if hope else 4) * width and possible(i, j):
                 open_ += [(i, (i + j + width) // 2), ((i + j - width) // 2, j)]
 
 
@@ -461,36 +484,71 @@ def places(first: dict[str, np.ndarray], second: dict[str, np.ndarray], width: i
     return found
 
 
-def passages(texts: list[np.ndarray], pairs: list[tuple[int, int]], width: int, agree: int, threshold: float) -> list[np.ndarray]:
-    """For each pair (a, b) of texts the near-duplicate stretches [i, j) of a."""
-    w = windows(texts, width)
-    w["key"], w["around"] = mix(w["v"] + w["f"].astype(np.uint64)), contents(texts, w, width)
-    order = np.argsort(w["text"], kind="stable")
-    w = {k: v[order] for k, v in w.items()}
-    at = np.searchsorted(w["text"], np.arange(len(texts) + 1))
-    of = [{n: v[at[t] : at[t + 1]] for n, v in w.items()} for t in range(len(texts))]
-    out = []
-    for a, b in pairs:
-        got = [(la + i, la + j) for la, ra, lb, rb in places(of[a], of[b], width, agree) for i, j in accepted(texts[a][la : ra + 1], texts[b][lb : rb + 1], width, threshold)]
-        out.append(np.array(sorted(set(got)), np.int64).reshape(-1, 2))
+def passages(texts: list[np.ndarray], pairs: list[tuple[int, int]], width: int, agree: int, threshold: float, known: dict[int, np.ndarray] | None = None) -> list[np.ndarray]:
+    """For each pair (a, b) of texts near-duplicate stretches [i, j) of a; together those of one a cover what all its partners have. known: see accepted(), by a."""
+    known = {} if known is None else known
+    for a, _ in pairs:
+        known.setdefault(a, np.zeros(len(texts[a]), bool))
+    # texts as numbers of their shingles, so that a table of flags says what a text or part has
+    number = np.split(np.unique(np.concatenate(texts), return_inverse=True)[1], np.cumsum([len(x) for x in texts])[:-1])
+    flags = np.zeros(sum(map(len, texts)) + 1, bool)
+
+    def shared(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        flags[y] = True
+        got = flags[x]
+        flags[y] = False
+        return got
+
+    def open_(k: int) -> bool:
+        a, b = pairs[k]
+        return bool(stretches(shared(number[a], number[b]), width, threshold, known[a]))
+
+    # of one text's partners the one that has most of it comes first, so that it leaves the others less to do
+    most = np.array([np.count_nonzero(shared(number[a], number[b])) for a, b in pairs])
+    order = np.argsort(-most, kind="stable").tolist()
+    head = {pairs[k][0]: k for k in reversed(order)}
+    out: list[np.ndarray] = [np.empty((0, 2), np.int64)] * len(pairs)
+    of: dict[int, dict[str, np.ndarray]] = {}
+    for some in ([k for k in order if head[pairs[k][0]] == k], [k for k in order if head[pairs[k][0]] != k]):
+        some = [k for k in some if open_(k)]
+        new = sorted({t for k in some for t in pairs[k]} - of.keys())
+        if new:
+            w = windows([texts[t] for t in new], width)
+            w["key"], w["around"] = mix(w["v"] + w["f"].astype(np.uint64)), contents([texts[t] for t in new], w, width)
+            by_text = np.argsort(w["text"], kind="stable")
+            w = {n: v[by_text] for n, v in w.items()}
+            at = np.searchsorted(w["text"], np.arange(len(new) + 1))
+            of |= {t: {n: v[at[i] : at[i + 1]] for n, v in w.items()} for i, t in enumerate(new)}
+        for k in some:
+            if not open_(k):
+                continue
+            a, b = pairs[k]
+            got = set()
+            for la, ra, lb, rb in places(of[a], of[b], width, agree):
+                if stretches(shared(number[a][la : ra + 1], number[b][lb : rb + 1]), width, threshold, known[a][la : ra + 1]):
+                    got |= {(la + i, la + j) for i, j in accepted(texts[a][la : ra + 1], texts[b][lb : rb + 1], width, threshold, known[a][la : ra + 1])}
+            out[k] = np.array(sorted(got), np.int64).reshape(-1, 2)
     return out
 
 
 def _verify(width: int, agree: int, threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last: dict[tuple, np.ndarray] = {}  # what is known of the last text, whose partners may go on in the next chunk
         for b in batches:
             texts, docs, pairs, at, held = [], [], [], {}, 0
             for k, (doc, tag, other, s, t) in enumerate(zip(b.column("a").to_pylist(), b.column("tag").to_pylist(), b.column("b").to_pylist(), buffers(b.column("text_a")), buffers(b.column("text_b")))):
                 for name, text in (((doc, s), s), ((other, t), t)):
                     if name not in at:  # each text's windows are made once for all of its pairs here
                         at[name] = len(texts)
-                        texts.append(shingle_hashes(word_hashes(text)))
-                        held += len(texts[-1])
+                        texts.append(text)
+                        held += len(text or b"")
                 docs.append((doc, tag))
                 pairs.append((at[doc, s], at[other, t]))
                 if held > CHUNK or k == b.num_rows - 1:
-                    found = [(d, (x + [0, GRAM - 1]).astype("<u4").tobytes()) for d, x in zip(docs, passages(texts, pairs, width, agree, threshold)) if len(x)]
+                    known = {at[name]: x for name, x in last.items() if name in at}
+                    found = [(d, (x + [0, GRAM - 1]).astype("<u4").tobytes()) for d, x in zip(docs, passages(batch_shingle_hashes(texts), pairs, width, agree, threshold, known)) if len(x)]
                     yield pa.RecordBatch.from_arrays([pa.array([d for (d, _), _ in found], pa.int64()), pa.array([g for (_, g), _ in found], pa.int64()), pa.array([x for _, x in found], pa.binary())], ["id", "tag", "spans"])
+                    last = {(doc, s): known[at[doc, s]]}
                     texts, docs, pairs, at, held = [], [], [], {}, 0
 
     return run
@@ -558,7 +616,7 @@ def cut_passages(docs: DataFrame, id: str = "doc_id", text: str = "text", least_
     # rows of one id with several texts give a pair each
     both = pairs.join(near.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b").repartition(4 * shards, "a")
     both = both.join(near.select(F.col("id").alias("a"), "tag", F.col("text").alias("text_a")), "a")
-    both = both.select("a", "tag", "b", "text_a", "text_b").sortWithinPartitions("b", "a")
+    both = both.select("a", "tag", "b", "text_a", "text_b").sortWithinPartitions("a", "tag", "b")
     found = written(both.mapInArrow(_verify(width, agree, threshold), "id bigint, tag bigint, spans binary"))
     spans = found.groupBy("id", "tag").agg(F.collect_list("spans").alias("spans"))
     size = found.agg(F.coalesce(F.sum(F.octet_length("spans") + 24), F.lit(0))).first()[0]

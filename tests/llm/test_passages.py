@@ -9,7 +9,7 @@ import pytest
 
 from cirrolite.llm import passages as passages_module
 from cirrolite.llm.passages import accepted, cut_passages, partners
-from cirrolite.llm.shingles import shingle_hashes, word_hashes
+from cirrolite.llm.shingles import batch_shingle_hashes, batch_word_hashes, shingle_hashes, word_hashes
 
 from . import cases
 
@@ -133,3 +133,43 @@ def test_words_of_near_passages_go(spark, words, count, kind):
     print(words, count, kind, len(want), round(share, 3), round(float(np.mean([got[i] >= 0.8 * n for i, n in want.items()])), 3))
     assert len(want) > 20 and share >= 0.9
     assert all(got[2 * f] == 0 for f in range(100)) and all(got[i] <= n + 8 for i, n in want.items())
+
+
+def test_words_of_a_batch():
+    """Hashes of a batch tell the same words apart, wherever they stand in it."""
+    r = random.Random(3)
+    some = ["a", "B", "b", " ", "\n", "\x0b", "\x1c", "é", "z", "\x85", "  "]
+    texts = [None, b"", *("".join(r.choice(some) for _ in range(r.randrange(60))).encode() for _ in range(500)), b"x" * 70_000 + b" Y " + b"X" * 70_000 + b" y", b"q " * 100_000, b"w" * 65_536 + b" " + b"W" * 65_537]
+    w, at = batch_word_hashes(texts)
+    words = [(t or b"").lower().split() for t in texts]
+    assert np.diff(at).tolist() == [len(x) for x in words]
+    pairs = {(x, h) for i, x in enumerate(words) for x, h in zip(x, w[at[i] : at[i + 1]].tolist())}
+    assert len(pairs) == len({x for x, _ in pairs}) == len({h for _, h in pairs})
+    assert all(np.array_equal(x, shingle_hashes(w[at[i] : at[i + 1]])) for i, x in enumerate(batch_shingle_hashes(texts)))
+
+
+def test_repeats_that_cannot_be_similar(monkeypatch):
+    """Two texts of thousands of words in a circle, 26 of 31 shingles in common: below the threshold in every part, so the parts are not searched."""
+    calls, real = [], passages_module.densest
+    monkeypatch.setattr(passages_module, "densest", lambda *x: calls.append(1) or real(*x))
+    a = np.tile(np.arange(31, dtype=np.uint64), 300)
+    b = np.where(a < 26, a, a + np.uint64(100))
+    assert list(accepted(a, b, 46, 0.75)) == [] and len(calls) < 50
+    b = np.where(a < 27, a, a + np.uint64(100))  # 27 of 35
+    assert sum(j - i for i, j in accepted(a, b, 46, 0.75)) > 0.9 * len(a)
+
+
+def test_partners_of_one_text(monkeypatch):
+    """What one partner has accepted is not searched again with the others, and together they cover what each of them has."""
+    base = cases.prose(300, 1).split()
+    others = [base, *(changed(base, kind, 4, random.Random(k), str(k)) for k, kind in enumerate(["replace", "insert", "delete"] * 6)), base[150:] + cases.prose(100, 2).split()]
+    text = [" ".join(base + cases.prose(100, 2).split()), *map(" ".join, others)]
+    texts = batch_shingle_hashes([t.encode() for t in text])
+    pairs = [(0, k) for k in range(1, len(texts))]
+    alone = np.concatenate([passages_module.passages(texts, [pair], 46, 3, 0.75)[0] for pair in pairs])
+    calls, real = [], passages_module.accepted
+    monkeypatch.setattr(passages_module, "accepted", lambda *x: calls.append(1) or real(*x))
+    found = passages_module.passages(texts, pairs, 46, 3, 0.75)
+    places = [{k for i, j in x.tolist() for k in range(i, j)} for x in (alone, np.concatenate(found))]
+    assert places[0] == places[1] and len(places[0]) > 350
+    assert len(calls) < 8
