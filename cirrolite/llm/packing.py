@@ -24,13 +24,15 @@ from pyspark.sql import functions as F
 from .common import buffers, small_batches, written
 
 CACHE_WORDS = 1_200_000
-TEXT_CHARS = 1 << 20
+TEXT_CHARS = 1 << 23
 #: White space to Python alone; marks of special tokens; letters whose lower case depends on their place or is two characters.
 ODD = ("\x1c", "\x1d", "\x1e", "\x1f", "<|", "\u03a3", "\u0130")
 
+SPACE, STOP, PLAIN = (np.isin(np.arange(256), list(x)) for x in (b" \t\n\v\f\r", b",.", b"abcdefghijklmnopqrstuvwxyz0123456789"))
+
 
 class WordTokens:
-    """Token ids of whole texts as little-endian 32-bit bytes, with a cache by white-space-separated word.
+    """Token ids of whole texts as little-endian 32-bit bytes. The words of several texts are numbered in one go, and only different ones are looked up, in a cache.
 
     Right for tokenizers that drop white space, never join tokens across it and end each word's last token with `</w>`; texts in which
     that may not hold (control characters that only Python calls white space, special tokens' marks) go to the tokenizer whole.
@@ -46,7 +48,12 @@ class WordTokens:
         self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
         for token, i in self.tokenizer.get_vocab().items():
             self.ends[i] = token.endswith("</w>")
-        self.cache: dict[str, bytes] = {}
+        self.clear()
+
+    def clear(self) -> None:
+        """cache: a word's row; its ids are ids[at[row] : at[row + 1]]."""
+        self.cache: dict[str, int] = {}
+        self.ids, self.at = np.empty(0, "<u4"), np.zeros(1, np.int64)
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -66,41 +73,51 @@ class WordTokens:
                 made.update(zip(some, self.whole(some)))
         return made
 
-    def parts_of(self, word: str) -> tuple[str, str]:
-        """A word that ends in a comma or stop shares the ids of its stem, which alone is kept."""
-        return (word[:-1], word[-1]) if word[-1] in ",." and word[:-1].isalpha() else (word, "")
+    def rows(self, words: list[str]) -> np.ndarray:
+        """Where the ids of different words are kept; those of new words are made."""
+        if len(self.cache) > CACHE_WORDS:
+            self.clear()
+        rows = [self.cache.get(w, -1) for w in words]
+        if new := [w for w, k in zip(words, rows) if k < 0]:
+            made = self.encode(new)
+            ids = [made[w] for w in new]
+            self.at = np.concatenate((self.at, self.at[-1] + np.cumsum([len(x) // 4 for x in ids])))
+            self.ids = np.concatenate((self.ids, np.frombuffer(b"".join(ids), "<u4")))
+            self.cache.update(zip(new, range(len(self.cache), len(self.cache) + len(new))))
+            rows = [self.cache[w] if k < 0 else k for w, k in zip(words, rows)]
+        return np.array(rows, np.int64)
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        out, open_, new = [None] * len(texts), [], set()
-        if len(self.cache) > CACHE_WORDS:
-            self.cache.clear()
-        cache, get = self.cache, self.cache.get
+        out, some, data = [b""] * len(texts), [], []
         for i, t in enumerate(texts):
             if any(x in t for x in ODD):
                 out[i] = self.whole([t])[0]
-                continue
-            words = (t.lower() if t.isascii() or unicodedata.is_normalized("NFC", t) else t).split()
-            ids = [get(w) for w in words]
-            if None not in ids:
-                out[i] = b"".join(ids)
-                continue
-            holes = []
-            for k in [k for k, x in enumerate(ids) if x is None]:
-                stem, tail = self.parts_of(words[k])
-                if tail and (x := get(stem)) is not None and (y := get(tail)) is not None:
-                    ids[k] = x + y
-                else:
-                    holes.append((k, stem, tail))
-                    new.add(stem)
-                    if tail:
-                        new.add(tail)
-            open_.append((i, ids, holes))
-        if new := new - cache.keys():
-            cache.update(self.encode(sorted(new)))
-        for i, ids, holes in open_:
-            for k, stem, tail in holes:
-                ids[k] = cache[stem] + cache[tail] if tail else cache[stem]
-            out[i] = b"".join(ids)
+            elif t:
+                some.append(i)
+                data.append((t.lower() if t.isascii() or unicodedata.is_normalized("NFC", t) else t).encode())
+        raw = np.frombuffer(b" ".join([b"", *data, b""]), np.uint8)
+        blank = SPACE[raw]
+        edge = np.flatnonzero(np.diff(blank)) + 1
+        start, end = edge[::2], edge[1::2]
+        if not len(start):
+            return out
+        # a comma or stop at the end, behind a letter or digit, shares no token with them: it is a word of its own, which saves most forms of words
+        tail = STOP[raw[end - 1]] & PLAIN[raw[end - 2]] & (end - start > 1)
+        last = np.cumsum(1 + tail) - 1
+        size = np.repeat(end - start, 1 + tail)
+        size[last[tail]] = 1
+        size[last[tail] - 1] -= 1
+        bounds = np.concatenate(([0], np.cumsum(size)))
+        coded = pa.LargeStringArray.from_buffers(len(size), pa.py_buffer(bounds), pa.py_buffer(raw[~blank])).dictionary_encode()
+        row = self.rows(coded.dictionary.to_pylist())[coded.indices.to_numpy()]
+        n = self.at[row + 1] - self.at[row]
+        ends = np.cumsum(n)
+        ids = self.ids[np.repeat(self.at[row] - ends + n, n) + np.arange(ends[-1])]
+        # the first word of each text, then its first id
+        word = np.searchsorted(start, np.concatenate(([0], np.cumsum([len(x) + 1 for x in data]))))
+        at = np.concatenate(([0], ends))[np.concatenate(([0], last + 1))[word]].tolist()
+        for i, x, y in zip(some, at, at[1:]):
+            out[i] = ids[x:y].tobytes()
         return out
 
 

@@ -250,3 +250,28 @@ def test_pipeline_edges(spark):
             continue
         assert out.columns == d.columns and out.count() > 0, name
         assert stage(spark, d.limit(0), DATA).count() == 0, name
+
+
+def test_each_word_is_looked_up_once():
+    """Of texts taken together only different words go to the cache, and the ids are those of the whole texts."""
+    import random
+
+    import public_tokenizers
+
+    from cirrolite.llm.packing import WordTokens
+
+    class Counting(dict):
+        looked = 0
+
+        def get(self, *a):
+            self.looked += 1
+            return super().get(*a)
+
+    tokens = WordTokens(public_tokenizers.path("word_bpe_49k.json"))
+    tokens.cache = Counting()
+    texts = [cases.prose(200, 1) + ", " + cases.prose(100, 2) + "."] * 50
+    assert tokens(texts) == tokens.whole(texts) and tokens.cache.looked <= len(set(texts[0].split())) + 2
+    r = random.Random(5)
+    some = ["a", "B", "é", "3", ",", ".", "..", "?,", "'s", "don't,", " ", "\n", " ", "　", "\x85", "\x1c", "<|", "—", "x.", "é", "Σ", "İ", "日本", "٣.", "²,", "\x00", "\U0001f600."]
+    texts = ["", " ", ",", "a,", *("".join(r.choice(some) for _ in range(r.randrange(14))) for _ in range(3000))]
+    assert tokens(texts) == tokens.whole(texts) and tokens([]) == []
