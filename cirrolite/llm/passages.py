@@ -39,6 +39,7 @@ GRAM = 5
 FUNCTIONS = 6
 TILE = 2048
 CHUNK = 1 << 20  # bytes of text
+LONG = 1 << 13  # shingles of a text whose places are kept by shingle
 ENTRY = np.dtype([("key", "<u4"), ("doc", "<i8"), ("tag", "<u4"), ("c", "<u4"), ("left", "<u2"), ("right", "<u2")])
 KEY = np.dtype([("key", "<u8"), ("c", "<u4"), ("left", "<u2"), ("right", "<u2")])
 BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -61,19 +62,25 @@ def windows(texts: list[np.ndarray], width: int, functions: int = FUNCTIONS) ->
         whole[place] = mix(flat ^ SEEDS[f]) | np.uint64(1)
         if len(whole) < width:
             break
-        low = sliding(whole, width, np.minimum)
-        edge = np.zeros(width - 1, np.uint64)
-        c = np.flatnonzero((sliding(np.concatenate((edge, low, edge)), width, np.maximum) == whole) & (whole > 0))
+        # by the upper halves, which take half the time: all nodes are among them, and what else there is has a range too narrow
+        upper = (whole >> np.uint64(32)).astype(np.uint32)
+        edge = np.zeros(width - 1, np.uint32)
+        low = np.concatenate((edge, sliding(upper, width, np.minimum), edge))
+        c = np.flatnonzero((sliding(low, width, np.maximum) == upper) & (whole > 0))
         v = whole[c]
         # the nearest smaller values to either side are nodes themselves, or the zero between texts
         pos = np.sort(np.concatenate((c, ends)))
         value, k = whole[pos], np.searchsorted(pos, c)
         at = np.arange(len(pos))
-        l, r = at - 1, at + 1
-        for link, over in ((l, np.greater), (r, np.greater_equal)):
+        less, l, r = at - 1, at - 1, at + 1
+        for link in (less, r):
             rest = k
-            while len(rest := rest[over(value[link[rest]], value[rest])]):
-                link[rest] = link[link[rest]]  # all between a value and the one it is linked to are larger
+            while len(rest := rest[value[link[rest]] >= value[rest]]):
+                link[rest] = link[link[rest]]  # none between a value and the one it is linked to are smaller
+        # to the left equal values count too: those over them go past all equal ones at once
+        rest = k
+        while len(rest := rest[value[l[rest]] > value[rest]]):
+            l[rest] = less[l[rest]]
         l, r = pos[l[k]] + 1, pos[r[k]] - 1
         wide = r - l + 1 >= width
         text = np.searchsorted(start, c, "right") - 1
@@ -217,7 +224,10 @@ def partners(key: np.ndarray, doc: np.ndarray, near: np.ndarray, least: int, roo
     size = np.diff(np.append(head, len(value)))
     some = np.repeat(size, size) > 1  # shingles that no other window under the key has say nothing
     times, row, size = times[some], row[some], size[size > 1]
-    before = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)  # earlier windows with this shingle
+    # earlier windows of other documents with this shingle: they begin at `lead`
+    lead = np.repeat(np.cumsum(size) - size, size)
+    new = np.concatenate(([True], (lead[1:] != lead[:-1]) | (doc[row[1:]] != doc[row[:-1]])))[: len(row)]
+    before = np.maximum.accumulate(np.where(new, np.arange(len(row)), 0)) - lead
     able = np.bincount(row, weights=times * (before > 0), minlength=len(doc)) >= least
     post = np.flatnonzero(able[row])
     post = post[np.argsort(row[post].astype(np.uint16) if len(doc) <= 1 << 16 else row[post], kind="stable")]
@@ -226,40 +236,41 @@ def partners(key: np.ndarray, doc: np.ndarray, near: np.ndarray, least: int, roo
     rows = np.flatnonzero(able)
     rows = rows[np.argsort((rows - start[rows]), kind="stable")]  # those with few windows before them come together
 
-    def met(some: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Postings of the given windows with those of earlier ones: which window, posting, other window."""
-        n = at[some + 1] - at[some]
-        p = post[np.repeat(at[some], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
-        own, k = np.repeat(np.arange(len(some)), n), before[p]
-        i = np.repeat(p - k, k) + np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k)
-        return np.repeat(own, k), np.repeat(p, k), row[i]
-
     cost = np.maximum(rows - start[rows], 1) * 64 if len(rows) else rows
     part = np.cumsum(cost) // room if len(rows) else rows
     for chunk in np.split(rows, np.flatnonzero(np.diff(part)) + 1) if len(rows) else []:
-        wide = int((chunk - start[chunk]).max())
-        own, p, other = met(chunk)
-        common = np.bincount(own * wide + other - start[other], weights=times[p], minlength=len(chunk) * wide).reshape(len(chunk), wide)
-        left = start[chunk][:, None] + np.arange(wide)
-        common[(common < least) | (doc[np.minimum(left, len(doc) - 1)] >= doc[chunk][:, None])] = 0
+        base, wide = start[chunk], int((chunk - start[chunk]).max())
+        # the windows' postings p, and the cells (window, earlier one) in which they meet
+        n = at[chunk + 1] - at[chunk]
+        own = np.repeat(np.arange(len(chunk)), n)
+        p = post[np.repeat(at[chunk] - np.cumsum(n) + n, n) + np.arange(n.sum())]
+        k = before[p]
+        end = np.cumsum(k)
+        cell = row[np.repeat(lead[p] - end + k, k) + np.arange(k.sum())] + np.repeat(own * wide - base[own], k)
+        weight = times[p]
+        common = np.bincount(cell, weights=np.repeat(weight, k) if (weight > 1).any() else None, minlength=len(chunk) * wide).reshape(len(chunk), wide)
+        common[common < least] = 0
         best = common.argmax(1)
         most = common[np.arange(len(chunk)), best]
-        out.append(np.stack([doc[chunk], doc[start[chunk] + best]], 1)[most > 0])
-        # how many of a window's shingles any of those that may be its partners has
-        new = np.flatnonzero(np.concatenate(([True], p[1:] != p[:-1])))
-        any_ = np.logical_or.reduceat(common[own, other - start[chunk][own]] > 0, new) if len(p) else new > 0
-        held = np.bincount(own[new], weights=times[p[new]] * any_, minlength=len(chunk))
-        for k in np.flatnonzero(most < held):
+        out.append(np.stack([doc[chunk], doc[base + best]], 1)[most > 0])
+        # windows with several possible partners: how many of their shingles any of those has
+        first, able = np.cumsum(n) - n, common > 0
+        for j in np.flatnonzero((np.count_nonzero(able, 1) > 1) & (most < np.bincount(own, weights=weight, minlength=len(chunk)))).tolist():
+            mine = slice(first[j], first[j] + n[j])
+            found, ks, x = np.flatnonzero(able[j]), k[mine], cell[end[mine.start] - k[mine.start] : end[mine.stop - 1]] - j * wide
+            slots = -(-len(ks) // 64) * 64
+            has = np.zeros((len(found) + 1) * slots, bool)  # those that aren't possible share the last row
+            has[np.where(able[j], np.cumsum(able[j]) - 1, len(found))[x] * slots + np.repeat(np.arange(len(ks)), ks)] = True
+            has = has.reshape(-1, slots)[:-1]
+            if weight[mine][has.any(0)[: len(ks)]].sum() == most[j]:
+                continue
             # others whose common shingles are not all among another one's
-            a, found = chunk[k], np.flatnonzero(common[k])
-            _, p, other = met(chunk[k : k + 1])
-            slot, half = np.searchsorted(np.unique(p), p), 48
-            bits = np.stack([np.bincount(other - start[a], weights=np.where(slot // half == h, 2.0 ** (slot % half), 0.0), minlength=wide)[found] for h in range(int(slot.max()) // half + 1)], 1).astype(np.int64)
-            rest = np.argsort(-common[k, found], kind="stable")
+            bits = np.packbits(has, 1).view(np.uint64)
+            rest, chosen = np.argsort(-common[j, found], kind="stable"), []
             while len(rest):
-                q = rest[0]
-                out.append(np.array([[doc[a], doc[start[a] + found[q]]]]))
-                rest = rest[((bits[rest] & ~bits[q]) != 0).any(1)]
+                chosen.append(rest[0])
+                rest = rest[((bits[rest] & ~bits[rest[0]]) != 0).any(1)]
+            out.append(np.stack([np.full(len(chosen), doc[chunk[j]]), doc[base[j] + found[chosen]]], 1))
     pairs = np.concatenate(out)
     return pairs[pairs[:, 1] < pairs[:, 0]]
 
@@ -296,12 +307,21 @@ def _key_runs(key: np.ndarray, step: int) -> Iterator[slice]:
         i = j
 
 
+def sums(common: np.ndarray, loss: float) -> np.ndarray:
+    """The sums of all beginnings, where a common shingle counts 1 and another one -loss."""
+    s = np.zeros(len(common) + 1)
+    np.cumsum(np.where(common, 1.0, -loss), out=s[1:])
+    return s
+
+
 def densest(common: np.ndarray, loss: float, least: int) -> tuple[int, int]:
     """Of the stretches [i, j) of at least `least` shingles that begin and end with a common one that with the largest sum, where a common shingle counts 1 and
     another one -loss; (0, 0) if there is none."""
     if len(common) < least:
         return 0, 0
-    s = np.concatenate(([0.0], np.cumsum(np.where(common, 1.0, -loss))))
+    if common.all():
+        return 0, len(common)
+    s = sums(common, loss)
     start = np.where(common[: len(common) - least + 1], s[: len(s) - least], np.inf)
     gain = np.where(common[least - 1 :], s[least:] - np.minimum.accumulate(start), -np.inf)
     j = int(np.argmax(gain))
@@ -310,35 +330,45 @@ def densest(common: np.ndarray, loss: float, least: int) -> tuple[int, int]:
 
 def dense(common: np.ndarray, loss: float, least: int) -> bool:
     """Whether the sum of some stretch of at least `least` shingles is not negative."""
-    if len(common) < least:
+    n = int(np.count_nonzero(common))
+    if len(common) < least or n * (1 + loss) < loss * least - 1e-6:  # too few for the shortest stretch
         return False
-    if common.all():
+    if n >= loss * (len(common) - n):  # all of it is one
         return True
-    s = np.concatenate(([0.0], np.cumsum(np.where(common, 1.0, -loss))))
+    s = sums(common, loss)
     return bool((s[least:] >= np.minimum.accumulate(s[: len(s) - least]) - 1e-9).any())
 
 
 def grown(x: np.ndarray, y: np.ndarray, at: tuple[int, int, int, int], shared: np.ndarray, threshold: float, similar: Callable[[np.ndarray, np.ndarray], bool]) -> tuple[int, int]:
-    """The longest stretch of x around [p, q) that begins and ends with runs of common shingles and is similar to one of y around [u, v); at: p, q, u, v.
+    """(x, y: small numbers.) The longest stretch of x around [p, q) that begins and ends with runs of common shingles and is similar to one of y around [u, v); at: p, q, u, v.
 
     Runs beside the stretch are looked for on y's side of [u, v), nearest to the place that they have in x. Candidates are taken by length, shorter by a sixteenth at least after each failure.
     """
     p, q, u, v = at
-    s = np.concatenate(([0.0], np.cumsum(np.where(shared, 1.0, -threshold / (1 - threshold) if threshold < 1 else -1e3))))
+    s = sums(shared, threshold / (1 - threshold) if threshold < 1 else 1e3)
     edge = np.diff(np.concatenate(([False], shared, [False])).astype(np.int8))
     starts, ends = np.flatnonzero(edge[:p] == 1), np.flatnonzero(edge[q + 1 :] == -1) + q + 1
     starts, ends = starts[s[starts] <= s[q:].max()], ends[s[ends] >= s[: p + 1].min()]  # too many gaps on x's side alone
-    order = np.argsort(y, kind="stable")
-
-    def there(t: int, low: int, high: int, near: int) -> int | None:
-        """Where y has x's shingle t: the place in [low, high) nearest to near."""
-        found = order[np.searchsorted(y[order], x[t], "left") : np.searchsorted(y[order], x[t], "right")]
-        found = found[(found >= low) & (found < high)]
-        return int(found[np.abs(found - near).argmin()]) if len(found) else None
-
-    left = [(p, u)] + [(t, k) for t in starts.tolist() if (k := there(t, 0, u, u - p + t)) is not None]
-    right = [(q, v)] + [(t, k + 1) for t in ends.tolist() if (k := there(t - 1, v, len(y), v - q + t - 1)) is not None]
-    (a, c), (b, d) = (np.array(z).T for z in (left, right))
+    if not len(starts) + len(ends):
+        return p, q
+    place = np.sort(y * len(y) + np.arange(len(y)))  # the places of each shingle, one after another
+
+    def there(t: np.ndarray, low: int, high: int, near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of x's shingles at t y has in [low, high), and where: each at the place nearest to near."""
+        if not len(t) or low >= high:
+            return t[:0], t[:0]
+        first = x[t] * len(y)
+        k = np.searchsorted(place, first + np.clip(near, low, high - 1))
+        down, up = place[np.maximum(k - 1, 0)] - first, place[np.minimum(k, len(place) - 1)] - first
+        below, above = (k > 0) & (down >= low), (k < len(place)) & (up < high)
+        found = np.flatnonzero(below | above)
+        nearer = below & (~above | (np.abs(down - near) <= np.abs(up - near)))
+        return found, np.where(nearer, down, up)[found]
+
+    i, c = there(starts, 0, u, u - p + starts)
+    a, c = np.append(p, starts[i]), np.append(u, c)
+    i, d = there(ends - 1, v, len(y), v - q + ends - 1)
+    b, d = np.append(q, ends[i]), np.append(v, d + 1)
     total = np.concatenate(([0], np.cumsum(shared)))
     common, wide = total[b] - total[a][:, None], b - a[:, None]
     i, j = np.nonzero(common >= threshold * (wide + (d - c[:, None]) - common))
@@ -372,31 +402,45 @@ def stretches(shared: np.ndarray, width: int, threshold: float, known: np.ndarra
     return [(i, j) for i, j in open_ if j - i >= width and not known[i:j].all() and dense(shared[i:j], threshold / (1 - threshold) if threshold < 1 else 1e3, width)]
 
 
-def accepted(a: np.ndarray, b: np.ndarray, width: int, threshold: float, known: np.ndarray | None = None) -> Iterator[tuple[int, int]]:
+def accepted(a: np.ndarray, b: np.ndarray, width: int, threshold: float, known: np.ndarray | None = None, table: np.ndarray | None = None) -> Iterator[tuple[int, int]]:
     """The stretches [i, j) of a that are near-duplicates of stretches of b: the densest one, then those before and after it; if it fails, those of either half.
 
     Each part of a is held against the parts of b that have enough of its shingles, so the work goes down with the parts. What is accepted grows on both sides as far as the similarity holds.
     known: marks shingles of a that lie in accepted stretches; parts of which all are known could only yield stretches within those, so they are not searched. It is marked as stretches are found.
+    table: for shingles that are small numbers, a place for each; they needn't be sorted then.
     """
     known = np.zeros(len(a), bool) if known is None else known
     share = 2 * threshold / (1 + threshold)  # of common shingles at the threshold, for sides of equal size
     # stretches that are dense on this side; if they don't make it, denser ones; at last those with the fewest gaps
     losses = (*(x / (1 - x) for x in (threshold, share) if x < 1), 1e3)
-    kinds, at = np.unique(np.concatenate((a, b)), return_inverse=True)
-    a, b = at[: len(a)], at[len(a) :]
-    order = np.argsort(b, kind="stable")
-    first = np.searchsorted(b[order], np.arange(len(kinds) + 1))
+    both = np.concatenate((a, b))
+    if table is None:
+        _, both = np.unique(both, return_inverse=True)
+    else:
+        table[both] = np.arange(len(both))  # each number becomes one of its places
+        both = table[both]
+    a, b = both[: len(a)], both[len(a) :]
 
     def there(x: np.ndarray) -> np.ndarray:
-        flags = np.zeros(len(kinds), bool)
+        flags = np.zeros(len(both), bool)
         flags[x] = True
         return flags
 
-    def beside(x: np.ndarray) -> Iterator[np.ndarray]:
-        """The parts of b that have enough of x's shingles in twice its length, the one with most of them first."""
+    if len(b) > LONG:  # the places of b by shingle, so that the work on a part goes by its shingles, not by b
+        order = np.argsort(b, kind="stable")
+        first = np.searchsorted(b[order], np.arange(len(both) + 1))
+
+    def where(x: np.ndarray) -> np.ndarray:
+        """The places of b with x's shingles."""
+        if len(b) <= LONG:
+            return np.flatnonzero(there(x)[b])
         k = np.flatnonzero(there(x))
         n = first[k + 1] - first[k]
-        pos = np.sort(order[np.repeat(first[k], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)])
+        return np.sort(order[np.repeat(first[k], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)])
+
+    def beside(x: np.ndarray) -> Iterator[np.ndarray]:
+        """The parts of b that have enough of x's shingles in twice its length, the one with most of them first."""
+        pos = where(x)
         room = 2 * max(len(x), width)
         count = np.searchsorted(pos, pos + room) - np.arange(len(pos))
         while len(pos) and count.max() >= threshold * width:
@@ -412,7 +456,7 @@ def accepted(a: np.ndarray, b: np.ndarray, width: int, threshold: float, known:
         """The stretch of x that is a near-duplicate of one of y (0, 0 if there is none), and whether both sides are dense enough for one."""
         # a result needs a stretch on either side with the threshold's share of common shingles, and on one side with that of equal sides
         sides = there(y)[x], there(x)[y]
-        if not (all(dense(z, losses[0], width) for z in sides) and any(dense(z, losses[-2], width) for z in sides)):
+        if not (dense(sides[1], losses[0], width) if dense(sides[0], losses[-2], width) else dense(sides[1], losses[-2], width) and dense(sides[0], losses[0], width)):
             return 0, 0, False
         for loss in losses:
             p, q = densest(sides[0], loss, width)
@@ -425,7 +469,7 @@ def accepted(a: np.ndarray, b: np.ndarray, width: int, threshold: float, known:
                 return *grown(x, y, (p, q, u, v), sides[0], threshold, similar), True
         return 0, 0, True
 
-    shared = first[a + 1] > first[a]
+    shared = there(b)[a]
     others: list[np.ndarray] = []
 
     def possible(i: int, j: int) -> bool:
@@ -437,12 +481,14 @@ def accepted(a: np.ndarray, b: np.ndarray, width: int, threshold: float, known:
         return len(other) > 0 and common >= threshold * (common + own[i : j - width + 1].min() + other.min()) - 1e-9
 
     open_ = stretches(shared, width, threshold, known)
+    fresh = len(open_)  # those are known to be dense
     while open_:
         i, j = open_.pop()
-        if j - i < width or known[i:j].all() or not dense(shared[i:j], losses[0], width):
+        fresh, checked = min(fresh, len(open_)), len(open_) < fresh
+        if j - i < width or known[i:j].all() or not (checked or dense(shared[i:j], losses[0], width)):
             continue
         x = a[i:j]
-        p = order[first[x[0]]] if shared[i] else 0
+        p = int((b == x[0]).argmax()) if len(b) <= LONG else order[first[x[0]]] if shared[i] else 0
         if np.array_equal(b[p : p + len(x)], x):  # word for word
             known[i:j] = True
             yield i, j
@@ -463,25 +509,31 @@ def accepted(a: np.ndarray, b: np.ndarray, width: int, threshold: float, known:
 
 def places(first: dict[str, np.ndarray], second: dict[str, np.ndarray], width: int, agree: int) -> list[tuple[int, int, int, int]]:
     """Interval join of two texts' windows: joined by hash, then gathered where they overlap by `width` on both sides, if `agree` functions do."""
-    # a text may say a thing many times: of places with equal hash and contents the earlier document's first stands for all
-    order = np.lexsort((second["c"], second["around"], second["key"]))
-    order = order[np.concatenate(([True], (np.diff(second["key"][order]) != 0) | (np.diff(second["around"][order]) != 0)))] if len(order) else order
-    lo, hi = np.searchsorted(second["key"][order], first["key"], "left"), np.searchsorted(second["key"][order], first["key"], "right")
+    if "order" not in second:
+        # a text may say a thing many times: of places with equal hash and contents the earlier document's first stands for all
+        both = second["key"] * P[0] + second["around"]
+        order = np.argsort(both)
+        head = np.flatnonzero(np.concatenate(([True], np.diff(both[order]) != 0))) if len(order) else order
+        order = np.minimum.reduceat(order, head) if len(order) else order  # the windows of a function come in the order of c
+        second["order"] = order[np.argsort(second["key"][order])]
+    order = second["order"]
+    key = second["key"][order]
+    lo, hi = np.searchsorted(key, first["key"], "left"), np.searchsorted(key, first["key"], "right")
     n = hi - lo
     i = np.repeat(np.arange(len(n)), n)
-    j = order[np.repeat(lo, n) + np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n)]
-    box = np.stack([first["l"][i], first["r"][i], second["l"][j], second["r"][j], first["f"][i]], 1)
+    j = order[np.repeat(lo - np.cumsum(n) + n, n) + np.arange(len(i))]
+    l, r, u, v, f = first["l"][i], first["r"][i], second["l"][j], second["r"][j], 1 << first["f"][i]
 
-    def runs(rows: np.ndarray, l: int, r: int) -> list[np.ndarray]:
-        rows = rows[np.argsort(rows[:, l], kind="stable")]
-        reach = np.maximum.accumulate(rows[:, r])
-        return np.split(rows, np.flatnonzero(rows[1:, l] > reach[:-1] - width + 1) + 1)
+    def runs(rows: np.ndarray, low: np.ndarray, high: np.ndarray) -> list[np.ndarray]:
+        rows = rows[np.argsort(low[rows])]
+        cuts = np.flatnonzero(low[rows[1:]] > np.maximum.accumulate(high[rows[:-1]]) - width + 1) + 1
+        return np.split(rows, cuts) if len(cuts) else [rows]
 
     found = []
-    for part in runs(box, 0, 1) if len(box) else []:
-        for piece in runs(part, 2, 3):
-            if len(np.unique(piece[:, 4])) >= agree:
-                found.append((int(piece[:, 0].min()), int(piece[:, 1].max()), int(piece[:, 2].min()), int(piece[:, 3].max())))
+    for part in runs(np.arange(len(i)), l, r) if len(i) else []:
+        for piece in runs(part, u, v):
+            if int(np.bitwise_or.reduce(f[piece])).bit_count() >= agree:
+                found.append((int(l[piece].min()), int(r[piece].max()), int(u[piece].min()), int(v[piece].max())))
     return found
 
 
@@ -492,7 +544,7 @@ def passages(texts: list[np.ndarray], pairs: list[tuple[int, int]], width: int,
         known.setdefault(a, np.zeros(len(texts[a]), bool))
     # texts as numbers of their shingles, so that a table of flags says what a text or part has
     number = np.split(np.unique(np.concatenate(texts), return_inverse=True)[1], np.cumsum([len(x) for x in texts])[:-1])
-    flags = np.zeros(sum(map(len, texts)) + 1, bool)
+    flags, table = np.zeros(sum(map(len, texts)) + 1, bool), np.empty(sum(map(len, texts)) + 1, np.int64)
 
     def shared(x: np.ndarray, y: np.ndarray) -> np.ndarray:
         flags[y] = True
@@ -512,6 +564,7 @@ def passages(texts: list[np.ndarray], pairs: list[tuple[int, int]], width: int,
     of: dict[int, dict[str, np.ndarray]] = {}
     for some in ([k for k in order if head[pairs[k][0]] == k], [k for k in order if head[pairs[k][0]] != k]):
         some = [k for k in some if open_(k)]
+        seen = {k: np.count_nonzero(known[pairs[k][0]]) for k in some}
         new = sorted({t for k in some for t in pairs[k]} - of.keys())
         if new:
             w = windows([texts[t] for t in new], width)
@@ -521,13 +574,13 @@ def passages(texts: list[np.ndarray], pairs: list[tuple[int, int]], width: int,
             at = np.searchsorted(w["text"], np.arange(len(new) + 1))
             of |= {t: {n: v[at[i] : at[i + 1]] for n, v in w.items()} for i, t in enumerate(new)}
         for k in some:
-            if not open_(k):
-                continue
             a, b = pairs[k]
+            if np.count_nonzero(known[a]) > seen[k] and not open_(k):
+                continue
             got = set()
             for la, ra, lb, rb in places(of[a], of[b], width, agree):
                 if stretches(shared(number[a][la : ra + 1], number[b][lb : rb + 1]), width, threshold, known[a][la : ra + 1]):
-                    got |= {(la + i, la + j) for i, j in accepted(texts[a][la : ra + 1], texts[b][lb : rb + 1], width, threshold, known[a][la : ra + 1])}
+                    got |= {(la + i, la + j) for i, j in accepted(number[a][la : ra + 1], number[b][lb : rb + 1], width, threshold, known[a][la : ra + 1], table)}
             out[k] = np.array(sorted(got), np.int64).reshape(-1, 2)
     return out
 

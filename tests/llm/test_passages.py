@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import sys
 
 import numpy as np
 import pytest
@@ -173,3 +174,84 @@ def test_partners_of_one_text(monkeypatch):
     places = [{k for i, j in x.tolist() for k in range(i, j)} for x in (alone, np.concatenate(found))]
     assert places[0] == places[1] and len(places[0]) > 350
     assert len(calls) < 8
+
+
+def windows_by_definition(text: list[int], width: int) -> set[tuple[int, int, int]]:
+    """(l, c, r): from the nearest smaller or equal value before c to the nearest smaller one after it."""
+    out = set()
+    for c, v in enumerate(text):
+        l, r = c, c
+        while l and text[l - 1] > v:
+            l -= 1
+        while r + 1 < len(text) and text[r + 1] >= v:
+            r += 1
+        if r - l + 1 >= width:
+            out.add((l, c, r))
+    return out
+
+
+def test_windows_of_repeated_lines():
+    """Equal values on both sides, several texts at once, texts shorter than a window."""
+    r = np.random.default_rng(5)
+    line = r.integers(1, 1 << 63, 17, np.uint64)
+    texts = [np.tile(line, 20), r.integers(1, 1 << 63, 200, np.uint64), line[:3], np.concatenate((np.tile(line[:5], 30), r.integers(1, 1 << 63, 60, np.uint64), np.tile(line, 4))), np.repeat(line[:1], 90)]
+    w = passages_module.windows(texts, 12)
+    for t, text in enumerate(texts):
+        for f in range(passages_module.FUNCTIONS):
+            some = (w["text"] == t) & (w["f"] == f)
+            values = (passages_module.mix(text ^ passages_module.SEEDS[f]) | np.uint64(1)).tolist()
+            assert set(zip(w["l"][some].tolist(), w["c"][some].tolist(), w["r"][some].tolist())) == windows_by_definition(values, 12)
+            assert w["v"][some].tolist() == [values[c] for c in w["c"][some].tolist()]
+
+
+def test_windows_of_repeated_lines_take_few_rounds():
+    """A line said 4,000 times before other text: smaller neighbours are found in some rounds over all of it, not in one round for each time the line is said."""
+    r = np.random.default_rng(6)
+    text = np.concatenate((np.tile(r.integers(1, 1 << 63, 40, np.uint64), 4000), r.integers(1, 1 << 63, 2000, np.uint64)))
+    steps, code = [0], passages_module.windows.__code__
+
+    def trace(frame, event, arg):
+        steps[0] += event == "line"
+        return trace if frame.f_code is code else None
+
+    old = sys.gettrace()
+    sys.settrace(trace)
+    try:
+        passages_module.windows([text], 12)
+    finally:
+        sys.settrace(old)
+    assert steps[0] < 2000
+
+
+def test_long_texts_by_place(monkeypatch):
+    """Places of shingles kept by shingle, and numbers instead of hashes, give what flags give."""
+    r = random.Random(8)
+    base = cases.prose(400, 1).split()
+    texts = [changed(base, kind, 12, r, kind) + cases.prose(80, k).split() + base[100:300] for k, kind in enumerate(["replace", "insert", "delete"])]
+    hashes = batch_shingle_hashes([" ".join(t).encode() for t in texts])
+    number = np.split(np.unique(np.concatenate(hashes), return_inverse=True)[1], np.cumsum([len(x) for x in hashes])[:-1])
+    table = np.empty(sum(map(len, hashes)), np.int64)
+    for i in range(3):
+        for j in range(3):
+            want = list(accepted(hashes[i], hashes[j], 46, 0.75))
+            assert want and list(accepted(number[i], number[j], 46, 0.75, None, table)) == want
+            with monkeypatch.context() as m:
+                m.setattr(passages_module, "LONG", 10)
+                assert list(accepted(hashes[i], hashes[j], 46, 0.75)) == want
+
+
+def test_partners_of_texts_that_repeat_themselves():
+    """Several windows of a document under one key, with shingles said several times: earlier documents only, and the one that has most."""
+    r = np.random.default_rng(2)
+    base = r.integers(1, 1 << 32, 30, np.uint32)
+    near = np.stack([np.where(r.random(91) < 0.3, r.integers(1, 1 << 32, 91, np.uint32), base[r.integers(0, 30, 91)]) for _ in range(300)]).astype(np.uint32)
+    doc, key = np.repeat(np.arange(100), 3), np.repeat(np.array([4, 9], np.uint64), 150)
+    got = {}
+    for a, b in partners(key, doc, near, 23).tolist():
+        assert b < a and key[3 * a] == key[3 * b]
+        got.setdefault(a, set()).add(b)
+    for k in range(300):
+        mine, times = np.unique(near[k], return_counts=True)
+        common = {(int(b), times[np.isin(mine, near[o])].sum()) for o, b in enumerate(doc) if key[o] == key[k] and b < doc[k]}
+        most = max((n for _, n in common), default=0)
+        assert most < 23 or any((b, most) in common for b in got[int(doc[k])])
