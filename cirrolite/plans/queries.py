@@ -70,7 +70,8 @@ def se2_distinct_radars(spark, d):
 
 @query(f"WITH {V_FILES} SELECT path, size_bytes FROM f ORDER BY path LIMIT 25")
 def so2_first_files(spark, d):
-    return files(spark, d).select("path", "size_bytes").orderBy("path").limit(25)
+    """Files can share a path. The SQL leaves open which of them come first; here it is those of the smaller file_seq."""
+    return files(spark, d).orderBy("path", "file_seq", "size_bytes").limit(25).select("path", "size_bytes")
 
 
 # ---- gates ----

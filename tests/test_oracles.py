@@ -54,3 +54,19 @@ def test_registry(spark):
     found, sql = __spark_entry__.queries(), __spark_entry__.oracle_sql()
     assert set(sql) <= set(found) and set(QUERIES) <= set(found)
     assert __spark_entry__.entry(spark).count() > 0
+
+
+def test_first_files_that_share_a_path(spark, tmp_path):
+    """More files share the first path than are asked for: however the table is laid out, those of the smallest keys come, in that order; its SQL gives them where the table is in key order."""
+    t = spark.range(40).selectExpr("id * 168 AS s_suppkey", "'x' AS s_name", "0 AS s_nationkey", "CAST(id AS DOUBLE) AS s_acctbal")
+    spark.read.parquet(f"{DATA}/nation.parquet").write.parquet(f"{tmp_path}/nation.parquet")
+    t.coalesce(1).write.parquet(f"{tmp_path}/ordered")
+    want = [("2024/01/01/K000/K00020240101_000000_V06", 100 * i) for i in range(25)]
+    c = duckdb.connect()
+    c.execute("set threads = 1")
+    c.execute(f"create view supplier as select * from read_parquet('{tmp_path}/ordered/*.parquet')")
+    c.execute(f"create view nation as select * from read_parquet('{DATA}/nation.parquet')")
+    assert sorted(c.execute(ORACLES["so2_first_files"]).fetchall()) == want
+    for layout in (t.orderBy("s_suppkey").coalesce(1), t.orderBy(t.s_suppkey.desc()).coalesce(1), t.repartition(5, "s_suppkey")):
+        layout.write.mode("overwrite").parquet(f"{tmp_path}/supplier.parquet")
+        assert [tuple(r) for r in QUERIES["so2_first_files"](spark, str(tmp_path)).collect()] == want
